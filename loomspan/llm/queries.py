@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from .line_dedup import SQL as LINE_SQL
-from .line_dedup import line_dedup_query
+from . import chat_format, line_dedup, weak_rules
 
 QUERIES = {
-    "op4_line_dedup": line_dedup_query,
+    "op3_chat_format": chat_format.format_query,
+    "op4_line_dedup": line_dedup.line_dedup_query,
+    "op8_quality_rules": weak_rules.quality_rules_query,
+}
+SQL = {
+    "op3_chat_format": chat_format.SQL,
+    "op4_line_dedup": line_dedup.SQL,
 }
-SQL = {"op4_line_dedup": LINE_SQL}
