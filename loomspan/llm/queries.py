@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat_format, line_dedup, weak_rules
+from . import chat_format, fm_quality, html_content, line_dedup, source_mix, weak_rules
 
 QUERIES = {
+    "op2_html_content": html_content.html_query,
     "op3_chat_format": chat_format.format_query,
     "op4_line_dedup": line_dedup.line_dedup_query,
+    "op6_quality_classifier": fm_quality.quality_query,
+    "op7_source_mix": source_mix.mix_query,
     "op8_quality_rules": weak_rules.quality_rules_query,
 }
 SQL = {
     "op3_chat_format": chat_format.SQL,
     "op4_line_dedup": line_dedup.SQL,
+    "op7_source_mix": source_mix.SQL,
 }
