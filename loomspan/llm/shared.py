@@ -97,6 +97,8 @@ class WordHashes(dict):
 #: Odd multipliers that give each place of a shingle its own mixing.
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
+_SALT = np.arange(1, 128, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit values over all bits; a bijection."""
@@ -124,7 +126,7 @@ def roll(flat: np.ndarray, k: int) -> np.ndarray:
     if n >= k:
         acc = out[: n - k + 1]
         for j in range(k):
-            acc += mix(flat[j : n - k + 1 + j] + _PLACE[j % 5] * np.uint64(j + 1)) * _PLACE[(j + 2) % 5]
+            acc += mix(flat[j : n - k + 1 + j] + _SALT[j % len(_SALT)]) * _PLACE[(j + 2) % 5]
         out[: n - k + 1] = mix(acc)
     return out
 
