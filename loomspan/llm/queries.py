@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, fm_quality, html_content, license_scan, line_dedup, source_mix, weak_rules
+from . import chat_format, decontaminate, fm_quality, html_content, license_scan, line_dedup, phrase_dedup, source_mix, weak_rules
 
 QUERIES = {
     "op1_license_scan": license_scan.license_query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_quality_classifier": fm_quality.quality_query,
     "op7_source_mix": source_mix.mix_query,
     "op8_quality_rules": weak_rules.quality_rules_query,
+    "op9_substring_dedup": phrase_dedup.substring_query,
     "op10_decontaminate": decontaminate.decontaminate_query,
 }
 SQL = {
@@ -19,5 +20,6 @@ SQL = {
     "op3_chat_format": chat_format.SQL,
     "op4_line_dedup": line_dedup.SQL,
     "op7_source_mix": source_mix.SQL,
+    "op9_substring_dedup": phrase_dedup.SQL,
     "op10_decontaminate": decontaminate.SQL,
 }
