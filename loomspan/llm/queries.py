@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, fm_quality, html_content, license_scan, line_dedup, phrase_dedup, source_mix, weak_rules
+from . import chat_format, decontaminate, fm_quality, html_content, license_scan, line_dedup, ngram_join, phrase_dedup, source_mix, weak_rules
 
 QUERIES = {
     "op1_license_scan": license_scan.license_query,
     "op2_html_content": html_content.html_query,
     "op3_chat_format": chat_format.format_query,
     "op4_line_dedup": line_dedup.line_dedup_query,
+    "op5_ngram_jaccard": ngram_join.jaccard_query,
     "op6_quality_classifier": fm_quality.quality_query,
     "op7_source_mix": source_mix.mix_query,
     "op8_quality_rules": weak_rules.quality_rules_query,
@@ -19,6 +20,7 @@ SQL = {
     "op1_license_scan": license_scan.SQL,
     "op3_chat_format": chat_format.SQL,
     "op4_line_dedup": line_dedup.SQL,
+    "op5_ngram_jaccard": ngram_join.SQL,
     "op7_source_mix": source_mix.SQL,
     "op9_substring_dedup": phrase_dedup.SQL,
     "op10_decontaminate": decontaminate.SQL,
