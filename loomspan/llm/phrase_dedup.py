@@ -202,8 +202,9 @@ def covered_ranges(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
     """Per row key (see ``row_key``) the ranges (``start``, ``length``) of words that recurring windows cover."""
     table = scratch.save(all_pieces(docs, id_col, text_col, window), "pieces")
     anchors = _counted(table).filter("_n >= 2").select("anchor", F.col("_n").alias("seen"), (F.col("_least") != F.col("_most")).alias("mixed"))
+    anchors = scratch.save(anchors, "anchors")  # a table of its own, so that the join's hot anchors can be split
     again = scratch.save(table.join(anchors, "anchor"), "recurring")
-    scratch.drop(table)
+    scratch.drop(table, anchors)
     equal = again.filter("NOT mixed").select("_key1", "_key2", F.col("lo").alias("start"), (F.col("n") + F.lit(window - 1)).alias("length"))
     mixed = again.filter("mixed")
     texts = scratch.save(piece_texts(docs, mixed, id_col, text_col, window), "texts")
