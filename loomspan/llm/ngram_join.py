@@ -1,10 +1,11 @@
-"""N-gram Jaccard join: size-aware, with subsets enumerated for small sets and inverted lists for large ones.
+"""N-gram Jaccard join: size-aware, with subsets enumerated for small sets and inverted lists scanned for large ones.
 
 Sets of distinct word shingles link when their Jaccard similarity is at least PERCENT / 100. Sets of sizes a and b then
-share at least ceil(PERCENT (a + b) / (100 + PERCENT)) shingles. Pairs whose smaller set is below a boundary are found by
-enumerating the subsets of exactly those sizes, which two linked sets have in common; other pairs through inverted
-lists over each set's rarest shingles, as many as leave no room for a link outside them. The boundary is the
-one of least cost for the sizes at hand.
+share at least c = ceil(PERCENT (a + b) / (100 + PERCENT)) shingles and differ in at most a + b - 2 c. Pairs whose smaller
+set is below a boundary are found by enumerating the subsets of exactly those sizes, which two linked sets have in
+common. For other pairs each set is parted by the shingles' hashes into more parts than linked sets can differ in; they have
+a part in common, and inverted lists go by the content of parts. (Lists over single shingles are as exact, but in
+growing corpora unrelated texts meet in ever more of them.) The boundary is where subsets begin to cost more than parts.
 
 Equal sets are one node from the start. Links are never enumerated within a group of near copies: in each list every
 node is held against one node of it, groups grow, and only pairs across groups are considered after that, until none
@@ -14,7 +15,8 @@ is left unverified. So no link between different groups is lost, and the work fo
 from __future__ import annotations
 
 import itertools
-from math import comb
+from functools import cache
+from math import comb, exp
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +29,13 @@ from .shared import Scratch, WordHashes, chunks, hash_words, mix, payload, row_k
 from .window_search import word_shingles
 
 WIDTH, PERCENT = 3, 90
-#: Shingles told apart as frequent, so that lists over them are avoided where a set has others. Any order is right.
-FREQUENT = 100_000
-#: Shingles counted together before counts leave a task, and the least count that does.
-COUNT_BLOCK, COUNT_LEAST = 3_000_000, 4
-CELLS = 32
+#: Ratio of the bounds of size classes; sets of one class have equally many parts.
+CLASS_RATIO = 1.5
 #: Most rows of keys that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 300_000
 STAR_ROUNDS = 2
+#: 64-bit words of a set's sketch.
+SKETCH = 8
 
 
 def shared_least(a: int, b: int, percent: int = PERCENT) -> int:
@@ -48,147 +49,113 @@ def subset_sizes(size: int, boundary: int, percent: int = PERCENT) -> list[int]:
     return sorted({shared_least(size, b, percent) for b in partners if min(size, b) < boundary})
 
 
-def prefix_length(size: int, percent: int = PERCENT) -> int:
-    return size - -(-percent * size // 100) + 1
+def most_different(high: int, percent: int = PERCENT) -> int:
+    """The most shingles in which linked sets, both smaller than ``high``, can differ."""
+    return 2 * (high - 1) * (100 - percent) // (100 + percent)
 
 
-def boundary_by_cost(sizes: dict[int, int], list_length: float, percent: int = PERCENT, most: int = 30) -> int:
-    """The boundary for which enumerated subsets plus entries of lists, each met by ``list_length`` others, are fewest."""
+def boundary_by_cost(percent: int = PERCENT) -> int:
+    """The least size for which enumerating subsets makes more keys than parting the set."""
+    s = 1
+    while sum(comb(s, c) for c in subset_sizes(s, s + 1, percent)) <= most_different(int(s * CLASS_RATIO) + 1, percent) + 3:
+        s += 1
+    return s
 
-    def cost(boundary: int) -> float:
-        total = 0.0
-        for s, n in sizes.items():
-            total += n * sum(comb(s, c) for c in subset_sizes(s, boundary, percent))
-            total += n * prefix_length(s, percent) * list_length if s >= boundary else 0
-        return total
 
-    return min(range(1, most + 1), key=lambda b: (cost(b), b))
-
-
-def _sets(texts: list[bytes], cache: WordHashes, width: int) -> list[np.ndarray]:
-    return [np.unique(x) for x in shingles(*hash_words([t.lower().split() for t in texts], cache), width)]
+@cache
+def size_class(i: int, boundary: int, percent: int) -> tuple[int, int, int, int]:
+    """Of the i-th class of sizes: its bounds, the number of parts, and how many of them may be left out if empty.
 
+    With ``spare`` parts more than needed, linked sets have more than ``spare`` parts in common; so a set with no more empty
+    parts than that need not enter its empty parts in lists.
+    """
+    low = boundary
+    for _ in range(i):
+        low = int(low * CLASS_RATIO) + 1
+    high = int(low * CLASS_RATIO) + 1
+    needed = most_different(high, percent) + 1
+    spare = 2 + int(1.5 * needed * exp(-low / needed))
+    return low, high, needed + spare, spare
 
-_COUNTED = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("n", T.DoubleType())])
 
+@cache
+def _cuts(parts: int) -> np.ndarray:
+    return np.array([(1 << 64) * i // parts for i in range(1, parts)], np.uint64)
 
-def survey(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.ndarray, dict[int, int], float]:
-    """Frequent shingles with counts, numbers of small sets by size, and the mean number of sets that hold a shingle.
 
-    Counts are taken over all texts. They are combined in each task and only shingles met several times there leave it.
-    """
+def _sets(texts: list[bytes], hashes: WordHashes, width: int) -> list[np.ndarray]:
+    return [np.unique(x) for x in shingles(*hash_words([t.lower().split() for t in texts], hashes), width)]
 
-    def run(batches):
-        cache, held, size, small = WordHashes(), [], 0, np.zeros(64)
-
-        def flush():
-            kinds, keys, ns = [], [], []
-            if held:
-                values, counts = np.unique(np.concatenate(held), return_counts=True)
-                often = counts >= COUNT_LEAST
-                kinds, keys, ns = [np.zeros(often.sum(), np.int32)], [signed(values[often])], [counts[often].astype(float)]
-                kinds += [np.full(2, 2, np.int32)]
-                keys += [np.arange(2)]
-                ns += [np.array([float((counts.astype(float) ** 2).sum()), float(counts.sum())])]
-            kinds += [np.full(64, 1, np.int32)]
-            keys += [np.arange(64)]
-            ns += [small.copy()]
-            small[:] = 0
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(ns))], names=_COUNTED.names)
 
-        for batch in batches:
-            for _, texts in chunks(batch, "text"):
-                for s in _sets(texts, cache, width):
-                    held.append(s)
-                    size += len(s)
-                    small[min(len(s), 63)] += 1
-                if size > COUNT_BLOCK:
-                    size = 0
-                    yield flush()
-        yield flush()
-
-    source = docs.select(text_or_empty(f"`{text_col}`").alias("text"))
-    counts = source.mapInArrow(run, _COUNTED).groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.col("kind").desc(), F.col("n").desc(), "key").limit(FREQUENT + 66).toArrow()
-    kind, key, n = (rows.column(c).to_numpy() for c in _COUNTED.names)
-    often = kind == 0
-    order = np.argsort(key[often].view(np.uint64))
-    squares = dict(zip(key[kind == 2].tolist(), n[kind == 2].tolist(), strict=True))
-    sizes = {int(k): int(v) for k, v in zip(key[kind == 1], n[kind == 1], strict=True) if 0 < k < 63 and v}
-    return key[often].view(np.uint64)[order], n[often][order], sizes, squares.get(0, 1.0) / max(squares.get(1, 1.0), 1.0)
-
-
-def entries(s: np.ndarray, boundary: int, frequent: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """List entries of one set: keys and the place of each in the set's order (-1 for subsets)."""
+def entries(s: np.ndarray, boundary: int, percent: int) -> np.ndarray:
+    """Keys of the lists that a set (sorted hashes) enters."""
     n = len(s)
-    keys, places = [], []
-    if n and n < 2 * boundary + 8:
-        whole = mix(s)
-        total = whole.sum(dtype=np.uint64)
+    if not n:
+        return np.zeros(0, np.uint64)
+    keys, sums = [], np.zeros(n + 1, np.uint64)
+    whole = mix(s)
+    np.cumsum(whole, out=sums[1:])
+    if -(-percent * n // 100) < boundary:
         for c in subset_sizes(n, boundary, percent):
             gone = n - c
-            sums = np.array([total], np.uint64) if gone == 0 else np.array([total - whole[list(i)].sum(dtype=np.uint64) for i in itertools.combinations(range(n), gone)], np.uint64)
-            keys.append(mix(sums + np.uint64(c * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)))
-            places.append(np.full(len(sums), -1, np.int32))
-    if n >= boundary:
-        weight = np.zeros(n)
-        if len(frequent):
-            at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-            weight = np.where(frequent[at] == s, counts[at], 0.0)
-        p = prefix_length(n, percent)
-        keys.append(s[np.lexsort((mix(s), weight))[:p]])
-        places.append(np.arange(p, dtype=np.int32))
-    return (np.concatenate(keys), np.concatenate(places)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+            left = np.array([sums[n]] if gone == 0 else [sums[n] - whole[list(i)].sum(dtype=np.uint64) for i in itertools.combinations(range(n), gone)], np.uint64)
+            keys.append(mix(left ^ np.uint64(c * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)))
+    i = 0
+    while size_class(i, boundary, percent)[1] <= n:
+        i += 1
+    while n >= boundary and size_class(i, boundary, percent)[0] <= 100 * n // percent:
+        _, _, parts, spare = size_class(i, boundary, percent)
+        keys.append(_part_keys(s, sums, parts, spare, i))
+        i += 1
+    return np.concatenate(keys)
+
+
+def _part_keys(s: np.ndarray, sums: np.ndarray, parts: int, spare: int, i: int) -> np.ndarray:
+    ends = np.concatenate([[0], np.searchsorted(s, _cuts(parts)), [len(s)]])
+    keys = mix((sums[ends[1:]] - sums[ends[:-1]]) ^ mix(np.arange(parts, dtype=np.uint64) + np.uint64((i + 1) << 32)))
+    filled = ends[1:] > ends[:-1]
+    return keys[filled] if parts - filled.sum() <= spare else keys
 
 
-def _profile(s: np.ndarray) -> np.ndarray:
-    """Shingles in each of CELLS cells of the hash, at most 255: their distance bounds the symmetric difference."""
-    return np.minimum(np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).view("<i8")
+def _sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of shingles in 64 SKETCH cells: sketches differ in no more bits than sets in shingles."""
+    odd = np.bincount((mix(s) >> np.uint64(55)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-_ENTRY = T.StructType([T.StructField("key", T.LongType()), T.StructField("place", T.IntegerType())])
-_PROFILE = ["p0", "p1", "p2", "p3"]
+_BITS = [f"p{i}" for i in range(SKETCH)]
 
 
-def set_rows(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, boundary: int, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """Per row: id, row key, digest of its set (null if empty), size, profile and list entries."""
+def set_rows(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, boundary: int) -> DataFrame:
+    """Per row: id, row key, digest of its set (null if empty), size, sketch and keys of lists."""
     source = docs.select(F.col(f"`{id_col}`").alias("id"), *row_key(F.col(f"`{id_col}`"), text_or_empty(f"`{text_col}`")), text_or_empty(f"`{text_col}`").alias("text"))
-    schema = T.StructType([source.schema["id"], *[T.StructField(k, T.LongType()) for k in ("_key1", "_key2")], T.StructField("digest", T.BinaryType()), T.StructField("n", T.LongType()), *[T.StructField(p, T.LongType()) for p in _PROFILE], T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([source.schema["id"], *[T.StructField(k, T.LongType()) for k in ("_key1", "_key2")], T.StructField("digest", T.BinaryType()), T.StructField("n", T.LongType()), *[T.StructField(p, T.LongType()) for p in _BITS], T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(batches):
-        cache = WordHashes()
+        hashes = WordHashes()
         for batch in batches:
             for part, texts in chunks(batch, "text"):
-                sets = _sets(texts, cache, width)
-                found = [entries(s, boundary, frequent, counts, percent) for s in sets]
-                ends = pa.array(np.concatenate([[0], np.cumsum([len(k) for k, _ in found])]).astype(np.int32))
-                profiles = np.stack([_profile(s) for s in sets])
-                keys = pa.ListArray.from_arrays(ends, pa.array(signed(np.concatenate([k for k, _ in found]))))
-                places = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([p for _, p in found])))
+                sets = _sets(texts, hashes, width)
+                found = [entries(s, boundary, percent) for s in sets]
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in found])]).astype(np.int32))
+                bits = np.stack([_sketch(s) for s in sets])
+                keys = pa.ListArray.from_arrays(ends, pa.array(signed(np.concatenate(found))))
                 digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("_key1"), part.column("_key2"), digests, pa.array([len(s) for s in sets], pa.int64()), *[pa.array(np.ascontiguousarray(profiles[:, i])) for i in range(4)], keys, places], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("_key1"), part.column("_key2"), digests, pa.array([len(s) for s in sets], pa.int64()), *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(SKETCH)], keys], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
 def _distance(a: str, b: str):
-    """Of two profiles: the sum over cells of the differences."""
-    total = F.lit(0)
-    for p in _PROFILE:
-        for byte in range(0, 64, 8):
-            x, y = (F.shiftrightunsigned(F.col(f"{side}.{p}"), byte).bitwiseAND(F.lit(255)) for side in (a, b))
-            total = total + F.abs(x - y)
-    return total
+    """Bits in which two sketches differ."""
+    return sum((F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in _BITS), F.lit(0))
 
 
 def _may_link(a: str, b: str, percent: int):
-    """What sizes, places in the order and profiles leave possible; false only where sets cannot link."""
-    na, nb, pa_, pb = (F.col(f"{s}.{c}") for c in ("n", "place") for s in (a, b))
-    least = F.ceil(F.lit(percent) * (na + nb) / F.lit(float(100 + percent)) - F.lit(1e-9)).cast("bigint")
-    sizes = (F.lit(100) * F.least(na, nb) >= F.lit(percent) * F.greatest(na, nb)) & (least <= F.least(na, nb))
-    places = (pa_ < 0) | (pa_ <= na - least) & (pb <= nb - least)
-    return sizes & places & ((pa_ < 0) == (pb < 0)) & (_distance(a, b) <= na + nb - F.lit(2) * least)
+    """What sizes and sketches leave possible; false only where sets cannot link."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    most = F.floor((na + nb) * F.lit(100 - percent) / F.lit(float(100 + percent)) + F.lit(1e-9))
+    return (F.lit(100) * F.least(na, nb) >= F.lit(percent) * F.greatest(na, nb)) & (_distance(a, b) <= most)
 
 
 class _Join:
@@ -200,16 +167,18 @@ class _Join:
 
     def groups(self) -> tuple[DataFrame, DataFrame]:
         """Rows (id, row key, digest, n) and nodes (digest, group, lowest id of the group)."""
-        frequent, counts, sizes, length = survey(self.docs, self.text_col, self.width)
-        boundary = boundary_by_cost(sizes, length, self.percent)
         save = self.scratch.save
-        rows = save(set_rows(self.docs, self.id_col, self.text_col, self.width, self.percent, boundary, frequent, counts), "rows")
-        alike = rows.filter("n > 0").groupBy("digest").agg(F.min("id").alias("low"), F.min(F.struct("_key1", "_key2")).alias("text_of"), *[F.any_value(c).alias(c) for c in ("n", *_PROFILE, "keys", "places")])
+        rows = save(set_rows(self.docs, self.id_col, self.text_col, self.width, self.percent, boundary_by_cost(self.percent)).withColumn("row", F.monotonically_increasing_id()), "rows")
+        alike = rows.filter("n > 0").groupBy("digest").agg(F.min("id").alias("low"), F.min(F.struct("row", "_key1", "_key2")).alias("text_of"), *[F.any_value(c).alias(c) for c in ("n", *_BITS)])
         self.nodes = save(alike.withColumn("node", F.monotonically_increasing_id()), "nodes")
-        posted = self.nodes.select("node", F.explode(F.arrays_zip("keys", "places")).alias("e")).select("node", F.col("e.keys").alias("key"), F.col("e.places").alias("place"))
+        first = self.nodes.select("node", F.col("text_of.row").alias("row"))
+        posted = rows.select("row", "keys").join(first, "row").select("node", F.explode("keys").alias("key"))
+        posted = save(posted, "entries")
         shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").select("key")
-        lists = posted.join(shared, "key").join(self.nodes.select("node", "n", *_PROFILE), "node")
+        shared = save(shared, "shared")  # a table of its own, so that the join's hot keys can be split
+        lists = posted.join(shared, "key").join(self.nodes.select("node", "n", *_BITS), "node")
         self.lists = save(lists, "lists")
+        self.scratch.drop(posted, shared)
         label = self.lists.select("node").distinct().withColumn("label", F.col("node"))
         label = save(label, "labels")
         tried = None
@@ -231,8 +200,8 @@ class _Join:
     def _stars(self, label: DataFrame, r: int, tried: DataFrame | None) -> DataFrame:
         """In each list every node with one node drawn by hash, where they may link; the two best of each node."""
         full = self._labelled(label)
-        drawn = full.groupBy("key").agg(F.min_by(F.struct("node", "label", "n", "place", *_PROFILE), F.xxhash64("node", "key", F.lit(r))).alias("a"))
-        met = full.select("key", F.struct("node", "label", "n", "place", *_PROFILE).alias("b")).join(drawn, "key")
+        drawn = full.groupBy("key").agg(F.min_by(F.struct("node", "label", "n", *_BITS), F.xxhash64("node", "key", F.lit(r))).alias("a"))
+        met = full.select("key", F.struct("node", "label", "n", *_BITS).alias("b")).join(drawn, "key")
         pairs = met.filter((F.col("a.label") != F.col("b.label")) & _may_link("a", "b", self.percent))
         pairs = pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), _distance("a", "b").alias("d")).distinct()
         pairs = self._untried(pairs, tried)
@@ -245,8 +214,8 @@ class _Join:
         full = self.scratch.save(self._labelled(label), "open")
         sizes = full.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_m"))
         largest = sizes.groupBy("key").agg(F.max_by("label", F.struct("_m", "label")).alias("_main"))
-        one = full.select("key", F.struct("node", "label", "n", "place", *_PROFILE).alias("b"))
-        other = full.join(largest, "key").filter(F.col("label") != F.col("_main")).select("key", F.struct("node", "label", "n", "place", *_PROFILE).alias("a"))
+        one = full.select("key", F.struct("node", "label", "n", *_BITS).alias("b"))
+        other = full.join(largest, "key").filter(F.col("label") != F.col("_main")).select("key", F.struct("node", "label", "n", *_BITS).alias("a"))
         pairs = one.join(other, "key").filter((F.col("a.label") != F.col("b.label")) & _may_link("a", "b", self.percent))
         pairs = pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
         return self._untried(pairs, tried)
