@@ -33,7 +33,7 @@ WIDTH, PERCENT = 3, 90
 CLASS_RATIO = 1.5
 #: Most rows of keys that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 300_000
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
 #: 64-bit words of a set's sketch.
 SKETCH = 8
 
@@ -158,6 +158,11 @@ def _may_link(a: str, b: str, percent: int):
     return (F.lit(100) * F.least(na, nb) >= F.lit(percent) * F.greatest(na, nb)) & (_distance(a, b) <= most)
 
 
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    """To be broadcast if it has few rows (of two or three numbers each); else it is shuffled as any table."""
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
 class _Join:
     """State of one run: the tables in the shared folder."""
 
@@ -198,16 +203,15 @@ class _Join:
         return entries_.join(split, "key", "left_semi")
 
     def _stars(self, label: DataFrame, r: int, tried: DataFrame | None) -> DataFrame:
-        """In each list every node with one node drawn by hash, where they may link; the two best of each node."""
+        """In each list every node with one node drawn by hash, where they may link; the best of each node."""
         full = self._labelled(label)
         drawn = full.groupBy("key").agg(F.min_by(F.struct("node", "label", "n", *_BITS), F.xxhash64("node", "key", F.lit(r))).alias("a"))
         met = full.select("key", F.struct("node", "label", "n", *_BITS).alias("b")).join(drawn, "key")
         pairs = met.filter((F.col("a.label") != F.col("b.label")) & _may_link("a", "b", self.percent))
         pairs = pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), _distance("a", "b").alias("d")).distinct()
         pairs = self._untried(pairs, tried)
-        best = pairs.groupBy("b").agg(F.min(F.struct("d", "a")).alias("x"), F.max(F.struct(-F.col("d"), F.col("a"))).alias("y"))
-        both = best.select("b", F.explode(F.array("x.a", "y.a")).alias("a"))
-        return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        best = pairs.groupBy("b").agg(F.min(F.struct("d", "a")).alias("x"))
+        return best.select(F.least("x.a", "b").alias("a"), F.greatest("x.a", "b").alias("b")).distinct()
 
     def _across(self, label: DataFrame, tried: DataFrame | None) -> DataFrame:
         """All pairs of different groups that share a list and may link: all nodes against those outside the list's largest group."""
@@ -230,17 +234,19 @@ class _Join:
         """The text of every node in ``pairs``."""
         used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = self.scratch.save(used.join(self.nodes.select("node", "text_of"), "node").select("node", F.col("text_of._key1").alias("_key1"), F.col("text_of._key2").alias("_key2")), "wanted")
-        if wanted.count() <= BROADCAST_ROWS:
-            wanted = F.broadcast(wanted)
+        n = wanted.count()
+        wanted = _small(wanted, n)
         text = text_or_empty(f"`{self.text_col}`")
         source = self.docs.select(*row_key(F.col(f"`{self.id_col}`"), text), text.alias("text"))
-        return self.scratch.save(source.join(wanted, ["_key1", "_key2"]).select("node", "text").dropDuplicates(["node"]), "texts")
+        texts = self.scratch.save(source.join(wanted, ["_key1", "_key2"]).select("node", "text"), "texts")
+        return texts.dropDuplicates(["node"]) if texts.count() > n else texts  # rows may be repeated
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Pairs with ``linked``, from the words of both texts."""
         texts = self._texts(pairs)
         width, percent = self.width, self.percent
-        both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
+        one = texts.withColumnsRenamed({"node": "a", "text": "text_a"}).join(_small(pairs, pairs.count()), "a")
+        both = one.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
 
         def run(batches):
             last: dict[str, tuple] = {}
