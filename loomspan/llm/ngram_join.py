@@ -35,7 +35,7 @@ CLASS_RATIO = 1.5
 BROADCAST_ROWS = 300_000
 STAR_ROUNDS = 3
 #: 64-bit words of a set's sketch.
-SKETCH = 8
+SKETCH = 16
 
 
 def shared_least(a: int, b: int, percent: int = PERCENT) -> int:
@@ -119,7 +119,7 @@ def _part_keys(s: np.ndarray, sums: np.ndarray, parts: int, spare: int, i: int)
 
 def _sketch(s: np.ndarray) -> np.ndarray:
     """Parities of the numbers of shingles in 64 SKETCH cells: sketches differ in no more bits than sets in shingles."""
-    odd = np.bincount((mix(s) >> np.uint64(55)).astype(np.int64), minlength=64 * SKETCH) & 1
+    odd = np.bincount((mix(s) >> np.uint64(58 - SKETCH.bit_length() + 1)).astype(np.int64), minlength=64 * SKETCH) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
@@ -168,24 +168,23 @@ class _Join:
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int):
         self.docs, self.id_col, self.text_col, self.width, self.percent = docs, id_col, text_col, width, percent
-        self.scratch = Scratch(docs.sparkSession, "jaccard")
+        self.scratch, self.done = Scratch(docs.sparkSession, "jaccard"), []
 
     def groups(self) -> tuple[DataFrame, DataFrame]:
         """Rows (id, row key, digest, n) and nodes (digest, group, lowest id of the group)."""
-        save = self.scratch.save
-        rows = save(set_rows(self.docs, self.id_col, self.text_col, self.width, self.percent, boundary_by_cost(self.percent)).withColumn("row", F.monotonically_increasing_id()), "rows")
-        alike = rows.filter("n > 0").groupBy("digest").agg(F.min("id").alias("low"), F.min(F.struct("row", "_key1", "_key2")).alias("text_of"), *[F.any_value(c).alias(c) for c in ("n", *_BITS)])
+        save, drop = self.scratch.save, self.scratch.drop
+        sets = save(set_rows(self.docs, self.id_col, self.text_col, self.width, self.percent, boundary_by_cost(self.percent)).withColumn("row", F.monotonically_increasing_id()), "sets")
+        rows = save(sets.select("id", "_key1", "_key2", "digest", "n"), "rows")
+        alike = sets.filter("n > 0").groupBy("digest").agg(F.min("id").alias("low"), F.min(F.struct("row", "_key1", "_key2")).alias("text_of"), *[F.any_value(c).alias(c) for c in ("n", *_BITS)])
         self.nodes = save(alike.withColumn("node", F.monotonically_increasing_id()), "nodes")
         first = self.nodes.select("node", F.col("text_of.row").alias("row"))
-        posted = rows.select("row", "keys").join(first, "row").select("node", F.explode("keys").alias("key"))
-        posted = save(posted, "entries")
+        posted = save(sets.select("row", "keys").join(first, "row").select("node", F.explode("keys").alias("key")), "entries")
+        drop(sets)
         shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").select("key")
         shared = save(shared, "shared")  # a table of its own, so that the join's hot keys can be split
-        lists = posted.join(shared, "key").join(self.nodes.select("node", "n", *_BITS), "node")
-        self.lists = save(lists, "lists")
-        self.scratch.drop(posted, shared)
-        label = self.lists.select("node").distinct().withColumn("label", F.col("node"))
-        label = save(label, "labels")
+        self.lists = save(posted.join(shared, "key"), "lists")
+        drop(posted, shared)
+        label = save(self.lists.select("node").distinct().withColumn("label", F.col("node")), "labels")
         tried = None
         for r in range(STAR_ROUNDS):
             pairs = save(self._stars(label, r, tried), "stars")
@@ -194,30 +193,36 @@ class _Join:
         label, _ = self._merge(label, pairs, tried)
         named = self.nodes.select("digest", "node", "low").join(label, "node", "left").withColumn("group", F.coalesce("label", "node"))
         lowest = named.groupBy("group").agg(F.min("low").alias("lowest"))
-        return rows.select("id", "_key1", "_key2", "digest", "n"), named.select("digest", "group").join(lowest, "group")
+        named = save(named.select("digest", "group").join(lowest, "group"), "named")
+        drop(self.lists, self.nodes, label, *self.done)
+        return rows, named
 
     def _labelled(self, label: DataFrame) -> DataFrame:
-        """Entries of lists that still hold more than one group."""
-        entries_ = self.lists.join(label, "node")
-        split = entries_.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).filter("_a != _b").select("key")
-        return entries_.join(split, "key", "left_semi")
+        """Entries of lists that hold more than one group, with their node's label."""
+        full = self.lists.join(label, "node")
+        split = full.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).filter("_a != _b").select("key")
+        return full.join(split, "key", "left_semi")
 
     def _stars(self, label: DataFrame, r: int, tried: DataFrame | None) -> DataFrame:
-        """In each list every node with one node drawn by hash, where they may link; the best of each node."""
-        full = self._labelled(label)
-        drawn = full.groupBy("key").agg(F.min_by(F.struct("node", "label", "n", *_BITS), F.xxhash64("node", "key", F.lit(r))).alias("a"))
-        met = full.select("key", F.struct("node", "label", "n", *_BITS).alias("b")).join(drawn, "key")
-        pairs = met.filter((F.col("a.label") != F.col("b.label")) & _may_link("a", "b", self.percent))
-        pairs = pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), _distance("a", "b").alias("d")).distinct()
-        pairs = self._untried(pairs, tried)
-        best = pairs.groupBy("b").agg(F.min(F.struct("d", "a")).alias("x"))
-        return best.select(F.least("x.a", "b").alias("a"), F.greatest("x.a", "b").alias("b")).distinct()
+        """In each list every node with one node drawn by hash; of these, the one with which it shares most lists."""
+        full = self._labelled(label) if r else self.lists.withColumn("label", F.col("node"))
+        drawn = full.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), "node", "label")).alias("a"))
+        met = full.join(drawn, "key").filter(F.col("a.label") != F.col("label"))
+        met = met.groupBy(F.col("a.node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("_m"))
+        best = self._untried(met, tried).groupBy("b").agg(F.max(F.struct("_m", "a")).alias("x"))
+        pairs = best.select(F.least("x.a", "b").alias("a"), F.greatest("x.a", "b").alias("b")).distinct()
+        for side in ("a", "b"):
+            known = self.nodes.select(F.col("node").alias(side), F.struct("n", *_BITS).alias(f"s{side}"))
+            pairs = pairs.join(known, side)
+        return pairs.filter(_may_link("sa", "sb", self.percent)).select("a", "b")
 
     def _across(self, label: DataFrame, tried: DataFrame | None) -> DataFrame:
         """All pairs of different groups that share a list and may link: all nodes against those outside the list's largest group."""
-        full = self.scratch.save(self._labelled(label), "open")
+        full = self.scratch.save(self._labelled(label).join(self.nodes.select("node", "n", *_BITS), "node"), "open")
+        self.done.append(full)
         sizes = full.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_m"))
-        largest = sizes.groupBy("key").agg(F.max_by("label", F.struct("_m", "label")).alias("_main"))
+        largest = self.scratch.save(sizes.groupBy("key").agg(F.max_by("label", F.struct("_m", "label")).alias("_main")), "largest")
+        self.done.append(largest)
         one = full.select("key", F.struct("node", "label", "n", *_BITS).alias("b"))
         other = full.join(largest, "key").filter(F.col("label") != F.col("_main")).select("key", F.struct("node", "label", "n", *_BITS).alias("a"))
         pairs = one.join(other, "key").filter((F.col("a.label") != F.col("b.label")) & _may_link("a", "b", self.percent))
@@ -238,7 +243,7 @@ class _Join:
         wanted = _small(wanted, n)
         text = text_or_empty(f"`{self.text_col}`")
         source = self.docs.select(*row_key(F.col(f"`{self.id_col}`"), text), text.alias("text"))
-        texts = self.scratch.save(source.join(wanted, ["_key1", "_key2"]).select("node", "text"), "texts")
+        texts = self.texts = self.scratch.save(source.join(wanted, ["_key1", "_key2"]).select("node", "text"), "texts")
         return texts.dropDuplicates(["node"]) if texts.count() > n else texts  # rows may be repeated
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
@@ -276,7 +281,10 @@ class _Join:
         edges = linked.join(at, F.col("a") == F.col("_n")).select(F.col("_l").alias("x"), "b").join(at, F.col("b") == F.col("_n")).select("x", F.col("_l").alias("y")).filter("x != y").distinct()
         renamed = components(edges, self.scratch)
         new = label.join(renamed, label["label"] == renamed["v"], "left").select("node", F.coalesce("c", "label").alias("label"))
-        return self.scratch.save(new, "labels"), done if tried is None else tried.unionByName(done)
+        new = self.scratch.save(new, "labels")
+        self.done += [done, pairs]
+        self.scratch.drop(label, renamed, self.texts)
+        return new, done if tried is None else tried.unionByName(done)
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -287,13 +295,15 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     both = scratch.save(edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
     state = scratch.save(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("c")).select(F.col("x").alias("v"), "c"), "components")
     while True:
-        near = both.join(state, both["y"] == state["v"]).groupBy("x").agg(F.min("c").alias("m"))
-        lower = state.join(near, state["v"] == near["x"]).select("v", F.col("c").alias("was"), F.least("c", "m").alias("c"))
-        jump = state.select(F.col("v").alias("_v"), F.col("c").alias("_c"))
+        now = state.select("v", "c")
+        near = both.join(now, both["y"] == now["v"]).groupBy("x").agg(F.min("c").alias("m"))
+        lower = now.join(near, now["v"] == near["x"]).select("v", F.col("c").alias("was"), F.least("c", "m").alias("c"))
+        jump = now.select(F.col("v").alias("_v"), F.col("c").alias("_c"))
         new = scratch.save(lower.join(jump, lower["c"] == jump["_v"]).select("v", "was", F.least("c", "_c").alias("c")), "components")
-        moved = not new.filter("c != was").isEmpty()
-        state = new.select("v", "c")
-        if not moved:
+        scratch.drop(state)
+        state = new
+        if new.filter("c != was").isEmpty():
+            scratch.drop(both)
             return state
 
 

@@ -6,6 +6,7 @@ exactly what ``bytes.split()`` does, and ``bytes.lower()`` lower-cases exactly A
 
 from __future__ import annotations
 
+import gc
 import itertools
 import tempfile
 import uuid
@@ -58,7 +59,9 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Remove tables that no later result reads."""
+        """Remove tables that no later result reads, and let Spark remove the shuffle files of steps that are over."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for t in tables:
