@@ -36,7 +36,7 @@ def strip_markup(text: Column) -> Column:
 
 def join_nonblank(texts: Column, separator: str = " ") -> Column:
     """Trimmed parts joined, blank ones left out."""
-    return F.array_join(F.filter(F.transform(texts, F.trim), lambda x: F.length(x) > 0), separator)
+    return F.array_join(F.filter(F.transform(texts, lambda x: F.trim(x)), lambda x: F.length(x) > 0), separator)
 
 
 def strip_punctuation(word: Column) -> Column:

@@ -57,10 +57,10 @@ def tau_delta(rows: DataFrame, drawn: DataFrame, group: str, doc: str, gold: str
 
     Groups with two rows or fewer, or without variance, are left out of a resample.
     """
-    full = rows.select(group, doc, gold, a, b).join(drawn, doc)
+    full = rows.select(group, doc, F.col(gold).alias("_gold"), F.col(a).alias("_one"), F.col(b).alias("_two")).join(drawn, doc)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        g, x, y, w = (table.column(c).to_numpy() for c in (gold, a, b, "times"))
+        g, x, y, w = (table.column(c).to_numpy() for c in ("_gold", "_one", "_two", "times"))
         one, two = (tau_b(g, v, w) for v in (x, y))
         ok = int(w.sum()) > 2 and one is not None and two is not None
         return pa.table({"b": pa.array([key[0].as_py()], pa.int64()), "delta": pa.array([one - two if ok else None], pa.float64())})

@@ -132,7 +132,7 @@ def negate(text: str, lang: str, lexicon: Lexicon) -> str | None:
     for a, b in lexicon.pairs:
         first = without(text, a)
         if first and (second := without(first, b)):
-            return second.strip()
+            return re.sub(r" +([,.;:!?])", r"\1", second).strip()
     for p in lexicon.particles:
         if out := without(text, p):
             return re.sub(r" +([,.;:!?])", r"\1", out).strip()

@@ -28,7 +28,7 @@ def slide(segments: DataFrame, group: list[str], seg: str, w: int, texts: list[s
     whole = Window.partitionBy(*group)
     rows = segments.withColumns({"_at": F.row_number().over(order) - 1, "_n": F.count(F.lit(1)).over(whole), **{f"_{t}": F.collect_list(t).over(frame) for t in texts}, **({"_score": F.avg(score).over(frame)} if score else {})})
     kept = rows.filter(F.col("_at") <= F.greatest(F.col("_n") - w, F.lit(0)))
-    return kept.select(*group, F.col("_at").cast("int").alias("start"), F.least(F.col("_n"), F.lit(w)).cast("int").alias("size"), *[F.array_join(F.filter(F.transform(f"_{t}", F.trim), lambda x: F.length(x) > 0), " ").alias(t) for t in texts], *([F.col("_score").alias(score)] if score else []))
+    return kept.select(*group, F.col("_at").cast("int").alias("start"), F.least(F.col("_n"), F.lit(w)).cast("int").alias("size"), *[F.array_join(F.filter(F.transform(f"_{t}", lambda x: F.trim(x)), lambda x: F.length(x) > 0), " ").alias(t) for t in texts], *([F.col("_score").alias(score)] if score else []))
 
 
 def document_means(windows_: DataFrame, group: list[str], scores: list[str]) -> DataFrame:

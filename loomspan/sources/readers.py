@@ -32,7 +32,7 @@ def need(spark: SparkSession, path: str, made_by: str) -> None:
 
 def read_lines(spark: SparkSession, path: str, lang: str, split: str) -> DataFrame:
     """One sentence per line, ``row`` from 0. Each file is read whole, as line numbers need it."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     lines = F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n", -1)
     return text.select(F.lit(split).alias("split"), F.posexplode(lines).alias("row", "text")).withColumn("lang", F.lit(lang))
 
@@ -52,7 +52,7 @@ def aligned_lines(spark: SparkSession, files: dict[str, str], split: str, urls:
     own = F.concat_ws(":", F.lit(split), F.col("row").cast("string"))
     if urls is None:
         return rows.withColumn("url", own)
-    named = read_lines(spark, urls, "", split).filter("row > 0").select((F.col("row") - 1).alias("row"), F.split("text", "\t").getItem(0).alias("url"))
+    named = read_lines(spark, urls, "", split).filter("row > 0").select((F.col("row") - F.lit(1)).alias("row"), F.split("text", "\t").getItem(0).alias("url"))
     if named.count() < sizes["a"]:
         return rows.withColumn("url", own)
     return rows.join(named, "row")
@@ -175,7 +175,7 @@ def eval_portion(rows: DataFrame, name: str) -> DataFrame:
 
 def table_counts(lines: DataFrame, categories: list[str]) -> DataFrame:
     """Counts of a Markdown table whose first cell is a known category; marks are stripped, what is no number is 0."""
-    cells = F.transform(F.split(F.btrim("value", F.lit("| ")), r"\|"), F.trim)
+    cells = F.transform(F.split(F.btrim("value", F.lit("| ")), r"\|"), lambda x: F.trim(x))
     name = F.lower(F.regexp_replace(F.get(cells, F.lit(0)), r"[*]", ""))
     n = F.coalesce(F.regexp_replace(F.get(cells, F.lit(1)), r"[,*]", "").try_cast("bigint"), F.lit(0))
     return lines.filter(F.col("value").startswith("|")).select(name.alias("category"), n.alias("n")).filter(F.col("category").isin(*categories))
