@@ -21,7 +21,7 @@ from math import comb, exp
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +33,7 @@ WIDTH, PERCENT = 3, 90
 CLASS_RATIO = 1.5
 #: Most rows of keys that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 300_000
-STAR_ROUNDS = 3
+STAR_ROUNDS, STAR_PICKS = 5, 4
 #: 64-bit words of a set's sketch.
 SKETCH = 16
 
@@ -98,7 +98,7 @@ def entries(s: np.ndarray, boundary: int, percent: int) -> np.ndarray:
     if -(-percent * n // 100) < boundary:
         for c in subset_sizes(n, boundary, percent):
             gone = n - c
-            left = np.array([sums[n]] if gone == 0 else [sums[n] - whole[list(i)].sum(dtype=np.uint64) for i in itertools.combinations(range(n), gone)], np.uint64)
+            left = sums[n:] - (np.zeros(1, np.uint64) if gone == 0 else np.array([whole[list(i)].sum(dtype=np.uint64) for i in itertools.combinations(range(n), gone)], np.uint64))
             keys.append(mix(left ^ np.uint64(c * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)))
     i = 0
     while size_class(i, boundary, percent)[1] <= n:
@@ -188,9 +188,12 @@ class _Join:
         tried = None
         for r in range(STAR_ROUNDS):
             pairs = save(self._stars(label, r, tried), "stars")
+            if pairs.isEmpty():
+                break
+            label, tried = self._merge(label, pairs, tried)
+        for nearest in (True, True, False):
+            pairs = save(self._across(label, tried, nearest), "across")
             label, tried = self._merge(label, pairs, tried)
-        pairs = save(self._across(label, tried), "across")
-        label, _ = self._merge(label, pairs, tried)
         named = self.nodes.select("digest", "node", "low").join(label, "node", "left").withColumn("group", F.coalesce("label", "node"))
         lowest = named.groupBy("group").agg(F.min("low").alias("lowest"))
         named = save(named.select("digest", "group").join(lowest, "group"), "named")
@@ -204,20 +207,24 @@ class _Join:
         return full.join(split, "key", "left_semi")
 
     def _stars(self, label: DataFrame, r: int, tried: DataFrame | None) -> DataFrame:
-        """In each list every node with one node drawn by hash; of these, the one with which it shares most lists."""
+        """In each list every node with one node drawn by hash; of the STAR_PICKS of these with which it shares most lists, the nearest."""
         full = self._labelled(label) if r else self.lists.withColumn("label", F.col("node"))
         drawn = full.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), "node", "label")).alias("a"))
         met = full.join(drawn, "key").filter(F.col("a.label") != F.col("label"))
         met = met.groupBy(F.col("a.node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("_m"))
-        best = self._untried(met, tried).groupBy("b").agg(F.max(F.struct("_m", "a")).alias("x"))
-        pairs = best.select(F.least("x.a", "b").alias("a"), F.greatest("x.a", "b").alias("b")).distinct()
+        turn = F.row_number().over(Window.partitionBy("b").orderBy(F.col("_m").desc(), "a"))
+        pairs = self._untried(met, tried).withColumn("_t", turn).filter(F.col("_t") <= STAR_PICKS).select("a", "b")
         for side in ("a", "b"):
             known = self.nodes.select(F.col("node").alias(side), F.struct("n", *_BITS).alias(f"s{side}"))
             pairs = pairs.join(known, side)
-        return pairs.filter(_may_link("sa", "sb", self.percent)).select("a", "b")
+        near = pairs.filter(_may_link("sa", "sb", self.percent)).groupBy("b").agg(F.min_by("a", F.struct(_distance("sa", "sb").alias("d"), "a")).alias("a"))
+        return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def _across(self, label: DataFrame, tried: DataFrame | None, nearest: bool) -> DataFrame:
+        """Pairs of different groups that share a list and may link: all nodes against those outside the list's largest group.
 
-    def _across(self, label: DataFrame, tried: DataFrame | None) -> DataFrame:
-        """All pairs of different groups that share a list and may link: all nodes against those outside the list's largest group."""
+        With ``nearest`` only the nearest untried one for each node and other group, which mostly joins them.
+        """
         full = self.scratch.save(self._labelled(label).join(self.nodes.select("node", "n", *_BITS), "node"), "open")
         self.done.append(full)
         sizes = full.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_m"))
@@ -226,6 +233,10 @@ class _Join:
         one = full.select("key", F.struct("node", "label", "n", *_BITS).alias("b"))
         other = full.join(largest, "key").filter(F.col("label") != F.col("_main")).select("key", F.struct("node", "label", "n", *_BITS).alias("a"))
         pairs = one.join(other, "key").filter((F.col("a.label") != F.col("b.label")) & _may_link("a", "b", self.percent))
+        if nearest:
+            met = pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("b.label").alias("l"), _distance("a", "b").alias("d"))
+            pairs = self._untried(met, tried).groupBy("a", "l").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
+            return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
         return self._untried(pairs, tried)
 
