@@ -33,7 +33,7 @@ WIDTH, PERCENT = 3, 90
 CLASS_RATIO = 1.5
 #: Most rows of keys that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 300_000
-STAR_ROUNDS, STAR_PICKS = 5, 4
+STAR_ROUNDS, STAR_PICKS = 3, 4
 #: 64-bit words of a set's sketch.
 SKETCH = 16
 
@@ -87,12 +87,12 @@ def _sets(texts: list[bytes], hashes: WordHashes, width: int) -> list[np.ndarray
     return [np.unique(x) for x in shingles(*hash_words([t.lower().split() for t in texts], hashes), width)]
 
 
-def entries(s: np.ndarray, boundary: int, percent: int) -> np.ndarray:
-    """Keys of the lists that a set (sorted hashes) enters."""
+def entries(s: np.ndarray, boundary: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the lists that a set (sorted hashes) enters, and with each how many such lists a linked set has to share."""
     n = len(s)
     if not n:
-        return np.zeros(0, np.uint64)
-    keys, sums = [], np.zeros(n + 1, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    keys, needs, sums = [], [], np.zeros(n + 1, np.uint64)
     whole = mix(s)
     np.cumsum(whole, out=sums[1:])
     if -(-percent * n // 100) < boundary:
@@ -100,21 +100,28 @@ def entries(s: np.ndarray, boundary: int, percent: int) -> np.ndarray:
             gone = n - c
             left = sums[n:] - (np.zeros(1, np.uint64) if gone == 0 else np.array([whole[list(i)].sum(dtype=np.uint64) for i in itertools.combinations(range(n), gone)], np.uint64))
             keys.append(mix(left ^ np.uint64(c * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)))
-    i = 0
+            needs.append(np.ones(len(left), np.int32))
+    i, largest = 0, 100 * n // percent
     while size_class(i, boundary, percent)[1] <= n:
         i += 1
-    while n >= boundary and size_class(i, boundary, percent)[0] <= 100 * n // percent:
-        _, _, parts, spare = size_class(i, boundary, percent)
-        keys.append(_part_keys(s, sums, parts, spare, i))
+    while n >= boundary and size_class(i, boundary, percent)[0] <= largest:
+        _, high, parts, spare = size_class(i, boundary, percent)
+        own, empty = _part_keys(s, sums, parts, spare, i)
+        partner = min(largest, high - 1)
+        need = parts - (n + partner) * (100 - percent) // (100 + percent) - min(empty, spare)
+        keys.append(own)
+        needs.append(np.full(len(own), max(need, 1), np.int32))
         i += 1
-    return np.concatenate(keys)
+    return (np.concatenate(keys), np.concatenate(needs)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
 
 
-def _part_keys(s: np.ndarray, sums: np.ndarray, parts: int, spare: int, i: int) -> np.ndarray:
+def _part_keys(s: np.ndarray, sums: np.ndarray, parts: int, spare: int, i: int) -> tuple[np.ndarray, int]:
+    """Keys of the parts, without the empty ones if they are few; and how many are empty."""
     ends = np.concatenate([[0], np.searchsorted(s, _cuts(parts)), [len(s)]])
     keys = mix((sums[ends[1:]] - sums[ends[:-1]]) ^ mix(np.arange(parts, dtype=np.uint64) + np.uint64((i + 1) << 32)))
     filled = ends[1:] > ends[:-1]
-    return keys[filled] if parts - filled.sum() <= spare else keys
+    empty = int(parts - filled.sum())
+    return keys[filled] if empty <= spare else keys, empty
 
 
 def _sketch(s: np.ndarray) -> np.ndarray:
@@ -129,7 +136,7 @@ _BITS = [f"p{i}" for i in range(SKETCH)]
 def set_rows(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, boundary: int) -> DataFrame:
     """Per row: id, row key, digest of its set (null if empty), size, sketch and keys of lists."""
     source = docs.select(F.col(f"`{id_col}`").alias("id"), *row_key(F.col(f"`{id_col}`"), text_or_empty(f"`{text_col}`")), text_or_empty(f"`{text_col}`").alias("text"))
-    schema = T.StructType([source.schema["id"], *[T.StructField(k, T.LongType()) for k in ("_key1", "_key2")], T.StructField("digest", T.BinaryType()), T.StructField("n", T.LongType()), *[T.StructField(p, T.LongType()) for p in _BITS], T.StructField("keys", T.ArrayType(T.LongType()))])
+    schema = T.StructType([source.schema["id"], *[T.StructField(k, T.LongType()) for k in ("_key1", "_key2")], T.StructField("digest", T.BinaryType()), T.StructField("n", T.LongType()), *[T.StructField(p, T.LongType()) for p in _BITS], T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("needs", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         hashes = WordHashes()
@@ -137,11 +144,12 @@ def set_rows(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
             for part, texts in chunks(batch, "text"):
                 sets = _sets(texts, hashes, width)
                 found = [entries(s, boundary, percent) for s in sets]
-                ends = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in found])]).astype(np.int32))
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(k) for k, _ in found])]).astype(np.int32))
                 bits = np.stack([_sketch(s) for s in sets])
-                keys = pa.ListArray.from_arrays(ends, pa.array(signed(np.concatenate(found))))
+                keys = pa.ListArray.from_arrays(ends, pa.array(signed(np.concatenate([k for k, _ in found]))))
+                needs = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x for _, x in found])))
                 digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("_key1"), part.column("_key2"), digests, pa.array([len(s) for s in sets], pa.int64()), *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(SKETCH)], keys], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("_key1"), part.column("_key2"), digests, pa.array([len(s) for s in sets], pa.int64()), *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(SKETCH)], keys, needs], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
@@ -178,11 +186,14 @@ class _Join:
         alike = sets.filter("n > 0").groupBy("digest").agg(F.min("id").alias("low"), F.min(F.struct("row", "_key1", "_key2")).alias("text_of"), *[F.any_value(c).alias(c) for c in ("n", *_BITS)])
         self.nodes = save(alike.withColumn("node", F.monotonically_increasing_id()), "nodes")
         first = self.nodes.select("node", F.col("text_of.row").alias("row"))
-        posted = save(sets.select("row", "keys").join(first, "row").select("node", F.explode("keys").alias("key")), "entries")
+        posted = save(sets.select("row", F.arrays_zip("keys", "needs").alias("e")).join(first, "row").select("node", F.explode("e").alias("e")).select("node", F.col("e.keys").alias("key"), F.col("e.needs").alias("need")), "entries")
         drop(sets)
-        shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").select("key")
+        shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1")
         shared = save(shared, "shared")  # a table of its own, so that the join's hot keys can be split
-        self.lists = save(posted.join(shared, "key"), "lists")
+        # Linked sets share at least ``need`` lists. Of those of a set the need - 1 fullest can be left: the emptiest shared one stays in both.
+        fullest = F.row_number().over(Window.partitionBy("node", "need").orderBy(F.col("_m").desc(), "key"))
+        kept = posted.join(shared, "key").withColumn("_at", fullest).filter(F.col("_at") >= F.col("need"))
+        self.lists = save(kept.select("key", "node"), "lists")
         drop(posted, shared)
         label = save(self.lists.select("node").distinct().withColumn("label", F.col("node")), "labels")
         tried = None
