@@ -23,7 +23,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 def domain_of(source):
     """Sources ending in a number are dealt over the four domains by it; others are web."""
     n = F.regexp_extract(source, "([0-9]{1,9})$", 1).try_cast("bigint")
-    return F.coalesce(F.element_at(F.array(*map(F.lit, _DOMAINS)), (F.pmod(n, F.lit(4)) + 1).cast("int")), F.lit("web"))
+    out = F.lit("web")
+    for i, name in enumerate(_DOMAINS):
+        out = F.when(F.pmod(n, F.lit(len(_DOMAINS))) == i, F.lit(name)).otherwise(out)
+    return out
 
 
 def _weight(column, weights: dict[str, int]):
