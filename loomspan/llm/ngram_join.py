@@ -182,19 +182,20 @@ class _Join:
         """Rows (id, row key, digest, n) and nodes (digest, group, lowest id of the group)."""
         save, drop = self.scratch.save, self.scratch.drop
         sets = save(set_rows(self.docs, self.id_col, self.text_col, self.width, self.percent, boundary_by_cost(self.percent)).withColumn("row", F.monotonically_increasing_id()), "sets")
-        rows = save(sets.select("id", "_key1", "_key2", "digest", "n"), "rows")
+        rows = save(sets.select("row", "id", "_key1", "_key2", "digest", "n"), "rows")
         alike = sets.filter("n > 0").groupBy("digest").agg(F.min("id").alias("low"), F.min(F.struct("row", "_key1", "_key2")).alias("text_of"), *[F.any_value(c).alias(c) for c in ("n", *_BITS)])
-        self.nodes = save(alike.withColumn("node", F.monotonically_increasing_id()), "nodes")
-        first = self.nodes.select("node", F.col("text_of.row").alias("row"))
-        posted = save(sets.select("row", F.arrays_zip("keys", "needs").alias("e")).join(first, "row").select("node", F.explode("e").alias("e")).select("node", F.col("e.keys").alias("key"), F.col("e.needs").alias("need")), "entries")
-        drop(sets)
+        self.nodes = save(alike.withColumn("node", F.col("text_of.row")), "nodes")
+        copies = save(rows.join(self.nodes.select("digest", "node"), "digest").filter("row != node").select("row"), "copies")
+        first = sets.join(_small(copies, copies.count()), "row", "left_anti")
+        posted = first.select(F.col("row").alias("node"), F.explode(F.arrays_zip("keys", "needs")).alias("e")).select("node", F.col("e.keys").alias("key"), F.col("e.needs").alias("need"))
         shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1")
         shared = save(shared, "shared")  # a table of its own, so that the join's hot keys can be split
+        drop()
         # Linked sets share at least ``need`` lists. Of those of a set the need - 1 fullest can be left: the emptiest shared one stays in both.
         fullest = F.row_number().over(Window.partitionBy("node", "need").orderBy(F.col("_m").desc(), "key"))
         kept = posted.join(shared, "key").withColumn("_at", fullest).filter(F.col("_at") >= F.col("need"))
         self.lists = save(kept.select("key", "node"), "lists")
-        drop(posted, shared)
+        drop(sets, shared, copies)
         label = save(self.lists.select("node").distinct().withColumn("label", F.col("node")), "labels")
         tried = None
         for r in range(STAR_ROUNDS):
