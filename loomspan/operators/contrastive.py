@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 
 from .windows import slide
 
+# Kinds of perturbation, those that keep the quality (their accuracy is a false-positive rate), and sparse ones.
+STRUCTURAL = ("sentence_removal", "sentence_repetition", "sentence_shuffling", "sentence_splitting")
+LEXICAL = ("conjunction_substitution", "tense_consistency", "lexical_consistency", "pronoun_swap_singular", "pronoun_swap_plural")
+QUALITY_PRESERVING = ("sentence_splitting",)
+SPARSE = ("pronoun_swap_singular", "pronoun_swap_plural")
+
 
 def accuracy(diffs: DataFrame, group: list[str], diff: str = "diff") -> DataFrame:
     """n, share above 0, ties, mean, and the t statistic of a one-sample test (null if n < 2 or no spread)."""
@@ -69,3 +75,19 @@ def document_diffs(segments: DataFrame, group: list[str], seg: str, w: int, orig
     """Per document the mean score of its windows, original minus perturbed; scores are per segment, a window's their mean."""
     scored = segments.withColumn("_d", F.col(original) - F.col(perturbed))
     return slide(scored, group, seg, w, [], "_d").groupBy(*group).agg(F.avg("_d").alias("diff"), F.count(F.lit(1)).alias("n_windows"))
+
+
+def with_meaning(cells: DataFrame, kind: str = "perturbation") -> DataFrame:
+    """Adds ``family`` and ``false_positive_rate``: accuracy on a perturbation that keeps the quality is the latter."""
+    k = F.col(kind)
+    return cells.withColumns({"family": F.when(k.isin(*STRUCTURAL), "structural").when(k.isin(*LEXICAL), "lexical"), "false_positive_rate": F.when(k.isin(*QUALITY_PRESERVING), F.col("accuracy"))})
+
+
+def lexical_mean(cells: DataFrame, by: list[str], kind: str = "perturbation", value: str = "accuracy") -> DataFrame:
+    """Mean accuracy over the lexical kinds that are not sparse."""
+    return cells.filter(F.col(kind).isin(*[x for x in LEXICAL if x not in SPARSE])).groupBy(*by).agg(F.avg(value).alias(value))
+
+
+def unique_triples(units: DataFrame, columns: list[str]) -> DataFrame:
+    """Texts to score, each once, whatever the number of units that need it."""
+    return units.select(*columns).dropDuplicates()

@@ -65,6 +65,18 @@ def shortlists(own: DataFrame, group: list[str], size: int) -> DataFrame:
     return per.groupBy(*group).agg(F.avg(F.when(full, (F.col("gold") > F.col("_max")).cast("double"))).alias("accuracy"), F.avg(F.when(full, 1 + F.col("_above"))).alias("mean_rank"), F.avg(F.when(full, F.col("_beaten"))).alias("beaten"), F.count_if(full).alias("n_lists"), F.count(F.lit(1)).alias("n_blocks"), F.avg(full.cast("double")).alias("coverage"))
 
 
-def sampled(n, *key):
-    """Re-exported for callers that draw one negative per block."""
-    return draw(n, *key)
+def reconstructed_rank(d, pairwise):
+    """Mean rank among d negatives from the pairwise win rate: 1 + d (1 - p)."""
+    return 1 + d * (1 - pairwise)
+
+
+def one_negative(negatives: DataFrame, group: list[str], seed: int) -> DataFrame:
+    """One negative of each block, drawn by hash."""
+    w = Window.partitionBy(*group, "block_id")
+    ranked = negatives.withColumns({"_r": F.row_number().over(w.orderBy("pool_idx")) - 1, "_n": F.count(F.lit(1)).over(w)})
+    return ranked.filter(F.col("_r") == draw(F.col("_n"), seed, F.col("block_id"))).drop("_r", "_n")
+
+
+def pooled_coverage(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Lists over blocks, summed over languages first: not a mean of ratios."""
+    return cells.groupBy(*by).agg(F.sum("n_lists").alias("n_lists"), F.sum("n_blocks").alias("n_blocks")).withColumn("coverage", F.col("n_lists") / F.col("n_blocks"))

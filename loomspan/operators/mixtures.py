@@ -14,15 +14,23 @@ TOTAL_CAP = 24_000
 
 @dataclass(frozen=True)
 class Mix:
-    """``kind`` mix: a share of sentences, the rest half windows and half documents; nat or agg: one long pool only."""
+    """``kind`` mix: a share of sentences, the rest half windows and half documents; nat or agg: one long pool only;
+    uncontrolled: everything, evaluation portions included (see :func:`contaminated`)."""
 
     name: str
     kind: str = "mix"
     percent: int = 0
 
 
-#: The ladder of sentence shares and the two pure mixes.
-MIXES = (*(Mix(f"frac{p:03d}", "mix", p) for p in (0, 20, 40, 50, 60, 80, 100)), Mix("nat", "nat"), Mix("agg", "agg"))
+# The ladder of sentence shares in hundredths, the pure mixes, and the training presets.
+LADDER = (0, 10, 20, 40, 60, 80, 100)
+MIXES = (*(Mix(f"frac{p:03d}", "mix", p) for p in LADDER), Mix("frac000nat", "nat"), Mix("frac000agg", "agg"))
+CONTAMINATED = Mix("uncontrolled", "uncontrolled")
+PRESETS = {
+    "default": {"max_epochs": 60, "patience": 10},
+    "wave1": {"max_epochs": 6, "patience": 3},
+    "uncontrolled": {"max_epochs": 60, "patience": 1000, "encoder_lr": 5e-6, "head_lr": 1e-4, "nr_frozen_epochs": 0, "val_files_from_mix": True},
+}
 
 
 def half_even(x: float) -> int:

@@ -127,3 +127,23 @@ def unit_vectors(spark, sf_dir):
     _, c = pool(spark, sf_dir)
     v = F.transform("vector", lambda x: x.cast("double"))
     return rounded(c.select("pool_idx", F.sqrt(numeric.dot(v, v)).alias("norm"), numeric.cosine(F.col("vector"), F.col("vector")).alias("self")), "norm", "self")
+
+
+@query("pooled_coverage", f"WITH {OWN}, b AS (SELECT block_id, count(*) AS m FROM own GROUP BY block_id) SELECT count(*) FILTER (WHERE m >= 2) AS n_lists, count(*) AS n_blocks, {r6('count(*) FILTER (WHERE m >= 2) / count(*)')} AS coverage FROM b")
+def pooled_coverage(spark, sf_dir):
+    cells = duel.shortlists(_own(spark, sf_dir), _G, 3).withColumn("all", F.lit(1))
+    return rounded(duel.pooled_coverage(cells, ["all"]).drop("all"), "coverage")
+
+
+@query("reconstructed_rank", f"WITH {OWN} SELECT lang, {r6('1 + 3 * (1 - avg(w / m::DOUBLE))')} AS rank FROM won GROUP BY lang")
+def reconstructed_rank(spark, sf_dir):
+    cells = duel.all_negatives(duel.wins(_own(spark, sf_dir), _G), _G)
+    return rounded(cells.select("lang", duel.reconstructed_rank(F.lit(3), F.col("pairwise")).alias("rank")), "rank")
+
+
+def one_negative(spark, sf_dir):
+    _, c = pool(spark, sf_dir)
+    return duel.one_negative(c.filter("kind = 'perturbed'").select("lang", "block_id", "pool_idx", "category"), _G, 9)
+
+
+QUERIES["one_negative"] = one_negative

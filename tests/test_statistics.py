@@ -113,6 +113,7 @@ def test_mixes_nest_and_have_one_size(spark):
     assert mixtures.unequal_totals(mixed).count() == 0
     got = {m: {r["id"] for r in mixed.filter(f"mix = '{m}' AND origin = 'sent'").collect()} for m in ("frac040", "frac060")}
     assert got["frac040"] < got["frac060"]
+    assert {m.name for m in mixtures.MIXES} >= {"frac010", "frac000nat", "frac000agg"} and len(mixtures.PRESETS) == 3
 
 
 def test_student_tail():
@@ -137,3 +138,11 @@ def test_bootstrap_resamples_documents(spark):
     ci = bootstrap.interval(bootstrap.tau_delta(rows, drawn, "g", "d", "gold", "a", "b")).head()
     assert ci["high"] < 0 and ci["significant"]
     assert bootstrap.multinomial(5, 3, 1).sum(axis=1).tolist() == [5, 5, 5]
+
+
+def test_perturbations_that_keep_the_quality(spark):
+    cells = spark.createDataFrame([("sentence_splitting", 0.8), ("tense_consistency", 0.6), ("pronoun_swap_plural", 0.1)], "perturbation string, accuracy double")
+    got = {r["perturbation"]: r for r in contrastive.with_meaning(cells).collect()}
+    assert got["sentence_splitting"]["false_positive_rate"] == 0.8 and got["tense_consistency"]["false_positive_rate"] is None
+    assert got["tense_consistency"]["family"] == "lexical"
+    assert contrastive.lexical_mean(cells.withColumn("w", F.lit(1)), ["w"]).head()["accuracy"] == 0.6
