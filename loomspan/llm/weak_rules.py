@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import CACHE_WORDS, SPACES, chunks, payload, text_or_empty
+from .shared import CACHE_WORDS, SPACES, Scratch, chunks, payload, text_or_empty
 
 GOOD, BAD, ABSTAIN = 1, 0, 2
 #: Rules in the order of their votes. Each is (name, votes bad when, votes good when) in terms of the statistics.
@@ -107,17 +107,17 @@ def statistics(text: bytes, kinds: WordKinds) -> tuple:
 _STATS = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [T.StructField("base_failed", T.BooleanType()), T.StructField("votes", T.StringType())])
 
 
-def rule_votes(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``doc`` (all columns but the text), ``text`` and ``stats``: statistics and one vote per rule, of whole texts."""
+def rule_votes(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """``doc`` (all columns but the text), ``text`` if it is kept, statistics and one vote per rule, of whole texts."""
     source = docs.select(payload(docs, text_col).alias("doc"), text_or_empty(f"`{text_col}`").alias("text"))
-    schema = T.StructType([source.schema["doc"], T.StructField("text", T.StringType()), *_STATS.fields])
+    schema = T.StructType([source.schema["doc"], *([T.StructField("text", T.StringType())] if keep_text else []), *_STATS.fields])
 
     def run(batches):
         kinds = WordKinds()
         for batch in batches:
             for part, texts in chunks(batch, "text"):
                 columns = list(zip(*(statistics(t, kinds) for t in texts), strict=True))
-                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("text"), *[pa.array(c, pa.bool_() if i == 5 else pa.string() if i == 6 else pa.int64()) for i, c in enumerate(columns)]], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column("doc"), *([part.column("text")] if keep_text else []), *[pa.array(c, pa.bool_() if i == 5 else pa.string() if i == 6 else pa.int64()) for i, c in enumerate(columns)]], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
@@ -175,18 +175,20 @@ def judge(voted: DataFrame) -> DataFrame:
     return voted.withColumn("quality", quality).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP_FROM))
 
 
-def quality_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def quality_rules(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """Rows of ``docs`` with statistics, votes, posterior quality and verdict.
 
-    Returns ``doc`` (all columns but the text), ``text``, the statistics, ``base_failed``, ``votes``, ``quality``
-    and ``kept``. A null text is empty; it fails the base (under 50 words). Repeated rows get the same verdict; an
-    empty table gives an empty result. The texts are read twice: once to count votes, once to judge.
+    Returns ``doc`` (all columns but the text), ``text`` if it is kept, the statistics, ``base_failed``, ``votes``,
+    ``quality`` and ``kept``. A null text is empty; it fails the base (under 50 words). Repeated rows get the same
+    verdict; an empty table gives an empty result. With the text, the texts are read twice, once to count votes and once
+    to judge; without, they are read once and the small table of votes is kept in the shared folder between.
     """
-    return judge(rule_votes(docs, text_col))
+    voted = rule_votes(docs, text_col, keep_text)
+    return judge(voted if keep_text else Scratch(docs.sparkSession, "rules").save(voted, "votes"))
 
 
 def quality_rules_query(spark, sf_dir: str) -> DataFrame:
     """op8: the digest columns over the whole of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = quality_rules(docs)
+    out = quality_rules(docs, keep_text=False)
     return out.select(F.col("doc.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
