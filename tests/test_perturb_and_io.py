@@ -126,3 +126,18 @@ def test_stream_of_events(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r["event_type"]: r["n"] for r in spark.table("stats").collect()} == {"a": 3, "b": 3}
+
+
+def test_stream_of_segments(spark, tmp_path):
+    from loomspan.streaming import windows as sw
+
+    schema = "doc string, seg long, text string"
+    spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "p")], schema).coalesce(1).write.parquet(str(tmp_path / "in" / "p=0"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "p=*"))
+    out = sw.stream_windows(stream, "doc", "seg", "text", 2)
+    query = out.writeStream.format("memory").queryName("segs").outputMode("append").start()
+    query.processAllAvailable()
+    spark.createDataFrame([("a", 3, "z"), ("a", 5, "w"), ("b", 2, "q")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / "p=0"))
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(map(tuple, spark.table("segs").collect())) == [("a", 1, "x y"), ("a", 2, "y z"), ("b", 1, "p q")]
