@@ -213,10 +213,13 @@ class _Join:
         return rows, named
 
     def _labelled(self, label: DataFrame) -> DataFrame:
-        """Entries of lists that hold more than one group, with their node's label."""
-        full = self.lists.join(label, "node")
+        """Entries of lists that hold more than one group, with their node's label; other lists never will again."""
+        full = self.lists.select("key", "node").join(label, "node")
         split = full.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).filter("_a != _b").select("key")
-        return full.join(split, "key", "left_semi")
+        open_ = self.scratch.save(full.join(split, "key", "left_semi"), "open")
+        self.scratch.drop(self.lists)
+        self.lists = open_
+        return open_
 
     def _stars(self, label: DataFrame, r: int, tried: DataFrame | None) -> DataFrame:
         """In each list every node with one node drawn by hash; of the STAR_PICKS of these with which it shares most lists, the nearest."""
@@ -225,7 +228,8 @@ class _Join:
         met = full.join(drawn, "key").filter(F.col("a.label") != F.col("label"))
         met = met.groupBy(F.col("a.node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("_m"))
         turn = F.row_number().over(Window.partitionBy("b").orderBy(F.col("_m").desc(), "a"))
-        pairs = self._untried(met, tried).withColumn("_t", turn).filter(F.col("_t") <= STAR_PICKS).select("a", "b")
+        most = met.withColumn("_t", turn).filter(F.col("_t") <= 2 * STAR_PICKS)
+        pairs = self._untried(most, tried).withColumn("_t", turn).filter(F.col("_t") <= STAR_PICKS).select("a", "b")
         for side in ("a", "b"):
             known = self.nodes.select(F.col("node").alias(side), F.struct("n", *_BITS).alias(f"s{side}"))
             pairs = pairs.join(known, side)
@@ -237,8 +241,7 @@ class _Join:
 
         With ``nearest`` only the nearest untried one for each node and other group, which mostly joins them.
         """
-        full = self.scratch.save(self._labelled(label).join(self.nodes.select("node", "n", *_BITS), "node"), "open")
-        self.done.append(full)
+        full = self._labelled(label).join(self.nodes.select("node", "n", *_BITS), "node")
         sizes = full.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_m"))
         largest = self.scratch.save(sizes.groupBy("key").agg(F.max_by("label", F.struct("_m", "label")).alias("_main")), "largest")
         self.done.append(largest)
@@ -247,6 +250,7 @@ class _Join:
         pairs = one.join(other, "key").filter((F.col("a.label") != F.col("b.label")) & _may_link("a", "b", self.percent))
         if nearest:
             met = pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("b.label").alias("l"), _distance("a", "b").alias("d"))
+            met = met.groupBy("a", "b", "l").agg(F.min("d").alias("d"))
             pairs = self._untried(met, tried).groupBy("a", "l").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
             return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
