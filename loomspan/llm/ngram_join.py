@@ -228,7 +228,7 @@ class _Join:
         met = full.join(drawn, "key").filter(F.col("a.label") != F.col("label"))
         met = met.groupBy(F.col("a.node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("_m"))
         turn = F.row_number().over(Window.partitionBy("b").orderBy(F.col("_m").desc(), "a"))
-        most = met.withColumn("_t", turn).filter(F.col("_t") <= 2 * STAR_PICKS)
+        most = met.withColumn("_t", turn).filter(F.col("_t") <= STAR_PICKS + 1)
         pairs = self._untried(most, tried).withColumn("_t", turn).filter(F.col("_t") <= STAR_PICKS).select("a", "b")
         for side in ("a", "b"):
             known = self.nodes.select(F.col("node").alias(side), F.struct("n", *_BITS).alias(f"s{side}"))
@@ -250,7 +250,8 @@ class _Join:
         pairs = one.join(other, "key").filter((F.col("a.label") != F.col("b.label")) & _may_link("a", "b", self.percent))
         if nearest:
             met = pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("b.label").alias("l"), _distance("a", "b").alias("d"))
-            met = met.groupBy("a", "b", "l").agg(F.min("d").alias("d"))
+            turn = F.row_number().over(Window.partitionBy("a", "l").orderBy("d", "b"))
+            met = met.groupBy("a", "b", "l").agg(F.min("d").alias("d")).withColumn("_t", turn).filter(F.col("_t") <= 3)
             pairs = self._untried(met, tried).groupBy("a", "l").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
             return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
