@@ -20,13 +20,27 @@ def split(text: bytes) -> list[bytes]:
 
 
 def indexes(items: DataFrame, id_col: str, text_col: str, threshold: float, per_pass: int = ITEMS_PER_PASS) -> list[WindowIndex]:
-    """Indexes of at most about ``per_pass`` items each, together of all items; empty and null items are in none."""
+    """Indexes of at most about ``per_pass`` items each, together of all items that have an id; empty and null texts are in none.
+
+    Every distinct text is searched under a key of its own; those of one id count as the union of their shingles, as in the SQL.
+    """
     rows = items.select(F.col(f"`{id_col}`").cast("bigint").alias("_id"), text_or_empty(f"`{text_col}`").alias("_text")).filter(F.col("_id").isNotNull())
+    return _indexed(rows.distinct(), "_id", threshold, per_pass)
+
+
+def text_indexes(items: DataFrame, text_col: str, threshold: float, per_pass: int = ITEMS_PER_PASS) -> list[WindowIndex]:
+    """As :func:`indexes`, of every distinct text by itself, whatever its id and whether it has one."""
+    rows = items.select(F.lit(None).cast("bigint").alias("_id"), text_or_empty(f"`{text_col}`").alias("_text"))
+    return _indexed(rows.distinct(), "_text", threshold, per_pass)
+
+
+def _indexed(rows: DataFrame, dealt_by: str, threshold: float, per_pass: int) -> list[WindowIndex]:
     passes = max(1, -(-rows.count() // per_pass))
     out = []
     for p in range(passes):
-        part = rows.filter(F.pmod(F.xxhash64("_id"), F.lit(passes)) == p).groupBy("_id").agg(F.max("_text").alias("_text")).collect()
-        out.append(WindowIndex({r["_id"]: split(r["_text"].encode()) for r in part}, threshold))
+        part = rows.filter(F.pmod(F.xxhash64(dealt_by), F.lit(passes)) == p).collect()
+        owner = {k: k if r["_id"] is None else r["_id"] for k, r in enumerate(part)}
+        out.append(WindowIndex({k: split(r["_text"].encode()) for k, r in enumerate(part)}, threshold, owner))
     return [x for x in out if x.parts]
 
 
@@ -35,8 +49,8 @@ def find_items(docs: DataFrame, items: DataFrame, item_id: str = "item_id", thre
 
     Columns: ``doc`` (all columns but the text), ``item_id``, ``n_shingles`` of the item, ``n_shared``, ``containment``.
     Items of fewer than 5 words are one shingle and match documents of just these words. Null and empty texts match
-    nothing; an item id given twice stands for its greatest text; repeated documents match each. Each pass takes a
-    block of items against all documents.
+    nothing; an item id given several times stands for the union of its texts' shingles; items without an id are left
+    out, as in the SQL; repeated documents match each. Each pass takes a block of items against all documents.
     """
     found = [search(docs, x, split) for x in indexes(items, item_id, "text", threshold)]
     if not found:
@@ -46,9 +60,12 @@ def find_items(docs: DataFrame, items: DataFrame, item_id: str = "item_id", thre
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, item_id: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns as they were, that hold no item at the threshold."""
+    """The rows of ``docs``, all columns as they were, that hold no item at the threshold.
+
+    Each text of ``items`` is an item here, also one without an id or of an id given several times.
+    """
     columns = docs.columns
-    for x in indexes(items, item_id, "text", threshold):
+    for x in text_indexes(items, "text", threshold):
         clean = search(docs, x, split, keep_text=True).filter(F.size("matches") == 0)
         docs = clean.select(*[F.col("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in columns])
     return docs

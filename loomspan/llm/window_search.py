@@ -55,12 +55,13 @@ class Part:
     stride: int
     rows: int
     sets: dict[int, np.ndarray]
+    owner: dict[int, int]
     values: list[np.ndarray] = field(default_factory=list)
     owners: list[np.ndarray] = field(default_factory=list)
     maybe: list[np.ndarray] = field(default_factory=list)
 
     def build(self) -> None:
-        ids = np.array(list(self.sets), np.int64)
+        ids = np.array([self.owner[i] for i in self.sets], np.int64)
         minima = [np.array([hashed(s, j).min() for s in self.sets.values()], np.uint32) for j in range(HASHES)]
         for b in range(HASHES // self.rows):
             keys = band_key(minima[b * self.rows : (b + 1) * self.rows])
@@ -82,11 +83,19 @@ def band_key(minima: list[np.ndarray]) -> np.ndarray:
 
 
 class WindowIndex:
-    """An index of short texts, given as {id: words}; texts without words are in none of its parts."""
+    """An index of short texts, given as {id: words}; texts without words are in none of its parts.
 
-    def __init__(self, texts: dict[int, list[bytes]], threshold: float = THRESHOLD):
+    With ``owner`` ({key: id}) ``texts`` go by keys, and texts of one id are searched each but verified as the union of
+    their shingles.
+    """
+
+    def __init__(self, texts: dict[int, list[bytes]], threshold: float = THRESHOLD, owner: dict[int, int] | None = None):
         self.threshold = threshold
-        self.shingles = {i: frozenset(word_shingles(w)) for i, w in texts.items() if w}
+        owner = owner or {i: i for i in texts}
+        self.shingles: dict[int, frozenset] = {}
+        for i, w in texts.items():
+            if w:
+                self.shingles[owner[i]] = self.shingles.get(owner[i], frozenset()).union(word_shingles(w))
         cache = WordHashes()
         hashes = {i: np.unique(shingles(*hash_words([w], cache), SHINGLE)[0]) for i, w in texts.items() if w}
         largest = max(map(len, hashes.values()), default=0)
@@ -97,7 +106,7 @@ class WindowIndex:
             if own:
                 least, stride = min(map(len, own.values())), -(-high // 2)
                 held = np.ceil(threshold * least)
-                part = Part(stride, rows_per_band(held / (3 * stride + least - held)), own)
+                part = Part(stride, rows_per_band(held / (3 * stride + least - held)), own, owner)
                 part.build()
                 self.parts.append(part)
             low = high

@@ -42,6 +42,16 @@ def test_items_against_brute_force(spark):
     assert decontaminate.find_items(df, table.limit(0)).count() == 0 and decontaminate.find_items(df.limit(0), table).count() == 0
 
 
+def test_all_texts_of_shared_and_missing_ids(spark):
+    long, short, other = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("z", 40), ("a", 20), ("m", 30)))
+    table = spark.createDataFrame([(7, long), (7, short), (7, short), (None, other)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, f"x y {short} q"), (2, f"x y {other} q"), (3, f"x y {long} q {short}"), (4, "x y q"), (5, f"x y {long} q")], "doc_id int, text string")
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, table).collect()] == [4]
+    union = len(shingles(words(long), 5) | shingles(words(short), 5))
+    got = [(r["doc"]["doc_id"], r["item_id"], r["n_shingles"], r["n_shared"]) for r in decontaminate.find_items(docs, table).collect()]
+    assert got == [(3, 7, union, union)]
+
+
 def test_bands_find_what_they_should():
     for part in window_search.WindowIndex({1: [f"x{i}".encode() for i in range(60)]}).parts:
         held = np.ceil(0.8 * 56)
