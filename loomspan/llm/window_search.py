@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from .shared import WordHashes, chunks, hash_words, mix, payload, shingles, text_or_empty
 
 HASHES, MISS, SHINGLE, THRESHOLD = 64, 2e-5, 5, 0.8
-#: Largest number of shingles of each part but the last, which is as large as it needs to be.
+#: Largest number of shingles of each part; it goes on by a factor of 3 as far as there are short texts.
 PART_BOUNDS = (2, 8, 24, 72, 216, 648, 1944)
 
 _MULTIPLIERS = (mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)).astype(np.uint64)
@@ -38,11 +38,24 @@ def rows_per_band(similarity: float) -> int:
     """The most rows for which HASHES hashes miss a pair of that similarity with probability MISS at most."""
     best = 1
     for r in (2, 3, 4):
-        if (1 - similarity**r) ** (HASHES // r) <= MISS:
+        if missed(similarity, r) <= MISS:
             best = r
     return best
 
 
+def missed(similarity: float, rows: int) -> float:
+    """The probability that no band of so many rows finds a pair of that similarity."""
+    return (1 - similarity**rows) ** (HASHES // rows)
+
+
+def part_bounds(largest: int) -> list[int]:
+    """:data:`PART_BOUNDS` below ``largest``, carried on by a factor of 3, and ``largest``."""
+    bounds = list(PART_BOUNDS)
+    while bounds[-1] < largest:
+        bounds.append(3 * bounds[-1])
+    return [*(b for b in bounds if b < largest), largest]
+
+
 def hashed(x: np.ndarray, j: int) -> np.ndarray:
     """The j-th hash of each shingle, 32 bits."""
     return (((x ^ _SALTS[j]) * _MULTIPLIERS[j]) >> np.uint64(32)).astype(np.uint32)
@@ -99,18 +112,31 @@ class WindowIndex:
         cache = WordHashes()
         hashes = {i: np.unique(shingles(*hash_words([w], cache), SHINGLE)[0]) for i, w in texts.items() if w}
         largest = max(map(len, hashes.values()), default=0)
-        bounds = [*(b for b in PART_BOUNDS if b < largest), largest]
         self.parts, low = [], 0
-        for high in bounds:
-            own = {i: h for i, h in hashes.items() if low < len(h) <= high}
-            if own:
-                least, stride = min(map(len, own.values())), -(-high // 2)
-                held = np.ceil(threshold * least)
-                part = Part(stride, rows_per_band(held / (3 * stride + least - held)), own, owner)
-                part.build()
-                self.parts.append(part)
+        for high in part_bounds(largest):
+            self._add(hashes, low, high, owner)
             low = high
 
+    def _add(self, hashes: dict[int, np.ndarray], low: int, high: int, owner: dict[int, int]) -> None:
+        """Parts of the texts of more than ``low`` and at most ``high`` shingles, cut finer where one would miss more than MISS."""
+        own = {i: h for i, h in hashes.items() if low < len(h) <= high}
+        if not own:
+            return
+        least, stride = min(map(len, own.values())), -(-high // 2)
+        held = np.ceil(self.threshold * least)
+        similarity = held / (3 * stride + least - held)
+        rows = rows_per_band(similarity)
+        if missed(similarity, rows) > MISS:
+            if high - low == 1:
+                raise ValueError(f"{HASHES} hashes miss more than {MISS} of the texts of {high} shingles at a threshold of {self.threshold}")
+            middle = max(low + 1, int((max(low, 1) * high) ** 0.5))
+            self._add(hashes, low, middle, owner)
+            self._add(hashes, middle, high, owner)
+            return
+        part = Part(stride, rows, own, owner)
+        part.build()
+        self.parts.append(part)
+
     def candidates(self, per_text: list[np.ndarray]) -> set[tuple[int, int]]:
         """(place of the text, id of the short text) that share a band in some window."""
         lens = np.fromiter(map(len, per_text), np.int64, len(per_text))

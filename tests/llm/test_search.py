@@ -59,6 +59,18 @@ def test_bands_find_what_they_should():
         assert (1 - j**part.rows) ** (window_search.HASHES // part.rows) <= window_search.MISS
 
 
+def test_one_very_long_item_leaves_the_others_their_bound():
+    index = window_search.WindowIndex({n: [f"x{n}_{i}".encode() for i in range(n + 4)] for n in (60, 1945, 7000, 20_000, 50_000)})
+    assert sorted(len(h) for p in index.parts for h in p.sets.values()) == [60, 1945, 7000, 20_000, 50_000]
+    for part in index.parts:
+        least = min(map(len, part.sets.values()))
+        held = np.ceil(0.8 * least)
+        j = held / (3 * part.stride + least - held)
+        assert (1 - j**part.rows) ** (window_search.HASHES // part.rows) <= window_search.MISS
+    with pytest.raises(ValueError):
+        window_search.WindowIndex({1: [f"x{i}".encode() for i in range(100)]}, 0.2)
+
+
 def test_licenses(spark):
     texts = ["x y\nReleased under the MIT License. z", "licensed under the apache license version 2 0", "Released under the MIT", None, "", "word " * 20000 + "Licensed under CC BY-NC 4.0."]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0])], "doc_id int, text string")
