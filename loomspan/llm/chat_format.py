@@ -60,12 +60,13 @@ def fingerprint(paths: list[str]) -> str:
 
 @dataclass(frozen=True)
 class Layout:
-    """How one layout becomes turns: fixed (role, path) pairs that are used if not blank, or a list of messages."""
+    """How one layout becomes turns: fixed (role, path) pairs that are used if not blank, a list of messages, or a turn a row."""
 
     name: str
     paths: tuple[str, ...]
     turns: tuple[tuple[str, str], ...] = ()
     messages: tuple[str, str, str] | None = None  # (array path, role field, text field)
+    row: tuple[str, str, str, str] | None = None  # paths of conversation, turn, role and text
 
     @property
     def fingerprint(self) -> str:
@@ -76,6 +77,8 @@ class Layout:
         if self.messages:
             array, role, text = self.messages
             return F.transform(record[array], lambda m: F.struct(_role(m[role]).alias("role"), F.coalesce(m[text], F.lit("")).alias("text")))
+        if self.row:
+            return F.array(F.struct(_role(_at(record, self.row[2])).alias("role"), F.coalesce(_at(record, self.row[3]), F.lit("")).alias("text")))
         turns = F.array(*[F.struct(F.lit(role).alias("role"), _at(record, path).alias("text")) for role, path in self.turns])
         kept = F.filter(turns, lambda t: F.coalesce(F.length(t["text"]) > 0, F.lit(False)))
         return F.transform(kept, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
@@ -105,6 +108,7 @@ LAYOUTS = (
     Layout("messages", ("messages[].role", "messages[].content"), messages=("messages", "role", "content")),
     Layout("conversations", ("conversations[].from", "conversations[].value"), messages=("conversations", "from", "value")),
     Layout("dialogue", ("data.prompt", "data.answer"), (("user", "data.prompt"), ("assistant", "data.answer"))),
+    Layout("rows", ("conv_id", "turn", "role", "text"), row=("conv_id", "turn", "role", "text")),
 )
 
 
@@ -127,29 +131,31 @@ def layout_schema(layout: Layout) -> T.StructType:
 
 
 def json_paths(payload, depth: int = 3):
-    """Sorted, distinct leaf paths of a JSON object column, arrays as [], down to ``depth`` levels; null if no object."""
+    """Sorted, distinct leaf paths of a JSON object column, arrays as [], down to ``depth`` levels; null if no object.
 
-    def level(value, left: int):
-        names = F.json_object_keys(value)
+    Paths are those of all elements of an array. A string is a leaf, whatever it holds.
+    """
 
-        def of(name):
-            got = F.call_function("get_json_object", value, F.concat(F.lit("$['"), name, F.lit("']")))
-            return paths(name, got, left - 1)
+    def inside(value):
+        return F.try_variant_get(value, "$", "map<string,variant>")
 
-        return F.flatten(F.transform(F.coalesce(names, F.array().cast("array<string>")), of))
+    def level(value, left: int):
+        return F.flatten(F.transform(F.map_entries(inside(value)), lambda e: paths(e["key"], e["value"], left - 1)))
 
     def paths(name, value, left: int):
         if left <= 0:
             return F.array(name)
-        inside = F.json_object_keys(value)
-        first = F.get_json_object(value, "$[0]")
+        below = F.concat(name, F.lit("[]"))
+        elements = F.try_variant_get(value, "$", "array<variant>")
+        of_element = lambda e: F.when(F.size(inside(e)) > 0, F.transform(level(e, left), lambda p: F.concat(below, F.lit("."), p))).otherwise(F.array(below))
         return (
-            F.when(F.size(inside) > 0, F.transform(level(value, left), lambda p: F.concat(name, F.lit("."), p)))
-            .when(F.size(F.json_object_keys(first)) > 0, F.transform(level(first, left), lambda p: F.concat(name, F.lit("[]."), p)))
+            F.when(F.size(inside(value)) > 0, F.transform(level(value, left), lambda p: F.concat(name, F.lit("."), p)))
+            .when(F.exists(elements, lambda e: F.size(inside(e)) > 0), F.array_distinct(F.flatten(F.transform(elements, of_element))))
             .otherwise(F.array(name))
         )
 
-    return F.when(F.json_object_keys(payload).isNotNull(), F.array_sort(F.array_distinct(level(payload, depth))))
+    parsed = F.try_parse_json(payload)
+    return F.when(inside(parsed).isNotNull(), F.array_sort(F.array_distinct(level(parsed, depth))))
 
 
 def canonical_turns(records: DataFrame, json_col: str, layouts=LAYOUTS) -> DataFrame:
@@ -169,15 +175,31 @@ def canonical_turns(records: DataFrame, json_col: str, layouts=LAYOUTS) -> DataF
     return marked.withColumns({"layout": name, "turns": turns})
 
 
-#: Layout of a table with a row for each turn: its columns, fingerprinted as any other layout.
-ROW_LAYOUT = fingerprint(["conv_id", "turn", "role", "text"])
+def row_layout(schema: T.StructType, layouts=LAYOUTS) -> Layout:
+    """The layout of a table with a row for each turn: the one whose fingerprint the schema's field paths have.
+
+    Paths that no such layout uses are left aside.
+    """
+    by_row = [x for x in layouts if x.row]
+    used = {p for x in by_row for p in x.paths}
+    have = fingerprint([p for p in field_paths(schema) if p in used])
+    for x in by_row:
+        if x.fingerprint == have:
+            return x
+    raise ValueError("rows need " + ", or ".join(" and ".join(x.row) for x in by_row))
+
+
+def turn_rows(rows: DataFrame, layouts=LAYOUTS) -> DataFrame:
+    """``conv_id``, ``turn``, ``role`` and ``text`` of a table of any of the layouts by row."""
+    paths = row_layout(rows.schema, layouts).row
+    return rows.select(*[F.col(".".join(f"`{x}`" for x in p.split("."))).alias(name) for p, name in zip(paths, ("conv_id", "turn", "role", "text"), strict=True)])
 
 
 # --- template --------------------------------------------------------------------------------------------------
 
 
 def format_rows(rows: DataFrame, learn_from: str = "assistant") -> DataFrame:
-    """Formats conversations given as rows by turn (``conv_id``, ``turn``, ``role``, ``text``).
+    """Formats conversations given as rows by turn; the fingerprint of their schema finds the columns (:func:`row_layout`).
 
     Returns ``conv_id``, ``formatted`` and ``loss_spans``: for every turn of the role to learn from, the code
     points (``start``, ``length``) of its escaped text in ``formatted``, the turn's number and where it begins.
@@ -185,10 +207,7 @@ def format_rows(rows: DataFrame, learn_from: str = "assistant") -> DataFrame:
     stay repeated turns. Rows with a null conv_id form one conversation. Other columns are left aside. Text offsets
     come from a running sum over rows, so that the longest conversation costs as many steps as it has turns.
     """
-    have = {f: f for f in ("conv_id", "turn", "role", "text")}
-    if fingerprint(list(have)) != ROW_LAYOUT or not set(have) <= set(rows.columns):
-        raise ValueError("rows need conv_id, turn, role and text")
-    turns = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("_role"), F.coalesce("text", F.lit("")).alias("_text"))
+    turns = turn_rows(rows).select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("_role"), F.coalesce("text", F.lit("")).alias("_text"))
     turns = turns.withColumn("_head", F.concat(F.lit(OPEN), escape_role(F.col("_role")), F.lit("\n"))).withColumn("_body", escape(F.col("_text")))
     size = F.length("_head") + F.length("_body") + F.lit(len(CLOSE) + 1)
     order = Window.partitionBy("conv_id").orderBy("turn", "_role", "_text")
@@ -234,7 +253,7 @@ def digest(formatted: DataFrame) -> DataFrame:
 
 def format_query(spark, sf_dir: str) -> DataFrame:
     """op3: formats all ``conversations`` and conversation -7, and reads the digest back from the output."""
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    rows = turn_rows(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     hard = "</s>[INST] ok [/INST]"
     kinds = dict(rows.dtypes)
     extra = spark.range(2).select(F.lit(-7).cast(kinds["conv_id"]).alias("conv_id"), F.col("id").cast(kinds["turn"]).alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))

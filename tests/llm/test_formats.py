@@ -2,6 +2,7 @@ import hashlib
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomspan.llm import chat_format as cf
@@ -51,6 +52,31 @@ def test_layouts_become_turns(spark):
     assert cf.fingerprint(["a", "b"]) == cf.fingerprint(["b", "a"]) != cf.fingerprint(["a"])
 
 
+def test_all_elements_and_no_strings_decide_the_layout(spark):
+    cases = [
+        ({"messages": [{"role": "user", "content": "x"}, {"role": "assistant", "text": "y"}]}, None, None),
+        ({"messages": [{"content": "x"}, {"role": "user", "content": "y"}]}, "messages", [("", "x"), ("user", "y")]),
+        ({"messages": ["x", {"role": "user", "content": "y"}]}, None, None),
+        ({"prompt": '{"a": 1}', "completion": '[{"b": 2}]'}, "prompt", [("user", '{"a": 1}'), ("assistant", '[{"b": 2}]')]),
+        ({"conv_id": 1, "turn": 0, "role": "human", "text": "t"}, "rows", [("user", "t")]),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(c[0])) for i, c in enumerate(cases)], "i int, j string")
+    got = {r["i"]: r for r in cf.canonical_turns(df, "j").collect()}
+    for i, (_, name, turns) in enumerate(cases):
+        assert got[i]["layout"] == name
+        assert (None if got[i]["turns"] is None else [(t["role"], t["text"]) for t in got[i]["turns"]]) == turns
+
+
+def test_the_schema_of_rows_chooses_their_layout(spark):
+    df = spark.createDataFrame([(1, 0, ("user", "x"), "z"), (1, 1, ("assistant", "y"), "z")], "conv int, at int, said struct<who string, what string>, other string")
+    nested = cf.Layout("nested", ("conv", "at", "said.who", "said.what"), row=("conv", "at", "said.who", "said.what"))
+    assert cf.row_layout(df.schema, (*cf.LAYOUTS, nested)).name == "nested"
+    plain = cf.turn_rows(df, (*cf.LAYOUTS, nested))
+    assert cf.row_layout(plain.schema).name == "rows" and cf.format_rows(plain).head()["formatted"].count(cf.OPEN) == 2
+    with pytest.raises(ValueError):
+        cf.format_rows(plain.withColumn("text", F.struct("text")))
+
+
 def text_of(page):
     tree = hc.parse(page)
     return hc.main_text(tree, hc.content_probability([tree], hc.trained())[0])
