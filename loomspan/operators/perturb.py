@@ -235,13 +235,13 @@ def sentence_variants(sentences: DataFrame, carry: list[str], n: int, seed: int,
     return source.mapInArrow(run, schema)
 
 
-def candidate_pool(blocks: DataFrame, variants_: DataFrame) -> DataFrame:
-    """Candidates of blocks (``block_id``, ``lang``, ``sentences``): the gold, then every variant of every sentence in place.
+def candidate_pool(blocks: DataFrame, variants_: DataFrame, key: tuple[str, ...] = ("block_id",)) -> DataFrame:
+    """Candidates of blocks (``key``, ``lang``, ``sentences``): the gold, then every variant of every sentence in place.
 
-    ``variants_`` has block_id, position, category, variant and text. ``pool_idx`` orders a block's candidates: the gold first, then by
+    ``variants_`` has the key, position, category, variant and text. ``in_block`` orders a block's candidates: the gold first, then by
     position, category and variant; it is block-major.
     """
-    gold = blocks.select("block_id", F.lit("true").alias("kind"), F.lit(None).cast("string").alias("category"), F.lit(-1).alias("position"), F.lit(0).alias("variant"), F.array_join("sentences", " ").alias("text"))
-    changed = variants_.join(blocks.select("block_id", "sentences"), "block_id").select("block_id", F.lit("perturbed").alias("kind"), "category", "position", "variant", F.array_join(F.transform("sentences", lambda x, i: F.when(i == F.col("position"), F.col("text")).otherwise(x)), " ").alias("text"))
-    order = Window.partitionBy("block_id").orderBy("position", "category", "variant")
+    gold = blocks.select(*key, F.lit("true").alias("kind"), F.lit(None).cast("string").alias("category"), F.lit(-1).alias("position"), F.lit(0).alias("variant"), F.array_join("sentences", " ").alias("text"))
+    changed = variants_.join(blocks.select(*key, "sentences"), list(key)).select(*key, F.lit("perturbed").alias("kind"), "category", "position", "variant", F.array_join(F.transform("sentences", lambda x, i: F.when(i == F.col("position"), F.col("text")).otherwise(x)), " ").alias("text"))
+    order = Window.partitionBy(*key).orderBy("position", "category", "variant")
     return gold.unionByName(changed).withColumn("in_block", F.row_number().over(order) - 1)

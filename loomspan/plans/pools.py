@@ -166,7 +166,7 @@ def token_lengths(spark, sf_dir):
 
 
 def _variants(spark, sf_dir, n=2):
-    s = sentences(spark, sf_dir).filter("row < 2")
+    s = sentences(spark, sf_dir)
     entity, lower = perturb.banks(s)
     return s, perturb.sentence_variants(s, ["doc_id", "row"], n, 3, entity, lower)
 
@@ -179,9 +179,11 @@ QUERIES["sentence_variants"] = sentence_variants
 
 
 def candidate_pool(spark, sf_dir):
+    """Candidates of every two-line block, keyed by its document and first row."""
     s, v = _variants(spark, sf_dir)
-    blocks = windows.build_blocks(s, [2], ["lang"], "doc_id", "row", [F.col("text")]).select(F.col("doc_id").alias("block_id"), "lang", F.col("text").alias("sentences"))
-    return perturb.candidate_pool(blocks, v.select(F.col("doc_id").alias("block_id"), F.col("row").alias("position"), "category", "variant", "text"))
+    blocks = windows.build_blocks(s, [2], ["lang"], "doc_id", "row", [F.col("text")]).select("doc_id", "first_row", "lang", F.col("text").alias("sentences"), "rows")
+    placed = v.join(blocks.select("doc_id", "first_row", F.posexplode("rows").alias("position", "row")), ["doc_id", "row"])
+    return perturb.candidate_pool(blocks, placed.select("doc_id", "first_row", "position", "category", "variant", "text"), ("doc_id", "first_row"))
 
 
 QUERIES["candidate_pool"] = candidate_pool

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspan.operators import perturb, prepare, report, retrieval, scorers
+from loomspan.plans import pools
 from loomspan.sources import readers, writers
 
 
@@ -42,6 +43,18 @@ def test_pool_orders_gold_first(spark):
     assert [r["text"] for r in got] == ["a b", "A b", "a B"] and got[0]["kind"] == "true"
 
 
+def test_all_lines_have_variants_and_blocks(spark, tmp_path):
+    texts = {1: "In 1999 it rained.\nThen 7 more came.\nWe saw 12 of them.\nAnd 5 were high.\nThe 3 others left.", 2: "one\ntwo 22"}
+    spark.createDataFrame([(d, t, "en", "s") for d, t in texts.items()], "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    v = pools.sentence_variants(spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["row"]) for r in v} >= {(1, i) for i in range(5)} | {(2, 1)}
+    got = pools.candidate_pool(spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["first_row"]): r["text"] for r in got if r["kind"] == "true"} == {(d, i): " ".join(t.split("\n")[i : i + 2]) for d, t in texts.items() for i in ((0, 2) if d == 1 else (0,))}
+    changed = {(r["doc_id"], r["row"], r["category"], r["variant"]): r["text"] for r in v if (r["doc_id"], r["row"]) != (1, 4)}
+    want = {(d, r - r % 2, r % 2, c, n, " ".join(t if i == r else texts[d].split("\n")[i] for i in (r - r % 2, r - r % 2 + 1))) for (d, r, c, n), t in changed.items()}
+    assert {(r["doc_id"], r["first_row"], r["position"], r["category"], r["variant"], r["text"]) for r in got if r["kind"] != "true"} == want
+
+
 def test_retrieval_ties_go_to_the_lowest_index(spark):
     q = spark.createDataFrame([("x", 1, [1.0, 0.0]), ("x", 2, [0.0, 1.0])], "lang string, block_id int, vector array<double>")
     c = spark.createDataFrame([("x", 0, 1, "true", None, 0, 0, [1.0, 0.0]), ("x", 1, 1, "perturbed", "number", 0, 0, [2.0, 0.0]), ("x", 2, 2, "true", None, 0, 0, [1.0, 0.0])], "lang string, pool_idx int, block_id int, kind string, category string, position int, variant int, vector array<double>")
