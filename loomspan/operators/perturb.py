@@ -85,8 +85,8 @@ def change_number(text: str, lang: str, key: tuple, lexicon: Lexicon) -> str | N
     return text[:a] + like(others[draw(len(others), *key, "ordinal")], old) + text[b:] if others else None
 
 
-def change_entity(text: str, lang: str, key: tuple, lexicon: Lexicon, bank: tuple[str, ...], lower: frozenset) -> str | None:
-    """One run of entity tokens becomes another entity, of as many tokens if there is one; punctuation stays."""
+def entity_spot(text: str, lang: str, key: tuple, lexicon: Lexicon, lower: frozenset) -> tuple[str, str, str, int] | None:
+    """A drawn run of entity tokens: the text before it, itself, the text after it, and its number of tokens; punctuation is outside."""
     if lang in NO_SPACE:
         return None
     tokens, found, i = text.split(" "), [], 0
@@ -104,11 +104,42 @@ def change_entity(text: str, lang: str, key: tuple, lexicon: Lexicon, bank: tupl
     a, b = found[draw(len(found), *key, "entity")]
     surface = " ".join(tokens[a:b])
     core = surface.strip(_EDGE)
-    options = [x for x in bank if x != core and len(x.split(" ")) == b - a] or [x for x in bank if x != core]
-    if not options:
+    at = surface.index(core)
+    return " ".join([*tokens[:a], surface[:at]]), core, " ".join([surface[at + len(core) :], *tokens[b:]]), b - a
+
+
+def change_entity(text: str, lang: str, key: tuple, lexicon: Lexicon, bank: tuple[str, ...], lower: frozenset) -> str | None:
+    """One run of entity tokens becomes another entity, of as many tokens if there is one; punctuation stays."""
+    spot = entity_spot(text, lang, key, lexicon, lower)
+    if not spot:
         return None
-    new = options[draw(len(options), *key, "bank")]
-    return " ".join([*tokens[:a], surface.replace(core, new, 1), *tokens[b:]])
+    before, core, after, n = spot
+    options = [x for x in bank if x != core and len(x.split(" ")) == n] or [x for x in bank if x != core]
+    return before + options[draw(len(options), *key, "bank")] + after if options else None
+
+
+def entity_requests(text: str, lang: str, n: int, seed: int, size: int, places: dict[str, int], lower: frozenset) -> list[tuple[str, int, str]]:
+    """As :func:`variants` by entity, from a bank of ``size`` single words that is elsewhere: (before, place in the bank, after).
+
+    ``places`` has the places of those words of the text that are in the bank.
+    """
+    lexicon, out = LEXICONS.get(lang, Lexicon()), []
+    for attempt in range(6 * n):
+        key = (seed, lang, "entity", text, attempt)
+        spot = entity_spot(text, lang, key, lexicon, lower)
+        if not spot:
+            break
+        before, core, after, _ = spot
+        own = places.get(core, size)
+        if size - (own < size) < 1:
+            continue
+        at = draw(size - (own < size), *key, "bank")
+        new = (before, at + (at >= own), after)
+        if new not in out:
+            out.append(new)
+            if len(out) == n:
+                break
+    return out
 
 
 def replace_pair(text: str, pairs, key: tuple, lang: str, both_ways: bool = True) -> str | None:
@@ -176,8 +207,12 @@ def perturb_window(sentences: list[str], lang: str, size: int, seed: int, bank:
     If that category has no edit left that is not taken at that sentence, the others follow in order; when all are
     exhausted an edit is shared. No distractor if some sentence cannot be changed.
     """
-    made = [{c: variants(s, lang, c, size, seed, bank, lower) for c in CATEGORIES} for s in sentences]
-    taken: list[list[str]] = [[] for _ in sentences]
+    return arrange([{c: variants(s, lang, c, size, seed, bank, lower) for c in CATEGORIES} for s in sentences], size)
+
+
+def arrange(made: list[dict[str, list[str]]], size: int) -> list[tuple[list[str], list[str]]]:
+    """The distractors of :func:`perturb_window` from the variants of each sentence by category."""
+    taken: list[list[str]] = [[] for _ in made]
     out = []
     for d in range(size):
         texts, names = [], []
@@ -196,43 +231,65 @@ def perturb_window(sentences: list[str], lang: str, size: int, seed: int, bank:
 # --- on DataFrames ---------------------------------------------------------------------------------------------
 
 
-def banks(sentences: DataFrame, lang: str = "lang", text: str = "text", most: int = 5000) -> tuple[dict[str, tuple[str, ...]], dict[str, frozenset]]:
-    """Entity surfaces and lower-case words per language: the ``most`` commonest of each, so that they stay small."""
-    tokens = sentences.select(F.col(lang).alias("lang"), F.explode(F.split(text, " ")).alias("t")).select("lang", F.btrim("t", F.lit(_EDGE)).alias("t")).filter(F.length("t") >= 2)
-    kind = F.when(F.col("t").rlike(r"^\p{Lu}\p{L}+$"), "entity").when(F.col("t") == F.lower("t"), "lower")
-    counted = tokens.withColumn("kind", kind).filter("kind IS NOT NULL").groupBy("lang", "kind", "t").agg(F.count(F.lit(1)).alias("n"))
-    top = counted.withColumn("_r", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.col("n").desc(), "t"))).filter(F.col("_r") <= most)
-    entity, lower = {}, {}
-    for r in top.groupBy("lang", "kind").agg(F.array_sort(F.collect_list("t")).alias("ts")).collect():
-        if r["kind"] == "entity":
-            entity[r["lang"]] = tuple(r["ts"])
-        else:
-            lower[r["lang"]] = frozenset(r["ts"])
-    return {k: tuple(x for x in v if x.lower() not in lower.get(k, ())) for k, v in entity.items()}, lower
+def cased_words(sentences: DataFrame, lang: str = "lang", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """What the corpus says of its words with capitals, and the bank of entities, both of the whole corpus and as tables.
+
+    The first has ``lang``, ``t`` and ``place``, which is null for words that are met in lower case too; words of neither kind
+    are not in it. The bank has ``lang``, ``place`` (from 0, in the order of the words) and ``t``. Both are persisted.
+    """
+    tokens = sentences.select(F.col(lang).alias("lang"), F.explode(_words(F.col(text))).alias("t")).distinct()
+    forms = tokens.groupBy("lang", F.lower("t").alias("_low")).agg(F.collect_list("t").alias("_ts"), F.bool_or(F.col("t") == F.lower("t")).alias("_met"))
+    marked = forms.select("lang", F.explode("_ts").alias("t"), "_met").filter("t <> lower(t)").persist()
+    bank = marked.filter(~F.col("_met") & F.col("t").rlike(r"^\p{Lu}\p{L}+$")).withColumn("_slice", F.substring("t", 1, 2))
+    sizes = bank.groupBy("lang", "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select(F.col("lang").alias("_lang"), F.col("_slice").alias("_s"), (F.sum("_n").over(Window.partitionBy("lang").orderBy("_slice")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("lang", "_slice").orderBy("t"))
+    placed = bank.withColumn("_inside", inside).join(before, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("_slice") == F.col("_s"))).select("lang", (F.col("_before") + F.col("_inside") - 1).alias("place"), "t")
+    placed = placed.persist()
+    return marked.filter("_met").select("lang", "t", F.lit(None).cast("bigint").alias("place")).unionByName(placed.select("lang", "t", "place")), placed
+
+
+def _words(text):
+    return F.filter(F.transform(F.split(text, " "), lambda x: F.btrim(x, F.lit(_EDGE))), lambda x: F.length(x) >= 2)
 
 
 _VARIANT = T.StructType([T.StructField("category", T.StringType()), T.StructField("variant", T.IntegerType()), T.StructField("text", T.StringType())])
 
 
-def sentence_variants(sentences: DataFrame, carry: list[str], n: int, seed: int, entity: dict, lower: dict, lang: str = "lang", text: str = "text") -> DataFrame:
-    """A row for every variant of every sentence: the carried columns, ``category``, ``variant`` and its ``text``."""
-    schema = T.StructType([*[sentences.schema[c] for c in carry], *_VARIANT.fields])
-    source = sentences.select(*carry, F.col(lang).alias("_lang"), F.col(text).alias("_text"))
+def sentence_variants(sentences: DataFrame, carry: list[str], n: int, seed: int, words: DataFrame, bank: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
+    """A row for every variant of every sentence: the carried columns, ``category``, ``variant`` and its ``text``.
+
+    ``words`` and ``bank`` are those of :func:`cased_words`; they are joined, so their size does not matter.
+    """
+    schema = T.StructType([*[sentences.schema[c] for c in carry], T.StructField("_g", T.StringType()), T.StructField("_place", T.LongType()), T.StructField("_after", T.StringType()), *_VARIANT.fields])
+    rows = sentences.select(*carry, F.col(lang).alias("_lang"), F.col(text).alias("_text"), *[F.xxhash64(F.lit(x), F.col(lang), F.col(text)).alias(f"_k{x}") for x in (11, 29)])
+    cased = rows.select("_k11", "_k29", "_lang", F.explode(F.filter(_words(F.col("_text")), lambda x: x != F.lower(x))).alias("_t")).distinct()
+    met = cased.join(words, F.col("_lang").eqNullSafe(F.col("lang")) & (F.col("_t") == F.col("t"))).groupBy("_k11", "_k29").agg(F.collect_list(F.struct("t", "place")).alias("_met"))
+    source = rows.join(met, ["_k11", "_k29"], "left").select(*carry, "_lang", "_text", "_met")
+    size = {r["lang"]: r["n"] for r in bank.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def run(batches):
         for batch in batches:
-            at, cats, nums, texts = [], [], [], []
-            for i, (g, t) in enumerate(zip(batch.column("_lang").to_pylist(), batch.column("_text").to_pylist(), strict=True)):
+            at, out = [], []
+            for i, (g, t, m) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_lang", "_text", "_met")), strict=True)):
                 for c in CATEGORIES if t else ():
-                    for v, x in enumerate(variants(t, g, c, n, seed, entity.get(g, ()), lower.get(g, frozenset()))):
+                    if c == "entity":
+                        places = {x["t"]: x["place"] for x in m or () if x["place"] is not None}
+                        lower = frozenset(x["t"].lower() for x in m or () if x["place"] is None)
+                        made = entity_requests(t, g, n, seed, size.get(g, 0), places, lower)
+                    else:
+                        made = [(x, None, None) for x in variants(t, g, c, n, seed)]
+                    for v, (x, place, after) in enumerate(made):
                         at.append(i)
-                        cats.append(c)
-                        nums.append(v)
-                        texts.append(x)
-            rows = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(rows) for c in carry], pa.array(cats, pa.string()), pa.array(nums, pa.int32()), pa.array(texts, pa.string())], names=schema.names)
+                        out.append((g, place, after, c, v, x))
+            found = pa.array(at, pa.int64())
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(found) for c in carry], *[pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)]], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    made = source.mapInArrow(run, schema)
+    named = bank.select(F.col("lang").alias("_blang"), F.col("place").alias("_bplace"), F.col("t").alias("_new"))
+    filled = made.join(named, F.col("_g").eqNullSafe(F.col("_blang")) & (F.col("_place") == F.col("_bplace")), "left")
+    return filled.select(*carry, "category", "variant", F.when(F.col("_place").isNull(), F.col("text")).otherwise(F.concat("text", "_new", "_after")).alias("text"))
 
 
 def candidate_pool(blocks: DataFrame, variants_: DataFrame, key: tuple[str, ...] = ("block_id",)) -> DataFrame:
@@ -241,7 +298,10 @@ def candidate_pool(blocks: DataFrame, variants_: DataFrame, key: tuple[str, ...]
     ``variants_`` has the key, position, category, variant and text. ``in_block`` orders a block's candidates: the gold first, then by
     position, category and variant; it is block-major.
     """
-    gold = blocks.select(*key, F.lit("true").alias("kind"), F.lit(None).cast("string").alias("category"), F.lit(-1).alias("position"), F.lit(0).alias("variant"), F.array_join("sentences", " ").alias("text"))
-    changed = variants_.join(blocks.select(*key, "sentences"), list(key)).select(*key, F.lit("perturbed").alias("kind"), "category", "position", "variant", F.array_join(F.transform("sentences", lambda x, i: F.when(i == F.col("position"), F.col("text")).otherwise(x)), " ").alias("text"))
-    order = Window.partitionBy(*key).orderBy("position", "category", "variant")
-    return gold.unionByName(changed).withColumn("in_block", F.row_number().over(order) - 1)
+    each = F.struct("position", "category", "variant", F.col("text").alias("_new"))
+    listed = variants_.groupBy(*key).agg(F.array_sort(F.collect_list(each)).alias("_all"))
+    gold = F.array(F.struct(F.lit(-1).alias("position"), F.lit(None).cast("string").alias("category"), F.lit(0).alias("variant"), F.lit(None).cast("string").alias("_new")))
+    all_ = F.concat(gold, F.coalesce(F.col("_all"), F.array().cast("array<struct<position:int,category:string,variant:int,_new:string>>")))
+    rows = blocks.select(*key, "sentences").join(listed, list(key), "left").select(*key, "sentences", F.posexplode(all_).alias("in_block", "_v"))
+    put = F.array_join(F.transform("sentences", lambda x, i: F.when(i == F.col("_v.position"), F.col("_v._new")).otherwise(x)), " ")
+    return rows.select(*key, F.when(F.col("in_block") == 0, "true").otherwise("perturbed").alias("kind"), "_v.category", "_v.position", "_v.variant", put.alias("text"), "in_block")

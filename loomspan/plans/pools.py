@@ -167,8 +167,7 @@ def token_lengths(spark, sf_dir):
 
 def _variants(spark, sf_dir, n=2):
     s = sentences(spark, sf_dir)
-    entity, lower = perturb.banks(s)
-    return s, perturb.sentence_variants(s, ["doc_id", "row"], n, 3, entity, lower)
+    return s, perturb.sentence_variants(s, ["doc_id", "row"], n, 3, *perturb.cased_words(s))
 
 
 def sentence_variants(spark, sf_dir):
@@ -191,18 +190,25 @@ QUERIES["candidate_pool"] = candidate_pool
 
 def perturbed_windows(spark, sf_dir):
     """Distractors of every two-sentence window, each sentence of it changed."""
-    s = sentences(spark, sf_dir)
-    entity, lower = perturb.banks(s)
-    blocks = windows.build_blocks(s, [2], ["lang"], "doc_id", "row", [F.col("text")]).select("doc_id", "first_row", "lang", "text")
+    s, v = _variants(spark, sf_dir)
+    blocks = windows.build_blocks(s, [2], ["lang"], "doc_id", "row", [F.col("text")]).select("doc_id", "first_row", "lang", "rows")
+    placed = blocks.select("doc_id", "first_row", F.posexplode("rows").alias("position", "row")).join(v, ["doc_id", "row"])
+    made = placed.groupBy("doc_id", "first_row").agg(F.array_sort(F.collect_list(F.struct("position", "category", "variant", "text"))).alias("made"))
 
     def run(frames):
         for f in frames:
-            made = [perturb.perturb_window(list(t), g, 2, 3, entity.get(g, ()), lower.get(g, frozenset())) for t, g in zip(f["text"], f["lang"], strict=True)]
-            f["distractors"] = [[" ".join(t) for t, _ in m] for m in made]
-            f["categories"] = [[c for _, c in m] for m in made]
+            out = []
+            for rows in f["made"]:
+                options = [{c: [] for c in perturb.CATEGORIES} for _ in range(2)]
+                for x in rows if rows is not None else ():
+                    options[x["position"]][x["category"]].append(x["text"])
+                out.append(perturb.arrange(options, 2))
+            f["distractors"] = [[" ".join(t) for t, _ in m] for m in out]
+            f["categories"] = [[c for _, c in m] for m in out]
             yield f[["doc_id", "first_row", "lang", "distractors", "categories"]]
 
-    return blocks.mapInPandas(run, "doc_id bigint, first_row int, lang string, distractors array<string>, categories array<array<string>>")
+    whole = blocks.select("doc_id", "first_row", "lang").join(made, ["doc_id", "first_row"], "left")
+    return whole.mapInPandas(run, "doc_id bigint, first_row int, lang string, distractors array<string>, categories array<array<string>>")
 
 
 QUERIES["perturbed_windows"] = perturbed_windows

@@ -55,6 +55,26 @@ def test_all_lines_have_variants_and_blocks(spark, tmp_path):
     assert {(r["doc_id"], r["first_row"], r["position"], r["category"], r["variant"], r["text"]) for r in got if r["kind"] != "true"} == want
 
 
+def test_every_word_of_a_large_vocabulary_counts(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    name = lambda i: letters[i // 676] + letters[i // 26 % 26] + letters[i % 26]
+    common = [name(i) for i in range(6000)]  # as many lower-case words, the commonest first
+    names = [f"{name(i).title()}zz" for i in range(6000)]
+    texts = [f"{w} {w}" for w in common[:5500]] + common[5500:] + [f"{common[-1].title()}, here." for _ in range(2)] + [f"x. {n} came." for n in names]
+    rows = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)] + [(-1, None, "x. Rome came."), (-2, None, "x. Oslo came.")], "i int, lang string, text string")
+    words, bank = perturb.cased_words(rows)
+    assert bank.filter("lang = 'en'").count() == 6000
+    got = {}
+    for r in perturb.sentence_variants(rows, ["i"], 2, 3, words, bank).filter("category = 'entity'").orderBy("variant").collect():
+        got.setdefault(r["i"], []).append(r["text"])
+    lower = frozenset(w for t in texts for w in t.replace(",", "").replace(".", "").split(" ") if w.islower())
+    want = {i: made for i, t in [*list(enumerate(texts))[:3], *list(enumerate(texts))[-600:], *list(enumerate(texts))[6000:6002]] if (made := perturb.variants(t, "en", "entity", 2, 3, tuple(sorted(names)), lower))}
+    assert want and 6000 not in got and all(got[i] == x for i, x in want.items())
+    assert {i for i in got if i >= 0} == set(range(6002, 12002)) and got[-1] == ["x. Oslo came."] and got[-2] == ["x. Rome came."]
+    replaced = {t.split(" ")[1] for i, x in got.items() if i >= 0 for t in x}
+    assert len(replaced) > 5000
+
+
 def test_retrieval_ties_go_to_the_lowest_index(spark):
     q = spark.createDataFrame([("x", 1, [1.0, 0.0]), ("x", 2, [0.0, 1.0])], "lang string, block_id int, vector array<double>")
     c = spark.createDataFrame([("x", 0, 1, "true", None, 0, 0, [1.0, 0.0]), ("x", 1, 1, "perturbed", "number", 0, 0, [2.0, 0.0]), ("x", 2, 2, "true", None, 0, 0, [1.0, 0.0])], "lang string, pool_idx int, block_id int, kind string, category string, position int, variant int, vector array<double>")
