@@ -54,6 +54,11 @@ def feasible(sizes: dict[str, int], policy: str = "mix") -> int:
     return min(s, 2 * a, 2 * n) if policy == "mix" else min(s, a, n)
 
 
+def mix_total(sizes: dict[str, int], mixes, cap: int = TOTAL_CAP) -> int:
+    """Rows of every mix: as many as all of ``mixes`` can be filled with, at most ``cap``."""
+    return min(feasible(sizes, "pure" if any(m.kind in ("nat", "agg") for m in mixes) else "mix"), cap)
+
+
 def ordered_pools(rows: DataFrame, origin: str, key: list[str], seed: str, stratify_by: list[str] | None = None) -> DataFrame:
     """Adds ``rank`` (from 1) of every row in the seeded order of its origin, so that prefixes of one order nest."""
     by = [origin, *(stratify_by or [])]

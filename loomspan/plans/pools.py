@@ -56,7 +56,11 @@ def mix_counts(spark, sf_dir):
 
 
 def mix_manifest(spark, sf_dir):
-    return mixtures.manifest(_mixed(spark, sf_dir), ["origin", "lp"], ["id", "origin", "lp"])
+    """Mixes of the size that the pools allow."""
+    rows = _rows(spark, sf_dir)
+    total = mixtures.mix_total({r["origin"]: r["count"] for r in rows.groupBy("origin").count().collect()}, mixtures.MIXES)
+    mixed = mixtures.build_mixes(mixtures.small_prefix(rows, "origin", ["id"], "13", total), "origin", mixtures.MIXES, total)
+    return mixtures.manifest(mixed, ["origin", "lp"], ["id", "origin", "lp"])
 
 
 QUERIES["mix_manifest"] = mix_manifest

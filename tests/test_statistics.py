@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 
 from loomspan.functions import numeric
 from loomspan.operators import annotations, bootstrap, contrastive, correlate, duel, mixtures, normalize, profile
+from loomspan.plans import pools
 from pyspark.sql import functions as F
 
 
@@ -116,6 +117,16 @@ def test_mixes_nest_and_have_one_size(spark):
     assert {m.name for m in mixtures.MIXES} >= {"frac010", "frac000nat", "frac000agg"} and len(mixtures.PRESETS) == 3
 
 
+@pytest.mark.parametrize("sizes", [{"F": 450, "O": 700, "P": 410}, {"F": 100, "O": 30, "P": 90}])
+def test_mixes_are_as_large_as_the_pools_allow(spark, tmp_path, sizes):
+    rows = [(i, s, "lp") for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    spark.createDataFrame(rows, "o_orderkey bigint, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = pools.mix_manifest(spark, str(tmp_path)).groupBy("mix").agg(F.sum("n").alias("n")).collect()
+    assert {r["mix"]: r["n"] for r in got} == {m.name: min(sizes.values()) for m in mixtures.MIXES}
+    assert mixtures.mix_total({"sent": 10**6, "agg": 10**6, "native": 10**6}, mixtures.MIXES) == mixtures.TOTAL_CAP
+    assert mixtures.mix_total({"sent": 10, "agg": 8, "native": 6}, mixtures.MIXES[:7]) == 10
+
+
 def test_student_tail():
     assert contrastive.student_p(2.0, 10) == pytest.approx(0.0733880, abs=1e-6)
     assert contrastive.student_p(0.0, 5) == pytest.approx(1.0)
