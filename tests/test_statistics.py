@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from loomspan.functions import numeric
 from loomspan.operators import annotations, bootstrap, contrastive, correlate, duel, mixtures, normalize, profile
-from loomspan.plans import pools
+from loomspan.plans import pools, statistics
 from pyspark.sql import functions as F
 
 
@@ -151,6 +151,13 @@ def test_bootstrap_resamples_documents(spark):
     assert bootstrap.multinomial(5, 3, 1).sum(axis=1).tolist() == [5, 5, 5]
 
 
+def test_intervals_come_from_a_thousand_resamples(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").orderBy("l_orderkey", "l_linenumber").limit(120).write.parquet(f"{tmp_path}/lineitem.parquet")
+    for query in (statistics.bootstrap_ci, statistics.bootstrap_tau_delta):
+        got = query(spark, str(tmp_path)).head()
+        assert got["draws"] == 1000 and got["low"] < got["mean"] < got["high"]
+
+
 def test_perturbations_that_keep_the_quality(spark):
     cells = spark.createDataFrame([("sentence_splitting", 0.8), ("tense_consistency", 0.6), ("pronoun_swap_plural", 0.1)], "perturbation string, accuracy double")
     got = {r["perturbation"]: r for r in contrastive.with_meaning(cells).collect()}
