@@ -3,7 +3,8 @@
 Short texts are parted by size. For a part whose largest has n shingles, documents are cut into blocks of s = ceil(n / 2)
 shingles and every three blocks in a row are a window, so each run of n shingles lies in one window as a whole.
 Rows per band are the most for which a short text that is contained at the threshold is missed with a
-probability of at most MISS; whatever is retrieved is then verified on the words themselves.
+probability of at most MISS; whatever is retrieved is then verified on the words themselves. With one row per band, which
+is the rule, a text torn into pieces far apart is found as surely: each hash's least shingle lies in some window.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import types as T
 from .shared import WordHashes, chunks, hash_words, mix, payload, shingles, text_or_empty
 
 HASHES, MISS, SHINGLE, THRESHOLD = 64, 2e-5, 5, 0.8
+#: Shingles of retrieved short texts that a worker keeps for verification.
+KNOWN_SHINGLES = 300_000
 #: Largest number of shingles of each part; it goes on by a factor of 3 as far as there are short texts.
 PART_BOUNDS = (2, 8, 24, 72, 216, 648, 1944)
 
@@ -63,24 +66,24 @@ def hashed(x: np.ndarray, j: int) -> np.ndarray:
 
 @dataclass
 class Part:
-    """Short texts of about one size: band keys, and which texts have them."""
+    """Short texts of about one size: band keys in order, and the id of the text of each."""
 
     stride: int
     rows: int
-    sets: dict[int, np.ndarray]
-    owner: dict[int, int]
+    ids: np.ndarray
+    sizes: np.ndarray
     values: list[np.ndarray] = field(default_factory=list)
-    owners: list[np.ndarray] = field(default_factory=list)
+    order: list[np.ndarray] = field(default_factory=list)
     maybe: list[np.ndarray] = field(default_factory=list)
 
-    def build(self) -> None:
-        ids = np.array([self.owner[i] for i in self.sets], np.int64)
-        minima = [np.array([hashed(s, j).min() for s in self.sets.values()], np.uint32) for j in range(HASHES)]
+    def build(self, flat: np.ndarray) -> None:
+        """From the shingle hashes of all texts, one text after the other."""
+        begins = np.cumsum(self.sizes) - self.sizes
         for b in range(HASHES // self.rows):
-            keys = band_key(minima[b * self.rows : (b + 1) * self.rows])
+            keys = band_key([np.minimum.reduceat(hashed(flat, j), begins) for j in range(b * self.rows, (b + 1) * self.rows)])
             order = np.argsort(keys, kind="stable")
             self.values.append(keys[order])
-            self.owners.append(ids[order])
+            self.order.append(order.astype(np.int32))
             some = np.zeros(1 << 16, bool)
             some[keys >> np.uint32(16)] = True
             self.maybe.append(some)
@@ -98,26 +101,23 @@ def band_key(minima: list[np.ndarray]) -> np.ndarray:
 class WindowIndex:
     """An index of short texts, given as {id: words}; texts without words are in none of its parts.
 
-    With ``owner`` ({key: id}) ``texts`` go by keys, and texts of one id are searched each but verified as the union of
-    their shingles.
+    It holds 8 bytes a band and text, and the words: shingles to verify with are made when a text is first retrieved.
     """
 
-    def __init__(self, texts: dict[int, list[bytes]], threshold: float = THRESHOLD, owner: dict[int, int] | None = None):
+    def __init__(self, texts: dict[int, list[bytes]], threshold: float = THRESHOLD):
         self.threshold = threshold
-        owner = owner or {i: i for i in texts}
-        self.shingles: dict[int, frozenset] = {}
-        for i, w in texts.items():
-            if w:
-                self.shingles[owner[i]] = self.shingles.get(owner[i], frozenset()).union(word_shingles(w))
+        self.texts = {i: b" ".join(w) for i, w in texts.items() if w}
+        self._known: dict[int, frozenset] = {}
+        self._held = 0
         cache = WordHashes()
-        hashes = {i: np.unique(shingles(*hash_words([w], cache), SHINGLE)[0]) for i, w in texts.items() if w}
+        hashes = {i: np.unique(shingles(*hash_words([texts[i]], cache), SHINGLE)[0]) for i in self.texts}
         largest = max(map(len, hashes.values()), default=0)
         self.parts, low = [], 0
         for high in part_bounds(largest):
-            self._add(hashes, low, high, owner)
+            self._add(hashes, low, high)
             low = high
 
-    def _add(self, hashes: dict[int, np.ndarray], low: int, high: int, owner: dict[int, int]) -> None:
+    def _add(self, hashes: dict[int, np.ndarray], low: int, high: int) -> None:
         """Parts of the texts of more than ``low`` and at most ``high`` shingles, cut finer where one would miss more than MISS."""
         own = {i: h for i, h in hashes.items() if low < len(h) <= high}
         if not own:
@@ -130,13 +130,24 @@ class WindowIndex:
             if high - low == 1:
                 raise ValueError(f"{HASHES} hashes miss more than {MISS} of the texts of {high} shingles at a threshold of {self.threshold}")
             middle = max(low + 1, int((max(low, 1) * high) ** 0.5))
-            self._add(hashes, low, middle, owner)
-            self._add(hashes, middle, high, owner)
+            self._add(hashes, low, middle)
+            self._add(hashes, middle, high)
             return
-        part = Part(stride, rows, own, owner)
-        part.build()
+        part = Part(stride, rows, np.array(list(own), np.int64), np.array([len(h) for h in own.values()], np.int64))
+        part.build(np.concatenate(list(own.values())))
         self.parts.append(part)
 
+    def shingles_of(self, i: int) -> frozenset:
+        """The shingles of a text, kept for the next time within a bound."""
+        known = self._known.get(i)
+        if known is None:
+            if self._held > KNOWN_SHINGLES:
+                self._known.clear()
+                self._held = 0
+            known = self._known[i] = frozenset(word_shingles(self.texts[i].split(b" ")))
+            self._held += len(known)
+        return known
+
     def candidates(self, per_text: list[np.ndarray]) -> set[tuple[int, int]]:
         """(place of the text, id of the short text) that share a band in some window."""
         lens = np.fromiter(map(len, per_text), np.int64, len(per_text))
@@ -168,7 +179,7 @@ class WindowIndex:
                         lo, hi = np.searchsorted(values, keys[near], "left"), np.searchsorted(values, keys[near], "right")
                         for k in np.flatnonzero(hi > lo):
                             t = int(text[near[k]])
-                            found.update((t, int(o)) for o in part.owners[band][lo[k] : hi[k]])
+                            found.update((t, o) for o in part.ids[part.order[band][lo[k] : hi[k]]].tolist())
                 rows.clear()
         return found
 
@@ -182,7 +193,7 @@ class WindowIndex:
                 places[s] = [p, p]
         out = []
         for i in sorted(ids):
-            own = self.shingles[i]
+            own = self.shingles_of(i)
             shared = [places[s] for s in own if s in places]
             if len(shared) >= self.threshold * len(own) - 1e-9:
                 out.append((i, len(own), len(shared), min(a for a, _ in shared), min(max(b for _, b in shared) + SHINGLE, len(words)) - 1))

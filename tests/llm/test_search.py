@@ -5,10 +5,25 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspan.llm import decontaminate, license_scan, window_search
+from loomspan.llm.shared import WordHashes, hash_words
+from loomspan.llm.shared import shingles as hashed
 
 from .brute import corpus, lower, shingles, words
 
 
+def plain(docs, items):
+    """(document, item, shingles, shared) of every document row and distinct item."""
+    out = []
+    for i, x in set(items):
+        own = shingles(words(lower(x)), 5)
+        out += [(d, i, len(own), len(own & shingles(words(lower(t)), 5))) for d, t in docs if own and len(own & shingles(words(lower(t)), 5)) >= 0.8 * len(own)]
+    return sorted(out, key=str)
+
+
+def rows(found):
+    return sorted(((r["doc"]["doc_id"], r["item_id"], r["n_shingles"], r["n_shared"]) for r in found.collect()), key=str)
+
+
 def test_items_against_brute_force(spark):
     rng = random.Random(4)
     make = lambda k: [f"v{rng.randrange(3000)}" for _ in range(k)]
@@ -22,34 +37,61 @@ def test_items_against_brute_force(spark):
             at = rng.randint(0, len(body))
             body[at:at] = item
         docs.append((i, " ".join(body).upper() if i % 2 else "\n".join(body)))
-    docs += [(99, None), (98, ""), docs[1], docs[1]]
-    want = []
-    for d, t in docs:
-        have = shingles(words(lower(t)), 5)
-        for i, x in items:
-            own = shingles(words(lower(x)), 5)
-            if i is not None and own and len(own & have) >= 0.8 * len(own):
-                want.append((d, i, len(own), len(own & have)))
-    df = spark.createDataFrame(docs, "doc_id int, text string").withColumns({c: F.lit(1) for c in ("doc", "matches", "m", "id", "item_id")})
+    docs += [(99, None), (98, ""), docs[1], docs[1], (97, "q a b c d e f q")]
+    want = plain(docs, items)
+    df = spark.createDataFrame(docs, "doc_id int, text string").withColumns({c: F.lit(1) for c in ("doc", "matches", "m", "id", "item_id", "_key")})
     table = spark.createDataFrame(items, "item_id bigint, text string")
-    got = sorted((r["doc"]["doc_id"], r["item_id"], r["n_shingles"], r["n_shared"]) for r in decontaminate.find_items(df, table).collect())
-    assert got == sorted(want) and len(want) > 5
+    assert rows(decontaminate.find_items(df, table)) == want and len(want) > 5
+    assert rows(decontaminate.find_items(df, table, pass_bytes=3000)) == want  # several passes
     dirty = {w[0] for w in want}
-    clean = decontaminate.drop_contaminated(df, table)
-    assert clean.columns == df.columns and sorted(r["doc_id"] for r in clean.collect()) == sorted(d for d, _ in docs if d not in dirty)
-    blocks = decontaminate.indexes(table, "item_id", "text", 0.8, per_pass=3)
-    assert len(blocks) > 1 and sum(len(b.shingles) for b in blocks) == 10
+    for size in (decontaminate.PASS_BYTES, 3000):
+        clean = decontaminate.drop_contaminated(df, table, pass_bytes=size)
+        assert clean.columns == df.columns and sorted(r["doc_id"] for r in clean.collect()) == sorted(d for d, _ in docs if d not in dirty)
     assert decontaminate.find_items(df, table.limit(0)).count() == 0 and decontaminate.find_items(df.limit(0), table).count() == 0
+    assert decontaminate.drop_contaminated(df, table.limit(0)).count() == len(docs)
 
 
-def test_all_texts_of_shared_and_missing_ids(spark):
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_hostile_ids(spark, kind):
+    """Ids that are null, repeated with the same and with other texts, and no numbers."""
     long, short, other = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("z", 40), ("a", 20), ("m", 30)))
-    table = spark.createDataFrame([(7, long), (7, short), (7, short), (None, other)], "item_id bigint, text string")
-    docs = spark.createDataFrame([(1, f"x y {short} q"), (2, f"x y {other} q"), (3, f"x y {long} q {short}"), (4, "x y q"), (5, f"x y {long} q")], "doc_id int, text string")
-    assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, table).collect()] == [4]
-    union = len(shingles(words(long), 5) | shingles(words(short), 5))
-    got = [(r["doc"]["doc_id"], r["item_id"], r["n_shingles"], r["n_shared"]) for r in decontaminate.find_items(docs, table).collect()]
-    assert got == [(3, 7, union, union)]
+    seven = 7 if kind == "bigint" else "seven"
+    items = [(seven, long), (seven, short), (seven, short), (None, other), (None, long)]
+    table = spark.createDataFrame(items, f"item_id {kind}, text string")
+    docs = [(1, f"x y {short} q"), (2, f"x y {other} q"), (3, f"x y {long} q {short}"), (4, "x y q"), (5, f"x y {long} q")]
+    df = spark.createDataFrame(docs, "doc_id int, text string")
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(df, table).collect()] == [4]
+    got = rows(decontaminate.find_items(df, table))
+    assert got == plain(docs, items) and {g[0] for g in got} == {1, 2, 3, 5}
+
+
+def test_items_of_all_sizes(spark):
+    """Items of 1 to 60,000 words, each held to four fifths and a bit more, beside one another."""
+    rng = random.Random(9)
+    items = [(n, " ".join(f"u{n}_{rng.randrange(10 * n)}" for _ in range(n))) for n in (5, 11, 40, 170, 700, 2000, 2100, 9000, 60_000)]
+    docs = [(n, "x " * 50 + " ".join(t.split(" ")[: int(0.84 * n) + 4]) + " y" * 300) for n, t in items]
+    df, table = spark.createDataFrame(docs, "doc_id int, text string").repartition(4), spark.createDataFrame(items, "item_id bigint, text string")
+    got = rows(decontaminate.find_items(df, table))
+    assert got == plain(docs, items) and len(got) == len(items)
+
+
+def test_scattered_items_are_found():
+    """Recall of items torn into ten pieces that lie far apart in long documents, and of long ones beside a longer one."""
+    rng = random.Random(2)
+    texts = {i: [f"s{i}_{j}".encode() for j in range(rng.choice([60, 100, 250, 2000]))] for i in range(120)}
+    texts[999] = [f"big{j}".encode() for j in range(60_000)]
+    index = window_search.WindowIndex(texts)
+    docs, expected = [], 0
+    for i in range(120):
+        own, body = texts[i], [b"f%d" % rng.randrange(50_000) for _ in range(9000)]
+        step = -(-len(own) // 10)
+        for k in range(10):
+            body[900 * k : 900 * k] = own[k * step : (k + 1) * step]
+        docs.append(body)
+        expected += len(shingles(own, 5) & shingles(body, 5)) >= 0.8 * len(shingles(own, 5))
+    hashes = [hashed(*hash_words([d], WordHashes()), 5)[0] for d in docs]
+    found = sum((0, i) in index.candidates([h]) and bool(index.verified(docs[i], [i])) for i, h in enumerate(hashes))
+    assert expected > 50 and found >= 0.99 * expected
 
 
 def test_bands_find_what_they_should():
@@ -61,9 +103,9 @@ def test_bands_find_what_they_should():
 
 def test_one_very_long_item_leaves_the_others_their_bound():
     index = window_search.WindowIndex({n: [f"x{n}_{i}".encode() for i in range(n + 4)] for n in (60, 1945, 7000, 20_000, 50_000)})
-    assert sorted(len(h) for p in index.parts for h in p.sets.values()) == [60, 1945, 7000, 20_000, 50_000]
+    assert sorted(n for p in index.parts for n in p.sizes) == [60, 1945, 7000, 20_000, 50_000]
     for part in index.parts:
-        least = min(map(len, part.sets.values()))
+        least = min(part.sizes)
         held = np.ceil(0.8 * least)
         j = held / (3 * part.stride + least - held)
         assert (1 - j**part.rows) ** (window_search.HASHES // part.rows) <= window_search.MISS
@@ -84,9 +126,6 @@ def test_each_template_finds_itself(i):
     index = window_search.WindowIndex({n: license_scan.split(t.encode()) for n, _, t in license_scan.TEMPLATES})
     number, _, text = license_scan.TEMPLATES[i]
     ws = license_scan.split(("lorem ipsum dolor " * 90 + text + " sit amet" * 50).encode())
-    from loomspan.llm.shared import WordHashes, hash_words
-    from loomspan.llm.shared import shingles as hashed
-
     found = index.candidates(hashed(*hash_words([ws], WordHashes()), 5))
     assert (0, number) in found and number in [v[0] for v in index.verified(ws, [number])]
 
