@@ -7,13 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, text_or_empty
+from .shared import Scratch, small, text_or_empty
 from .window_search import HASHES, THRESHOLD, WindowIndex, search
 
 #: Bytes of the index of one pass over the documents: bounds what the driver holds and sends, whatever the number of items.
 PASS_BYTES = 128 << 20
-#: Most items that are joined back to their ids by broadcast; more are joined by a shuffle.
-BROADCAST_ITEMS = 300_000
 _ITEM_BYTES = 8 * HASHES + 200
 
 
@@ -59,7 +57,7 @@ def find_items(docs: DataFrame, items: DataFrame, item_id: str = "item_id", thre
     if not found:
         found = [search(docs, WindowIndex({}), split).select("doc", F.explode("matches").alias("m"))]
     ids = passes.table.select(F.col("_key"), F.col("_id").alias("item_id"))
-    rows = reduce(DataFrame.unionByName, found).join(F.broadcast(ids) if passes.items <= BROADCAST_ITEMS else ids, F.col("m.id") == F.col("_key"))
+    rows = reduce(DataFrame.unionByName, found).join(small(ids, passes.items), F.col("m.id") == F.col("_key"))
     return rows.select("doc", "item_id", F.col("m.n_shingles").alias("n_shingles"), F.col("m.n_shared").alias("n_shared"), (F.col("m.n_shared") / F.col("m.n_shingles")).alias("containment"))
 
 

@@ -25,14 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Scratch, WordHashes, chunks, hash_words, mix, payload, row_key, shingles, signed, text_or_empty
+from .shared import Scratch, WordHashes, chunks, hash_words, mix, payload, row_key, shingles, signed, small, text_or_empty
 from .window_search import word_shingles
 
 WIDTH, PERCENT = 3, 90
 #: Ratio of the bounds of size classes; sets of one class have equally many parts.
 CLASS_RATIO = 1.5
-#: Most rows of keys that are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 300_000
 STAR_ROUNDS, STAR_PICKS = 3, 4
 #: 64-bit words of a set's sketch.
 SKETCH = 16
@@ -166,11 +164,6 @@ def _may_link(a: str, b: str, percent: int):
     return (F.lit(100) * F.least(na, nb) >= F.lit(percent) * F.greatest(na, nb)) & (_distance(a, b) <= most)
 
 
-def _small(table: DataFrame, rows: int) -> DataFrame:
-    """To be broadcast if it has few rows (of two or three numbers each); else it is shuffled as any table."""
-    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
-
-
 class _Join:
     """State of one run: the tables in the shared folder."""
 
@@ -186,7 +179,7 @@ class _Join:
         alike = sets.filter("n > 0").groupBy("digest").agg(F.min("id").alias("low"), F.min(F.struct("row", "_key1", "_key2")).alias("text_of"), *[F.any_value(c).alias(c) for c in ("n", *_BITS)])
         self.nodes = save(alike.withColumn("node", F.col("text_of.row")), "nodes")
         copies = save(rows.join(self.nodes.select("digest", "node"), "digest").filter("row != node").select("row"), "copies")
-        first = sets.join(_small(copies, copies.count()), "row", "left_anti")
+        first = sets.join(small(copies, copies.count()), "row", "left_anti")
         posted = first.select(F.col("row").alias("node"), F.explode(F.arrays_zip("keys", "needs")).alias("e")).select("node", F.col("e.keys").alias("key"), F.col("e.needs").alias("need"))
         shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1")
         shared = save(shared, "shared")  # a table of its own, so that the join's hot keys can be split
@@ -268,7 +261,7 @@ class _Join:
         used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = self.scratch.save(used.join(self.nodes.select("node", "text_of"), "node").select("node", F.col("text_of._key1").alias("_key1"), F.col("text_of._key2").alias("_key2")), "wanted")
         n = wanted.count()
-        wanted = _small(wanted, n)
+        wanted = small(wanted, n)
         text = text_or_empty(f"`{self.text_col}`")
         source = self.docs.select(*row_key(F.col(f"`{self.id_col}`"), text), text.alias("text"))
         texts = self.texts = self.scratch.save(source.join(wanted, ["_key1", "_key2"]).select("node", "text"), "texts")
@@ -278,7 +271,7 @@ class _Join:
         """Pairs with ``linked``, from the words of both texts."""
         texts = self._texts(pairs)
         width, percent = self.width, self.percent
-        one = texts.withColumnsRenamed({"node": "a", "text": "text_a"}).join(_small(pairs, pairs.count()), "a")
+        one = texts.withColumnsRenamed({"node": "a", "text": "text_a"}).join(small(pairs, pairs.count()), "a")
         both = one.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
 
         def run(batches):

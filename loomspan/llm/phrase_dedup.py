@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Scratch, WordHashes, chunks, hash_words, mix, payload, row_key, signed, text_or_empty
+from .shared import Scratch, WordHashes, chunks, hash_words, mix, payload, row_key, signed, small, text_or_empty
 
 WINDOW, GRAM = 35, 10
 #: Different pieces that one automaton and its stream are meant for; anchors with more are dealt anew by window.
@@ -262,20 +262,22 @@ def covered_ranges(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
     recurring = _again(scratch.save(all_pieces(docs, id_col, text_col, window), "pieces"), scratch)
     different = _different(recurring, scratch)
     crowded = scratch.save(different.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > shard_pieces).select("anchor"), "crowded")
-    if not crowded.isEmpty():
-        # the rest in one table, and its crowded anchors' pieces dealt anew by window, which equal windows share too
-        single = _again(scratch.save(by_window(docs, recurring.join(crowded, "anchor"), id_col, text_col, window), "windows"), scratch)
-        whole = scratch.save(recurring.join(crowded, "anchor", "left_anti").unionByName(single), "dealt")
-        scratch.drop(recurring, different, single)
-        recurring = whole
-        different = _different(recurring, scratch)
-    texts = scratch.save(piece_texts(docs, different, id_col, text_col, window), "texts")
-    scratch.drop(different, crowded)
+    if n := crowded.count():
+        # pieces of crowded anchors are dealt anew by window, which equal windows share too; as they were they have no ranges
+        single = _again(scratch.save(by_window(docs, recurring.join(small(crowded, n), "anchor"), id_col, text_col, window), "windows"), scratch)
+        others = _different(single, scratch)
+        whole = different.join(small(crowded, n), "anchor", "left_anti").unionByName(others)
+    else:
+        single = others = None
+        whole = different
+    texts = scratch.save(piece_texts(docs, whole, id_col, text_col, window), "texts")
+    scratch.drop(different, crowded, *([others] if others else []))
     ranges = scratch.save(located_ranges(texts, max(1, texts.count() // shard_pieces), window), "ranges")
     scratch.drop(texts)
-    placed = recurring.join(ranges, ["anchor", "piece"]).select("_key1", "_key2", (F.col("lo") + F.col("start")).alias("start"), "length")
+    placed = recurring if single is None else recurring.unionByName(single)
+    placed = placed.join(ranges, ["anchor", "piece"]).select("_key1", "_key2", (F.col("lo") + F.col("start")).alias("start"), "length")
     covered = scratch.save(placed.groupBy("_key1", "_key2").agg(F.collect_set(F.struct("start", "length")).alias("ranges")), "covered")
-    scratch.drop(recurring, ranges)
+    scratch.drop(recurring, ranges, *([single] if single else []))
     return covered
 
 

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 2_000_000
 #: Entries of a word-hash cache before it is emptied.
 CACHE_WORDS = 300_000
+#: Most rows of a table of numbers that is broadcast.
+BROADCAST_ROWS = 300_000
 #: White space inside and around words, as the contracts define it.
 SPACES = " \t\n\x0b\x0c\r"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -86,6 +88,11 @@ class Scratch:
         return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def small(table: DataFrame, rows: int) -> DataFrame:
+    """To be broadcast if it has few rows (of two or three numbers each); else it is shuffled as any table."""
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
 def text_or_empty(name: str):
     """The text column, null as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
