@@ -9,7 +9,8 @@ growing corpora unrelated texts meet in ever more of them.) The boundary is wher
 
 Equal sets are one node from the start. Links are never enumerated within a group of near copies: in each list every
 node is held against one node of it, groups grow, and only pairs across groups are considered after that, until none
-is left unverified. So no link between different groups is lost, and the work follows the number of texts.
+is left unverified. Long lists are cut into blocks there, and pairs of blocks are dealt over tasks. So no link between
+different groups is lost, and the work follows the number of texts.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ WIDTH, PERCENT = 3, 90
 #: Ratio of the bounds of size classes; sets of one class have equally many parts.
 CLASS_RATIO = 1.5
 STAR_ROUNDS, STAR_PICKS = 3, 4
+#: Nodes of a list that are held against each other in one task; a longer list is cut into blocks, and each pair of blocks is a task's.
+LIST_ROWS = 1000
 #: 64-bit words of a set's sketch.
 SKETCH = 16
 
@@ -236,11 +239,15 @@ class _Join:
         """
         full = self._labelled(label).join(self.nodes.select("node", "n", *_BITS), "node")
         sizes = full.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_m"))
-        largest = self.scratch.save(sizes.groupBy("key").agg(F.max_by("label", F.struct("_m", "label")).alias("_main")), "largest")
+        largest = self.scratch.save(sizes.groupBy("key").agg(F.max_by("label", F.struct("_m", "label")).alias("_main"), F.ceil(F.sum("_m") / LIST_ROWS).cast("int").alias("_blocks")), "largest")
         self.done.append(largest)
         one = full.select("key", F.struct("node", "label", "n", *_BITS).alias("b"))
         other = full.join(largest, "key").filter(F.col("label") != F.col("_main")).select("key", F.struct("node", "label", "n", *_BITS).alias("a"))
-        pairs = one.join(other, "key").filter((F.col("a.label") != F.col("b.label")) & _may_link("a", "b", self.percent))
+        cut = largest.filter("_blocks > 1").select("key", "_blocks")
+        n, by = cut.count(), ["key"]
+        if n:
+            one, other, by = self._in_blocks(one, "b", small(cut, n)), self._in_blocks(other, "a", small(cut, n)), ["key", "_x", "_y"]
+        pairs = one.join(other, by).filter((F.col("a.label") != F.col("b.label")) & _may_link("a", "b", self.percent))
         if nearest:
             met = pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("b.label").alias("l"), _distance("a", "b").alias("d"))
             turn = F.row_number().over(Window.partitionBy("a", "l").orderBy("d", "b"))
@@ -250,6 +257,14 @@ class _Join:
         pairs = pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
         return self._untried(pairs, tried)
 
+    @staticmethod
+    def _in_blocks(side: DataFrame, name: str, cut: DataFrame) -> DataFrame:
+        """A side of the join of lists, long lists cut into blocks of nodes: (``_x``, ``_y``) are the blocks of a and of b."""
+        own, other = ("_x", "_y") if name == "a" else ("_y", "_x")
+        blocks = F.coalesce("_blocks", F.lit(1))
+        dealt = side.join(cut, "key", "left").withColumn(own, F.pmod(F.xxhash64(F.lit(3), f"{name}.node"), blocks).cast("int"))
+        return dealt.withColumn(other, F.explode(F.sequence(F.lit(0), blocks - 1))).drop("_blocks")
+
     def _untried(self, pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
         if tried is None:
             return pairs
@@ -341,12 +356,17 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` with all columns, of every group only the one with the smallest id; texts without words all stay."""
+    """The rows of ``docs`` with all columns, of every group only one: texts without words, in no group, all stay.
+
+    The one is that with the smallest id, a null id only if all are null; of different texts under one id, that with the
+    smaller hash; of rows equal in id and text, one whose other columns, written as JSON, come first. An empty table stays empty.
+    """
     found = jaccard_groups(docs, id_col, text_col, width, percent)
-    first = found.filter("n_shingles > 0").groupBy("group").agg(F.min(F.struct("id", "_key1", "_key2")).alias("k")).select("k._key1", "k._key2")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "_key1", "_key2")
+    first = found.filter("n_shingles > 0").groupBy("group").agg(F.min(order).alias("k")).select("k._key1", "k._key2")
     text = text_or_empty(f"`{text_col}`")
     base = docs.select(*row_key(F.col(f"`{id_col}`"), text), payload(docs, text_col).alias("doc"), F.col(f"`{text_col}`").alias("_text"))
-    kept = base.join(first, ["_key1", "_key2"], "left_semi").dropDuplicates(["_key1", "_key2"])
+    kept = base.join(first, ["_key1", "_key2"], "left_semi").groupBy("_key1", "_key2").agg(F.min_by(F.struct("doc", "_text"), F.to_json("doc")).alias("_row")).select("_key1", "_key2", "_row.*")
     wordless = base.filter(~F.coalesce(F.col("_text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
     return kept.unionByName(wordless).select(*[F.col("_text").alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns])
 

@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -32,6 +33,37 @@ def groups(rows, width, percent):
     return sorted((r[0], len(sets[i]), low[find(i)] if sets[i] else r[0]) for i, r in enumerate(rows))
 
 
+@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80), (1, 60)])
+def test_groups_against_all_pairs_in_blocks(spark, monkeypatch, width, percent):
+    """Every list of more than two nodes is long."""
+    monkeypatch.setattr(nj, "LIST_ROWS", 2)
+    rows = corpus(4)
+    got = nj.jaccard_groups(spark.createDataFrame(rows, SCHEMA), width=width, percent=percent).collect()
+    assert sorted((r["id"], r["n_shingles"], r["component_id"]) for r in got) == groups(rows, width, percent)
+
+
+def test_near_misses_of_one_template(spark, monkeypatch):
+    """Texts that are mutually just below the threshold stay apart, and those above link, whichever blocks they are in."""
+    monkeypatch.setattr(nj, "LIST_ROWS", 40)
+    rng = random.Random(5)
+    base, rows = [f"t{i}" for i in range(200)], []
+    for i in range(150):
+        ws = list(base)
+        for _ in range(rng.choice([2, 5, 5, 6])):
+            ws[rng.randrange(200)] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(ws)))
+    got = nj.jaccard_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["id"], r["n_shingles"], r["component_id"]) for r in got) == groups(rows, 3, 90)
+
+
+def test_one_of_each_group_with_ties_and_null_ids(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, text, "a"), (1, text, "z"), (1, text, "b"), (2, text, "a"), (None, "other words " * 9, "n"), (None, "", "e"), (3, None, "f")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, note string")
+    got = sorted((str(r["doc_id"]), r["note"]) for r in nj.one_of_each_group(df).collect())
+    assert got == [("1", "b"), ("3", "f"), ("None", "e"), ("None", "n")]
+
+
 @pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80), (1, 60)])
 def test_groups_against_all_pairs(spark, width, percent):
     rows = corpus(3)
