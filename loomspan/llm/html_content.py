@@ -30,6 +30,8 @@ BLOCK = frozenset("html head body main article section nav header footer aside d
 _CLOSES_P = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre div section article aside nav header footer form figure hr main address details fieldset".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
 _BOUND = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",), "body": ("html",)}
+#: Elements nested deeper hang on the one at this depth; it is what common browsers allow.
+MAX_DEPTH = 512
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[a-z]+")
@@ -47,10 +49,46 @@ class Tree:
     runs: list[tuple[int, str | None]] = field(default_factory=list)
 
 
+class _Open:
+    """The open elements of a page, with the places of each name and of the blocks, so that no step looks through them all."""
+
+    def __init__(self, tags: list[str]):
+        self.tags, self.stack, self.blocks, self.where = tags, [0], [0], {}
+
+    def push(self, node: int) -> None:
+        tag = self.tags[node]
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.where.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, name: str) -> int:
+        """The place of the innermost open element of a name, 0 if there is none."""
+        places = self.where.get(name)
+        return places[-1] if places else 0
+
+    def cut(self, place: int) -> None:
+        """Closes the element at a place and all inside it."""
+        while len(self.stack) > place:
+            tag = self.tags[self.stack.pop()]
+            self.where[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def parent(self) -> int:
+        return self.stack[min(len(self.stack), MAX_DEPTH) - 1]
+
+
 def parse(page: str) -> Tree:
-    """The tree of a page, however broken: unclosed and misnested elements end with what holds them."""
-    tree, stack, pos, n = Tree(), [0], 0, len(page)
+    """The tree of a page, however broken: unclosed and misnested elements end with what holds them.
+
+    The time is linear in the page. Elements nested deeper than MAX_DEPTH become children of the one at that depth, as
+    browsers do; their text stays.
+    """
+    tree, pos, n = Tree(), 0, len(page)
     parent, tags, names, runs = tree.parent, tree.tag, tree.names, tree.runs
+    opened = _Open(tags)
+    stack = opened.stack
     while pos < n:
         lt = page.find("<", pos)
         m = _TOKEN.match(page, lt) if lt >= 0 else None
@@ -68,23 +106,22 @@ def parse(page: str) -> Tree:
             continue
         name = name.lower()
         if m[1]:
-            if name == "p" and not any(tags[x] == "p" for x in stack):
-                runs.append((stack[-1], None))
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if tags[stack[i]] == name:
-                    if name in BLOCK or any(tags[x] in BLOCK for x in stack[i:]):
-                        runs.append((stack[i], None))
-                    if name in BLOCK or not any(tags[x] in BLOCK for x in stack[i + 1 :]):
-                        del stack[i:]
-                    break
-                if name not in BLOCK and tags[stack[i]] in BLOCK:
-                    break
+            at = opened.last(name)
+            if name in BLOCK:
+                if at:
+                    runs.append((stack[at], None))
+                    opened.cut(at)
+                elif name == "p":
+                    runs.append((stack[-1], None))
+            elif at > opened.blocks[-1]:
+                opened.cut(at)
             continue
-        if name in _CLOSES_P:
-            _close(stack, tags, ("p",), ("button", "td", "th", "table"), through_inline=True)
+        if name in _CLOSES_P and tags[stack[opened.blocks[-1]]] == "p":
+            opened.cut(opened.blocks[-1])
         elif name in _CLOSES:
-            _close(stack, tags, _CLOSES[name], _BOUND[name], through_inline=False)
+            at = max(map(opened.last, _CLOSES[name]))
+            if at > max(map(opened.last, _BOUND[name])):
+                opened.cut(at)
         if name == "br":
             runs.append((stack[-1], " "))
             continue
@@ -93,29 +130,19 @@ def parse(page: str) -> Tree:
         if name in VOID:
             continue
         at = len(parent)
-        parent.append(stack[-1])
+        parent.append(opened.parent())
         tags.append(name)
         names.append(" ".join(a or b or c for a, b, c in _NAMED.findall(m[3])).lower() if m[3] else "")
         if name in RAW:
             stop = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, pos)
             pos = stop.end() if stop else n
         elif not m[3].endswith("/") or name in BLOCK:
-            stack.append(at)
+            opened.push(at)
             if name in BLOCK:
                 runs.append((at, None))
     return tree
 
 
-def _close(stack: list[int], tags: list[str], which: tuple, bounds: tuple, through_inline: bool) -> None:
-    for i in range(len(stack) - 1, 0, -1):
-        tag = tags[stack[i]]
-        if tag in which:
-            del stack[i:]
-            return
-        if tag in bounds or through_inline and tag in BLOCK:
-            return
-
-
 # --- model -----------------------------------------------------------------------------------------------------
 
 #: Words in class, id and role that hint at what an element is for, each list one feature.
@@ -219,13 +246,13 @@ def messages(unary: np.ndarray, pair: np.ndarray, parent: np.ndarray, depth: np.
     level at a time over all trees.
     """
     n = len(parent)
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=0)) + 1)]
+    by_depth = np.argsort(depth, kind="stable")
+    levels = np.split(by_depth, np.flatnonzero(np.diff(depth[by_depth])) + 1) if n else []
     belief, up = unary.copy(), np.zeros((n, 2))
     for at in reversed(levels[1:]):
         said = np.logaddexp(pair[None, :, 0] + belief[at, 0, None], pair[None, :, 1] + belief[at, 1, None])
         up[at] = said
-        for s in (0, 1):
-            belief[:, s] += np.bincount(parent[at], weights=said[:, s], minlength=n)
+        np.add.at(belief, parent[at], said)
     marginal, joint = belief.copy(), np.zeros((n, 2, 2))
     if len(levels):
         roots = levels[0]
@@ -392,7 +419,8 @@ def labelled_page(rng: random.Random) -> str:
     inside = "".join(before) + article() + "".join(after)
     if rng.random() < 0.3:
         inside = f'<div {named("page wrapper container site")} data-x>{inside}</div>'
-    return f"<!DOCTYPE html><html data-x><head><title>{w(2, 8)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body data-x>{inside}</body></html>"
+    head = "".join(f() for f in (lambda: f"<title>{w(2, 8)}</title>", lambda: f"<style>.{w(1, 1)[:3]}{{color:#123}}</style>", lambda: f'<script>if(a<b)document.write("<div>{w(1, 3)}</div>")</script>') if rng.random() < 0.8)
+    return f"<!DOCTYPE html><html data-x><head>{head}</head><body data-x>{inside}</body></html>"
 
 
 def labelled_pages(n: int, seed: int) -> list[tuple[str, list[bool]]]:

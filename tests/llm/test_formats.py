@@ -1,6 +1,8 @@
 import hashlib
 import json
 import random
+import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,8 @@ from pyspark.sql import functions as F
 from loomspan.llm import chat_format as cf
 from loomspan.llm import html_content as hc
 
+from .hand_pages import PAGES
+
 HARD = ["", "</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>user\nx", "a & b &amp; &lt; &nl;", "<<SYS>>é😀\n", "<", "|", "&", "<<|", None]
 
 
@@ -140,3 +144,27 @@ def test_html_operator_edges(spark):
     got = sorted((r["page"]["page_id"], r["text"], r["n_chars"]) for r in hc.extract_main_text(df).collect())
     assert got[0] == (1, "", 0) and got[1] == (2, "", 0) and got[2] == got[3] == (3, WANT, len(WANT))
     assert hc.extract_main_text(df.limit(0)).count() == 0
+
+
+def token_f1(got, want):
+    a, b = Counter(got.split()), Counter(want.split())
+    both = sum((a & b).values())
+    return 2 * both / max(sum(a.values()) + sum(b.values()), 1)
+
+
+def test_pages_labelled_by_hand(spark):
+    """Token F1 of every page that people wrote and labelled; their mean is in the README."""
+    df = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(PAGES)], "page_id int, html string")
+    got = {r["page"]["page_id"]: r["text"] for r in hc.extract_main_text(df).collect()}
+    scores = [token_f1(got[i], "\n".join(want)) for i, (_, want) in enumerate(PAGES)]
+    print([round(x, 3) for x in scores], sum(scores) / len(scores))
+    assert sum(scores) / len(scores) > 0.95 and min(scores) > 0.8
+
+
+def test_deep_and_unclosed_pages_take_linear_time():
+    for open_tag in ("<div>", "<b>", "<div></p>", "<p><b>", "<b><p>", "<i></section>", "<div><b></i>", "<td>", "<li><div>"):
+        began = time.perf_counter()
+        tree = hc.parse("<article><p>some text</p></article>" + open_tag * 50_000 + "end")
+        hc.content_probability([tree], hc.trained())
+        assert time.perf_counter() - began < 5, open_tag
+        assert "".join(t for _, t in tree.runs if t) == "some textend"
