@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch
+from .shared import Scratch, small
 
 #: Share of all tokens that the mix is to hold, in hundredths, and the most epochs that a leaf may be read.
 TARGET_PERCENT, MAX_EPOCHS, SEED = 60, 2, "17"
-#: Integer weights; a name that is not listed weighs DEFAULT_WEIGHT.
+#: Integer weights that a caller may replace; a name that is not listed weighs DEFAULT_WEIGHT.
 DOMAIN_WEIGHTS = {"web": 5, "news": 3, "forum": 2, "reference": 4}
 LANGUAGE_WEIGHTS = {"en": 6, "fr": 2, "de": 2, "es": 2}
-SOURCE_WEIGHTS: dict[str, int] = {}
 DEFAULT_WEIGHT = 1
 _DOMAINS = ("web", "news", "forum", "reference")
 #: Rows of a leaf that one sorted slice is to hold; slices follow the number of rows.
@@ -21,7 +20,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def domain_of(source):
-    """Sources ending in a number are dealt over the four domains by it; others are web."""
+    """Without a catalogue: sources ending in a number are dealt over the four domains by it; others are web."""
     n = F.regexp_extract(source, "([0-9]{1,9})$", 1).try_cast("bigint")
     out = F.lit("web")
     for i, name in enumerate(_DOMAINS):
@@ -36,45 +35,64 @@ def _weight(column, weights: dict[str, int]):
     return out.cast("bigint")
 
 
+def _product(a, b):
+    """Of two integers whose product may pass 64 bits."""
+    return (F.col(a) if isinstance(a, str) else a).cast("decimal(19,0)") * (F.col(b) if isinstance(b, str) else b).cast("decimal(19,0)")
+
+
 def fill(children: DataFrame, parent: list[str], name: str) -> DataFrame:
     """Divides each parent's ``budget`` among its children by ``weight``, none above its ``capacity``; adds ``share``.
 
     Children that cannot use their part are filled and what is left goes to their siblings by weight. Sorted by
     capacity over weight, a child is filled if, given the fills before it, its part would be its capacity or more;
-    integers throughout, so a few tokens below the number of children may stay unused.
+    integers throughout, so a few tokens below the number of children may stay unused. A child of weight 0 gets
+    nothing; a null or negative weight is an error of the caller's. Children of one parent are sorted in one task: they are
+    nodes of the tree (domains, languages, sources), never documents.
     """
-    order = Window.partitionBy(*parent).orderBy((F.col("capacity") / F.col("weight")), name)
+    order = Window.partitionBy(*parent).orderBy(F.when(F.col("weight") > 0, F.col("capacity") / F.col("weight")).otherwise(float("inf")), name)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     after = order.rowsBetween(0, Window.unboundedFollowing)
-    left = F.col("budget") - F.coalesce(F.sum("capacity").over(before), F.lit(0))
+    wanted = F.when(F.col("weight") > 0, F.col("capacity")).otherwise(0)
+    left = F.col("budget") - F.coalesce(F.sum(wanted).over(before), F.lit(0))
     ranked = children.withColumns({"_left": left, "_weights": F.sum("weight").over(after)})
-    full = F.col("_left") * F.col("weight") >= F.col("capacity") * F.col("_weights")
+    full = (F.col("weight") > 0) & (_product("_left", "weight") >= _product("capacity", "_weights"))
     ranked = ranked.withColumn("_full", full)
     whole = Window.partitionBy(*parent)
     rest = ranked.withColumns({"_rest": F.col("budget") - F.sum(F.when(F.col("_full"), F.col("capacity")).otherwise(0)).over(whole), "_open": F.sum(F.when(F.col("_full"), 0).otherwise(F.col("weight"))).over(whole)})
-    share = F.when(F.col("_full"), F.col("capacity")).otherwise(F.expr("_rest * weight div _open"))
+    part = F.expr("cast(_rest as decimal(19,0)) * cast(weight as decimal(19,0)) div nullif(_open, 0)")
+    share = F.when(F.col("_full"), F.col("capacity")).otherwise(F.coalesce(part, F.lit(0))).cast("bigint")
     return rest.withColumn("share", share).drop("_left", "_weights", "_full", "_rest", "_open")
 
 
-def budgets(leaves: DataFrame, percent: int = TARGET_PERCENT, epochs: int = MAX_EPOCHS) -> DataFrame:
-    """Budget in tokens of each leaf (``domain``, ``lang``, ``source``, ``tokens``, ``n_docs``).
+def budgets(leaves: DataFrame, percent: int = TARGET_PERCENT, epochs: int = MAX_EPOCHS, domain_weights: dict[str, int] = DOMAIN_WEIGHTS, language_weights: dict[str, int] = LANGUAGE_WEIGHTS) -> DataFrame:
+    """Budget in tokens of each leaf (``domain``, ``lang``, ``source``, ``tokens``, ``n_docs``, ``weight`` of the source).
 
     A budget goes down the tree level by level and each node's capacity is the sum of its leaves' epochs, so a
     shortage is made up by siblings first and reaches an ancestor's siblings only when those are full.
     """
     one = leaves.withColumn("capacity", F.col("tokens") * epochs)
     total = one.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("_all")).select(F.expr(f"_all * {percent} div 100").alias("budget"))
-    domains = one.groupBy("domain").agg(F.sum("capacity").alias("capacity")).withColumn("weight", _weight("domain", DOMAIN_WEIGHTS))
+    domains = one.groupBy("domain").agg(F.sum("capacity").alias("capacity")).withColumn("weight", _weight("domain", domain_weights))
     domains = fill(domains.crossJoin(F.broadcast(total)).withColumn("_root", F.lit(0)), ["_root"], "domain").select("domain", F.col("share").alias("budget"))
-    langs = one.groupBy("domain", "lang").agg(F.sum("capacity").alias("capacity")).withColumn("weight", _weight("lang", LANGUAGE_WEIGHTS))
+    langs = one.groupBy("domain", "lang").agg(F.sum("capacity").alias("capacity")).withColumn("weight", _weight("lang", language_weights))
     langs = fill(langs.join(domains, "domain"), ["domain"], "lang").select("domain", "lang", F.col("share").alias("budget"))
-    below = one.withColumn("weight", _weight("source", SOURCE_WEIGHTS)).join(langs, ["domain", "lang"])
-    return fill(below, ["domain", "lang"], "source").select("domain", "lang", "source", "tokens", "n_docs", F.col("share").alias("budget"))
-
-
-def mix_sources(docs: DataFrame, percent: int = TARGET_PERCENT, epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    return fill(one.join(langs, ["domain", "lang"]), ["domain", "lang"], "source").select("domain", "lang", "source", "tokens", "n_docs", F.col("share").alias("budget"))
+
+
+def mix_sources(
+    docs: DataFrame,
+    percent: int = TARGET_PERCENT,
+    epochs: int = MAX_EPOCHS,
+    seed: str = SEED,
+    catalogue: DataFrame | None = None,
+    domain_weights: dict[str, int] = DOMAIN_WEIGHTS,
+    language_weights: dict[str, int] = LANGUAGE_WEIGHTS,
+) -> DataFrame:
     """The mix: ``doc_id``, ``domain``, ``lang``, ``source``, ``epoch`` (from 0) and ``n_tokens``, a row for each reading of a document.
 
+    ``catalogue`` has a row (``source``, ``domain``, ``weight``) for each source; one that it lacks is in the domain "" with
+    DEFAULT_WEIGHT. Without it :func:`domain_of` names domains and all sources weigh the same.
+
     Tokens are words. In every epoch a leaf's documents come in the order of md5(seed, epoch, id); a leaf takes
     documents while the tokens before them are fewer than its budget, so it passes it by less than one document.
     Null texts have no tokens, null languages and sources are "" and null ids are ordered as "". Repeated rows are
@@ -85,9 +103,16 @@ def mix_sources(docs: DataFrame, percent: int = TARGET_PERCENT, epochs: int = MA
     """
     scratch = Scratch(docs.sparkSession, "mix")
     texts = docs.select(F.col("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint").alias("n_tokens"))
-    base = scratch.save(texts.withColumn("domain", domain_of(F.col("source"))), "tokens")
+    if catalogue is None:
+        placed = texts.withColumns({"domain": domain_of(F.col("source")), "_weight": F.lit(DEFAULT_WEIGHT).cast("bigint")})
+    else:
+        known = catalogue.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")).agg(F.min(F.struct("domain", "weight")).alias("_c"))
+        known = scratch.save(known.select("source", F.col("_c.domain").alias("domain"), F.col("_c.weight").cast("bigint").alias("_weight")), "catalogue")
+        placed = texts.join(small(known, known.count()), "source", "left").withColumns({"domain": F.coalesce("domain", F.lit("")), "_weight": F.coalesce("_weight", F.lit(DEFAULT_WEIGHT)).cast("bigint")})
+    base = scratch.save(placed, "tokens")
     leaf = ["domain", "lang", "source"]
-    leaves = scratch.save(budgets(base.groupBy(*leaf).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs")), percent, epochs), "budgets")
+    counted = base.groupBy(*leaf).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs"), F.max("_weight").alias("weight"))
+    leaves = scratch.save(budgets(counted, percent, epochs, domain_weights, language_weights), "budgets")
     key = F.md5(F.concat_ws("|", F.lit(seed), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     read = base.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("_key", key)
     rows = leaves.agg(F.coalesce(F.max("n_docs"), F.lit(0)).alias("n")).head()["n"]
@@ -112,7 +137,7 @@ def mix_query(spark, sf_dir: str) -> DataFrame:
 
 
 def _case(column: str, weights: dict[str, int]) -> str:
-    return "(CASE " + column + "".join(f" WHEN '{k}' THEN {v}" for k, v in weights.items()) + f" ELSE {DEFAULT_WEIGHT} END)" if weights else str(DEFAULT_WEIGHT)
+    return "(CASE " + column + "".join(f" WHEN '{k}' THEN {v}" for k, v in weights.items()) + f" ELSE {DEFAULT_WEIGHT} END)"
 
 
 def _fill_sql(table: str, parent: str, name: str) -> str:
@@ -130,7 +155,7 @@ WITH base AS (
 ), d AS (SELECT domain, share AS budget FROM {_fill_sql("d0", "1", "domain")}
 ), l0 AS (SELECT domain, lang, sum(capacity)::BIGINT AS capacity, {_case("lang", LANGUAGE_WEIGHTS)} AS weight, any_value(d.budget) AS budget FROM leaf JOIN d USING (domain) GROUP BY domain, lang
 ), l AS (SELECT domain, lang, share AS budget FROM {_fill_sql("l0", "domain", "lang")}
-), s0 AS (SELECT domain, lang, source, capacity, {_case("source", SOURCE_WEIGHTS)} AS weight, l.budget FROM leaf JOIN l USING (domain, lang)
+), s0 AS (SELECT domain, lang, source, capacity, {DEFAULT_WEIGHT} AS weight, l.budget FROM leaf JOIN l USING (domain, lang)
 ), s AS (SELECT domain, lang, source, share AS budget FROM {_fill_sql("s0", "domain, lang", "source")}
 ), read AS (
   SELECT doc_id, domain, lang, source, epoch, n_tokens, budget, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY epoch, md5(concat('{SEED}|', epoch, '|', doc_id)), n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n_tokens AS before

@@ -180,11 +180,10 @@ def quality_rules(docs: DataFrame, text_col: str = "text", keep_text: bool = Tru
 
     Returns ``doc`` (all columns but the text), ``text`` if it is kept, the statistics, ``base_failed``, ``votes``,
     ``quality`` and ``kept``. A null text is empty; it fails the base (under 50 words). Repeated rows get the same
-    verdict; an empty table gives an empty result. With the text, the texts are read twice, once to count votes and once
-    to judge; without, they are read once and the small table of votes is kept in the shared folder between.
+    verdict; an empty table gives an empty result. The rules read the texts once; their votes are kept in the shared
+    folder (beside the texts if these are kept) while the accuracies are learnt.
     """
-    voted = rule_votes(docs, text_col, keep_text)
-    return judge(voted if keep_text else Scratch(docs.sparkSession, "rules").save(voted, "votes"))
+    return judge(Scratch(docs.sparkSession, "rules").save(rule_votes(docs, text_col, keep_text), "votes"))
 
 
 def quality_rules_query(spark, sf_dir: str) -> DataFrame:

@@ -48,6 +48,42 @@ def test_posterior_is_bayes():
     assert p[0] == pytest.approx(0.7 * 0.81 / (0.7 * 0.81 + 0.3 * 0.16)) and p[1] == pytest.approx(0.7 * 0.01 / (0.7 * 0.01 + 0.3 * 0.36))
 
 
+def test_the_fit_and_the_verdicts_are_those_of_plain_em(spark):
+    """A plain expectation-maximisation, document by document, gives the operator's posterior and verdict."""
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    got = weak_rules.quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    votes = [[int(c) for c in r["votes"]] for r in got if not r["base_failed"]]
+    m, k = len(votes), len(weak_rules.RULES)
+    right = [list(weak_rules.PRIOR_RIGHT) for _ in range(k)]
+    share, strength = weak_rules.PRIOR_GOOD, max(4.0, 0.001 * m)
+
+    def belief(v):
+        good, bad = share, 1 - share
+        for j, x in enumerate(v):
+            if x != weak_rules.ABSTAIN:
+                good *= right[j][0] if x == weak_rules.GOOD else 1 - right[j][0]
+                bad *= right[j][1] if x == weak_rules.BAD else 1 - right[j][1]
+        return good / (good + bad)
+
+    for _ in range(200):
+        p = [belief(v) for v in votes]
+        new = []
+        for j in range(k):
+            said = [(q, v[j]) for q, v in zip(p, votes) if v[j] != weak_rules.ABSTAIN]
+            of_good = (sum(q for q, x in said if x == weak_rules.GOOD) + weak_rules.PRIOR_RIGHT[0] * strength) / (sum(q for q, _ in said) + strength)
+            of_bad = (sum(1 - q for q, x in said if x == weak_rules.BAD) + weak_rules.PRIOR_RIGHT[1] * strength) / (sum(1 - q for q, _ in said) + strength)
+            new.append([min(max(x, 0.005), 0.998) for x in (of_good, of_bad)])
+        share = min(max((sum(p) + weak_rules.PRIOR_GOOD * strength) / (m + strength), 0.05), 0.98)
+        moved = max(abs(a - b) for x, y in zip(new, right) for a, b in zip(x, y))
+        right = new
+        if moved < 1e-10:
+            break
+    for r in got:
+        want = belief([int(c) for c in r["votes"]])
+        assert r["quality"] == pytest.approx(want, abs=1e-6)
+        assert r["kept"] == (not r["base_failed"] and want >= weak_rules.KEEP_FROM) or abs(want - weak_rules.KEEP_FROM) < 1e-6
+
+
 def test_pairwise_terms_use_the_sum_of_squares():
     rng = np.random.default_rng(0)
     x, m = rng.normal(size=(4, 12)), fm_quality.Machine(rng.normal(size=12), rng.normal(size=(12, 3)))
@@ -80,24 +116,26 @@ def test_classifier_edges(spark):
 
 def fill(budget, children):
     left, weights, out = budget, sum(w for _, w in children.values()), {}
-    for name, (cap, w) in sorted(children.items(), key=lambda kv: (kv[1][0] / kv[1][1], kv[0])):
-        if left * w >= cap * weights:
+    for name, (cap, w) in sorted(children.items(), key=lambda kv: (kv[1][0] / kv[1][1] if kv[1][1] else float("inf"), kv[0])):
+        if w and left * w >= cap * weights:
             out[name], left, weights = cap, left - cap, weights - w
         else:
             break
     for name, (_, w) in children.items():
         if name not in out:
-            out[name] = left * w // weights
+            out[name] = left * w // weights if weights else 0
     return out
 
 
-def mix_of(rows, percent, epochs):
+def mix_of(rows, percent, epochs, domain_of=None, weights=None):
     """The mix by plain loops."""
+    weights = weights or {}
     leaf, docs = defaultdict(int), defaultdict(list)
     domains = ("web", "news", "forum", "reference")
     for i, text, lang, source in rows:
         digits = "".join(c for c in (source or "") if c.isdigit())
-        key = (domains[int(digits) % 4] if digits else "web", lang or "", source or "")
+        domain = domain_of.get(source or "", "") if domain_of is not None else domains[int(digits) % 4] if digits else "web"
+        key = (domain, lang or "", source or "")
         leaf[key] += len(words(text))
         docs[key].append((i, len(words(text))))
     tree = lambda *path: {k: epochs * v for k, v in leaf.items() if k[: len(path)] == path}
@@ -107,7 +145,7 @@ def mix_of(rows, percent, epochs):
     top = fill(budget, {d: (sum(tree(d).values()), weigh(source_mix.DOMAIN_WEIGHTS, d)) for d in {k[0] for k in leaf}})
     for d, bd in top.items():
         for g, bg in fill(bd, {g: (sum(tree(d, g).values()), weigh(source_mix.LANGUAGE_WEIGHTS, g)) for g in {k[1] for k in tree(d)}}).items():
-            for s, bs in fill(bg, {s: (epochs * leaf[(d, g, s)], 1) for s in {k[2] for k in tree(d, g)}}).items():
+            for s, bs in fill(bg, {s: (epochs * leaf[(d, g, s)], weights.get(s, 1)) for s in {k[2] for k in tree(d, g)}}).items():
                 before = 0
                 for e in range(epochs):
                     for i, n in sorted(docs[(d, g, s)], key=lambda x: (hashlib.md5(f"17|{e}|{'' if x[0] is None else x[0]}".encode()).hexdigest(), x[1])):
@@ -127,6 +165,23 @@ def test_mix_against_loops(spark, percent, epochs):
     assert source_mix.mix_sources(df.limit(0)).count() == 0
 
 
+def test_a_catalogue_names_domains_and_weights(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join("w" * rng.randint(0, 60)), rng.choice(["en", "fr"]), rng.choice(["a", "b", "c", "d", None])) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, lang string, source string").withColumn("weight", F.lit("x"))
+    table = [("a", "web", 3), ("b", "web", 1), ("c", "books", 0), (None, "books", 2)]
+    catalogue = spark.createDataFrame([*table, table[0]], "source string, domain string, weight int")
+    got = Counter(map(tuple, source_mix.mix_sources(df, 40, 2, catalogue=catalogue, domain_weights={"web": 5, "books": 9}, language_weights={"fr": 0}).collect()))
+    names, weights = {s or "": d for s, d, _ in table}, {s or "": w for s, _, w in table}
+    old = source_mix.DOMAIN_WEIGHTS, source_mix.LANGUAGE_WEIGHTS
+    source_mix.DOMAIN_WEIGHTS, source_mix.LANGUAGE_WEIGHTS = {"web": 5, "books": 9}, {"fr": 0}
+    try:
+        assert got == mix_of(rows, 40, 2, names, weights)
+    finally:
+        source_mix.DOMAIN_WEIGHTS, source_mix.LANGUAGE_WEIGHTS = old
+    assert {k[2] for k in got} == {"en"} and "c" not in {k[3] for k in got}  # a weight of 0 is no share
+
+
 def test_slices_do_not_change_the_mix(spark, monkeypatch):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     one = Counter(map(tuple, source_mix.mix_sources(df).collect()))
