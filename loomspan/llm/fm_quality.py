@@ -15,12 +15,14 @@ from .shared import SPACES, chunks, payload, text_or_empty
 
 #: Hash buckets of words, and the width of the low-rank interactions.
 BUCKETS, RANK = 1024, 8
+#: Hash buckets of metadata terms.
+META = 64
 #: At most so many labelled rows are fitted; those with the smallest hashes of their ids, over all rows.
 SAMPLE_ROWS = 6_000
 #: Words of a text of a sampled row that are moved to the driver are counted, never the text itself.
 THRESHOLD = 0.3
 _STRUCTURE = ("bias", "log_words", "symbols", "capitals", "digits", "word_length", "variety", "repeats", "dup_lines", "stops", "exclaims", "pipes", "bullets", "line_words", "log_chars", "non_ascii", "short_text", "ends")
-FEATURES = BUCKETS + len(_STRUCTURE)
+FEATURES = BUCKETS + META + len(_STRUCTURE)
 
 
 class _Buckets(dict):
@@ -31,12 +33,23 @@ class _Buckets(dict):
         return b
 
 
-def features(texts: list[bytes], buckets: dict) -> np.ndarray:
-    """A row of FEATURES numbers for each whole text: square roots of word shares by bucket, then structure.
+def terms(docs: DataFrame, metadata: tuple[str, ...]):
+    """Metadata columns as an array of terms ``name=value``; numbers by their order of magnitude in powers of two."""
+    numbers = {f.name for f in docs.schema if isinstance(f.dataType, T.NumericType)}
 
-    Neither label, language, source nor id enters; the only metadata is what the text itself shows.
-    """
+    def value(c: str):
+        column = F.col(f"`{c}`")
+        return F.floor(F.log2(F.abs(column.cast("double")) + 1)).cast("string") if c in numbers else column.cast("string")
+
+    return F.array(*[F.concat(F.lit(f"{c}="), F.coalesce(value(c), F.lit(""))) for c in metadata]).cast("array<string>")
+
+
+def features(texts: list[bytes], buckets: dict, metadata: list[list[str]] | None = None) -> np.ndarray:
+    """A row of FEATURES numbers for each whole text: square roots of word shares by bucket, metadata terms, then structure."""
     out = np.zeros((len(texts), FEATURES), np.float32)
+    for i, found in enumerate(metadata or ()):
+        for term in found:
+            out[i, BUCKETS + zlib.crc32(term.encode()) % META] = 1
     for i, t in enumerate(texts):
         words = t.split()
         n = len(words)
@@ -54,7 +67,7 @@ def features(texts: list[bytes], buckets: dict) -> np.ndarray:
         upper = int(((raw >= 65) & (raw <= 90)).sum())
         digit = int(((raw >= 48) & (raw <= 57)).sum())
         repeats = sum(a == b for a, b in zip(words, words[1:]))
-        row[BUCKETS:] = (
+        row[BUCKETS + META :] = (
             1.0,
             np.log1p(n) / 8,
             min(sum(s.count(c) for c in "#*$%&|<>") / m, 3.0),
@@ -122,55 +135,56 @@ def fold(doc_id):
 
 
 def _feature_rows(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """The columns in ``carry`` and ``features`` of ``text``."""
+    """The columns in ``carry`` and ``features`` of ``text`` and ``_terms``."""
     schema = T.StructType([docs.schema[c] for c in carry] + [T.StructField("features", T.ArrayType(T.FloatType()))])
 
     def run(batches):
         buckets = _Buckets()
         for batch in batches:
             for part, texts in chunks(batch, "text"):
-                x = features(texts, buckets)
+                x = features(texts, buckets, part.column("_terms").to_pylist())
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, FEATURES, dtype=np.int32)), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carry], flat], names=[*carry, "features"])
 
     return docs.mapInArrow(run, schema)
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = SAMPLE_ROWS) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = SAMPLE_ROWS, metadata: tuple[str, ...] = ()) -> Machine:
     """Fits on at most ``rows`` labelled documents outside the held-out fold, chosen by hash over all of them.
 
+    ``metadata`` names columns of ``docs`` whose values are features too; labels, ids and what stands for them must not be there.
     ``labels`` has doc_id and the label; null labels are left out, and of an id labelled twice the larger label counts.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
     known = known.groupBy("doc_id").agg(F.max(F.col(label_col).cast("int")).alias("_y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # bounded: so it may be broadcast
-    told = docs.select("doc_id", text_or_empty("text").alias("text")).join(F.broadcast(chosen), "doc_id")
+    told = docs.select("doc_id", text_or_empty("text").alias("text"), terms(docs, metadata).alias("_terms")).join(F.broadcast(chosen), "doc_id")
     sample = _feature_rows(told, ["doc_id", "_y"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).toArrow()
     x = sample.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
     return fit(x, sample.column("_y").to_numpy().astype(np.float32))
 
 
-def score(docs: DataFrame, machine: Machine, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def score(docs: DataFrame, machine: Machine, text_col: str = "text", threshold: float = THRESHOLD, metadata: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: ``doc`` (all columns but the text), ``score`` in 0 to 1 and ``predicted``.
 
-    A null text is empty and scored as such; repeated rows get equal scores; an empty table stays empty.
+    ``metadata`` names the columns that the machine was fitted with. A null there is a value of its own. A null text is empty and scored as such; repeated rows get equal scores; an empty table stays empty.
     """
-    source = docs.select(payload(docs, text_col).alias("doc"), text_or_empty(f"`{text_col}`").alias("text"))
+    source = docs.select(payload(docs, text_col).alias("doc"), text_or_empty(f"`{text_col}`").alias("text"), terms(docs, metadata).alias("_terms"))
     schema = T.StructType([source.schema["doc"], T.StructField("score", T.DoubleType())])
 
     def run(batches):
         buckets = _Buckets()
         for batch in batches:
             for part, texts in chunks(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(machine.score(features(texts, buckets)).astype(np.float64))], names=["doc", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(machine.score(features(texts, buckets, part.column("_terms").to_pylist())).astype(np.float64))], names=["doc", "score"])
 
     return source.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def quality_query(spark, sf_dir: str) -> DataFrame:
-    """op6: scores all ``documents``; labels are learnt from outside the held-out fold only."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    """op6: scores all ``documents``; labels are learnt from outside the held-out fold only. The length is the only metadata."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "n_chars")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    out = score(docs, train(docs, labels))
+    out = score(docs, train(docs, labels, metadata=("n_chars",)), metadata=("n_chars",))
     doc_id = F.col("doc.doc_id")
     return out.select(doc_id.alias("doc_id"), (fold(doc_id) == 0).alias("held_out"), "score", "predicted")

@@ -106,6 +106,18 @@ def test_classifier_is_right_on_held_out_rows_and_sees_no_others(spark):
     assert np.array_equal(a.linear, b.linear) and np.array_equal(a.factors, b.factors)
 
 
+def test_metadata_is_learnt(spark):
+    """Texts that say nothing and a column that says all."""
+    rows = [(i, "same words here", "good" if i % 2 else "bad", 2.0**i) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, site string, size double")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id int, quality int")
+    machine = fm_quality.train(docs, labels, metadata=("site",))
+    got = fm_quality.score(docs, machine, metadata=("site",)).collect()
+    assert all(r["predicted"] == r["doc"]["doc_id"] % 2 for r in got)
+    assert docs.select(fm_quality.terms(docs, ("site", "size"))).head()[0] == ["site=bad", "size=1"]
+    assert fm_quality.score(docs.withColumn("site", F.lit(None).cast("string")), machine, metadata=("site",)).count() == 100
+
+
 def test_classifier_edges(spark):
     rows = spark.createDataFrame([(1, None), (1, None), (2, ""), (None, "x " * 30000)], "doc_id int, text string").withColumns({c: F.lit(1) for c in ("doc", "score", "features", "predicted")})
     machine = fm_quality.train(rows.select("doc_id", "text"), spark.createDataFrame([], "doc_id int, quality int"))
