@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACES, payload, row_key, text_or_empty
+from .shared import SPACES, Scratch, payload, row_key, small, text_or_empty
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -38,16 +38,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``min_chars`` code points and occurs in at least ``min_docs`` different documents are dropped everywhere. Rows
     with a null id count as one document together. Repeated rows are each returned, with the same result. If every line is dropped the kept text is empty.
 
-    Dropped places are found by joining hashes only; the texts move once, to be rebuilt by position. Both joins
-    have one row per key on one side at most, so the skew join of adaptive execution can split a hot line.
+    Dropped places are found by joining hashes only; the texts move once, to be rebuilt by position. The frequent
+    lines are written as a table of their own: if a count shows that they are few, they are broadcast and no line moves; else
+    the join has a row per line on that side and the skew join of adaptive execution can split a hot line.
     """
+    scratch = Scratch(docs.sparkSession, "lines")
     text = text_or_empty(f"`{text_col}`")
     base = docs.select(*row_key(F.col(f"`{id_col}`"), text), payload(docs, text_col).alias("doc"), F.split(text, "\n", -1).alias("_lines"))
     placed = docs.select(*row_key(F.col(f"`{id_col}`"), text), F.posexplode(F.split(text, "\n", -1)).alias("_pos", "_line"))
     placed = placed.select("_key1", "_key2", "_pos", line_key(F.col("_line")).alias("_k")).filter(F.length("_k") >= min_chars)
     placed = placed.select("_key1", "_key2", "_pos", *_hashes(F.col("_k")))
-    frequent = frequent_lines(docs, id_col, text_col, min_chars, min_docs)
-    gone = placed.join(frequent, ["_h1", "_h2"], "left_semi").groupBy("_key1", "_key2").agg(F.collect_set("_pos").alias("_gone"))
+    frequent = scratch.save(frequent_lines(docs, id_col, text_col, min_chars, min_docs), "frequent")
+    gone = placed.join(small(frequent, frequent.count()), ["_h1", "_h2"], "left_semi").groupBy("_key1", "_key2").agg(F.collect_set("_pos").alias("_gone"))
     joined = base.join(gone, ["_key1", "_key2"], "left")
     places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.coalesce("_gone", F.array().cast("array<int>")))
     kept = F.transform(places, lambda i: F.get(F.col("_lines"), i))

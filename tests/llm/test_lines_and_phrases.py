@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan.llm import phrase_dedup
+from loomspan.llm import phrase_dedup, shared
 from loomspan.llm.line_dedup import dedup_lines
 from loomspan.llm.phrase_dedup import remove_repeated_passages
 
@@ -22,8 +22,9 @@ def key(line):
     return lower(line.strip(" \t\n\x0b\x0c\r"))
 
 
-@pytest.mark.parametrize("least", [2, 10])
-def test_lines_against_brute_force(docs, least):
+@pytest.mark.parametrize(("least", "few"), [(2, 0), (2, 300_000), (10, 300_000)])
+def test_lines_against_brute_force(docs, monkeypatch, least, few):
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", few)
     rows = corpus()
     seen = defaultdict(set)
     for r in rows:
@@ -38,6 +39,13 @@ def test_lines_against_brute_force(docs, least):
     assert got == want
 
 
+def test_lines_of_very_long_texts(spark):
+    """A text of 200,000 lines and one line of a million words."""
+    rows = [(1, "\n".join(f"line {i % 70000}" for i in range(200_000))), (2, "line 5\n" + "word " * 1_000_000), (3, "line 5")]
+    got = {r["doc"]["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in dedup_lines(spark.createDataFrame(rows, "doc_id int, text string"), min_docs=3).collect()}
+    assert got == {1: (200_000, 3), 2: (2, 1), 3: (1, 1)}
+
+
 def test_lines_of_null_ids_empty_tables_and_clashing_columns(spark):
     df = spark.createDataFrame([(None, "a"), (None, "a"), (1, "a")], "doc_id int, text string")
     assert {r["n_dropped"] for r in dedup_lines(df, min_docs=2).collect()} == {1}
