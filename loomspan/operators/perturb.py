@@ -1,307 +1,314 @@
 """Hard negatives by small edits of a sentence: numbers, entities, causality (antonyms, modals, negation).
 
-Choices come from hashes of (seed, language, category, sentence, variant, draw), so a variant does not depend on where
-or when it is made. Word tables are small and ours; callers may give their own.
+All possible edits of a sentence are listed and the first of them in the order of an md5 are taken, so a variant depends on
+the seed and the sentence alone. A sentence is a row of units (words, runs of digits, or table entries where no spaces
+are written) and the gaps between them; an edit puts something in the place of one or two units. Word tables are joined, so
+are the corpus's lower-case words and its bank of entities, whatever their size. Equal sentences are worked on once.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
-from dataclasses import dataclass, field
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from loomspan.functions.text import UNSPACED, collapse, joiner, match_case
+
+from . import lexicons
 
 CATEGORIES = ("causality", "entity", "number")
-NO_SPACE = ("zh", "ja", "th")
-
-
-@dataclass(frozen=True)
-class Lexicon:
-    """Word tables of one language."""
-
-    antonyms: tuple[tuple[str, str], ...] = ()
-    modals: tuple[tuple[str, str], ...] = ()
-    particles: tuple[str, ...] = ()
-    pairs: tuple[tuple[str, str], ...] = ()  # discontinuous negation
-    auxiliaries: tuple[str, ...] = ()
-    negation: str = ""
-    ordinals: tuple[str, ...] = ()
-    stops: frozenset = field(default_factory=frozenset)
-
-
-# A few common words per language.
-LEXICONS = {
-    "en": Lexicon((("more", "less"), ("before", "after"), ("increase", "decrease"), ("high", "low"), ("open", "closed"), ("always", "never"), ("with", "without")), (("can", "must"), ("may", "must"), ("will", "may"), ("should", "must")), ("not", "never"), (), ("is", "are", "was", "were", "has", "have", "can", "will"), "not", ("first", "second", "third", "fourth", "fifth"), frozenset(("the", "a", "an", "it", "he", "she", "they", "this", "that", "in", "on", "of"))),
-    "fr": Lexicon((("plus", "moins"), ("avant", "après"), ("haut", "bas"), ("avec", "sans"), ("toujours", "jamais")), (("peut", "doit"), ("peuvent", "doivent")), ("pas", "jamais"), (("ne", "pas"), ("n'", "pas")), ("est", "sont", "a", "ont", "peut"), "pas", ("premier", "deuxième", "troisième"), frozenset(("le", "la", "les", "un", "une", "de", "il", "elle"))),
-    "de": Lexicon((("mehr", "weniger"), ("vor", "nach"), ("hoch", "niedrig"), ("mit", "ohne"), ("immer", "nie")), (("kann", "muss"), ("können", "müssen")), ("nicht", "nie"), (), ("ist", "sind", "war", "hat", "kann", "wird"), "nicht", ("erste", "zweite", "dritte"), frozenset(("der", "die", "das", "ein", "eine", "er", "sie", "es"))),
-    "es": Lexicon((("más", "menos"), ("antes", "después"), ("alto", "bajo"), ("con", "sin"), ("siempre", "nunca")), (("puede", "debe"), ("pueden", "deben")), ("no", "nunca"), (), ("es", "son", "está", "ha", "puede"), "no", ("primero", "segundo", "tercero"), frozenset(("el", "la", "los", "un", "una", "de", "él"))),
-}
-_EDGE = ".,;:!?\"'()[]"
-_DIGITS = re.compile(r"\d+")
-
-
-def draw(n: int, *key) -> int:
-    return int.from_bytes(hashlib.blake2b("\x1f".join(map(str, key)).encode(), digest_size=8).digest(), "big") % n
-
-
-def like(word: str, model: str) -> str:
-    """``word`` in the case of ``model``."""
-    if len(model) > 1 and model.isupper():
-        return word.upper()
-    return word[:1].upper() + word[1:] if model[:1].isupper() else word
-
-
-def words_of(text: str, lang: str) -> list[str]:
-    return list(text) if lang in NO_SPACE else text.split(" ")
-
-
-def is_entity(token: str, lexicon: Lexicon, lower: frozenset) -> bool:
-    """Capitalised, of two letters or more, no stop word, and never met in lower case in the corpus."""
-    core = token.strip(_EDGE)
-    return len(core) >= 2 and core[0].isupper() and core.lower() not in lexicon.stops and core.lower() not in lower
-
-
-def change_number(text: str, lang: str, key: tuple, lexicon: Lexicon) -> str | None:
-    """One digit run becomes another of its width, or one ordinal another."""
-    spots = [(m.start(), m.end()) for m in _DIGITS.finditer(text)]
-    ordinals = [m.span() for o in lexicon.ordinals for m in re.finditer(rf"\b{re.escape(o)}\b", text, re.I)]
-    places = sorted(spots + ordinals)
-    if not places:
-        return None
-    a, b = places[draw(len(places), *key, "spot")]
-    old = text[a:b]
-    if (a, b) in spots:
-        low = 10 ** (len(old) - 1) if len(old) > 1 and old[0] != "0" else 0
-        for attempt in range(20):
-            new = str(low + draw(10 ** len(old) - low, *key, "digits", attempt)).zfill(len(old))
-            if new != old:
-                return text[:a] + new + text[b:]
-        return None
-    others = [o for o in lexicon.ordinals if o != old.lower()]
-    return text[:a] + like(others[draw(len(others), *key, "ordinal")], old) + text[b:] if others else None
-
-
-def entity_spot(text: str, lang: str, key: tuple, lexicon: Lexicon, lower: frozenset) -> tuple[str, str, str, int] | None:
-    """A drawn run of entity tokens: the text before it, itself, the text after it, and its number of tokens; punctuation is outside."""
-    if lang in NO_SPACE:
-        return None
-    tokens, found, i = text.split(" "), [], 0
-    while i < len(tokens):
-        j = i
-        while j < len(tokens) and is_entity(tokens[j], lexicon, lower):
-            j += 1
-            if tokens[j - 1][-1:] in _EDGE:
-                break
-        if j > i:
-            found.append((i, j))
-        i = max(j, i + 1)
-    if not found:
-        return None
-    a, b = found[draw(len(found), *key, "entity")]
-    surface = " ".join(tokens[a:b])
-    core = surface.strip(_EDGE)
-    at = surface.index(core)
-    return " ".join([*tokens[:a], surface[:at]]), core, " ".join([surface[at + len(core) :], *tokens[b:]]), b - a
-
-
-def change_entity(text: str, lang: str, key: tuple, lexicon: Lexicon, bank: tuple[str, ...], lower: frozenset) -> str | None:
-    """One run of entity tokens becomes another entity, of as many tokens if there is one; punctuation stays."""
-    spot = entity_spot(text, lang, key, lexicon, lower)
-    if not spot:
-        return None
-    before, core, after, n = spot
-    options = [x for x in bank if x != core and len(x.split(" ")) == n] or [x for x in bank if x != core]
-    return before + options[draw(len(options), *key, "bank")] + after if options else None
-
-
-def entity_requests(text: str, lang: str, n: int, seed: int, size: int, places: dict[str, int], lower: frozenset) -> list[tuple[str, int, str]]:
-    """As :func:`variants` by entity, from a bank of ``size`` single words that is elsewhere: (before, place in the bank, after).
-
-    ``places`` has the places of those words of the text that are in the bank.
+#: Punctuation that is not part of a word at its ends.
+EDGE = "\"'“”«»„().,;:!?—–-…[]{}"
+_WORDS = r"\p{Nd}+|[\p{L}\p{M}_]+(?:['’][\p{L}\p{M}]+)*"
+_ENTRIES = r"\p{Nd}+|" + "|".join(sorted({re.escape(w) for lang, w, *_ in lexicons.rows() if lang in UNSPACED}, key=lambda w: (-len(w), w)))
+_AT_END = -2
+
+
+def lexicon(spark, database: DataFrame | None = None) -> DataFrame:
+    """The word tables (``lang``, ``word``, ``way``, ``put``).
+
+    ``database`` adds antonyms of a lexical database, given as (``lang``, ``word``, ``lemma``, ``sense``, ``antonym``): of
+    words that are their own lemma, and of their two first senses (from 0).
     """
-    lexicon, out = LEXICONS.get(lang, Lexicon()), []
-    for attempt in range(6 * n):
-        key = (seed, lang, "entity", text, attempt)
-        spot = entity_spot(text, lang, key, lexicon, lower)
-        if not spot:
-            break
-        before, core, after, _ = spot
-        own = places.get(core, size)
-        if size - (own < size) < 1:
-            continue
-        at = draw(size - (own < size), *key, "bank")
-        new = (before, at + (at >= own), after)
-        if new not in out:
-            out.append(new)
-            if len(out) == n:
-                break
-    return out
-
-
-def replace_pair(text: str, pairs, key: tuple, lang: str, both_ways: bool = True) -> str | None:
-    """One whole-word hit of a table of pairs is replaced by its partner, in its case."""
-    table = [*pairs, *([(b, a) for a, b in pairs] if both_ways else [])]
-    edge = "" if lang in NO_SPACE else r"\b"
-    hits = [(m.start(), m.end(), b) for a, b in table for m in re.finditer(edge + re.escape(a) + edge, text, re.I)]
-    if not hits:
-        return None
-    a, b, new = hits[draw(len(hits), *key, "pair")]
-    return text[:a] + like(new, text[a:b]) + text[b:]
-
-
-def negate(text: str, lang: str, lexicon: Lexicon) -> str | None:
-    """Removes a negation if there is one, else puts one after an auxiliary or before the final punctuation."""
-
-    def without(t: str, word: str) -> str | None:
-        out = re.sub(rf"(?i)(?<!\w){re.escape(word)}(?!\w)\s?" if not word.endswith("'") else rf"(?i)(?<!\w){re.escape(word)}", "", t, count=1)
-        return out if out != t else None
-
-    for a, b in lexicon.pairs:
-        first = without(text, a)
-        if first and (second := without(first, b)):
-            return re.sub(r" +([,.;:!?])", r"\1", second).strip()
-    for p in lexicon.particles:
-        if out := without(text, p):
-            return re.sub(r" +([,.;:!?])", r"\1", out).strip()
-    if not lexicon.negation:
-        return None
-    for x in lexicon.auxiliaries:
-        out = re.sub(rf"(?i)(?<!\w)({re.escape(x)})(?!\w)", rf"\1 {lexicon.negation}", text, count=1)
-        if out != text:
-            return out
-    body = text.rstrip(".!?")
-    return f"{body} {lexicon.negation}{text[len(body):]}" if body else None
-
-
-def change_causality(text: str, lang: str, key: tuple, lexicon: Lexicon) -> str | None:
-    """Antonym, modal or negation, in a drawn order: the first that changes the text."""
-    ways = [lambda: replace_pair(text, lexicon.antonyms, key, lang), lambda: replace_pair(text, lexicon.modals, key, lang), lambda: negate(text, lang, lexicon)]
-    order = sorted(range(3), key=lambda i: draw(1 << 30, *key, "way", i))
-    for i in order:
-        out = ways[i]()
-        if out and out != text:
-            return out
-    return None
-
-
-def variants(text: str, lang: str, category: str, n: int, seed: int, bank: tuple[str, ...] = (), lower: frozenset = frozenset()) -> list[str]:
-    """At most n distinct changed sentences, from 6 n attempts."""
-    lexicon, out = LEXICONS.get(lang, Lexicon()), []
-    for attempt in range(6 * n):
-        key = (seed, lang, category, text, attempt)
-        new = change_number(text, lang, key, lexicon) if category == "number" else change_entity(text, lang, key, lexicon, bank, lower) if category == "entity" else change_causality(text, lang, key, lexicon)
-        if new and new != text and new not in out:
-            out.append(new)
-            if len(out) == n:
-                break
-    return out
-
-
-def perturb_window(sentences: list[str], lang: str, size: int, seed: int, bank: tuple[str, ...] = (), lower: frozenset = frozenset()) -> list[tuple[list[str], list[str]]]:
-    """``size`` distractors, each with every sentence changed: distractor d uses category (d + j) mod 3 at sentence j.
-
-    If that category has no edit left that is not taken at that sentence, the others follow in order; when all are
-    exhausted an edit is shared. No distractor if some sentence cannot be changed.
+    own = spark.createDataFrame(lexicons.rows(), "lang string, word string, way string, put string")
+    if database is None:
+        return own
+    more = database.filter((F.col("word") == F.col("lemma")) & (F.col("sense") < 2))
+    return own.unionByName(more.select("lang", F.lower("word").alias("word"), F.lit("antonym").alias("way"), F.col("antonym").alias("put")).distinct())
+
+
+def units_of(text, lang):
+    """(units, gaps) of a sentence; there is one gap more than there are units."""
+    unspaced = lang.isin(*UNSPACED)
+    units = F.when(unspaced, F.regexp_extract_all(text, F.lit(_ENTRIES), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(_WORDS), F.lit(0)))
+    return units, F.when(unspaced, F.split(text, _ENTRIES, -1)).otherwise(F.split(text, _WORDS, -1))
+
+
+def _edit(at, put, way: str, at2=None, put2=None):
+    return F.struct(F.lit(at).cast("int").alias("at") if isinstance(at, int) else at.cast("int").alias("at"), put.alias("put"), (F.lit(-1) if at2 is None else at2).cast("int").alias("at2"), (F.lit("") if put2 is None else put2).alias("put2"), F.lit(way).alias("way"))
+
+
+def edited(text, units, gaps, edit):
+    """The sentence with one or two units replaced; what a removal leaves of spaces is tidied."""
+    changed = F.transform(units, lambda u, i: F.when(i == edit["at"], edit["put"]).when(i == edit["at2"], edit["put2"]).otherwise(u))
+    whole = F.array_join(F.zip_with(gaps, F.concat(changed, F.array(F.lit(""))), lambda g, u: F.concat(g, u)), "")
+    gone = (edit["put"] == "") | (edit["at2"] >= 0)
+    last = F.concat(F.regexp_extract(text, r"(?s)^(.*?)([.!?]*\s*)$", 1), F.lit(" "), edit["put"], F.regexp_extract(text, r"(?s)^(.*?)([.!?]*\s*)$", 2))
+    return F.when(edit["at"] == _AT_END, last).when(gone, F.regexp_replace(collapse(whole), r" +([.,;:!?»])", "$1")).otherwise(whole)
+
+
+def _key(seed: int, *parts):
+    return F.md5(F.concat_ws("\x1f", F.lit(str(seed)), *parts).cast("binary"))
+
+
+def number_edits(hits, seed: int, lang, text, n: int):
+    """Digit runs as other runs of their width, without a leading zero that was not there; ordinals as other ordinals."""
+
+    def digits(h, d):
+        width = F.length(h["unit"])
+        drawn = F.translate(_key(seed, lang, F.lit("digits"), text, h["at"].cast("string"), d.cast("string")), "abcdef", "012345")
+        long = F.substring(F.repeat(drawn, F.ceil(width / 32).cast("int")), F.lit(1), width)
+        first = F.when((width > 1) & ~h["unit"].startswith("0"), F.translate(F.substring(long, 1, 1), "0", "8")).otherwise(F.substring(long, 1, 1))
+        return F.concat(first, F.substring(long, F.lit(2), width))
+
+    runs = F.transform(F.filter(hits, lambda h: h["way"] == "digits"), lambda h: F.transform(F.array_distinct(F.filter(F.transform(F.sequence(F.lit(0), F.lit(6 * n)), lambda d: digits(h, d)), lambda x: x != h["unit"])), lambda x: _edit(h["at"], x, "number")))
+    ordinals = F.transform(F.filter(hits, lambda h: h["way"] == "ordinal"), lambda h: _edit(h["at"], match_case(h["put"], h["unit"]), "number"))
+    return F.concat(F.flatten(runs), ordinals)
+
+
+def negation_edits(hits, units, lang):
+    """The first of these that a sentence allows: a negation in two parts goes, one of one part goes, one is put in.
+
+    It is put after an auxiliary, or before the end of the sentence, where the language has one of these.
+    """
+    closers = F.filter(hits, lambda h: h["way"] == "closer")
+    openers = F.filter(hits, lambda h: h["way"] == "opener")
+    pairs = F.transform(openers, lambda o: F.struct(o.alias("o"), F.get(F.filter(closers, lambda c: c["at"] > o["at"]), 0).alias("c")))
+    pairs = F.transform(F.filter(pairs, lambda p: p["c"].isNotNull()), lambda p: _edit(p["o"]["at"], p["o"]["put"], "negate", p["c"]["at"], F.lit("")))
+    particles = F.transform(F.filter(hits, lambda h: h["way"] == "particle"), lambda h: _edit(h["at"], match_case(h["put"], h["unit"]), "negate"))
+    after = F.transform(F.filter(hits, lambda h: h["way"] == "auxiliary"), lambda h: _edit(h["at"], F.concat(h["unit"], F.lit(" "), h["put"]), "negate"))
+    end = F.lit(None).cast("string")
+    for g, word in lexicons.AT_END.items():
+        end = F.when(lang == g, F.lit(word)).otherwise(end)
+    at_end = F.filter(F.array(_edit(_AT_END, end, "negate")), lambda e: e["put"].isNotNull())
+    return F.when(F.size(pairs) > 0, F.slice(pairs, 1, 1)).when(F.size(particles) > 0, particles).when(F.size(after) > 0, after).otherwise(at_end)
+
+
+def causality_edits(hits, units, lang, seed: int, text):
+    """Antonyms, modals and negation, each in its own drawn order, taken in turn so that no way crowds out the others."""
+
+    def ordered(edits, way: str):
+        keyed = F.array_sort(F.transform(edits, lambda e: F.struct(_key(seed, lang, F.lit("causality"), text, F.lit(way), e["at"].cast("string"), e["put"]).alias("k"), e.alias("e"))))
+        return F.transform(keyed, lambda x, i: F.struct(i.alias("turn"), _key(seed, lang, text, F.lit(way)).alias("k"), x["e"].alias("e")))
+
+    def of(way: str):
+        return F.transform(F.filter(hits, lambda h: h["way"] == way), lambda h: _edit(h["at"], match_case(h["put"], h["unit"]), way))
+
+    ways = F.concat(ordered(of("antonym"), "antonym"), ordered(of("modal"), "modal"), ordered(negation_edits(hits, units, lang), "negate"))
+    return F.transform(F.array_sort(ways), lambda x: x["e"])
+
+
+def _made(text, units, gaps, edits, n: int):
+    """The first n distinct sentences that differ from the text, of edits in order."""
+    texts = F.transform(F.slice(edits, 1, 3 * n), lambda e: edited(text, units, gaps, e))
+    return F.slice(F.array_distinct(F.filter(texts, lambda t: t != text)), 1, n)
+
+
+# --- entities --------------------------------------------------------------------------------------------------
+
+
+def _core(token):
+    return F.btrim(token, F.lit(EDGE))
+
+
+def lower_words(sentences: DataFrame) -> DataFrame:
+    """(``lang``, ``word``): every word that the corpus has with a small first letter."""
+    words = sentences.select("lang", F.explode(F.split("text", " ")).alias("_t")).select("lang", _core(F.col("_t")).alias("word"))
+    return words.filter(F.col("word").rlike(r"^\p{Ll}")).distinct()
+
+
+def entity_spans(sentences: DataFrame) -> DataFrame:
+    """``spans`` (token ``a`` up to, not including, ``b``, and ``surface``) by sentence key: maximal runs of entity tokens.
+
+    An entity token has two characters or more without punctuation, its first letter is a capital, and its lower-case
+    form is no stop word and is nowhere in the corpus a word of its own. Languages without spaces have none.
     """
-    return arrange([{c: variants(s, lang, c, size, seed, bank, lower) for c in CATEGORIES} for s in sentences], size)
+    small = lower_words(sentences).persist()
+    tokens = sentences.filter(~F.col("lang").isin(*UNSPACED)).select("_k1", "_k2", "lang", F.posexplode(F.split("text", " ")).alias("pos", "_t"))
+    tokens = tokens.select("_k1", "_k2", "lang", "pos", _core(F.col("_t")).alias("core"))
+    tokens = tokens.filter((F.length("core") >= 2) & F.col("core").rlike(r"^[^\p{L}\p{Nd}]*\p{Lu}")).withColumn("word", F.lower("core"))
+    stop = F.lit(False)
+    for lang, words in lexicons.STOPS.items():
+        stop = stop | ((F.col("lang") == lang) & F.col("word").isin(*words.split(" ")))
+    named = tokens.filter(~stop).join(small, ["lang", "word"], "left_anti")
+    per = named.groupBy("_k1", "_k2").agg(F.array_sort(F.collect_list(F.struct("pos", "core"))).alias("_all"))
+    runs = F.transform("_all", lambda x, i: F.struct((x["pos"] - i).alias("run"), x["pos"].alias("pos"), x["core"].alias("core")))
 
+    def span(run):
+        own = F.filter(runs, lambda x: x["run"] == run)
+        return F.struct(F.get(own, 0)["pos"].alias("a"), (F.element_at(own, -1)["pos"] + 1).alias("b"), F.array_join(F.transform(own, lambda x: x["core"]), " ").alias("surface"))
 
-def arrange(made: list[dict[str, list[str]]], size: int) -> list[tuple[list[str], list[str]]]:
-    """The distractors of :func:`perturb_window` from the variants of each sentence by category."""
-    taken: list[list[str]] = [[] for _ in made]
-    out = []
-    for d in range(size):
-        texts, names = [], []
-        for j, options in enumerate(made):
-            order = [CATEGORIES[(d + j + i) % 3] for i in range(3)]
-            pick = next(((c, v) for c in order for v in options[c] if v not in taken[j]), None) or next(((c, v) for c in order for v in options[c]), None)
-            if pick is None:
-                return []
-            taken[j].append(pick[1])
-            names.append(pick[0])
-            texts.append(pick[1])
-        out.append((texts, names))
-    return out
+    return per.select("_k1", "_k2", F.transform(F.array_distinct(F.transform(runs, lambda x: x["run"])), span).alias("spans"))
 
 
-# --- on DataFrames ---------------------------------------------------------------------------------------------
+def entity_bank(spans: DataFrame) -> DataFrame:
+    """(``lang``, ``width``, ``place``, ``surface``): all entity surfaces by number of tokens, and as width 0 all of a language.
+
+    Places count from 0 in the order of the surfaces; counts by a prefix place each of them, so no task sorts a language.
+    """
+    each = spans.select("lang", F.explode("spans").alias("s")).select("lang", (F.col("s.b") - F.col("s.a")).alias("width"), F.col("s.surface").alias("surface")).distinct()
+    both = each.unionByName(each.withColumn("width", F.lit(0))).distinct().withColumn("_slice", F.substring("surface", 1, 3))
+    sizes = both.groupBy("lang", "width", "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("lang", "width").orderBy("_slice")) - F.col("_n")).drop("_n")
+    inside = F.row_number().over(Window.partitionBy("lang", "width", "_slice").orderBy("surface"))
+    return both.withColumn("_at", inside).join(before, ["lang", "width", "_slice"]).select("lang", "width", (F.col("_before") + F.col("_at") - 1).alias("place"), "surface")
 
 
-def cased_words(sentences: DataFrame, lang: str = "lang", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """What the corpus says of its words with capitals, and the bank of entities, both of the whole corpus and as tables.
+def entity_variants(sentences: DataFrame, n: int, seed: int) -> DataFrame:
+    """``made``: by sentence key at most n sentences with one run of entity tokens replaced by another entity.
 
-    The first has ``lang``, ``t`` and ``place``, which is null for words that are met in lower case too; words of neither kind
-    are not in it. The bank has ``lang``, ``place`` (from 0, in the order of the words) and ``t``. Both are persisted.
+    The other is drawn from those of as many tokens, or from all if there is none; punctuation at the ends of the run stays.
     """
-    tokens = sentences.select(F.col(lang).alias("lang"), F.explode(_words(F.col(text))).alias("t")).distinct()
-    forms = tokens.groupBy("lang", F.lower("t").alias("_low")).agg(F.collect_list("t").alias("_ts"), F.bool_or(F.col("t") == F.lower("t")).alias("_met"))
-    marked = forms.select("lang", F.explode("_ts").alias("t"), "_met").filter("t <> lower(t)").persist()
-    bank = marked.filter(~F.col("_met") & F.col("t").rlike(r"^\p{Lu}\p{L}+$")).withColumn("_slice", F.substring("t", 1, 2))
-    sizes = bank.groupBy("lang", "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select(F.col("lang").alias("_lang"), F.col("_slice").alias("_s"), (F.sum("_n").over(Window.partitionBy("lang").orderBy("_slice")) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("lang", "_slice").orderBy("t"))
-    placed = bank.withColumn("_inside", inside).join(before, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("_slice") == F.col("_s"))).select("lang", (F.col("_before") + F.col("_inside") - 1).alias("place"), "t")
-    placed = placed.persist()
-    return marked.filter("_met").select("lang", "t", F.lit(None).cast("bigint").alias("place")).unionByName(placed.select("lang", "t", "place")), placed
+    spans = sentences.select("_k1", "_k2", "lang", "text").join(entity_spans(sentences), ["_k1", "_k2"]).persist()
+    bank = entity_bank(spans).persist()
+    sizes = bank.groupBy("lang", "width").agg(F.count(F.lit(1)).alias("_size"))
+    draws = F.flatten(F.transform("spans", lambda s: F.transform(F.sequence(F.lit(0), F.lit(6 * n)), lambda d: F.struct(_key(seed, F.col("lang"), F.lit("entity"), F.col("text"), s["a"].cast("string"), d.cast("string")).alias("k"), s.alias("s")))))
+    wanted = spans.select("_k1", "_k2", "lang", F.explode(F.slice(F.array_sort(draws), 1, 6 * n)).alias("d")).select("_k1", "_k2", "lang", "d.k", "d.s", (F.col("d.s.b") - F.col("d.s.a")).alias("_own"))
+    wanted = wanted.join(sizes.withColumnRenamed("width", "_own"), ["lang", "_own"])
+    wanted = wanted.withColumn("width", F.when(F.col("_size") > 1, F.col("_own")).otherwise(0)).drop("_size").join(sizes, ["lang", "width"])
+    wanted = wanted.withColumn("place", F.pmod(F.xxhash64("k"), F.col("_size")))
+    found = wanted.join(bank, ["lang", "width", "place"]).filter(F.col("surface") != F.col("s.surface"))
+    listed = found.groupBy("_k1", "_k2").agg(F.array_sort(F.collect_list(F.struct("k", F.col("s.a").alias("a"), F.col("s.b").alias("b"), "surface"))).alias("_all"))
+    tokens = F.split("text", " ")
 
+    def put(x):
+        first, last = F.get(tokens, x["a"]), F.get(tokens, x["b"] - 1)
+        lead = F.substring(first, F.lit(1), F.length(first) - F.length(F.ltrim(first, F.lit(EDGE))))
+        tail = F.substring(last, F.length(F.rtrim(last, F.lit(EDGE))) + 1, F.length(last))
+        return F.array_join(F.concat(F.slice(tokens, F.lit(1), x["a"]), F.array(F.concat(lead, x["surface"], tail)), F.slice(tokens, x["b"] + 1, F.size(tokens))), " ")
 
-def _words(text):
-    return F.filter(F.transform(F.split(text, " "), lambda x: F.btrim(x, F.lit(_EDGE))), lambda x: F.length(x) >= 2)
+    texts = F.array_distinct(F.filter(F.transform("_all", put), lambda t: t != F.col("text")))
+    return spans.select("_k1", "_k2", "text").join(listed, ["_k1", "_k2"]).select("_k1", "_k2", F.slice(texts, 1, n).alias("entity"))
 
 
-_VARIANT = T.StructType([T.StructField("category", T.StringType()), T.StructField("variant", T.IntegerType()), T.StructField("text", T.StringType())])
+# --- all categories --------------------------------------------------------------------------------------------
 
 
-def sentence_variants(sentences: DataFrame, carry: list[str], n: int, seed: int, words: DataFrame, bank: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
-    """A row for every variant of every sentence: the carried columns, ``category``, ``variant`` and its ``text``.
+def variant_lists(sentences: DataFrame, n: int, seed: int, tables: DataFrame | None = None) -> DataFrame:
+    """Per distinct sentence (``_k1``, ``_k2``, ``lang``, ``text``) the arrays ``causality``, ``entity`` and ``number`` of at most n variants.
 
-    ``words`` and ``bank`` are those of :func:`cased_words`; they are joined, so their size does not matter.
+    ``sentences`` has ``lang`` and ``text``; null languages are "" and null or blank texts are left out.
+    """
+    lang, text = F.col("lang"), F.col("text")
+    whole = sentences.select(F.coalesce("lang", F.lit("")).alias("lang"), "text").filter(text.rlike(r"\S")).distinct()
+    whole = whole.select(F.xxhash64(F.lit(11), "lang", "text").alias("_k1"), F.xxhash64(F.lit(29), "lang", "text").alias("_k2"), "lang", "text")
+    tables = lexicon(sentences.sparkSession) if tables is None else tables
+    split = whole.select("_k1", "_k2", "lang", F.posexplode(units_of(text, lang)[0]).alias("at", "unit")).withColumn("word", F.lower("unit"))
+    # an opener that leads a word, as n' in n'est, is met as a word that starts with it
+    lead = F.regexp_extract("word", r"^(\p{L}+['’])\p{L}", 1)
+    hits = split.join(F.broadcast(tables), ["lang", "word"]).select("_k1", "_k2", "at", "unit", "way", "put")
+    leading = split.filter(lead != "").withColumn("_lead", lead).join(F.broadcast(tables.filter("way = 'opener'").select("lang", F.col("word").alias("_lead"), "way")), ["lang", "_lead"])
+    leading = leading.select("_k1", "_k2", "at", "unit", "way", F.substring("unit", F.length("_lead") + 1, F.length("unit")).alias("put"))
+    digits = split.filter(F.col("unit").rlike(r"^\p{Nd}")).select("_k1", "_k2", "at", "unit", F.lit("digits").alias("way"), F.lit("").alias("put"))
+    listed = hits.unionByName(leading).unionByName(digits).groupBy("_k1", "_k2").agg(F.array_sort(F.collect_list(F.struct("at", "unit", "way", "put"))).alias("_hits"))
+    rows = whole.join(listed, ["_k1", "_k2"], "left").join(entity_variants(whole, n, seed), ["_k1", "_k2"], "left")
+    units, gaps = units_of(text, lang)
+    rows = rows.withColumns({"_units": units, "_gaps": gaps, "_hits": F.coalesce("_hits", F.array().cast("array<struct<at:int,unit:string,way:string,put:string>>"))})
+    numbers = F.array_sort(F.transform(number_edits(F.col("_hits"), seed, lang, text, n), lambda e: F.struct(_key(seed, lang, F.lit("number"), text, e["at"].cast("string"), e["put"]).alias("k"), e.alias("e"))))
+    numbers = F.transform(numbers, lambda x: x["e"])
+    causes = causality_edits(F.col("_hits"), F.col("_units"), lang, seed, text)
+    return rows.select(
+        "_k1",
+        "_k2",
+        "lang",
+        "text",
+        _made(text, F.col("_units"), F.col("_gaps"), causes, n).alias("causality"),
+        F.coalesce("entity", F.array().cast("array<string>")).alias("entity"),
+        _made(text, F.col("_units"), F.col("_gaps"), numbers, n).alias("number"),
+    )
+
+
+def with_variants(sentences: DataFrame, carry: list[str], n: int, seed: int, tables: DataFrame | None = None, lang: str = "lang", text: str = "text") -> DataFrame:
+    """The carried columns of every sentence with its ``causality``, ``entity`` and ``number`` arrays (empty for blank texts)."""
+    given = sentences.select(*carry, F.coalesce(F.col(lang), F.lit("")).alias("_lang"), F.col(text).alias("_text"))
+    lists = variant_lists(given.select(F.col("_lang").alias("lang"), F.col("_text").alias("text")), n, seed, tables).drop("lang", "text")
+    keyed = given.select(*carry, F.xxhash64(F.lit(11), "_lang", "_text").alias("_k1"), F.xxhash64(F.lit(29), "_lang", "_text").alias("_k2"))
+    empty = F.array().cast("array<string>")
+    return keyed.join(lists, ["_k1", "_k2"], "left").select(*carry, *[F.coalesce(c, empty).alias(c) for c in CATEGORIES])
+
+
+def sentence_variants(sentences: DataFrame, carry: list[str], n: int, seed: int, tables: DataFrame | None = None) -> DataFrame:
+    """A row for every variant of every sentence: the carried columns, ``category``, ``variant`` (from 0) and its ``text``."""
+    lists = with_variants(sentences, carry, n, seed, tables)
+    each = F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).alias("made")) for c in CATEGORIES])
+    return lists.select(*carry, F.explode(each).alias("_c")).select(*carry, "_c.category", F.posexplode("_c.made").alias("variant", "text"))
+
+
+def distractors(options, size: int):
+    """``size`` distractors or fewer of a window, each an array of (``category``, ``text``), one per sentence.
+
+    ``options`` is an array of structs with the variants of each sentence by category. At sentence j distractor d begins
+    with category (d + j) mod 3; edits that another distractor has at that sentence are passed over, then the next category
+    is tried; when nothing fresh is left an edit is shared. None if some sentence has no variant at all; and of
+    distractors that begin with the same text only the first stays.
     """
-    schema = T.StructType([*[sentences.schema[c] for c in carry], T.StructField("_g", T.StringType()), T.StructField("_place", T.LongType()), T.StructField("_after", T.StringType()), *_VARIANT.fields])
-    rows = sentences.select(*carry, F.col(lang).alias("_lang"), F.col(text).alias("_text"), *[F.xxhash64(F.lit(x), F.col(lang), F.col(text)).alias(f"_k{x}") for x in (11, 29)])
-    cased = rows.select("_k11", "_k29", "_lang", F.explode(F.filter(_words(F.col("_text")), lambda x: x != F.lower(x))).alias("_t")).distinct()
-    met = cased.join(words, F.col("_lang").eqNullSafe(F.col("lang")) & (F.col("_t") == F.col("t"))).groupBy("_k11", "_k29").agg(F.collect_list(F.struct("t", "place")).alias("_met"))
-    source = rows.join(met, ["_k11", "_k29"], "left").select(*carry, "_lang", "_text", "_met")
-    size = {r["lang"]: r["n"] for r in bank.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-
-    def run(batches):
-        for batch in batches:
-            at, out = [], []
-            for i, (g, t, m) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_lang", "_text", "_met")), strict=True)):
-                for c in CATEGORIES if t else ():
-                    if c == "entity":
-                        places = {x["t"]: x["place"] for x in m or () if x["place"] is not None}
-                        lower = frozenset(x["t"].lower() for x in m or () if x["place"] is None)
-                        made = entity_requests(t, g, n, seed, size.get(g, 0), places, lower)
-                    else:
-                        made = [(x, None, None) for x in variants(t, g, c, n, seed)]
-                    for v, (x, place, after) in enumerate(made):
-                        at.append(i)
-                        out.append((g, place, after, c, v, x))
-            found = pa.array(at, pa.int64())
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(found) for c in carry], *[pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)]], names=schema.names)
-
-    made = source.mapInArrow(run, schema)
-    named = bank.select(F.col("lang").alias("_blang"), F.col("place").alias("_bplace"), F.col("t").alias("_new"))
-    filled = made.join(named, F.col("_g").eqNullSafe(F.col("_blang")) & (F.col("_place") == F.col("_bplace")), "left")
-    return filled.select(*carry, "category", "variant", F.when(F.col("_place").isNull(), F.col("text")).otherwise(F.concat("text", "_new", "_after")).alias("text"))
+
+    def named(o, c: str):
+        return F.transform(o[c], lambda t: F.struct(F.lit(c).alias("category"), t.alias("text")))
+
+    def column(o, j):
+        a, b, c = (named(o, x) for x in CATEGORIES)
+        turns = F.array(F.concat(a, b, c), F.concat(b, c, a), F.concat(c, a, b))
+
+        def step(out, d):
+            order = F.get(turns, F.pmod(d + j, F.lit(3)))
+            fresh = F.filter(order, lambda x: ~F.exists(out, lambda t: t["text"] == x["text"]))
+            return F.concat(out, F.array(F.coalesce(F.get(fresh, 0), F.get(order, 0))))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), F.array().cast("array<struct<category:string,text:string>>"), step)
+
+    columns = F.transform(options, column)
+    able = F.forall(options, lambda o: F.size(o["causality"]) + F.size(o["entity"]) + F.size(o["number"]) > 0)
+    whole = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda d: F.transform(columns, lambda x: F.get(x, d)))
+    whole = F.filter(whole, lambda x, i: ~F.exists(F.slice(whole, F.lit(1), i), lambda y: F.get(y, 0)["text"] == F.get(x, 0)["text"]))
+    return F.when(able & (F.size(options) > 0), whole).otherwise(F.array().cast("array<array<struct<category:string,text:string>>>"))
 
 
 def candidate_pool(blocks: DataFrame, variants_: DataFrame, key: tuple[str, ...] = ("block_id",)) -> DataFrame:
     """Candidates of blocks (``key``, ``lang``, ``sentences``): the gold, then every variant of every sentence in place.
 
     ``variants_`` has the key, position, category, variant and text. ``in_block`` orders a block's candidates: the gold first, then by
-    position, category and variant; it is block-major.
+    position, category and variant; it is block-major. Sentences are joined as the language writes them.
     """
     each = F.struct("position", "category", "variant", F.col("text").alias("_new"))
     listed = variants_.groupBy(*key).agg(F.array_sort(F.collect_list(each)).alias("_all"))
     gold = F.array(F.struct(F.lit(-1).alias("position"), F.lit(None).cast("string").alias("category"), F.lit(0).alias("variant"), F.lit(None).cast("string").alias("_new")))
     all_ = F.concat(gold, F.coalesce(F.col("_all"), F.array().cast("array<struct<position:int,category:string,variant:int,_new:string>>")))
-    rows = blocks.select(*key, "sentences").join(listed, list(key), "left").select(*key, "sentences", F.posexplode(all_).alias("in_block", "_v"))
-    put = F.array_join(F.transform("sentences", lambda x, i: F.when(i == F.col("_v.position"), F.col("_v._new")).otherwise(x)), " ")
+    rows = blocks.select(*key, "lang", "sentences").join(listed, list(key), "left").select(*key, "lang", "sentences", F.posexplode(all_).alias("in_block", "_v"))
+    parts = F.transform("sentences", lambda x, i: F.when(i == F.col("_v.position"), F.col("_v._new")).otherwise(x))
+    put = F.when(joiner("lang") == "", F.array_join(parts, "")).otherwise(F.array_join(parts, " "))
     return rows.select(*key, F.when(F.col("in_block") == 0, "true").otherwise("perturbed").alias("kind"), "_v.category", "_v.position", "_v.variant", put.alias("text"), "in_block")
+
+
+# --- backends --------------------------------------------------------------------------------------------------
+
+#: Ways to make variants, by name: functions of (sentences, carry, n, seed) as :func:`sentence_variants`. Callers add parsers.
+BACKENDS: dict[str, Callable[..., DataFrame]] = {"tables": sentence_variants}
+
+
+def backend(name: str = "auto") -> tuple[str, Callable[..., DataFrame]]:
+    """The backend of a name; "auto" is the last one added that says it is there, else "tables".
+
+    A backend says so by not raising an ImportError when called without arguments.
+    """
+    if name != "auto":
+        return name, BACKENDS[name]
+    for known in reversed([b for b in BACKENDS if b != "tables"]):
+        try:
+            BACKENDS[known]()
+        except ImportError:
+            continue
+        return known, BACKENDS[known]
+    return "tables", BACKENDS["tables"]

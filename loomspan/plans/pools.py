@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomspan.functions.text import n_tokens
+from loomspan.functions.text import joiner, n_tokens
 from loomspan.operators import correlate, mixtures, perturb, prepare, report, scorers, windows
 
 from .tables import RATED, SENTENCES, r6, rated, read, rounded, sentences
@@ -169,22 +169,24 @@ def token_lengths(spark, sf_dir):
     return t.groupBy("lang", F.expr("n div 20").alias("bin")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def _variants(spark, sf_dir, n=2):
-    s = sentences(spark, sf_dir)
-    return s, perturb.sentence_variants(s, ["doc_id", "row"], n, 3, *perturb.cased_words(s))
+def sentence_variants(spark, sf_dir, n=2):
+    """Variants of every line of every document."""
+    return perturb.sentence_variants(sentences(spark, sf_dir), ["doc_id", "row"], n, 3)
 
 
-def sentence_variants(spark, sf_dir):
-    return _variants(spark, sf_dir)[1]
+QUERIES["sentence_variants"] = sentence_variants
 
 
-QUERIES["sentence_variants"] = sentence_variants
+def _pairs(spark, sf_dir):
+    s = sentences(spark, sf_dir)
+    blocks = windows.build_blocks(s, [2], ["lang"], "doc_id", "row", [F.col("text")])
+    return s, blocks.select("doc_id", "first_row", "lang", F.col("text").alias("sentences"), "rows")
 
 
 def candidate_pool(spark, sf_dir):
     """Candidates of every two-line block, keyed by its document and first row."""
-    s, v = _variants(spark, sf_dir)
-    blocks = windows.build_blocks(s, [2], ["lang"], "doc_id", "row", [F.col("text")]).select("doc_id", "first_row", "lang", F.col("text").alias("sentences"), "rows")
+    s, blocks = _pairs(spark, sf_dir)
+    v = perturb.sentence_variants(s, ["doc_id", "row"], 2, 3)
     placed = v.join(blocks.select("doc_id", "first_row", F.posexplode("rows").alias("position", "row")), ["doc_id", "row"])
     return perturb.candidate_pool(blocks, placed.select("doc_id", "first_row", "position", "category", "variant", "text"), ("doc_id", "first_row"))
 
@@ -194,25 +196,13 @@ QUERIES["candidate_pool"] = candidate_pool
 
 def perturbed_windows(spark, sf_dir):
     """Distractors of every two-sentence window, each sentence of it changed."""
-    s, v = _variants(spark, sf_dir)
-    blocks = windows.build_blocks(s, [2], ["lang"], "doc_id", "row", [F.col("text")]).select("doc_id", "first_row", "lang", "rows")
-    placed = blocks.select("doc_id", "first_row", F.posexplode("rows").alias("position", "row")).join(v, ["doc_id", "row"])
-    made = placed.groupBy("doc_id", "first_row").agg(F.array_sort(F.collect_list(F.struct("position", "category", "variant", "text"))).alias("made"))
-
-    def run(frames):
-        for f in frames:
-            out = []
-            for rows in f["made"]:
-                options = [{c: [] for c in perturb.CATEGORIES} for _ in range(2)]
-                for x in rows if rows is not None else ():
-                    options[x["position"]][x["category"]].append(x["text"])
-                out.append(perturb.arrange(options, 2))
-            f["distractors"] = [[" ".join(t) for t, _ in m] for m in out]
-            f["categories"] = [[c for _, c in m] for m in out]
-            yield f[["doc_id", "first_row", "lang", "distractors", "categories"]]
-
-    whole = blocks.select("doc_id", "first_row", "lang").join(made, ["doc_id", "first_row"], "left")
-    return whole.mapInPandas(run, "doc_id bigint, first_row int, lang string, distractors array<string>, categories array<array<string>>")
+    s, blocks = _pairs(spark, sf_dir)
+    placed = blocks.select("doc_id", "first_row", "lang", F.posexplode("rows").alias("position", "row")).join(perturb.with_variants(s, ["doc_id", "row"], 2, 3), ["doc_id", "row"])
+    options = placed.groupBy("doc_id", "first_row", "lang").agg(F.array_sort(F.collect_list(F.struct("position", *perturb.CATEGORIES))).alias("options"))
+    made = options.withColumn("_d", perturb.distractors(F.col("options"), 2))
+    texts = F.transform("_d", lambda d: F.transform(d, lambda x: x["text"]))
+    joined = F.when(joiner("lang") == "", F.transform(texts, lambda t: F.array_join(t, ""))).otherwise(F.transform(texts, lambda t: F.array_join(t, " ")))
+    return made.select("doc_id", "first_row", "lang", joined.alias("distractors"), F.transform("_d", lambda d: F.transform(d, lambda x: x["category"])).alias("categories"))
 
 
 QUERIES["perturbed_windows"] = perturbed_windows

@@ -1,39 +1,174 @@
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan.operators import perturb, prepare, report, retrieval, scorers
+from loomspan.operators import lexicons, perturb, prepare, report, retrieval, scorers
 from loomspan.plans import pools
 from loomspan.sources import readers, writers
 
 
-def test_variants_change_and_repeat():
-    text = "In 1999 the first Paris office can open."
-    for c in perturb.CATEGORIES:
-        got = perturb.variants(text, "en", c, 2, 1, ("London", "Rome"), frozenset({"in", "the"}))
-        assert got and text not in got and len(set(got)) == len(got)
-        assert got == perturb.variants(text, "en", c, 2, 1, ("London", "Rome"), frozenset({"in", "the"}))
-    digits = perturb.variants("room 42", "en", "number", 3, 5)
-    assert all(len(x) == len("room 42") and x[:5] == "room " and x[5] != "0" for x in digits)
-    assert perturb.change_entity("北京", "zh", ("k",), perturb.Lexicon(), ("x",), frozenset()) is None
+EDGE = perturb.EDGE
+
+
+def all_variants(spark, rows, n=2, seed=1, tables=None):
+    """{(i, category): texts} of rows (i, lang, text)."""
+    df = spark.createDataFrame(rows, "i int, lang string, text string")
+    out = {}
+    for r in perturb.sentence_variants(df, ["i"], n, seed, tables).orderBy("i", "category", "variant").collect():
+        out.setdefault((r["i"], r["category"]), []).append(r["text"])
+    return out
+
+
+def test_numbers_keep_their_width_and_ordinals_their_case(spark):
+    texts = ["room 42", "code 007 is", "the First of May", "a 5", "x" + "9" * 70, "no such thing", "3.14 and 10,000"]
+    rows = [(i, "en", t) for i, t in enumerate(texts)]
+    got = all_variants(spark, rows, n=3)
+    assert got == all_variants(spark, rows, n=3) and got != all_variants(spark, rows, n=3, seed=2)
+    for i, t in enumerate(texts):
+        made = got.get((i, "number"), [])
+        assert len(made) == (0 if i == 5 else 3) and len({t, *made}) == len(made) + 1
+        for x in made:
+            if i == 2:
+                old, new = t.split(" "), x.split(" ")
+                assert new[1].lower() in lexicons.ORDINALS["en"].split(" ") and new[1][0].isupper() and (new[0], new[2:]) == (old[0], old[2:])
+            else:
+                runs, others = re.findall(r"\d+", t), re.findall(r"\d+", x)
+                assert re.sub(r"\d", "#", x) == re.sub(r"\d", "#", t) and sum(a != b for a, b in zip(runs, others)) == 1
+                assert all(b[0] != "0" or a[0] == "0" or len(b) == 1 for a, b in zip(runs, others))
+    assert any(x.startswith("code 0") is False for x in all_variants(spark, rows, n=20).get((1, "number")))
+
+
+def test_causality_by_rule(spark):
+    """All edits of each sentence, listed by hand."""
+    cases = [
+        ("en", "It is not here.", {"It is here."}),
+        ("en", "It is here and was there.", {"It is not here and was there.", "It is here and was not there."}),
+        ("en", "You must go.", {"You must not go."}),  # firm words do not become hedges
+        ("en", "MAY it rain", {"WILL it rain", "MAY NOT it rain", "MAY not it rain"}),
+        ("en", "Warm water didn't flow.", {"Cool water didn't flow.", "Warm water did flow."}),
+        ("en", "Notable warmth", set()),
+        ("fr", "Il ne vient pas.", {"Il vient."}),
+        ("fr", "Elle n'est plus là.", {"Elle est là.", "Elle n'est moins là."}),
+        ("fr", "Il vient.", set()),
+        ("de", "Er kommt.", {"Er kommt nicht."}),
+        ("de", "Kein Licht", {"Ein Licht"}),
+        ("es", "No es caro", {"Es caro", "es caro", "No es barato"}),
+        ("ru", "Он может спать.", {"Он должен спать.", "Он может не спать."}),
+        ("zh", "他不可能成功。", {"他可能成功。", "他不必定成功。", "他不可能失败。"}),
+        ("xx", "Nothing known.", set()),
+        (None, "not", set()),
+    ]
+    got = all_variants(spark, [(i, g, t) for i, (g, t, _) in enumerate(cases)], n=10)
+    for i, (g, t, want) in enumerate(cases):
+        made = set(got.get((i, "causality"), []))
+        assert made <= want and (made or not want), (g, t, made)
+        if i not in (3, 11):
+            assert made == want, (g, t, made)
+
+
+def plain_entities(rows):
+    """Spans and banks by plain loops."""
+    small, spans, bank = set(), {}, {}
+    for _, g, t in rows:
+        small |= {(g, w.strip(EDGE)) for w in t.split(" ") if w.strip(EDGE)[:1].islower()}
+    for i, g, t in rows:
+        tokens = t.split(" ")
+        ok = []
+        for w in tokens:
+            core = w.strip(EDGE)
+            first = next((c for c in core if c.isalpha() or c.isdigit()), "")
+            ok.append(g != "zh" and len(core) >= 2 and first.isupper() and core.lower() not in lexicons.STOPS.get(g, "").split(" ") and (g, core.lower()) not in small)
+        found, a = [], None
+        for p, x in enumerate([*ok, False]):
+            if x and a is None:
+                a = p
+            elif not x and a is not None:
+                found.append((a, p, " ".join(w.strip(EDGE) for w in tokens[a:p])))
+                a = None
+        spans[i] = found
+        for a, b, s in found:
+            bank.setdefault(g, set()).add((b - a, s))
+    return spans, bank
+
+
+def test_entities_are_runs_swapped_for_runs(spark):
+    texts = ["Yesterday Alan Turing met (Ada Lovelace).", "The New York office of Acme, Inc. closed.", "Then Oslo, not Rome!", "In Paris yesterday", "Here Berlin won", "we met then", "北京 Paris"]
+    rows = [(i, "zh" if i == 6 else "en", t) for i, t in enumerate(texts)] + [(9, "fr", "Vu à Lyon."), (10, "", "Lima")]
+    spans, bank = plain_entities(rows)
+    assert bank["en"] >= {(2, "Alan Turing"), (2, "Ada Lovelace"), (2, "New York"), (1, "Oslo")} and not spans[6]
+    got = all_variants(spark, rows, n=2)
+    for i, g, t in rows:
+        allowed = set()
+        for a, b, s in spans[i]:
+            tokens = t.split(" ")
+            lead, tail = tokens[a][: len(tokens[a]) - len(tokens[a].lstrip(EDGE))], tokens[b - 1][len(tokens[b - 1].rstrip(EDGE)) :]
+            same = {x for w, x in bank[g] if w == b - a and x != s}
+            for x in same or {x for _, x in bank[g] if x != s}:
+                allowed.add(" ".join([*tokens[:a], lead + x + tail, *tokens[b:]]))
+        made = got.get((i, "entity"), [])
+        assert set(made) <= allowed and len(made) == min(2, len(allowed)), (t, made, allowed)
 
 
-def test_negation_is_removed_before_it_is_added():
-    en = perturb.LEXICONS["en"]
-    assert perturb.negate("It is not here.", "en", en) == "It is here."
-    assert perturb.negate("It is here.", "en", en) == "It is not here."
-    assert perturb.negate("Il ne vient pas.", "fr", perturb.LEXICONS["fr"]) == "Il vient."
-
-
-def test_window_distractors_change_every_sentence():
-    s = ["In 1999 Paris can open.", "Then 7 more Berlin shops can close."]
-    got = perturb.perturb_window(s, "en", 2, 3, ("Rome", "Oslo"), frozenset())
-    assert len(got) == 2
-    for texts, cats in got:
-        assert all(a != b for a, b in zip(texts, s)) and len(cats) == 2
-    assert got[0][0][0] != got[1][0][0]
-    assert perturb.perturb_window(["…"], "xx", 2, 3) == []
+def test_every_word_of_a_large_vocabulary_counts(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    name = lambda i: letters[i // 676] + letters[i // 26 % 26] + letters[i % 26]
+    common, names = [name(i) for i in range(6000)], [f"{name(i).title()}zz" for i in range(6000)]
+    rows = [(i, "en", f"{w} {w}") for i, w in enumerate(common)] + [(6000 + i, "en", f"{common[-i].title()}, here.") for i in range(3)] + [(7000 + i, "en", f"x. {n} came.") for i, n in enumerate(names)]
+    got = all_variants(spark, rows)
+    assert {i for i, c in got if c == "entity"} == {7000 + i for i in range(6000)}
+    replaced = {t.split(" ")[1] for (i, c), x in got.items() if c == "entity" for t in x}
+    assert len(replaced) > 5000 and replaced <= set(names)
+
+
+def test_a_lexical_database_adds_antonyms(spark):
+    database = spark.createDataFrame([("en", "crisp", "crisp", 0, "soggy"), ("en", "crisp", "crisp", 1, "limp"), ("en", "crisp", "crisp", 2, "dull"), ("en", "ran", "run", 0, "stood")], "lang string, word string, lemma string, sense int, antonym string")
+    got = all_variants(spark, [(0, "en", "Crisp bread"), (1, "en", "they ran")], n=5, tables=perturb.lexicon(spark, database))
+    assert set(got[(0, "causality")]) == {"Soggy bread", "Limp bread"} and (1, "causality") not in got
+
+
+def test_backends_fall_back():
+    assert perturb.backend()[0] == "tables" and perturb.backend("tables")[1] is perturb.sentence_variants
+
+    def absent(*_):
+        raise ImportError
+
+    try:
+        perturb.BACKENDS["absent"] = absent
+        assert perturb.backend()[0] == "tables"
+        perturb.BACKENDS["parser"] = lambda *_: None
+        assert perturb.backend()[0] == "parser"
+        with pytest.raises(KeyError):
+            perturb.backend("unknown")
+    finally:
+        perturb.BACKENDS.pop("absent", None), perturb.BACKENDS.pop("parser", None)
+
+
+def plain_distractors(options, size):
+    """Greedy by loops; options are dicts of lists."""
+    if not options or not all(any(o.values()) for o in options):
+        return []
+    out = [[] for _ in range(size)]
+    for j, o in enumerate(options):
+        taken = set()
+        for d in range(size):
+            order = [(c, t) for k in range(3) for c in [perturb.CATEGORIES[(d + j + k) % 3]] for t in o[c]]
+            pick = next((x for x in order if x[1] not in taken), order[0])
+            taken.add(pick[1])
+            out[d].append(pick)
+    return [x for i, x in enumerate(out) if x[0][1] not in [y[0][1] for y in out[:i]]]
+
+
+def test_distractors_against_loops(spark):
+    rng = random.Random(3)
+    cases = [[{c: rng.sample(["a", "b", "c", "d", "e"], rng.choice([0, 0, 1, 2, 3])) for c in perturb.CATEGORIES} for _ in range(rng.randint(0, 4))] for _ in range(80)]
+    kind = "i int, options array<struct<causality:array<string>,entity:array<string>,number:array<string>>>"
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], kind)
+    for size in (1, 2, 4):
+        for r in df.select("i", perturb.distractors(F.col("options"), size).alias("d")).collect():
+            assert [[(x["category"], x["text"]) for x in d] for d in r["d"]] == plain_distractors(cases[r["i"]], size)
 
 
 def test_pool_orders_gold_first(spark):
@@ -41,6 +176,8 @@ def test_pool_orders_gold_first(spark):
     v = spark.createDataFrame([(1, 1, "number", 0, "B"), (1, 0, "entity", 0, "A")], "block_id int, position int, category string, variant int, text string")
     got = perturb.candidate_pool(blocks, v).orderBy("in_block").collect()
     assert [r["text"] for r in got] == ["a b", "A b", "a B"] and got[0]["kind"] == "true"
+    zh = spark.createDataFrame([(1, "zh", ["a", "b"])], "block_id int, lang string, sentences array<string>")
+    assert [r["text"] for r in perturb.candidate_pool(zh, v).orderBy("in_block").collect()] == ["ab", "Ab", "aB"]
 
 
 def test_all_lines_have_variants_and_blocks(spark, tmp_path):
@@ -55,26 +192,6 @@ def test_all_lines_have_variants_and_blocks(spark, tmp_path):
     assert {(r["doc_id"], r["first_row"], r["position"], r["category"], r["variant"], r["text"]) for r in got if r["kind"] != "true"} == want
 
 
-def test_every_word_of_a_large_vocabulary_counts(spark):
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    name = lambda i: letters[i // 676] + letters[i // 26 % 26] + letters[i % 26]
-    common = [name(i) for i in range(6000)]  # as many lower-case words, the commonest first
-    names = [f"{name(i).title()}zz" for i in range(6000)]
-    texts = [f"{w} {w}" for w in common[:5500]] + common[5500:] + [f"{common[-1].title()}, here." for _ in range(2)] + [f"x. {n} came." for n in names]
-    rows = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)] + [(-1, None, "x. Rome came."), (-2, None, "x. Oslo came.")], "i int, lang string, text string")
-    words, bank = perturb.cased_words(rows)
-    assert bank.filter("lang = 'en'").count() == 6000
-    got = {}
-    for r in perturb.sentence_variants(rows, ["i"], 2, 3, words, bank).filter("category = 'entity'").orderBy("variant").collect():
-        got.setdefault(r["i"], []).append(r["text"])
-    lower = frozenset(w for t in texts for w in t.replace(",", "").replace(".", "").split(" ") if w.islower())
-    want = {i: made for i, t in [*list(enumerate(texts))[:3], *list(enumerate(texts))[-600:], *list(enumerate(texts))[6000:6002]] if (made := perturb.variants(t, "en", "entity", 2, 3, tuple(sorted(names)), lower))}
-    assert want and 6000 not in got and all(got[i] == x for i, x in want.items())
-    assert {i for i in got if i >= 0} == set(range(6002, 12002)) and got[-1] == ["x. Oslo came."] and got[-2] == ["x. Rome came."]
-    replaced = {t.split(" ")[1] for i, x in got.items() if i >= 0 for t in x}
-    assert len(replaced) > 5000
-
-
 def test_retrieval_ties_go_to_the_lowest_index(spark):
     q = spark.createDataFrame([("x", 1, [1.0, 0.0]), ("x", 2, [0.0, 1.0])], "lang string, block_id int, vector array<double>")
     c = spark.createDataFrame([("x", 0, 1, "true", None, 0, 0, [1.0, 0.0]), ("x", 1, 1, "perturbed", "number", 0, 0, [2.0, 0.0]), ("x", 2, 2, "true", None, 0, 0, [1.0, 0.0])], "lang string, pool_idx int, block_id int, kind string, category string, position int, variant int, vector array<double>")
