@@ -19,9 +19,13 @@ def join_with(texts: Column, separator: Column) -> Column:
     return F.aggregate(F.slice(texts, 2, F.greatest(F.size(texts) - 1, F.lit(0))), F.coalesce(F.get(texts, 0), F.lit("")), lambda a, x: F.concat(a, separator, x))
 
 
+#: White space of any script, for both engines' regular expressions.
+SPACE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]+"
+
+
 def collapse(text: Column) -> Column:
     """White space runs as one space, trimmed."""
-    return F.trim(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " "))
+    return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
 def tidy(text: Column) -> Column:
@@ -30,8 +34,9 @@ def tidy(text: Column) -> Column:
 
 
 def strip_markup(text: Column) -> Column:
-    """Without tags; a literal backslash-n and white space runs become one space."""
-    return collapse(F.replace(F.regexp_replace(text, r"<[^>]*>", " "), F.lit("\\n"), F.lit(" ")))
+    """Without the marks <v> and </v> of error spans, with nothing in their place; a literal backslash-n and white space runs become one space."""
+    bare = F.replace(F.replace(text, F.lit("<v>")), F.lit("</v>"))
+    return collapse(F.replace(bare, F.lit("\\n"), F.lit(" ")))
 
 
 def join_nonblank(texts: Column, separator: str = " ") -> Column:

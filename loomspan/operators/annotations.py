@@ -40,9 +40,12 @@ def penalties(errors: Column) -> Column:
     return F.aggregate(F.coalesce(errors, F.array().cast("array<struct<severity:string>>")), F.lit(0.0), lambda a, e: a + severity_penalty(e["severity"]))
 
 
+NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
 def numeric_only(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows whose columns all parse as numbers, cast to double."""
-    cast = rows.withColumns({c: F.col(c).try_cast("double") for c in columns})
+    """Rows whose columns all are decimal numbers, white space around them aside, cast to double."""
+    cast = rows.withColumns({c: F.when(F.col(c).cast("string").rlike(NUMBER), F.col(c).try_cast("double")) for c in columns})
     return cast.na.drop(subset=columns)
 
 

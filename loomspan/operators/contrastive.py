@@ -86,8 +86,3 @@ def with_meaning(cells: DataFrame, kind: str = "perturbation") -> DataFrame:
 def lexical_mean(cells: DataFrame, by: list[str], kind: str = "perturbation", value: str = "accuracy") -> DataFrame:
     """Mean accuracy over the lexical kinds that are not sparse."""
     return cells.filter(F.col(kind).isin(*[x for x in LEXICAL if x not in SPARSE])).groupBy(*by).agg(F.avg(value).alias(value))
-
-
-def unique_triples(units: DataFrame, columns: list[str]) -> DataFrame:
-    """Texts to score, each once, whatever the number of units that need it."""
-    return units.select(*columns).dropDuplicates()

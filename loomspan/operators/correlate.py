@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import cumulative
+
+#: Distinct pairs of values of a group that one task may hold (three numbers each), and that may be held against each other.
+MOST_CELLS, MOST_PAIRED_CELLS = 20_000_000, 5_000
+
 
 def pearson(x: str, y: str) -> Column:
     """Null for constant columns, where ``corr`` would abort the query."""
@@ -14,10 +19,28 @@ def pearson(x: str, y: str) -> Column:
     return F.when(sd > 1e-15, F.covar_pop(x, y) / F.nullif(sd, F.lit(0.0)))
 
 
-def average_rank(column: str, group: list[str]) -> Column:
-    """Ranks from 1, ties at their mean."""
-    order = Window.partitionBy(*group).orderBy(column)
-    return F.rank().over(order) + (F.count(F.lit(1)).over(Window.partitionBy(*group, column)) - 1) / 2
+def cells_of(rows: DataFrame, group: list[str], gold: str, pred: str) -> DataFrame:
+    """Distinct pairs of values (``_x``, ``_y``) per group, without nulls, and how often each occurs (``_c``)."""
+    full = rows.filter(F.col(gold).isNotNull() & F.col(pred).isNotNull())
+    return full.groupBy(*group, F.col(gold).alias("_x"), F.col(pred).alias("_y")).agg(F.count(F.lit(1)).alias("_c"))
+
+
+def spearman(cells: DataFrame, group: list[str]) -> DataFrame:
+    """Per group n and the correlation of average ranks (ties at their mean), null if n < 3 or a side is constant.
+
+    Ranks come from :func:`order.cumulative`, so a group is spread over tasks. They are taken from their mean, (n + 1) / 2.
+    """
+    sizes = cells.groupBy(F.struct(*group).alias("_key")).agg(F.sum("_c").alias("n"))
+    ranked = cells.withColumn("_key", F.struct(*group)).join(sizes, "_key")
+    for side in ("_x", "_y"):
+        counts = cells.groupBy(*group, side).agg(F.sum("_c").alias("n"))
+        ranks = cumulative(counts, group, side).select(F.struct(*group).alias("_key"), side, (F.col("before") + (F.col("n") + 1) / 2).alias(f"_r{side}"))
+        ranked = ranked.join(ranks, ["_key", side]).withColumn(f"_r{side}", F.col(f"_r{side}") - (F.col("n") + 1) / 2)
+    weight = F.col("_c")
+    sums = ranked.groupBy("_key", "n").agg(*[F.sum(weight * F.col(a) * F.col(b)).alias(name) for name, a, b in (("_xy", "_r_x", "_r_y"), ("_xx", "_r_x", "_r_x"), ("_yy", "_r_y", "_r_y"))])
+    below = F.sqrt("_xx") * F.sqrt("_yy")
+    value = F.when((F.col("n") >= 3) & (below > 0), F.col("_xy") / F.nullif(below, F.lit(0.0)))
+    return sums.select(*[F.col("_key").getField(g).alias(g) for g in group], "n", value.alias("spearman"))
 
 
 def correlations(rows: DataFrame, group: list[str], gold: str, pred: str) -> DataFrame:
@@ -26,15 +49,28 @@ def correlations(rows: DataFrame, group: list[str], gold: str, pred: str) -> Dat
     Rows with a null on either side are left out.
     """
     full = rows.filter(F.col(gold).isNotNull() & F.col(pred).isNotNull())
-    ranked = full.withColumns({"_g": average_rank(gold, group), "_p": average_rank(pred, group)})
-    few = F.count(F.lit(1)) >= 3
-    cells = ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.when(few, pearson(gold, pred)).alias("pearson"), F.when(few, pearson("_g", "_p")).alias("spearman"))
-    return cells.join(kendall(full, group, gold, pred), group, "left").withColumn("kendall", F.when((F.col("n") >= 3) & F.col("pearson").isNotNull(), F.col("kendall")))
+    key = F.struct(*group).alias("_key")
+    linear = full.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= 3, pearson(gold, pred)).alias("pearson"))
+    ranks = spearman(cells_of(rows, group, gold, pred), group).select(key, "spearman")
+    taus = kendall(full, group, gold, pred).select(key, "kendall")
+    whole = linear.join(ranks, "_key", "left").join(taus, "_key", "left")
+    tau = F.when((F.col("n") >= 3) & F.col("pearson").isNotNull(), F.col("kendall"))
+    return whole.select(*[F.col("_key").getField(g).alias(g) for g in group], "n", "pearson", "spearman", tau.alias("kendall"))
+
+
+def _refuse_large(cells: DataFrame, group: list[str], most: int, what: str) -> None:
+    size = cells.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).head()["n"]
+    if (size or 0) > most:
+        raise ValueError(f"{what}: a group has {size} different pairs of values, {most} at most; round the values or part the group")
 
 
-def kendall_pairs(rows: DataFrame, group: list[str], gold: str, pred: str) -> DataFrame:
-    """Tau-b from pairs of distinct (gold, pred) cells with their counts: for discrete values, where cells are few."""
-    cells = rows.groupBy(*group, F.col(gold).alias("_x"), F.col(pred).alias("_y")).agg(F.count(F.lit(1)).alias("_c"))
+def kendall_pairs(rows: DataFrame, group: list[str], gold: str, pred: str, most: int = MOST_PAIRED_CELLS) -> DataFrame:
+    """Tau-b from pairs of distinct (gold, pred) cells with their counts: for discrete values, where cells are few.
+
+    The work is the square of a group's cells, so groups of more than ``most`` are refused.
+    """
+    cells = cells_of(rows, group, gold, pred)
+    _refuse_large(cells, group, most, "kendall_pairs")
     other = cells.withColumnsRenamed({"_x": "_x2", "_y": "_y2", "_c": "_c2"})
     pairs = cells.join(other, group)
     sx, sy, w = F.signum(F.col("_x") - F.col("_x2")), F.signum(F.col("_y") - F.col("_y2")), F.col("_c") * F.col("_c2")
@@ -79,12 +115,13 @@ def _inversions(values: np.ndarray, weight: np.ndarray) -> int:
     return total + int((above * weight[half:]).sum())
 
 
-def kendall(rows: DataFrame, group: list[str], gold: str, pred: str) -> DataFrame:
-    """Tau-b of large groups in n log n each; a group's two columns must fit one task.
+def kendall(rows: DataFrame, group: list[str], gold: str, pred: str, most: int = MOST_CELLS) -> DataFrame:
+    """Tau-b of large groups in n log n each; a group's distinct pairs must fit one task, so more than ``most`` are refused.
 
     Equal (gold, pred) cells are counted before they are shuffled.
     """
-    cells = rows.filter(F.col(gold).isNotNull() & F.col(pred).isNotNull()).groupBy(*group, F.col(gold).cast("double").alias("_x"), F.col(pred).cast("double").alias("_y")).agg(F.count(F.lit(1)).alias("_c"))
+    cells = cells_of(rows.withColumns({gold: F.col(gold).cast("double"), pred: F.col(pred).cast("double")}), group, gold, pred)
+    _refuse_large(cells, group, most, "kendall")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         tau = tau_b(*(table.column(c).to_numpy() for c in ("_x", "_y", "_c")))

@@ -59,28 +59,61 @@ def mix_total(sizes: dict[str, int], mixes, cap: int = TOTAL_CAP) -> int:
     return min(feasible(sizes, "pure" if any(m.kind in ("nat", "agg") for m in mixes) else "mix"), cap)
 
 
+def fitting(sizes: dict[str, int], mixes, total: int, allow_skip: bool = False) -> tuple[list[Mix], dict[str, dict[str, dict[str, int]]]]:
+    """The mixes that pools of these sizes can fill at ``total``, and of the others what each needs and has.
+
+    A mix that cannot be filled is an error unless skips are allowed; then it is recorded, never made shorter.
+    """
+    fit, skipped = [], {}
+    for m in mixes:
+        need = quotas(m, total)
+        have = {o: sizes.get(o, 0) for o in need}
+        if all(need[o] <= have[o] for o in need):
+            fit.append(m)
+        elif allow_skip:
+            skipped[m.name] = {"need": need, "have": have}
+        else:
+            raise ValueError(f"{m.name} cannot be filled with {total} rows: it needs {need} of {have}")
+    return fit, skipped
+
+
+def slice_digits(rows: int, slice_rows: int = 50_000) -> int:
+    """Leading hexadecimal digits of an order that deal so many rows into slices that one task can sort."""
+    digits = 1
+    while 16**digits * slice_rows < rows:
+        digits += 1
+    return digits
+
+
 def ordered_pools(rows: DataFrame, origin: str, key: list[str], seed: str, stratify_by: list[str] | None = None) -> DataFrame:
     """Adds ``rank`` (from 1) of every row in the seeded order of its origin, so that prefixes of one order nest."""
     by = [origin, *(stratify_by or [])]
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(order_key(seed, *map(F.col, key)), *key)))
 
 
-def small_prefix(rows: DataFrame, origin: str, key: list[str], seed: str, most: int) -> DataFrame:
-    """As :func:`ordered_pools`, of the first ``most`` rows of each origin only: what any mix can use.
+def small_prefix(rows: DataFrame, origin: str, key: list[str], seed: str, most: int | None = None, digits: int = 3) -> DataFrame:
+    """As :func:`ordered_pools`, of the first ``most`` rows of each origin only (what any mix can use), or of all.
 
     The order's first hexadecimal digits deal rows into slices; counts per slice tell which slices can hold a prefix, and
     only these are ranked, so no task sorts a whole origin.
     """
-    keyed = rows.withColumn("_k", order_key(seed, *map(F.col, key))).withColumn("_slice", F.substring("_k", 1, 3))
+    keyed = rows.withColumn("_k", order_key(seed, *map(F.col, key))).withColumn("_slice", F.substring("_k", 1, digits))
     sizes = keyed.groupBy(origin, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(origin).orderBy("_slice")) - F.col("_n")).filter(F.col("_before") < most)
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(origin).orderBy("_slice")) - F.col("_n"))
+    before = before if most is None else before.filter(F.col("_before") < most)
     inside = F.row_number().over(Window.partitionBy(origin, "_slice").orderBy("_k", *key))
     ranked = keyed.join(before, [origin, "_slice"]).withColumn("rank", F.col("_before") + inside)
-    return ranked.filter(F.col("rank") <= most).drop("_k", "_slice", "_n", "_before")
+    return (ranked if most is None else ranked.filter(F.col("rank") <= most)).drop("_k", "_slice", "_n", "_before")
+
 
+def build_mixes(ranked: DataFrame, origin: str, mixes, total: int, sizes: dict[str, int] | None = None, allow_skip: bool = False) -> DataFrame:
+    """Rows of every mix: the prefix of each origin that its quota asks for.
 
-def build_mixes(ranked: DataFrame, origin: str, mixes, total: int) -> DataFrame:
-    """Rows of every mix: the prefix of each origin that its quota asks for."""
+    ``sizes`` of the pools are counted where not given; see :func:`fitting` for mixes that they cannot fill.
+    """
+    if sizes is None:
+        sizes = {r[origin]: r["count"] for r in ranked.groupBy(origin).count().collect()}
+    mixes, _ = fitting(sizes, mixes, total, allow_skip)
     wanted = F.array(*[F.struct(F.lit(m.name).alias("mix"), F.lit(o).alias("o"), F.lit(n).alias("n")) for m in mixes for o, n in quotas(m, total).items()])
     hits = ranked.withColumn("_m", F.explode(F.filter(wanted, lambda x: (x["o"] == F.col(origin)) & (F.col("rank") <= x["n"]))))
     return hits.withColumn("mix", F.col("_m.mix")).drop("_m")
@@ -103,8 +136,9 @@ def contaminated(pool: DataFrame, evaluation: DataFrame, key: list[str], seed: s
     The union is marked: ``contaminated`` is true and ``source_set`` says whence a row is.
     """
     both = pool.unionByName(evaluation, allowMissingColumns=True).withColumn("contaminated", F.lit(True))
-    n = F.greatest(F.lit(1), F.bround(F.lit(val_share) * F.lit(both.count())))
-    slices = both.withColumn("_k", order_key(seed, *map(F.col, key))).withColumn("_slice", F.substring("_k", 1, 3))
+    rows = both.count()
+    n = F.greatest(F.lit(1), F.bround(F.lit(val_share) * F.lit(rows)))
+    slices = both.withColumn("_k", order_key(seed, *map(F.col, key))).withColumn("_slice", F.substring("_k", 1, slice_digits(rows)))
     sizes = slices.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_slice")) - F.col("_n")).select("_slice", "_before")
     ranked = slices.join(before, "_slice").withColumn("rank", F.col("_before") + F.row_number().over(Window.partitionBy("_slice").orderBy("_k", *key)))

@@ -25,20 +25,26 @@ def unfitted_groups(rows: DataFrame, group: list[str], is_train: str) -> DataFra
     return rows.filter(f"NOT {is_train}").select(*group).distinct().join(rows.filter(is_train).select(*group).distinct(), group, "left_anti")
 
 
+def _with_stats(rows: DataFrame, group: list[str], stats: list) -> DataFrame:
+    """Rows joined with aggregates of their group (null groups included); the group is never held in one task."""
+    found = rows.groupBy(F.struct(*group).alias("_key")).agg(*stats)
+    return rows.withColumn("_key", F.struct(*group)).join(found, "_key").drop("_key")
+
+
 def fit_on_self(rows: DataFrame, group: list[str], score: str, only_outside: list[str] | None = None) -> DataFrame:
     """Each group fitted on itself; with ``only_outside``, only in files (these columns) whose scores leave [0, 1]."""
-    w = Window.partitionBy(*group)
-    z = (F.col(score) - F.avg(score).over(w)) / F.coalesce(F.nullif(F.stddev_samp(score).over(w), F.lit(0.0)), F.lit(1.0))
-    if only_outside is None:
-        return rows.withColumn(score, sigmoid(z))
-    f = Window.partitionBy(*only_outside)
-    outside = (F.min(score).over(f) < 0) | (F.max(score).over(f) > 1)
-    return rows.withColumn(score, F.when(outside, sigmoid(z)).otherwise(F.col(score)))
+    columns = rows.columns
+    z = (F.col(score) - F.col("_mu")) / F.coalesce(F.nullif("_sd", F.lit(0.0)), F.lit(1.0))
+    fitted = _with_stats(rows, group, [F.avg(score).alias("_mu"), F.stddev_samp(score).alias("_sd")])
+    value = sigmoid(z)
+    if only_outside is not None:
+        fitted = _with_stats(fitted, only_outside, [F.min(score).alias("_low"), F.max(score).alias("_high")])
+        value = F.when((F.col("_low") < 0) | (F.col("_high") > 1), value).otherwise(F.col(score))
+    return fitted.withColumn(score, value).select(*columns)
 
 
 def constant_half(rows: DataFrame, group: list[str], score: str) -> DataFrame:
     """Fitted on all rows of the group; a constant group gives 0.5, a group of one row gives null."""
-    w = Window.partitionBy(*group)
-    sd = F.stddev_samp(score).over(w)
-    z = (F.col(score) - F.avg(score).over(w)) / F.nullif(sd, F.lit(0.0))
-    return rows.withColumn(score, F.when(sd == 0, F.lit(0.5)).otherwise(sigmoid(z)))
+    fitted = _with_stats(rows, group, [F.avg(score).alias("_mu"), F.stddev_samp(score).alias("_sd")])
+    z = (F.col(score) - F.col("_mu")) / F.nullif("_sd", F.lit(0.0))
+    return fitted.withColumn(score, F.when(F.col("_sd") == 0, F.lit(0.5)).otherwise(sigmoid(z))).select(*rows.columns)

@@ -75,9 +75,9 @@ def with_references(rows: DataFrame, refs: DataFrame, keys: list[str], ref: str,
 
 
 def changed_documents(rows: DataFrame, group: list[str], before: str, after: str) -> DataFrame:
-    """Rows of groups of which at least one row's text changed."""
-    changed = F.max((F.levenshtein(before, after) > 0).cast("int")).over(Window.partitionBy(*group))
-    return rows.withColumn("_c", changed).filter("_c = 1").drop("_c")
+    """Rows of groups of which at least one row's text changed; a null and a text differ, two nulls do not."""
+    changed = rows.filter(~F.col(before).eqNullSafe(F.col(after))).select(F.struct(*group).alias("_key")).distinct()
+    return rows.withColumn("_key", F.struct(*group)).join(changed, "_key", "left_semi").drop("_key")
 
 
 def assert_paired(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

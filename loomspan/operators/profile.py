@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomspan.functions.numeric import HISTOGRAM, PERCENTILES, histogram_bin, token_bin
 
 from .correlate import correlations
+from .order import percentiles
 
 
 def describe(rows: DataFrame, group: list[str], value: str) -> DataFrame:
@@ -15,8 +16,10 @@ def describe(rows: DataFrame, group: list[str], value: str) -> DataFrame:
     v = F.col(value)
     finite = rows.filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     names = [f"p{round(p * 100):02d}" for p in PERCENTILES]
-    cells = finite.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("sd"), F.min(v).alias("low"), F.max(v).alias("high"), F.percentile(v, F.array(*map(F.lit, PERCENTILES))).alias("_q"), F.count_if(v < HISTOGRAM[0]).alias("under"), F.count_if(v > HISTOGRAM[1]).alias("over"))
-    out = cells.withColumns({n: F.get("_q", F.lit(i)) for i, n in enumerate(names)}).drop("_q")
+    cells = finite.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("sd"), F.min(v).alias("low"), F.max(v).alias("high"), F.count_if(v < HISTOGRAM[0]).alias("under"), F.count_if(v > HISTOGRAM[1]).alias("over"))
+    key = F.struct(*group)
+    found = percentiles(finite, group, value, list(PERCENTILES)).select(key.alias("_key"), "q")
+    out = cells.withColumn("_key", key).join(found, "_key").withColumns({n: F.get("q", F.lit(i)) for i, n in enumerate(names)}).drop("q", "_key")
     return out.withColumn("iqr", F.col("p75") - F.col("p25"))
 
 

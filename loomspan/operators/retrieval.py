@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from loomspan.functions.numeric import dot, unit
 
 
+#: Candidates of one slice.
+SLICE_CANDIDATES = 2_000
+
+
 def own_similarities(queries: DataFrame, candidates: DataFrame, group: list[str]) -> DataFrame:
     """Similarity of each query to the candidates of its own block, with the gold's beside every negative: ``gold``, ``sim``."""
     q = queries.select(*group, "block_id", unit(F.col("vector")).alias("_q"))
@@ -23,12 +27,14 @@ def own_similarities(queries: DataFrame, candidates: DataFrame, group: list[str]
     return pairs.filter("kind = 'perturbed'").join(gold, [*group, "block_id"])
 
 
-def class_bests(queries: DataFrame, candidates: DataFrame, group: list[str], slices: int = 16) -> DataFrame:
+def class_bests(queries: DataFrame, candidates: DataFrame, group: list[str], slices: int | None = None) -> DataFrame:
     """For each query the best candidate among: its gold, other true blocks, and negatives by category and by whose they are.
 
     Every query meets every candidate of its group. Candidates are dealt over slices and queries copied to each, so that
-    one group spreads over tasks; only the best of each class leaves a task.
+    one group spreads over tasks; only the best of each class leaves a task. Slices follow the number of candidates.
     """
+    if slices is None:
+        slices = max(16, -(-candidates.count() // SLICE_CANDIDATES))
     c = candidates.select(*group, "pool_idx", F.col("block_id").alias("_block"), "kind", "category", unit(F.col("vector")).alias("_c"), F.pmod(F.xxhash64("pool_idx"), F.lit(slices)).alias("_s"))
     q = queries.select(*group, "block_id", unit(F.col("vector")).alias("_q")).withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint"))))
     met = q.join(c, [*group, "_s"])

@@ -28,47 +28,69 @@ def _rows(spark, sf_dir):
     return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(s == "F", "sent").when(s == "O", "agg").otherwise("native").alias("origin"), F.col("o_orderpriority").alias("lp"))
 
 
-@query("mix_order", f"WITH {_ORIGINS} SELECT origin, id, rank FROM ranked WHERE rank <= 400")
+def _sizes(rows):
+    return {r["origin"]: r["count"] for r in rows.groupBy("origin").count().collect()}
+
+
+@query("mix_order", f"WITH {_ORIGINS} SELECT origin, id, rank FROM ranked")
 def mix_order(spark, sf_dir):
-    return mixtures.small_prefix(_rows(spark, sf_dir), "origin", ["id"], "13", 400).select("origin", "id", "rank")
+    """The seeded order of every row of every pool."""
+    rows = _rows(spark, sf_dir)
+    return mixtures.small_prefix(rows, "origin", ["id"], "13", digits=mixtures.slice_digits(max(_sizes(rows).values(), default=0))).select("origin", "id", "rank")
+
+
+# fixed values of the mixes, and the total: what the pools can fill all of them with, at most the cap
+_SPECS = "(VALUES " + ", ".join(f"('{m.name}', '{m.kind}', {m.percent})" for m in mixtures.MIXES) + ") AS m(mix, kind, percent)"
+_COUNTS = "c AS (SELECT count(*) FILTER (WHERE origin = 'sent') AS s, count(*) FILTER (WHERE origin = 'agg') AS a, count(*) FILTER (WHERE origin = 'native') AS n FROM rows)"
 
 
-_MIX_TOTAL = 300
+def _quota_sql(total):
+    return f"""{_COUNTS}, spec AS (SELECT mix, kind, ({total})::BIGINT AS total, CASE kind WHEN 'mix' THEN round_even(({total}) * percent / 100.0::DOUBLE, 0) ELSE 0 END::BIGINT AS sent FROM {_SPECS}, c),
+quota AS (SELECT mix, unnest(['sent', 'agg', 'native']) AS origin, unnest([sent, CASE kind WHEN 'mix' THEN (total - sent) // 2 WHEN 'agg' THEN total ELSE 0 END, CASE kind WHEN 'mix' THEN total - sent - (total - sent) // 2 WHEN 'nat' THEN total ELSE 0 END]) AS q FROM spec)"""
 
 
-def _quota_sql():
-    parts = [f"('{m.name}', '{o}', {n})" for m in mixtures.MIXES for o, n in mixtures.quotas(m, _MIX_TOTAL).items()]
-    return f"quota(mix, origin, q) AS (VALUES {', '.join(parts)})"
+_TOTAL = f"least(s, a, n, {mixtures.TOTAL_CAP})"
 
 
 def _mixed(spark, sf_dir):
-    return mixtures.build_mixes(mixtures.small_prefix(_rows(spark, sf_dir), "origin", ["id"], "13", _MIX_TOTAL), "origin", mixtures.MIXES, _MIX_TOTAL)
+    """All mixes, as large as the pools allow."""
+    rows = _rows(spark, sf_dir)
+    sizes = _sizes(rows)
+    total = mixtures.mix_total(sizes, mixtures.MIXES)
+    ranked = mixtures.small_prefix(rows, "origin", ["id"], "13", total, mixtures.slice_digits(max(sizes.values(), default=0)))
+    return mixtures.build_mixes(ranked, "origin", mixtures.MIXES, total, sizes)
 
 
-@query("mix_prefix", f"WITH {_ORIGINS}, {_quota_sql()} SELECT mix, origin, id FROM ranked JOIN quota USING (origin) WHERE rank <= q")
+@query("mix_prefix", f"WITH {_ORIGINS}, {_quota_sql(_TOTAL)} SELECT mix, origin, id FROM ranked JOIN quota USING (origin) WHERE rank <= q")
 def mix_prefix(spark, sf_dir):
     return _mixed(spark, sf_dir).select("mix", "origin", "id")
 
 
-@query("mix_counts", f"WITH {_ORIGINS}, {_quota_sql()} SELECT mix, origin, lp, count(*) AS n FROM ranked JOIN quota USING (origin) WHERE rank <= q GROUP BY mix, origin, lp")
+@query("mix_counts", f"WITH {_ORIGINS}, {_quota_sql(_TOTAL)} SELECT mix, origin, lp, count(*) AS n FROM ranked JOIN quota USING (origin) WHERE rank <= q GROUP BY mix, origin, lp")
 def mix_counts(spark, sf_dir):
     return mixtures.manifest(_mixed(spark, sf_dir), ["origin", "lp"], ["id"]).drop("digest")
 
 
 def mix_manifest(spark, sf_dir):
-    """Mixes of the size that the pools allow."""
-    rows = _rows(spark, sf_dir)
-    total = mixtures.mix_total({r["origin"]: r["count"] for r in rows.groupBy("origin").count().collect()}, mixtures.MIXES)
-    mixed = mixtures.build_mixes(mixtures.small_prefix(rows, "origin", ["id"], "13", total), "origin", mixtures.MIXES, total)
-    return mixtures.manifest(mixed, ["origin", "lp"], ["id", "origin", "lp"])
+    return mixtures.manifest(_mixed(spark, sf_dir), ["origin", "lp"], ["id", "origin", "lp"])
 
 
 QUERIES["mix_manifest"] = mix_manifest
 
 
-@query("mix_unequal", f"WITH {_ORIGINS}, {_quota_sql()}, s AS (SELECT mix, count(*) AS n FROM ranked JOIN quota USING (origin) WHERE rank <= q GROUP BY mix) SELECT mix, n FROM s WHERE n <> (SELECT max(n) FROM s)")
+@query("mix_unequal", f"WITH {_ORIGINS}, {_quota_sql(_TOTAL)}, s AS (SELECT mix, count(*) AS n FROM ranked JOIN quota USING (origin) WHERE rank <= q AND NOT (mix IN ('frac100', 'frac040') AND id % 3 = 0) GROUP BY mix) SELECT mix, n FROM s WHERE n <> (SELECT max(n) FROM s)")
 def mix_unequal(spark, sf_dir):
-    return mixtures.unequal_totals(_mixed(spark, sf_dir))
+    """Of the mixes and of two that lost rows since, those that are not as large as the others."""
+    return mixtures.unequal_totals(_mixed(spark, sf_dir).filter("NOT (mix IN ('frac100', 'frac040') AND id % 3 = 0)"))
+
+
+@query("mix_skipped", f"WITH {_ORIGINS}, {_quota_sql('least(s, 2 * a, 2 * n)')}, h AS (SELECT mix, origin, q AS need, CASE origin WHEN 'sent' THEN s WHEN 'agg' THEN a ELSE n END AS have FROM quota, c) SELECT mix, origin, need, have FROM h WHERE mix IN (SELECT mix FROM h WHERE need > have)")
+def mix_skipped(spark, sf_dir):
+    """At the total that suits the mixes of sentences and long texts, the mixes that their pools cannot fill."""
+    sizes = _sizes(_rows(spark, sf_dir))
+    _, skipped = mixtures.fitting(sizes, mixtures.MIXES, mixtures.feasible(sizes), allow_skip=True)
+    rows = [(m, o, int(x["need"][o]), int(x["have"][o])) for m, x in skipped.items() for o in x["need"]]
+    return spark.createDataFrame(rows, "mix string, origin string, need bigint, have bigint")
 
 
 @query("mix_feasible", f"WITH {_ORIGINS} SELECT least(count(*) FILTER (WHERE origin = 'sent'), 2 * count(*) FILTER (WHERE origin = 'agg'), 2 * count(*) FILTER (WHERE origin = 'native')) AS mix, least(count(*) FILTER (WHERE origin = 'sent'), count(*) FILTER (WHERE origin = 'agg'), count(*) FILTER (WHERE origin = 'native')) AS pure FROM rows")

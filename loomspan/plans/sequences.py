@@ -121,10 +121,11 @@ def severity_penalty(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", annotations.penalties(F.array(F.struct(severity.alias("severity")))).alias("penalty"))
 
 
-@query("numeric_filter", "SELECT doc_id, TRY_CAST(substr(text, 1, 2) AS DOUBLE) AS value FROM documents WHERE TRY_CAST(substr(text, 1, 2) AS DOUBLE) IS NOT NULL AND NOT regexp_matches(substr(text, 1, 2), '[A-Za-z]')")
+@query("numeric_filter", f"WITH {SENTENCES}, w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS value FROM sent) SELECT doc_id, value::DOUBLE AS value, count(*) AS n FROM w WHERE regexp_matches(value, '{annotations.NUMBER}') GROUP BY 1, 2")
 def numeric_filter(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 2).alias("value")).filter(~F.col("value").rlike("[A-Za-z]"))
-    return annotations.numeric_only(rows, ["value"])
+    """The words of all documents that are numbers."""
+    words = sentences(spark, sf_dir).select("doc_id", F.explode(F.split("text", " ")).alias("value"))
+    return annotations.numeric_only(words, ["value"]).groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("score_range", "SELECT c_nationkey, count(*) AS n, " + r6("min(c_acctbal)") + " AS low, " + r6("max(c_acctbal)") + " AS high FROM customer GROUP BY c_nationkey")
@@ -212,10 +213,9 @@ def reference_missing(spark, sf_dir):
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus").isNull()).alias("dropped"))
 
 
-@query("changed_documents", "SELECT conv_id, turn FROM (SELECT conv_id, turn, max(CASE WHEN substr(text, 1, 12) <> replace(substr(text, 1, 12), 'the', 'THE') THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS c FROM conversations) WHERE c = 1")
+@query("changed_documents", "SELECT conv_id, turn FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE text <> replace(text, 'the', 'THE'))")
 def changed_documents(spark, sf_dir):
-    t = F.substring("text", 1, 12)
-    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", t.alias("a"), F.replace(t, F.lit("the"), F.lit("THE")).alias("b"))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("a"), F.replace("text", F.lit("the"), F.lit("THE")).alias("b"))
     return prepare.changed_documents(rows, ["conv_id"], "a", "b").select("conv_id", "turn")
 
 
@@ -225,20 +225,29 @@ def paired_keys(spark, sf_dir):
     return prepare.assert_paired(rows.filter("doc_id % 3 = 0"), rows.filter("doc_id % 2 = 0"), ["doc_id"])
 
 
-@query("splice_first", f"WITH {SENTENCES}, w AS (SELECT doc_id, string_agg(text, ' ' ORDER BY row) AS ref, min(text) FILTER (WHERE row = 0) AS f FROM sent WHERE row < 3 GROUP BY doc_id) SELECT doc_id, md5('<' || f || '>' || substr(ref, length(f) + 1)) AS spliced FROM w")
+@query("splice_first", f"WITH {SENTENCES}, w AS (SELECT doc_id, string_agg(text, ' ' ORDER BY row) AS ref, min(text) FILTER (WHERE row = 0) AS f FROM sent GROUP BY doc_id) SELECT doc_id, md5('<' || f || '>' || substr(ref, length(f) + 1)) AS spliced FROM w")
 def splice_first(spark, sf_dir):
-    s = sentences(spark, sf_dir).filter("row < 3")
+    s = sentences(spark, sf_dir)
     longer = s.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "text"))), lambda x: x["text"]), " ").alias("reference"))
     single = s.filter("row = 0").select("doc_id", F.col("text").alias("reference"), F.array(F.concat(F.lit("<"), "text", F.lit(">"))).alias("distractors"))
     return prepare.splice_first(longer, single, ["doc_id"], "distractors", "reference").select("doc_id", F.md5(F.get("distractors", F.lit(0)).cast("binary")).alias("spliced"))
 
 
-@query("normalize_text", r"SELECT page_id, md5(trim(regexp_replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\n', ' '), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS digest FROM pages")
+def _collapsed(sql):
+    return f"trim(regexp_replace({sql}, '{text.SPACE}', ' ', 'g'))"
+
+
+_BARE = "replace(replace(replace(replace(replace(html, '<p>', '<v>'), '</p>', '</v>'), '<v>', ''), '</v>', ''), chr(92) || 'n', ' ')"
+
+
+@query("normalize_text", f"SELECT page_id, md5({_collapsed(_BARE)}) AS digest FROM pages")
 def normalize_text(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", F.md5(text.strip_markup(F.col("html")).cast("binary")).alias("digest"))
+    """Pages whose paragraphs are marked as error spans are."""
+    marked = F.replace(F.replace("html", F.lit("<p>"), F.lit("<v>")), F.lit("</p>"), F.lit("</v>"))
+    return read(spark, sf_dir, "pages").select("page_id", F.md5(text.strip_markup(marked).cast("binary")).alias("digest"))
 
 
-@query("tidy_text", r"SELECT doc_id, md5(regexp_replace(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')), ' +([,.;:!?])', '\1', 'g')) AS digest FROM documents")
+@query("tidy_text", rf"SELECT doc_id, md5(regexp_replace({_collapsed('text')}, ' +([,.;:!?])', '\1', 'g')) AS digest FROM documents")
 def tidy_text(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.tidy(F.col("text")).cast("binary")).alias("digest"))
 

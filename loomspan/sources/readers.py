@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,10 +31,18 @@ def need(spark: SparkSession, path: str, made_by: str) -> None:
 
 
 def read_lines(spark: SparkSession, path: str, lang: str, split: str) -> DataFrame:
-    """One sentence per line, ``row`` from 0. Each file is read whole, as line numbers need it."""
-    text = spark.read.text(path, wholetext=True)
-    lines = F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n", -1)
-    return text.select(F.lit(split).alias("split"), F.posexplode(lines).alias("row", "text")).withColumn("lang", F.lit(lang))
+    """One sentence per line, ``row`` from 0 in each file; an empty file has none.
+
+    A large file is read in blocks by many tasks: lines are numbered inside each block, and counts of lines per block,
+    a small table, shift them.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path)
+    lines = raw.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.regexp_replace("value", r"\r\z", "").alias("text"))
+    sizes = lines.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_file", "_block", (F.sum("_n").over(Window.partitionBy("_file").orderBy("_block")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_at")) - 1
+    numbered = lines.withColumn("_inside", inside).join(before, ["_file", "_block"])
+    return numbered.select(F.lit(split).alias("split"), (F.col("_before") + F.col("_inside")).cast("int").alias("row"), "text", F.lit(lang).alias("lang"))
 
 
 def aligned_lines(spark: SparkSession, files: dict[str, str], split: str, urls: str | None = None) -> DataFrame:
@@ -64,15 +72,21 @@ def aligned_records(rows: DataFrame, langs: list[str], n: int | None = None) ->
     The url is the first language's, or the id where it has none. Returns ``row`` from 0, ``id``, ``url``, ``lang``, ``text``.
     """
     from loomspan.operators.prepare import complete_ids, first_ids, id_order
-    from pyspark.sql import Window
 
     known = rows.filter(F.col("lang").isin(*langs))
     kept = complete_ids(known, ["id"], "lang", len(langs))
     if n is not None:
         kept = first_ids(kept, "id", n)
     url = kept.filter(F.col("lang") == langs[0]).groupBy("id").agg(F.coalesce(F.nullif(F.max("url"), F.lit("")), F.col("id")).alias("url"))
-    numbered = url.withColumn("row", F.row_number().over(Window.orderBy(*id_order("id"))) - 1)
-    return kept.select("id", "lang", "text").join(numbered, "id")
+    # numbers by thousands, other ids by their first characters: slices that follow the order, so no task sorts all ids
+    number = F.when(F.col("id").rlike(r"^\d+$"), F.col("id").try_cast("bigint"))
+    sliced = url.withColumns({"_kind": id_order("id")[0], "_thousand": F.floor(number / 1000), "_head": F.when(number.isNull(), F.substring("id", 1, 3))})
+    part = ["_kind", "_thousand", "_head"]
+    sizes = sliced.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select(F.struct(*part).alias("_part"), (F.sum("_n").over(Window.orderBy(*part)) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*part).orderBy(*id_order("id"))) - 1
+    numbered = sliced.withColumn("_inside", inside).withColumn("_part", F.struct(*part)).join(before, "_part")
+    return kept.select("id", "lang", "text").join(numbered.select("id", "url", (F.col("_before") + F.col("_inside")).alias("row")), "id")
 
 
 def load_aligned(spark: SparkSession, kind: str, **options) -> DataFrame:
@@ -100,8 +114,8 @@ def read_ratings(spark: SparkSession, path: str, score: str = "score") -> DataFr
     return read_tsv(spark, path).withColumn(score, F.col(score).try_cast("double")).na.drop(subset=[score])
 
 
-def read_errors(spark: SparkSession, path: str, canary: str = "") -> DataFrame:
-    """Error-level TSV: docSegId is preferred over seg_id; rows of the canary marker and short rows go."""
+def read_errors(spark: SparkSession, path: str, canary: str = "CANARY") -> DataFrame:
+    """Error-level TSV: docSegId is preferred over seg_id; rows whose source has the canary mark and short rows go."""
     raw = read_tsv(spark, path)
     seg = F.coalesce(*[F.col(c) for c in ("docSegId", "seg_id") if c in raw.columns]).alias("seg")
     rows = raw.select(*[c for c in raw.columns if c not in ("docSegId", "seg_id")], seg).filter(F.col("target").isNotNull())
@@ -137,8 +151,6 @@ def system_files(paths: list[str]) -> list[str]:
 
 def reference_by_line(rows: DataFrame, refs: DataFrame) -> DataFrame:
     """Segment n of a document has the document's n-th reference line, counted from 1."""
-    from pyspark.sql import Window
-
     numbered = refs.withColumn("seg_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")).cast("string")).select("doc_id", "seg_id", "ref")
     return rows.join(numbered, ["doc_id", "seg_id"], "left")
 

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from loomspan.functions import numeric
-from loomspan.operators import annotations, bootstrap, contrastive, correlate, duel, mixtures, normalize, profile
+from loomspan.operators import annotations, bootstrap, contrastive, correlate, duel, mixtures, normalize, order, profile
 from loomspan.plans import pools, statistics
 from pyspark.sql import functions as F
 
@@ -164,3 +164,39 @@ def test_perturbations_that_keep_the_quality(spark):
     assert got["sentence_splitting"]["false_positive_rate"] == 0.8 and got["tense_consistency"]["false_positive_rate"] is None
     assert got["tense_consistency"]["family"] == "lexical"
     assert contrastive.lexical_mean(cells.withColumn("w", F.lit(1)), ["w"]).head()["accuracy"] == 0.6
+
+
+def test_mixes_that_pools_cannot_fill_stop_or_are_recorded(spark):
+    sizes = {"sent": 100, "agg": 60, "native": 70}
+    with pytest.raises(ValueError, match="frac000agg|frac000nat"):
+        mixtures.fitting(sizes, mixtures.MIXES, 100)
+    fit, skipped = mixtures.fitting(sizes, mixtures.MIXES, 100, allow_skip=True)
+    assert set(skipped) == {"frac000nat", "frac000agg"} and skipped["frac000agg"]["need"]["agg"] == 100 and len(fit) == 7
+    rows = spark.range(30).select("id", F.lit("sent").alias("origin"), F.col("id").alias("rank"))
+    with pytest.raises(ValueError):
+        mixtures.build_mixes(rows, "origin", mixtures.MIXES, 300)
+
+
+def test_ranks_and_percentiles_in_slices(spark, monkeypatch):
+    """Against numpy, with ties, null groups and one group that has nearly all rows."""
+    rng = np.random.default_rng(4)
+    rows = [("big", float(x), float(y)) for x, y in zip(rng.integers(0, 300, 3000), rng.normal(size=3000).round(2))]
+    rows += [(None, 1.0, 2.0), (None, 2.0, 1.0), (None, 3.0, 5.0), ("one", 4.0, 4.0), ("flat", 1.0, 2.0), ("flat", 1.0, 3.0), ("flat", 1.0, 4.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    got = {r["g"]: r for r in correlate.correlations(df, ["g"], "x", "y").collect()}
+    big = np.array([(x, y) for g, x, y in rows if g == "big"])
+
+    def ranks(v):
+        order = np.sort(v)
+        return (np.searchsorted(order, v, "left") + np.searchsorted(order, v, "right") + 1) / 2
+
+    assert got["big"]["spearman"] == pytest.approx(np.corrcoef(ranks(big[:, 0]), ranks(big[:, 1]))[0, 1], abs=1e-9)
+    assert got[None]["spearman"] == pytest.approx(0.5) and got["flat"]["spearman"] is None and got["one"]["spearman"] is None
+    shares = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
+    found = {r["g"]: r["q"] for r in order.percentiles(df, ["g"], "y", shares).collect()}
+    for g in ("big", None, "one", "flat"):
+        assert found[g] == pytest.approx(list(np.percentile([y for k, _, y in rows if k == g], [100 * s for s in shares])))
+    with pytest.raises(ValueError, match="different pairs"):
+        correlate.kendall(df, ["g"], "x", "y", most=100)
+    with pytest.raises(ValueError, match="different pairs"):
+        correlate.kendall_pairs(df, ["g"], "x", "y", most=100)
