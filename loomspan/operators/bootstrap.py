@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from math import factorial
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .correlate import MOST_CELLS, weighted_tau_b
+from .order import cumulative
 
-from .correlate import tau_b
+#: Documents up to which a task holds the counts of a whole resample, and resamples that one task makes.
+EXACT_DOCS, DRAW_BLOCK = 1_000_000, 50
+_POISSON = np.cumsum([np.exp(-1.0) / factorial(k) for k in range(16)])
 
 
 def units(rows: DataFrame, group: str, doc: str, order: str, values: list[str]) -> DataFrame:
@@ -16,33 +26,76 @@ def units(rows: DataFrame, group: str, doc: str, order: str, values: list[str])
     return rows.groupBy(group, doc).agg(packed.alias("_v")).select(group, doc, *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
-def resamples(spark: SparkSession, docs: DataFrame, doc: str, draws: int, seed: int) -> DataFrame:
-    """(``b``, doc, ``times``): how often each document is in each resample. Made from hashes: a Poisson count of mean one.
+@dataclass(frozen=True)
+class Resamples:
+    """``draws`` resamples of ``n`` documents, numbered from 0: made in any task from the seed alone, always the same.
+
+    Up to EXACT_DOCS documents are drawn with replacement, n at a time (multinomial counts). Beyond, where a task cannot hold all
+    counts, each document gets a Poisson count of mean one for itself, which is what multinomial counts come to.
+    """
+
+    n: int
+    draws: int
+    seed: int
+    exact: bool
+
+    @staticmethod
+    def of(n: int, draws: int, seed: int) -> Resamples:
+        return Resamples(n, draws, seed, n <= EXACT_DOCS)
+
+    def times(self, b: int, index: np.ndarray) -> np.ndarray:
+        """How often each of the documents is in resample b."""
+        if self.exact:
+            drawn = np.random.default_rng([self.seed, b]).integers(0, self.n, self.n)
+            return np.bincount(drawn, minlength=self.n)[index]
+        x = (index.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64((self.seed << 32) + b)
+        for m in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(m)
+        return np.searchsorted(_POISSON, (x >> np.uint64(11)).astype(np.float64) / 2.0**53, "right")
 
-    Documents are drawn independently of each other, so no task needs to know how many there are.
+
+def numbered(rows: DataFrame, doc: str) -> tuple[DataFrame, int]:
+    """Rows with ``_doc``, their document's number from 0 in the order of a hash, and how many documents there are."""
+    keys = rows.select(F.xxhash64(doc).alias("_h")).distinct().withColumn("n", F.lit(1).cast("bigint"))
+    placed = cumulative(keys.withColumn("_all", F.lit(0)), ["_all"], "_h").select("_h", F.col("before").alias("_doc"))
+    return rows.withColumn("_h", F.xxhash64(doc)).join(placed, "_h").drop("_h"), keys.count()
+
+
+def _tasks(rows: DataFrame) -> int:
+    """As many as the cluster has cores: few bytes are much work here, so partitions must not be merged by their size."""
+    return rows.sparkSession.sparkContext.defaultParallelism
+
+
+def weighted_means(units_: DataFrame, doc: str, group: str, value: str, draws: int, seed: int) -> DataFrame:
+    """Per resample (``b``): mean over groups of the group's mean weighted by draws; groups without weight are left out.
+
+    Each task sums its rows under every resample; what leaves it is a row per resample and group, not per row.
     """
-    bs = spark.range(draws).withColumnRenamed("id", "b")
-    u = (F.pmod(F.xxhash64(F.lit(seed), "b", F.col(doc)), F.lit(2**40)) + 0.5) / F.lit(float(2**40))
-    cdf, p, total = [], np.exp(-1.0), 0.0
-    for k in range(9):
-        total += p
-        cdf.append(float(total))
-        p /= k + 1
-    times = F.lit(9)
-    for k in reversed(range(9)):
-        times = F.when(u < cdf[k], F.lit(k)).otherwise(times)
-    return docs.select(doc).distinct().join(F.broadcast(bs)).withColumn("times", times).filter("times > 0")
-
-
-def multinomial(n: int, draws: int, seed: int) -> np.ndarray:
-    """Counts (draws x n) of n documents drawn n times each, from numpy's legacy generator; for few documents."""
-    rng = np.random.RandomState(seed)
-    return np.stack([np.bincount(rng.randint(0, n, n), minlength=n) for _ in range(draws)])
-
-
-def weighted_means(units_: DataFrame, drawn: DataFrame, doc: str, group: str, value: str) -> DataFrame:
-    """Per resample: mean over groups of the group's mean weighted by draws; groups without weight are left out."""
-    cell = units_.join(drawn, doc).groupBy("b", group).agg((F.sum(F.col("times") * F.col(value)) / F.sum("times")).alias("m"))
+    rows, n = numbered(units_.filter(F.col(value).isNotNull()).select(doc, group, F.col(value).cast("double").alias("_v")), doc)
+    drawn, kind = Resamples.of(n, draws, seed), rows.schema[group].dataType
+    schema = T.StructType([T.StructField("b", T.LongType()), T.StructField(group, kind), T.StructField("_s", T.DoubleType()), T.StructField("_w", T.DoubleType())])
+
+    def run(batches):
+        parts = [pa.Table.from_batches([x]) for x in batches if x.num_rows]
+        if not parts:
+            return
+        table = pa.concat_tables(parts)
+        names = table.column(group).combine_chunks().dictionary_encode()
+        at = pc.fill_null(names.indices, len(names.dictionary)).to_numpy(zero_copy_only=False)
+        index, values, groups = table.column("_doc").to_numpy(), table.column("_v").to_numpy(), len(names.dictionary) + 1
+        labels = pa.concat_arrays([names.dictionary, pa.nulls(1, names.dictionary.type)])
+        for first in range(0, drawn.draws, DRAW_BLOCK):
+            bs = range(first, min(first + DRAW_BLOCK, drawn.draws))
+            total, sums = np.zeros((len(bs), groups)), np.zeros((len(bs), groups))
+            for i, b in enumerate(bs):
+                w = drawn.times(b, index)
+                total[i] = np.bincount(at, weights=w, minlength=groups)
+                sums[i] = np.bincount(at, weights=w * values, minlength=groups)
+            draw, some = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(draw + first), labels.take(pa.array(some)), pa.array(sums[draw, some]), pa.array(total[draw, some])], names=schema.names)
+
+    spread = rows.select("_doc", group, "_v").repartition(_tasks(rows))
+    cell = spread.mapInArrow(run, schema).groupBy("b", group).agg((F.sum("_s") / F.sum("_w")).alias("m"))
     return cell.groupBy("b").agg(F.avg("m").alias("value"))
 
 
@@ -52,20 +105,31 @@ def interval(values: DataFrame, value: str = "value", low: float = 0.025, high:
     return cut.withColumn("significant", (F.col("low") > 0) | (F.col("high") < 0))
 
 
-def tau_delta(rows: DataFrame, drawn: DataFrame, group: str, doc: str, gold: str, a: str, b: str) -> DataFrame:
+def tau_delta(rows: DataFrame, group: str, doc: str, gold: str, a: str, b: str, draws: int, seed: int) -> DataFrame:
     """Per resample: mean over groups of tau-b of ``a`` minus that of ``b``, on the same documents.
 
-    Groups with two rows or fewer, or without variance, are left out of a resample.
+    Groups with two rows or fewer, or without variance, are left out of a resample. A group goes to as many tasks as there are
+    blocks of DRAW_BLOCK resamples, which count for themselves; a group that no task can hold is refused.
     """
-    full = rows.select(group, doc, F.col(gold).alias("_gold"), F.col(a).alias("_one"), F.col(b).alias("_two")).join(drawn, doc)
+    full, n = numbered(rows.select(group, doc, *[F.col(c).cast("double").alias(x) for c, x in ((gold, "_gold"), (a, "_one"), (b, "_two"))]), doc)
+    largest = full.groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).head()["n"] or 0
+    if largest > MOST_CELLS:
+        raise ValueError(f"tau_delta: a group has {largest} rows, {MOST_CELLS} at most; part the group")
+    drawn = Resamples.of(n, draws, seed)
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-draws // DRAW_BLOCK) - 1))).alias("_block")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        g, x, y, w = (table.column(c).to_numpy() for c in ("_gold", "_one", "_two", "times"))
-        one, two = (tau_b(g, v, w) for v in (x, y))
-        ok = int(w.sum()) > 2 and one is not None and two is not None
-        return pa.table({"b": pa.array([key[0].as_py()], pa.int64()), "delta": pa.array([one - two if ok else None], pa.float64())})
-
-    return full.groupBy("b", group).applyInArrow(run, "b bigint, delta double").groupBy("b").agg(F.avg("delta").alias("value"))
+        index, g, x, y = (table.column(c).to_numpy() for c in ("_doc", "_gold", "_one", "_two"))
+        tau_one, tau_two = weighted_tau_b(g, x), weighted_tau_b(g, y)
+        first, out = DRAW_BLOCK * key[1].as_py(), []
+        for i in range(first, min(first + DRAW_BLOCK, drawn.draws)):
+            w = drawn.times(i, index)
+            one, two = tau_one(w), tau_two(w)
+            out.append(one - two if int(w.sum()) > 2 and one is not None and two is not None else None)
+        return pa.table({"b": pa.array(range(first, first + len(out)), pa.int64()), "delta": pa.array(out, pa.float64())})
+
+    spread = full.na.drop(subset=["_gold", "_one", "_two"]).select(group, "_doc", "_gold", "_one", "_two", blocks).repartition(_tasks(rows), group, "_block")
+    return spread.groupBy(group, "_block").applyInArrow(run, "b bigint, delta double").groupBy("b").agg(F.avg("delta").alias("value"))
 
 
 def slope_per_doubling(rows: DataFrame, group: list[str], length: str, value: str) -> DataFrame:

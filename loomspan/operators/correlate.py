@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -100,6 +102,30 @@ def tau_b(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> flo
     return concordant_minus / np.sqrt(float(total - same_x) * float(total - same_y))
 
 
+def weighted_tau_b(x: np.ndarray, y: np.ndarray) -> Callable[[np.ndarray], float | None]:
+    """:func:`tau_b` of x and y as a function of the weights, for many weights of the same rows.
+
+    Where the grid of distinct values is small, concordant pairs are counted by sums over it.
+    """
+    xs, ys = np.unique(x, return_inverse=True)[1], np.unique(y, return_inverse=True)[1]
+    wide, high = int(xs.max(initial=-1)) + 1, int(ys.max(initial=-1)) + 1
+    if wide * high > max(4 * len(xs), 1):
+        return lambda w: tau_b(xs, ys, w)
+    at = xs * high + ys
+
+    def tau(w: np.ndarray) -> float | None:
+        grid = np.bincount(at, weights=w, minlength=wide * high).reshape(wide, high)
+        pairs = lambda c: float((c * (c - 1) / 2).sum())
+        total, same_x, same_y, same = pairs(grid.sum(keepdims=True)), pairs(grid.sum(axis=1)), pairs(grid.sum(axis=0)), pairs(grid)
+        if total == 0 or same_x == total or same_y == total:
+            return None
+        concordant = float((grid[1:, 1:] * grid.cumsum(axis=0).cumsum(axis=1)[:-1, :-1]).sum())
+        discordant = total - same_x - same_y + same - concordant
+        return (concordant - discordant) / np.sqrt((total - same_x) * (total - same_y))
+
+    return tau
+
+
 def _inversions(values: np.ndarray, weight: np.ndarray) -> int:
     """Weighted pairs i < j with values[i] > values[j], by merging halves."""
     if len(values) < 2:

@@ -151,8 +151,7 @@ def doc_units(spark, sf_dir):
 
 def bootstrap_ci(spark, sf_dir):
     rows = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("lp"), F.col("l_orderkey").alias("doc_id"), "l_quantity").groupBy("lp", "doc_id").agg(F.avg("l_quantity").alias("v"))
-    drawn = bootstrap.resamples(spark, rows, "doc_id", DRAWS, 7)
-    return rounded(bootstrap.interval(bootstrap.weighted_means(rows, drawn, "doc_id", "lp", "v")), "mean", "low", "high")
+    return rounded(bootstrap.interval(bootstrap.weighted_means(rows, "doc_id", "lp", "v", DRAWS, 7)), "mean", "low", "high")
 
 
 QUERIES["bootstrap_ci"] = bootstrap_ci
@@ -160,8 +159,7 @@ QUERIES["bootstrap_ci"] = bootstrap_ci
 
 def bootstrap_tau_delta(spark, sf_dir):
     rows = rated(spark, sf_dir).withColumns({"one": F.col("pred"), "two": F.col("n_tok").cast("double")})
-    drawn = bootstrap.resamples(spark, rows, "doc_id", DRAWS, 11)
-    return rounded(bootstrap.interval(bootstrap.tau_delta(rows, drawn, "lp", "doc_id", "gold", "one", "two")), "mean", "low", "high")
+    return rounded(bootstrap.interval(bootstrap.tau_delta(rows, "lp", "doc_id", "gold", "one", "two", DRAWS, 11)), "mean", "low", "high")
 
 
 QUERIES["bootstrap_tau_delta"] = bootstrap_tau_delta

@@ -28,6 +28,13 @@ def test_tau_b_with_ties(pairs):
     assert got is None and want is None or got == pytest.approx(want)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 4), st.integers(0, 3)), min_size=1, max_size=60))
+def test_tau_b_of_many_weights(rows):
+    x, y, w = np.array(rows).T
+    assert correlate.weighted_tau_b(x, y)(w) == pytest.approx(correlate.tau_b(x, y, w))
+
+
 def test_tau_b_counts_weights():
     x, y, w = np.array([1, 2, 3, 1]), np.array([2, 1, 3, 5]), np.array([2, 0, 3, 1])
     assert correlate.tau_b(x, y, w) == pytest.approx(correlate.tau_b(np.repeat(x, w), np.repeat(y, w)))
@@ -139,16 +146,34 @@ def test_contrastive_accuracy_counts_ties(spark):
     assert got["g"]["accuracy"] == pytest.approx(1 / 3) and got["g"]["ties"] == 1 and got["one"]["t"] is None
 
 
-def test_bootstrap_resamples_documents(spark):
-    rows = spark.createDataFrame([("g", f"d{i}", float(i % 5), float(i % 7), float(i % 5)) for i in range(60)], "g string, d string, gold double, a double, b double")
-    drawn = bootstrap.resamples(spark, rows, "d", 40, 3)
-    again = bootstrap.resamples(spark, rows.repartition(7), "d", 40, 3)
-    assert sorted(map(tuple, drawn.collect())) == sorted(map(tuple, again.collect()))
-    mean = drawn.groupBy("b").agg(F.sum("times").alias("n")).agg(F.avg("n")).head()[0]
-    assert 50 < mean < 70
-    ci = bootstrap.interval(bootstrap.tau_delta(rows, drawn, "g", "d", "gold", "a", "b")).head()
+def test_bootstrap_resamples_documents(spark, monkeypatch):
+    """Every resample against plain sums and taus over the drawn documents."""
+    data = [("g" if i % 3 else None, f"d{i % 60}", float(i % 5), float(i % 7), float(i % 5)) for i in range(120)]
+    rows = spark.createDataFrame(data, "g string, d string, gold double, a double, b double")
+    for exact in (1_000_000, 10):
+        monkeypatch.setattr(bootstrap, "EXACT_DOCS", exact)
+        keyed, n = bootstrap.numbered(rows, "d")
+        index = {r["d"]: r["_doc"] for r in keyed.collect()}
+        assert n == 60 and sorted(index.values()) == list(range(60))
+        drawn = bootstrap.Resamples.of(n, 40, 3)
+        times = [drawn.times(b, np.arange(60)) for b in range(40)]
+        assert all(t.sum() == 60 for t in times) if exact > 60 else 55 < np.mean([t.sum() for t in times]) < 65
+        means = {r["b"]: r["value"] for r in bootstrap.weighted_means(rows.repartition(5), "d", "g", "a", 40, 3).collect()}
+        for b, t in enumerate(times):
+            per = []
+            for g in ("g", None):
+                w = [(t[index[d]], a) for k, d, _, a, _ in data if k == g]
+                per.append(sum(x * y for x, y in w) / sum(x for x, _ in w))
+            assert means[b] == pytest.approx(np.mean(per))
+        deltas = {r["b"]: r["value"] for r in bootstrap.tau_delta(rows, "g", "d", "gold", "a", "b", 40, 3).collect()}
+        for b, t in list(enumerate(times))[:5]:
+            per = []
+            for g in ("g", None):
+                many = [(y, a, c) for k, d, y, a, c in data if k == g for _ in range(t[index[d]])]
+                per.append(slow_tau([m[0] for m in many], [m[1] for m in many]) - slow_tau([m[0] for m in many], [m[2] for m in many]))
+            assert deltas[b] == pytest.approx(np.mean(per))
+    ci = bootstrap.interval(bootstrap.tau_delta(rows, "g", "d", "gold", "a", "b", 40, 3)).head()
     assert ci["high"] < 0 and ci["significant"]
-    assert bootstrap.multinomial(5, 3, 1).sum(axis=1).tolist() == [5, 5, 5]
 
 
 def test_intervals_come_from_a_thousand_resamples(spark, tmp_path):
