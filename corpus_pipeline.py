@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, line dedup, near-duplicate join, decontamination, and the mix of sources.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
-next stage's docs. All stages but the last return the columns of ``documents``.
+next stage's docs. All stages but the last return the columns of ``documents``, others that come with them too. An empty
+table gives an empty one at every stage, and nulls are allowed in every column.
 """
 
 from __future__ import annotations
@@ -34,28 +35,31 @@ def _with_text(rows: DataFrame, columns: list[str], text: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weighed rules judge good."""
+    """Documents that the weighed rules judge good, as they were; null, empty and short texts go, repeated rows go or stay together."""
     good = quality_rules(docs).filter("kept")
     return good.select(*[F.col("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that recur in ten documents or more."""
+    """Documents without the lines that recur in ten documents or more, each row once; ``n_chars`` follows the text, a null text becomes empty.
+
+    A document that loses all its lines stays, with an empty text; rows without an id count as one document.
+    """
     return _with_text(dedup_lines(docs), docs.columns, "kept_text")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id."""
+    """Of each group of near copies the document with the smallest id (see :func:`one_of_each_group` for ties and nulls); texts without words stay."""
     return one_of_each_group(docs, width=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item, as they were; items without words are none, documents without text stay."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The readings of documents that make up the mix."""
+    """The readings of documents that make up the mix: a row for each, ties of the drawn order by number of tokens."""
     return mix_sources(docs)
 
 
@@ -72,8 +76,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
