@@ -143,3 +143,19 @@ def contaminated(pool: DataFrame, evaluation: DataFrame, key: list[str], seed: s
     before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_slice")) - F.col("_n")).select("_slice", "_before")
     ranked = slices.join(before, "_slice").withColumn("rank", F.col("_before") + F.row_number().over(Window.partitionBy("_slice").orderBy("_k", *key)))
     return ranked.withColumn("split", F.when(F.col("rank") <= n, "val").otherwise("train")).drop("_k", "_slice", "_before")
+
+
+def training_config(train: list[str], validation: list[str], preset: str = "default", frozen: bool = False, several: bool = False, **overrides) -> dict:
+    """What an external trainer is told: files, a preset, and values that replace it.
+
+    Such trainers read only the first of several training files, so more than one is an error unless allowed. A frozen encoder
+    is never thawed. A validation interval is at most 1 epoch; checkpoints follow the validation.
+    """
+    if len(train) > 1 and not several:
+        raise ValueError(f"{len(train)} training files: give one that holds all rows, or allow several")
+    config = {**PRESETS[preset], **{k: v for k, v in overrides.items() if v is not None}}
+    if frozen:
+        config |= {"nr_frozen_epochs": 1000, "keep_embeddings_frozen": True}
+    if "val_check_interval" in config:
+        config["val_check_interval"] = min(1.0, config["val_check_interval"])
+    return {"train_data": list(train), "validation_data": list(validation), "init_args": config, "checkpoint": {"every_n_epochs": 1, "save_on_train_epoch_end": False}}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,27 @@ def comparison_table(cells: DataFrame, rows: list[str], k: str, ks: list[int], v
     return cells.groupBy(*rows).pivot(k, ks).agg(F.first(value)).withColumnsRenamed({str(x): f"k{x}" for x in ks})
 
 
+def arms_table(cells: DataFrame, family: str, mix: str, frozen: str, k: str, value: str, ks: list[int], contaminated: list[str], order: list[str]) -> DataFrame:
+    """A row per arm (family, mix, frozen): a column per k, the gain at the first k over the family's base, and where it is shown.
+
+    The base is the mix "base". ``contaminated`` marks arms whose training data hold evaluation rows: their values are
+    memory, not agreement. ``place`` numbers the arms of a family by the order of mixes (others after them), then trained before frozen,
+    then by name.
+    """
+    wide = comparison_table(cells, [family, mix, frozen], k, ks, value)
+    first = f"k{ks[0]}"
+    base = wide.filter(F.col(mix) == "base").groupBy(family).agg(F.max(first).alias("_base"))
+    told = wide.join(base, family, "left").withColumns({"delta": F.col(first) - F.col("_base"), "contaminated": F.col(mix).isin(*contaminated)})
+    return display_order(told.drop("_base"), [family], mix, frozen, order)
+
+
+def display_order(arms: DataFrame, group: list[str], mix: str, frozen: str, order: list[str], name: str = "place") -> DataFrame:
+    """Adds the place (from 1) of each arm of a group."""
+    rank = F.array_position(F.array(*map(F.lit, order)), F.col(mix)).cast("int")
+    known = F.when(rank > 0, rank).otherwise(len(order) + 1)
+    return arms.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(known, frozen, mix)))
+
+
 def movement(delta: str, least: float = 0.004):
     """up, down or flat."""
     d = F.col(delta)

@@ -217,3 +217,15 @@ def references_by_source(spark, sf_dir):
     part = read(spark, sf_dir, "part")
     refs = part.filter("p_size < 40").select(F.concat(F.lit(" <v>"), "p_type", F.lit("</v>\t\\nx")).alias("src"), F.col("p_name").alias("ref"), "p_partkey")
     return readers.reference_by_source(part.select("p_partkey", F.concat("p_type", F.lit("  x ")).alias("src")), refs, "p_partkey").select("p_partkey", "ref")
+
+
+@query("json_length_histogram", "SELECT l_returnflag AS set, l_linenumber::INTEGER AS k, 'n_mt' AS field, (least(floor(l_quantity / 20), 2) * 20)::INTEGER AS bin, count(*) AS n FROM lineitem GROUP BY ALL")
+def json_length_histogram(spark, sf_dir):
+    """Histograms of lengths as one nested JSON document, read as rows; empty bins are left aside here."""
+    h = read(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linenumber").agg(*[F.count_if(F.least(F.floor(F.col("l_quantity") / 20), F.lit(2)) == i).alias(f"h{i}") for i in range(3)])
+    value = F.map_from_arrays(F.array(F.lit("n_mt"), F.lit("n")), F.array(F.to_json(F.struct(F.array("h0", "h1", "h2").alias("hist"))), F.lit("7")))
+    per_k = h.groupBy("l_returnflag").agg(F.map_from_entries(F.collect_list(F.struct(F.col("l_linenumber").cast("string"), value))).alias("per_k"))
+    sets = per_k.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("l_returnflag", F.struct(F.array(*map(F.lit, (0, 20, 40))).alias("bins"), "per_k"))))).alias("value"))
+    path = _folder(spark, "lengths")
+    sets.coalesce(1).write.text(path)
+    return readers.length_histogram(spark, path).filter("n > 0")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspan.functions.text import domain_of, pair_of
+from loomspan.functions.text import arm_to_label, domain_of, file_to_arm, pair_of
 from loomspan.operators.annotations import penalties
 
 
@@ -30,6 +30,18 @@ def need(spark: SparkSession, path: str, made_by: str) -> None:
         raise FileNotFoundError(f"{path} is missing; {made_by} makes it")
 
 
+def first_with(spark: SparkSession, candidates: list[str], inside: str = "devtest") -> str | None:
+    """The first of the candidate folders (patterns too, in name order) that has a folder of that name in it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for c in filter(None, candidates):
+        p = jvm.org.apache.hadoop.fs.Path(c)
+        for found in sorted(str(x.getPath()) for x in p.getFileSystem(conf).globStatus(p) or ()):
+            inner = jvm.org.apache.hadoop.fs.Path(found, inside)
+            if inner.getFileSystem(conf).exists(inner):
+                return found
+    return None
+
+
 def read_lines(spark: SparkSession, path: str, lang: str, split: str) -> DataFrame:
     """One sentence per line, ``row`` from 0 in each file; an empty file has none.
 
@@ -193,6 +205,18 @@ def table_counts(lines: DataFrame, categories: list[str]) -> DataFrame:
     return lines.filter(F.col("value").startswith("|")).select(name.alias("category"), n.alias("n")).filter(F.col("category").isin(*categories))
 
 
+def length_histogram(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (``set``, ``k``, ``field``, ``bin``, ``n``) of a nested JSON document of length histograms.
+
+    set -> bins and per_k; per_k -> k -> field -> quantiles and counts per bin; what is no histogram is left aside.
+    """
+    text = spark.read.text(path, wholetext=True)
+    sets = text.select(F.explode(F.from_json("value", "map<string,struct<bins:array<int>,per_k:map<string,map<string,string>>>>")).alias("set", "_s"))
+    fields = sets.select("set", "_s.bins", F.explode("_s.per_k").alias("k", "_f")).select("set", "bins", "k", F.explode("_f").alias("field", "_v"))
+    counts = fields.withColumn("_h", F.from_json("_v", "struct<hist:array<bigint>>")["hist"]).filter(F.size("_h") > 0)
+    return counts.select("set", F.col("k").cast("int").alias("k"), "field", F.posexplode("_h").alias("_at", "n"), "bins").select("set", "k", "field", F.get("bins", F.col("_at")).alias("bin"), "n")
+
+
 def count_rows(spark: SparkSession, path: str) -> int:
     """Logical rows of a CSV, newlines inside quotes respected."""
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).count()
@@ -203,3 +227,16 @@ def checkpoints(spark: SparkSession, path: str, contains: str = "", newer_than:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("modificationTime").alias("modified"))
     named = files.filter(F.col("path").contains(contains)).withColumn("metric", F.regexp_extract("path", r"=(-?\d+(?:\.\d+)?)\.ckpt$", 1).try_cast("double"))
     return named.filter(F.col("modified") > newer_than) if newer_than else named
+
+
+def checkpoint_lines(files: DataFrame, best: bool = True) -> DataFrame:
+    """One ``line`` label=path per run (the folder above the files): the best by metric, or the last written.
+
+    The label is the arm's where the folder's name is one, else the name itself. Files without a metric are no candidates for best.
+    """
+    named = files.withColumn("run", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
+    chosen = named.filter("metric IS NOT NULL") if best else named
+    last = chosen.groupBy("run").agg(F.max_by("path", F.struct("metric", "path") if best else F.struct("modified", "path")).alias("path"))
+    arm = file_to_arm(F.col("run"))
+    label = F.coalesce(F.when(F.col("run").rlike(r"^(kiwi-)?mix-."), arm_to_label(arm["family"], arm["mix"], arm["frozen"])), F.col("run"))
+    return last.select("run", F.concat(label, F.lit("="), "path").alias("line"))

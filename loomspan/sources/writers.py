@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +56,21 @@ def build_report(rows: DataFrame, dropped: DataFrame, by: list[str]) -> DataFram
     made = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("system").alias("systems"), F.count_distinct("doc_id").alias("docs"), F.avg("score").alias("mean_score"))
     gone = dropped.groupBy(*by).agg(F.count(F.lit(1)).alias("dropped"))
     return made.join(gone, by, "left").na.fill(0, ["dropped"])
+
+
+def yaml_lines(value, indent: int = 0) -> list[str]:
+    """Nested dictionaries, lists and plain values as YAML, in their order; texts are quoted as JSON, which YAML reads."""
+    pad, out = "  " * indent, []
+    for key, v in value.items() if isinstance(value, dict) else [(None, v) for v in value]:
+        lead = f"{pad}{key}:" if key is not None else f"{pad}-"
+        if isinstance(v, (dict, list, tuple)) and v:
+            out += [lead, *yaml_lines(v, indent + 1)]
+        else:
+            out.append(f"{lead} {json.dumps(v if not isinstance(v, tuple) else list(v), ensure_ascii=False)}")
+    return out
+
+
+def write_yaml(spark: SparkSession, path: str, config: dict) -> None:
+    """A configuration as one text file in a folder."""
+    text = "\n".join(yaml_lines(config))
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)

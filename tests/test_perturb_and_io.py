@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan.operators import lexicons, perturb, prepare, report, retrieval, scorers
+from loomspan.operators import lexicons, mixtures, perturb, prepare, report, retrieval, scorers
 from loomspan.plans import pools
 from loomspan.sources import readers, writers
 
@@ -291,3 +291,26 @@ def test_stream_of_segments(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(map(tuple, spark.table("segs").collect())) == [("a", 1, "x y"), ("a", 2, "y z"), ("b", 1, "p q")]
+
+
+def test_folders_checkpoints_and_configs(spark, tmp_path):
+    for name in ("a", "b1", "b2"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "b2" / "devtest").mkdir()
+    assert readers.first_with(spark, [None, f"{tmp_path}/missing", f"{tmp_path}/a", f"{tmp_path}/b*"]).endswith("/b2")
+    assert readers.first_with(spark, [f"{tmp_path}/a"]) is None
+    for run, names in {"kiwi-mix-frac040-frozen": ("m=0.1.ckpt", "m=0.9.ckpt"), "odd": ("last.ckpt", "m=0.2.ckpt")}.items():
+        (tmp_path / "runs" / run).mkdir(parents=True)
+        for n in names:
+            (tmp_path / "runs" / run / n).write_text("x")
+    files = readers.checkpoints(spark, str(tmp_path / "runs"))
+    best = {r["run"]: r["line"] for r in readers.checkpoint_lines(files).collect()}
+    assert best["kiwi-mix-frac040-frozen"].startswith("qe-frac040-frozen=") and best["kiwi-mix-frac040-frozen"].endswith("m=0.9.ckpt") and best["odd"].endswith("m=0.2.ckpt")
+    assert readers.checkpoint_lines(files, best=False).count() == 2
+    with pytest.raises(ValueError, match="2 training files"):
+        mixtures.training_config(["a", "b"], ["v"])
+    config = mixtures.training_config(["a"], ["v"], "wave1", frozen=True, patience=7, val_check_interval=2.0)
+    assert config["init_args"] == {"max_epochs": 6, "patience": 7, "nr_frozen_epochs": 1000, "keep_embeddings_frozen": True, "val_check_interval": 1.0}
+    writers.write_yaml(spark, str(tmp_path / "c"), {**config, "note": "a: \"b\"\nc", "none": None, "empty": []})
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "c")).collect()]
+    assert lines[:4] == ["train_data:", '  - "a"', "validation_data:", '  - "v"'] and 'note: "a: \\"b\\"\\nc"' in lines and "none: null" in lines and "empty: []" in lines
