@@ -27,7 +27,6 @@ PART_BOUNDS = (2, 8, 24, 72, 216, 648, 1944)
 
 _MULTIPLIERS = (mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)).astype(np.uint64)
 _SALTS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-_TOP = np.uint32(0xFFFFFFFF)
 
 
 def word_shingles(words: list[bytes], k: int = SHINGLE) -> list[tuple]:
@@ -52,11 +51,11 @@ def missed(similarity: float, rows: int) -> float:
 
 
 def part_bounds(largest: int) -> list[int]:
-    """:data:`PART_BOUNDS` below ``largest``, carried on by a factor of 3, and ``largest``."""
+    """:data:`PART_BOUNDS`, carried on by a factor of 3 until one is no less than ``largest``."""
     bounds = list(PART_BOUNDS)
     while bounds[-1] < largest:
         bounds.append(3 * bounds[-1])
-    return [*(b for b in bounds if b < largest), largest]
+    return bounds
 
 
 def hashed(x: np.ndarray, j: int) -> np.ndarray:
@@ -154,20 +153,31 @@ class WindowIndex:
         if not lens.sum():
             return set()
         flat, begins = np.concatenate(per_text), np.cumsum(lens) - lens
-        grids = []
+        grids, before = [], None
         for part in self.parts:
             count = -(-lens // part.stride)
             text = np.repeat(np.arange(len(lens)), count)
-            at = np.repeat(begins, count) + part.stride * (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count))
-            grids.append((text, at, np.append(text[1:], -1) == text, np.append(text[2:], [-1, -1])[: len(text)] == text))
+            place = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+            # blocks that hold whole blocks of the part before take the least of these
+            nested = before is not None and part.stride % before[0] == 0
+            first, step = (before[1], part.stride // before[0]) if nested else (begins, part.stride)
+            at = np.repeat(first, count) + step * place
+            last = np.cumsum(count)[count > 0] - 1
+            grids.append((text, at, nested, last, np.cumsum(count)[count > 1] - 2))
+            before = part.stride, np.cumsum(count) - count
         found: set[tuple[int, int]] = set()
         held: list[list[np.ndarray]] = [[] for _ in self.parts]
         for j in range(HASHES):
             h = hashed(flat, j)
-            for part, (text, at, one, two), rows in zip(self.parts, grids, held, strict=True):
-                m = np.minimum.reduceat(h, at)
-                w = np.minimum(m, np.where(one, np.append(m[1:], _TOP), _TOP))
-                rows.append(np.minimum(w, np.where(two, np.append(m[2:], [_TOP, _TOP])[: len(m)], _TOP)))
+            m = h
+            for part, (text, at, nested, last, next_to_last), rows in zip(self.parts, grids, held, strict=True):
+                m = np.minimum.reduceat(m if nested else h, at) if part.stride > 1 else h
+                w = m.copy()  # of each block and the two after it, then mended where a text ends
+                np.minimum(w[:-1], m[1:], out=w[:-1])
+                np.minimum(w[:-2], m[2:], out=w[:-2])
+                w[last] = m[last]
+                w[next_to_last] = np.minimum(m[next_to_last], m[next_to_last + 1])
+                rows.append(w)
                 if len(rows) < part.rows:
                     continue
                 band = j // part.rows
