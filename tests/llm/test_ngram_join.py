@@ -121,3 +121,13 @@ def test_components_of_long_chains(spark, tmp_path):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101)], "x bigint, y bigint")
     got = {r["v"]: r["c"] for r in nj.components(edges, Scratch(spark, "t")).collect()}
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 101: 100}
+
+
+def test_very_long_texts_link(spark):
+    rng = random.Random(1)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(200_000)]
+    near = [w if i % 400 else "changed" for i, w in enumerate(long)]
+    far = [w if i % 20 else "changed" for i, w in enumerate(long)]
+    rows = [(4, " ".join(long)), (5, " ".join(near)), (6, " ".join(far)), (7, "a b c")]
+    got = {r["id"]: r["component_id"] for r in nj.jaccard_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {4: 4, 5: 4, 6: 6, 7: 7}

@@ -204,3 +204,14 @@ def test_slices_do_not_change_the_mix(spark, monkeypatch):
 def test_shortages_go_to_siblings_first():
     assert fill(100, {"a": (10, 1), "b": (90, 1), "c": (90, 1)}) == {"a": 10, "b": 45, "c": 45}
     assert duckdb.sql("SELECT 7 // 2").fetchall() == [(3,)]
+
+
+def test_very_long_texts(spark):
+    """A text of half a million words goes through the rules, the classifier and the mix."""
+    text = " ".join(f"word{i % 9973}," if i % 9 else f"end{i}.\n" for i in range(500_000))
+    df = spark.createDataFrame([(1, text, "en", "src1"), (2, "short", "en", "src1")], "doc_id bigint, text string, lang string, source string")
+    judged = {r["doc"]["doc_id"]: r for r in weak_rules.quality_rules(df).collect()}
+    assert judged[1]["n_words"] == 500_000 and judged[1]["word_chars"] == len(text) - text.count(" ") - text.count("\n") and judged[2]["base_failed"]
+    machine = fm_quality.train(df, spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int"))
+    assert fm_quality.score(df, machine).count() == 2
+    assert {r["n_tokens"] for r in source_mix.mix_sources(df, 100, 1).collect()} == {1, 500_000}

@@ -132,3 +132,10 @@ def test_each_template_finds_itself(i):
 
 def test_corpus_is_deterministic():
     assert corpus() == corpus()
+
+
+def test_licenses_beside_clashing_columns(spark):
+    text = "x " * 300_000 + "Released under the MIT License."
+    df = spark.createDataFrame([(1, text), (2, None)], "doc_id int, text string").withColumns({c: F.lit("mine") for c in ("doc", "m", "matches", "license", "template_id", "first_word", "id")})
+    got = license_scan.scan_licenses(df).collect()
+    assert [(r["doc"]["doc_id"], r["doc"]["license"], r["license"], r["last_word"]) for r in got] == [(1, "mine", "MIT", 300_004)]
