@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decontaminate import shingle_sql
+from .license_texts import WHOLE_TEXTS
 from .window_search import THRESHOLD, WindowIndex, search
 
 # Notices and opening passages by which public licences are named and granted.
@@ -33,6 +34,7 @@ TEMPLATES: tuple[tuple[int, str, str], ...] = (
     (21, "CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     (22, "Unlicense", "This is free and unencumbered software released into the public domain."),
     (23, "Proprietary", "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means"),
+    *WHOLE_TEXTS,
 )
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))

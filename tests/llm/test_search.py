@@ -139,3 +139,15 @@ def test_licenses_beside_clashing_columns(spark):
     df = spark.createDataFrame([(1, text), (2, None)], "doc_id int, text string").withColumns({c: F.lit("mine") for c in ("doc", "m", "matches", "license", "template_id", "first_word", "id")})
     got = license_scan.scan_licenses(df).collect()
     assert [(r["doc"]["doc_id"], r["doc"]["license"], r["license"], r["last_word"]) for r in got] == [(1, "mine", "MIT", 300_004)]
+
+
+def test_whole_licenses_with_small_changes(spark):
+    rng = random.Random(3)
+    rows = []
+    for i, name, text in license_scan.WHOLE_TEXTS:
+        ws = text.split(" ")
+        for _ in range(len(ws) // 60):
+            ws[rng.randrange(len(ws))] = "changed"
+        rows.append((i, "word " * 500 + "\nCopyright 2020 Somebody\n" + " ".join(ws) + " tail" * 300))
+    got = {(r["doc"]["doc_id"], r["template_id"]) for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert {(i, i) for i, _ in rows} <= got
