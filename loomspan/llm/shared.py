@@ -21,7 +21,7 @@ from loomspan.sources.scratch import Scratch as Scratch
 #: Bytes of text that a Python worker turns into words at a time; bounds its memory.
 CHUNK_BYTES = 2_000_000
 #: Entries of a word-hash cache before it is emptied.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 #: Most rows of a table of numbers that is broadcast.
 BROADCAST_ROWS = 300_000
 #: White space inside and around words, as the contracts define it.
@@ -49,6 +49,7 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
     for a, b in itertools.pairwise(cuts):
         part = batch.slice(a, b - a)
         yield part, [x or b"" for x in part.column(at).cast(pa.binary()).to_pylist()]
+    pa.default_memory_pool().release_unused()  # else a worker keeps what its largest batch took
 
 
 class WordHashes(dict):
