@@ -25,7 +25,7 @@ COUNTED_WORDS = 300_000
 #: Most words whose numbers are broadcast, the most frequent ones; rarer ones are numbered by a join.
 COMMON_WORDS = 1_000_000
 #: Occurrences of one pivot beyond which its fragments are split, and of all pivots in a bucket, about.
-PIVOT_OCCURRENCES, BUCKET_OCCURRENCES = 100_000, 500_000
+PIVOT_OCCURRENCES, BUCKET_OCCURRENCES = 1_000_000, 500_000
 #: Fragments that a task gathers, to combine equal ones, before it passes them on.
 HELD_FRAGMENTS = 400_000
 #: Candidates, about, that one task ranks before the languages are ranked as wholes.
@@ -146,8 +146,9 @@ def _packed(rows: np.ndarray, splits: np.ndarray, buckets: int) -> pa.RecordBatc
 def _unpacked(shapes: bytes, times: bytes, words: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
     shape = np.frombuffer(shapes, np.uint8).astype(np.int64)
     place = np.arange(2 * width - 1) - (width - 1)
-    rows = np.zeros((len(shape), 2 * width - 1), np.int64)
-    rows[(place >= -(shape // width)[:, None]) & (place <= (shape % width)[:, None])] = _from_planes(words, "int64")
+    ids = _from_planes(words, "int64")
+    rows = np.zeros((len(shape), 2 * width - 1), np.int32 if ids.max(initial=0) < 2**31 else np.int64)
+    rows[(place >= -(shape // width)[:, None]) & (place <= (shape % width)[:, None])] = ids
     return rows, _from_planes(times, "int64")
 
 
@@ -174,7 +175,7 @@ def _mine_buckets(width: int, least: int, splits: np.ndarray):
             held.clear()
             for phrases, counts in mined(*whole, splits, least):
                 n = phrases.shape[1]
-                ids = pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(phrases) + 1, n), pa.int32()), pa.array(phrases.reshape(-1)))
+                ids = pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(phrases) + 1, n), pa.int32()), pa.array(phrases.reshape(-1).astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(counts)], ["ids", "a"])
 
         for batch in batches:  # in the order of buckets
