@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, fm_quality, html_content, license_scan, line_dedup, ngram_join, phrase_dedup, phrase_mining, source_mix, weak_rules
+from . import chat_format, decontaminate, fm_quality, html_content, license_scan, line_dedup, ngram_join, phrase_dedup, phrase_mining, product_search, source_mix, spelling_variants, weak_rules
 
 QUERIES = {
     "op1_license_scan": license_scan.license_query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_quality_rules": weak_rules.quality_rules_query,
     "op9_substring_dedup": phrase_dedup.substring_query,
     "op10_decontaminate": decontaminate.decontaminate_query,
+    "op11_product_search": product_search.search_query,
+    "op12_spelling_variants": spelling_variants.spelling_query,
     "op13_phrase_collocations": phrase_mining.collocation_query,
 }
 SQL = {
@@ -25,5 +27,6 @@ SQL = {
     "op7_source_mix": source_mix.SQL,
     "op9_substring_dedup": phrase_dedup.SQL,
     "op10_decontaminate": decontaminate.SQL,
+    "op11_product_search": product_search.SQL,
     "op13_phrase_collocations": phrase_mining.SQL,
 }
