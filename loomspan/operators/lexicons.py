@@ -6,7 +6,7 @@ and what takes its place.
 
 from __future__ import annotations
 
-# Fixed values. Opposites serve both ways, hedges become firm words and never the other way round.
+#: Opposites serve both ways.
 OPPOSITES = {
     "en": "warm cool, wide narrow, rich poor, heavy light, deep shallow, full empty, easy difficult, cheap expensive, near far, north south, inside outside, many few, more less, always never, before after, with without, increase decrease, high low, open closed, win lose, buy sell, arrive leave, remember forget, allow forbid, true false, public private, ancient modern",
     "de": "warm kühl, breit schmal, reich arm, schwer leicht, tief flach, voll leer, einfach schwierig, billig teuer, nah fern, mehr weniger, immer nie, vor nach, mit ohne, hoch niedrig, innen außen, viele wenige, kaufen verkaufen, kommen gehen, erlauben verbieten, wahr falsch, öffentlich privat, alt modern",
@@ -15,32 +15,45 @@ OPPOSITES = {
     "ru": "широкий узкий, богатый бедный, тяжёлый лёгкий, полный пустой, простой сложный, дешёвый дорогой, близко далеко, больше меньше, всегда никогда, внутри снаружи, много мало, купить продать, прийти уйти, разрешить запретить, верный ложный, древний современный",
     "zh": "增加 减少, 提高 降低, 成功 失败, 安全 危险, 简单 复杂, 允许 禁止, 公开 秘密, 古代 现代, 支持 反对, 开始 结束",
 }
+#: Words of a weak claim and what makes it a firm one, never the other way round.
 HEDGES = {
-    "en": "may will, might will, could will, can must, should must, perhaps surely, maybe surely, often always, likely certainly",
-    "de": "könnte wird, kann muss, können müssen, sollte muss, vielleicht gewiss, oft immer",
-    "es": "podría debe, puede debe, pueden deben, quizá seguramente, quizás seguramente, probablemente seguramente",
-    "fr": "pourrait doit, peut doit, peuvent doivent, devrait doit, probablement sûrement, souvent toujours",
-    "ru": "может должен, могут должны, возможно обязательно, вероятно обязательно, часто всегда",
-    "zh": "可能 必定, 也许 必定, 大概 必定, 应该 必须, 经常 总是",
+    "en": "may will, might will, could can, should shall, perhaps definitely, maybe definitely, apparently evidently, supposedly actually, seldom never, sometimes always, usually always, nearly fully",
+    "de": "könnte kann, mag wird, dürfte wird, müsste muss, wohl gewiss, eventuell gewiss, vermutlich nachweislich, angeblich tatsächlich, manchmal immer, meist immer",
+    "es": "podría puede, podrían pueden, debería debe, deberían deben, quizá seguro, acaso seguro, supuestamente efectivamente, aparentemente evidentemente, casi totalmente",
+    "fr": "pourrait peut, pourraient peuvent, faudrait faut, peut-être sûrement, apparemment évidemment, parfois toujours, presque entièrement, prétendument réellement",
+    "ru": "может должен, могут должны, пожалуй безусловно, наверное безусловно, иногда всегда, обычно всегда, почти совсем, якобы действительно",
+    "zh": "可能 必定, 也许 必定, 或许 必定, 大约 正好, 有时 总是, 似乎 确实, 几乎 完全",
 }
-#: A negation and what is left in its place ("-": nothing).
+
+
+def _endings(stem: str, endings: str) -> list[str]:
+    return [stem + e for e in endings.split(" ")]
+
+
+def _contracted(verbs: str) -> list[str]:
+    """English verbs with a contracted negation, and the verb itself."""
+    return [f"{v}n{mark}t {v}" for v in verbs.split(" ") for mark in "'’"]
+
+
+#: A negation and what is left in its place ("-": nothing). The forms of German "kein" are those of "ein" with a k before it.
 NEGATIONS = {
-    "en": "not -, never -, cannot can, can't can, won't will, don't do, doesn't does, didn't did, isn't is, aren't are, wasn't was, weren't were, hasn't has, haven't have, hadn't had, wouldn't would, couldn't could, shouldn't should",
-    "de": "nicht -, nie -, niemals -, kein ein, keine eine, keinen einen, keinem einem, keiner einer",
-    "es": "no -, nunca -, jamás -",
-    "fr": "jamais -",
-    "ru": "не -, нет -, никогда -",
-    "zh": "不 -, 没有 -, 未 -",
+    "en": ", ".join(["not -", "never -", "nowhere everywhere", "nobody everybody", "nothing everything", "cannot can", *[f"{a} {b}" for m in "'’" for a, b in ((f"can{m}t", "can"), (f"won{m}t", "will"), (f"shan{m}t", "shall"))], *_contracted("do does did is are was were has have had would could should must need might")]),
+    "de": ", ".join(["nicht -", "nie -", "niemals -", "keinesfalls jedenfalls", "niemand jemand", "nichts etwas", *[f"k{e} {e}" for e in ["ein", *_endings("ein", "e en em er es")]]]),
+    "es": "no -, nunca -, jamás -, tampoco también, nadie alguien, nada algo, ningún algún, ninguna alguna",
+    "fr": "jamais -, nullement -, aucunement -, sans avec, nulle toute",
+    "ru": "не -, нет -, никогда -, ни -, никто кто-то, ничто что-то",
+    "zh": "不 -, 没有 -, 没 -, 未 -, 未曾 曾, 并非 是, 别 -",
 }
 #: Negations in two parts: the words that open one and those that close it. Openers that end in an apostrophe lead a word.
 OPENERS = {"fr": "ne n' n’"}
-CLOSERS = {"fr": "pas plus jamais rien personne guère"}
-#: Words after which a negation goes, and it; languages in which it goes before the end of the sentence.
+CLOSERS = {"fr": "aucun aucune aucunement guère jamais nul nulle nullement pas personne plus point rien"}
+#: Verbs after which a negation goes, whole paradigms; and the negation.
 AUXILIARIES = {
-    "en": "not: is are was were has have had can will would could should does did do must may",
-    "es": "no: es son era fue ha han puede pueden está están",
-    "ru": "не: будет было может могут есть был была",
+    "en": ("not", "am is are was were has have had do does did can could may might must need shall should will would ought".split(" ")),
+    "es": ("no", ["he", "has", "ha", "hemos", "habéis", "han", *_endings("hab", "ía ías íamos íais ían"), "soy", "eres", "es", "somos", "sois", "son", *_endings("er", "a as an"), "fue", "fueron", *_endings("est", "oy ás á amos áis án"), *_endings("estab", "a as an"), *_endings("deb", "o es e emos éis en"), *_endings("pued", "o es e en"), *_endings("pod", "emos éis")]),
+    "ru": ("не", [*_endings("буд", "у ешь ет ем ете ут"), "был", *_endings("был", "а о и"), "могу", "могут", *_endings("мож", "ешь ет ем ете"), "мог", *_endings("могл", "а о и"), "есть", *_endings("долж", "ен на но ны")]),
 }
+#: Languages in which it goes before the end of the sentence.
 AT_END = {"de": "nicht"}
 ORDINALS = {
     "en": "first second third fourth fifth sixth seventh eighth ninth tenth",
@@ -50,14 +63,6 @@ ORDINALS = {
     "ru": "первый второй третий четвёртый пятый шестой седьмой восьмой девятый десятый",
     "zh": "第一 第二 第三 第四 第五 第六 第七 第八 第九 第十",
 }
-#: Words that are capitalised for where they stand, not for what they name.
-STOPS = {
-    "en": "a an the this that these those it its he his she her they their we our you your i in on at of to for from by with and or but as if when while after before there one two some many however because during since",
-    "de": "der die das den dem ein eine einen einem dieser diese dieses er sie es wir ihr in an auf zu von mit für und oder aber als wenn nach vor weil seit",
-    "es": "el la los las un una este esta esto él ella ellos en de a con para por y o pero como si cuando según desde aunque porque",
-    "fr": "le la les un une des ce cette ces il elle ils elles on en de à avec pour par et ou mais comme si quand selon depuis dans sur parce",
-    "ru": "этот эта это эти он она оно они мы вы и но или в во на с для по как если когда после до не",
-}
 
 
 def _pairs(table: str) -> list[tuple[str, str]]:
@@ -73,8 +78,6 @@ def rows() -> list[tuple[str, str, str, str]]:
     out += [(lang, a, "particle", "" if b == "-" else b) for lang, t in NEGATIONS.items() for a, b in _pairs(t)]
     out += [(lang, w, "opener", "") for lang, t in OPENERS.items() for w in t.split(" ")]
     out += [(lang, w, "closer", "") for lang, t in CLOSERS.items() for w in t.split(" ")]
-    for lang, t in AUXILIARIES.items():
-        neg, words = t.split(": ")
-        out += [(lang, w, "auxiliary", neg) for w in words.split(" ")]
+    out += [(lang, w, "auxiliary", negation) for lang, (negation, verbs) in AUXILIARIES.items() for w in verbs]
     out += [(lang, a, "ordinal", b) for lang, t in ORDINALS.items() for a in t.split(" ") for b in t.split(" ") if a != b]
     return out

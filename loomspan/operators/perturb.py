@@ -16,27 +16,37 @@ from pyspark.sql import functions as F
 
 from loomspan.functions.text import UNSPACED, collapse, joiner, match_case
 
+from loomspan.sources.scratch import Scratch
+
 from . import lexicons
+from .lemmas import lemmas
+from .order import cumulative
 
 CATEGORIES = ("causality", "entity", "number")
-#: Punctuation that is not part of a word at its ends.
-EDGE = "\"'“”«»„().,;:!?—–-…[]{}"
+#: Rows of word tables up to which they are broadcast.
+BROADCAST_ROWS = 100_000
+#: A word with at least one in FREQUENT_SHARE of a language's words is a common one, if the language has FREQUENT_WORDS or more.
+FREQUENT_SHARE, FREQUENT_WORDS = 200, 10_000
 _WORDS = r"\p{Nd}+|[\p{L}\p{M}_]+(?:['’][\p{L}\p{M}]+)*"
 _ENTRIES = r"\p{Nd}+|" + "|".join(sorted({re.escape(w) for lang, w, *_ in lexicons.rows() if lang in UNSPACED}, key=lambda w: (-len(w), w)))
 _AT_END = -2
 
 
-def lexicon(spark, database: DataFrame | None = None) -> DataFrame:
+def lexicon(spark, database: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
     """The word tables (``lang``, ``word``, ``way``, ``put``).
 
     ``database`` adds antonyms of a lexical database, given as (``lang``, ``word``, ``lemma``, ``sense``, ``antonym``): of
-    words that are their own lemma, and of their two first senses (from 0).
+    words that are their own lemma, and of their two first senses (from 0). Without a column ``lemma``, lemmas come from suffix ``rules``
+    (:func:`lemmas.induce`), which are those of one language.
     """
     own = spark.createDataFrame(lexicons.rows(), "lang string, word string, way string, put string")
     if database is None:
         return own
-    more = database.filter((F.col("word") == F.col("lemma")) & (F.col("sense") < 2))
-    return own.unionByName(more.select("lang", F.lower("word").alias("word"), F.lit("antonym").alias("way"), F.col("antonym").alias("put")).distinct())
+    named = database.withColumn("word", F.lower("word"))
+    if "lemma" not in database.columns:
+        named = named.join(lemmas(named, rules), "word")
+    more = named.filter((F.col("word") == F.lower("lemma")) & (F.col("sense") < 2))
+    return own.unionByName(more.select("lang", "word", F.lit("antonym").alias("way"), F.col("antonym").alias("put")).distinct())
 
 
 def units_of(text, lang):
@@ -119,30 +129,41 @@ def _made(text, units, gaps, edits, n: int):
 # --- entities --------------------------------------------------------------------------------------------------
 
 
+def _lead(token):
+    return F.regexp_extract(token, r"^\p{P}*", 0)
+
+
+def _tail(token):
+    return F.regexp_extract(token, r"\p{P}*$", 0)
+
+
 def _core(token):
-    return F.btrim(token, F.lit(EDGE))
+    """A token without the punctuation at its ends."""
+    return F.regexp_replace(token, r"^\p{P}+|\p{P}+$", "")
+
 
+def common_words(sentences: DataFrame) -> DataFrame:
+    """(``lang``, ``word``, lower-cased): what the corpus itself shows to be no names.
 
-def lower_words(sentences: DataFrame) -> DataFrame:
-    """(``lang``, ``word``): every word that the corpus has with a small first letter."""
-    words = sentences.select("lang", F.explode(F.split("text", " ")).alias("_t")).select("lang", _core(F.col("_t")).alias("word"))
-    return words.filter(F.col("word").rlike(r"^\p{Ll}")).distinct()
+    These are the words that it has with a small first letter anywhere, and those that make up a large share of a language.
+    """
+    words = sentences.select("lang", F.explode(F.split("text", " ")).alias("_t")).select("lang", _core(F.col("_t")).alias("_w")).filter(F.col("_w") != "")
+    counts = words.groupBy("lang", F.lower("_w").alias("word")).agg(F.count(F.lit(1)).alias("_n"), F.max(F.col("_w").rlike(r"^\p{Ll}")).alias("_small"))
+    totals = counts.groupBy("lang").agg(F.sum("_n").alias("_all"))
+    frequent = (F.col("_all") >= FREQUENT_WORDS) & (F.col("_n") * FREQUENT_SHARE >= F.col("_all"))
+    return counts.join(totals, "lang").filter(F.col("_small") | frequent).select("lang", "word")
 
 
 def entity_spans(sentences: DataFrame) -> DataFrame:
     """``spans`` (token ``a`` up to, not including, ``b``, and ``surface``) by sentence key: maximal runs of entity tokens.
 
-    An entity token has two characters or more without punctuation, its first letter is a capital, and its lower-case
-    form is no stop word and is nowhere in the corpus a word of its own. Languages without spaces have none.
+    An entity token has two characters or more without punctuation, its first letter is a capital, and it is none of the
+    corpus's :func:`common_words`. Languages without spaces have none.
     """
-    small = lower_words(sentences).persist()
     tokens = sentences.filter(~F.col("lang").isin(*UNSPACED)).select("_k1", "_k2", "lang", F.posexplode(F.split("text", " ")).alias("pos", "_t"))
     tokens = tokens.select("_k1", "_k2", "lang", "pos", _core(F.col("_t")).alias("core"))
     tokens = tokens.filter((F.length("core") >= 2) & F.col("core").rlike(r"^[^\p{L}\p{Nd}]*\p{Lu}")).withColumn("word", F.lower("core"))
-    stop = F.lit(False)
-    for lang, words in lexicons.STOPS.items():
-        stop = stop | ((F.col("lang") == lang) & F.col("word").isin(*words.split(" ")))
-    named = tokens.filter(~stop).join(small, ["lang", "word"], "left_anti")
+    named = tokens.join(common_words(sentences), ["lang", "word"], "left_anti")
     per = named.groupBy("_k1", "_k2").agg(F.array_sort(F.collect_list(F.struct("pos", "core"))).alias("_all"))
     runs = F.transform("_all", lambda x, i: F.struct((x["pos"] - i).alias("run"), x["pos"].alias("pos"), x["core"].alias("core")))
 
@@ -156,14 +177,13 @@ def entity_spans(sentences: DataFrame) -> DataFrame:
 def entity_bank(spans: DataFrame) -> DataFrame:
     """(``lang``, ``width``, ``place``, ``surface``): all entity surfaces by number of tokens, and as width 0 all of a language.
 
-    Places count from 0 in the order of the surfaces; counts by a prefix place each of them, so no task sorts a language.
+    Places count from 0 in the order of a hash; no task sorts a language.
     """
     each = spans.select("lang", F.explode("spans").alias("s")).select("lang", (F.col("s.b") - F.col("s.a")).alias("width"), F.col("s.surface").alias("surface")).distinct()
-    both = each.unionByName(each.withColumn("width", F.lit(0))).distinct().withColumn("_slice", F.substring("surface", 1, 3))
-    sizes = both.groupBy("lang", "width", "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("lang", "width").orderBy("_slice")) - F.col("_n")).drop("_n")
-    inside = F.row_number().over(Window.partitionBy("lang", "width", "_slice").orderBy("surface"))
-    return both.withColumn("_at", inside).join(before, ["lang", "width", "_slice"]).select("lang", "width", (F.col("_before") + F.col("_at") - 1).alias("place"), "surface")
+    both = each.unionByName(each.withColumn("width", F.lit(0))).distinct().withColumn("_h", F.xxhash64("surface"))
+    placed = cumulative(both.groupBy("lang", "width", "_h").agg(F.count(F.lit(1)).alias("n")), ["lang", "width"], "_h")
+    inside = F.row_number().over(Window.partitionBy("lang", "width", "_h").orderBy("surface"))  # one, but for equal hashes
+    return both.withColumn("_at", inside).join(placed, ["lang", "width", "_h"]).select("lang", "width", (F.col("before") + F.col("_at") - 1).alias("place"), "surface")
 
 
 def entity_variants(sentences: DataFrame, n: int, seed: int) -> DataFrame:
@@ -171,8 +191,9 @@ def entity_variants(sentences: DataFrame, n: int, seed: int) -> DataFrame:
 
     The other is drawn from those of as many tokens, or from all if there is none; punctuation at the ends of the run stays.
     """
-    spans = sentences.select("_k1", "_k2", "lang", "text").join(entity_spans(sentences), ["_k1", "_k2"]).persist()
-    bank = entity_bank(spans).persist()
+    scratch = Scratch(sentences.sparkSession, "entities")
+    spans = scratch.save(sentences.select("_k1", "_k2", "lang", "text").join(entity_spans(sentences), ["_k1", "_k2"]), "spans")
+    bank = scratch.save(entity_bank(spans), "bank")
     sizes = bank.groupBy("lang", "width").agg(F.count(F.lit(1)).alias("_size"))
     draws = F.flatten(F.transform("spans", lambda s: F.transform(F.sequence(F.lit(0), F.lit(6 * n)), lambda d: F.struct(_key(seed, F.col("lang"), F.lit("entity"), F.col("text"), s["a"].cast("string"), d.cast("string")).alias("k"), s.alias("s")))))
     wanted = spans.select("_k1", "_k2", "lang", F.explode(F.slice(F.array_sort(draws), 1, 6 * n)).alias("d")).select("_k1", "_k2", "lang", "d.k", "d.s", (F.col("d.s.b") - F.col("d.s.a")).alias("_own"))
@@ -185,9 +206,7 @@ def entity_variants(sentences: DataFrame, n: int, seed: int) -> DataFrame:
 
     def put(x):
         first, last = F.get(tokens, x["a"]), F.get(tokens, x["b"] - 1)
-        lead = F.substring(first, F.lit(1), F.length(first) - F.length(F.ltrim(first, F.lit(EDGE))))
-        tail = F.substring(last, F.length(F.rtrim(last, F.lit(EDGE))) + 1, F.length(last))
-        return F.array_join(F.concat(F.slice(tokens, F.lit(1), x["a"]), F.array(F.concat(lead, x["surface"], tail)), F.slice(tokens, x["b"] + 1, F.size(tokens))), " ")
+        return F.array_join(F.concat(F.slice(tokens, F.lit(1), x["a"]), F.array(F.concat(_lead(first), x["surface"], _tail(last))), F.slice(tokens, x["b"] + 1, F.size(tokens))), " ")
 
     texts = F.array_distinct(F.filter(F.transform("_all", put), lambda t: t != F.col("text")))
     return spans.select("_k1", "_k2", "text").join(listed, ["_k1", "_k2"]).select("_k1", "_k2", F.slice(texts, 1, n).alias("entity"))
@@ -205,11 +224,12 @@ def variant_lists(sentences: DataFrame, n: int, seed: int, tables: DataFrame | N
     whole = sentences.select(F.coalesce("lang", F.lit("")).alias("lang"), "text").filter(text.rlike(r"\S")).distinct()
     whole = whole.select(F.xxhash64(F.lit(11), "lang", "text").alias("_k1"), F.xxhash64(F.lit(29), "lang", "text").alias("_k2"), "lang", "text")
     tables = lexicon(sentences.sparkSession) if tables is None else tables
+    tables = F.broadcast(tables) if tables.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else tables
     split = whole.select("_k1", "_k2", "lang", F.posexplode(units_of(text, lang)[0]).alias("at", "unit")).withColumn("word", F.lower("unit"))
     # an opener that leads a word, as n' in n'est, is met as a word that starts with it
     lead = F.regexp_extract("word", r"^(\p{L}+['’])\p{L}", 1)
-    hits = split.join(F.broadcast(tables), ["lang", "word"]).select("_k1", "_k2", "at", "unit", "way", "put")
-    leading = split.filter(lead != "").withColumn("_lead", lead).join(F.broadcast(tables.filter("way = 'opener'").select("lang", F.col("word").alias("_lead"), "way")), ["lang", "_lead"])
+    hits = split.join(tables, ["lang", "word"]).select("_k1", "_k2", "at", "unit", "way", "put")
+    leading = split.filter(lead != "").withColumn("_lead", lead).join(tables.filter("way = 'opener'").select("lang", F.col("word").alias("_lead"), "way"), ["lang", "_lead"])
     leading = leading.select("_k1", "_k2", "at", "unit", "way", F.substring("unit", F.length("_lead") + 1, F.length("unit")).alias("put"))
     digits = split.filter(F.col("unit").rlike(r"^\p{Nd}")).select("_k1", "_k2", "at", "unit", F.lit("digits").alias("way"), F.lit("").alias("put"))
     listed = hits.unionByName(leading).unionByName(digits).groupBy("_k1", "_k2").agg(F.array_sort(F.collect_list(F.struct("at", "unit", "way", "put"))).alias("_hits"))
