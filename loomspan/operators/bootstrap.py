@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from math import factorial
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .correlate import MOST_CELLS, weighted_tau_b
+from .correlate import kendall, weighted_tau_b
 from .order import cumulative
 
-#: Documents up to which a task holds the counts of a whole resample, and resamples that one task makes.
-EXACT_DOCS, DRAW_BLOCK = 1_000_000, 50
-_POISSON = np.cumsum([np.exp(-1.0) / factorial(k) for k in range(16)])
+#: Documents in a leaf of the tree that deals out draws, and resamples that are made at a time.
+LEAF, DRAW_BLOCK = 1024, 50
+#: Rows of a group whose taus one task computes for all resamples; larger groups are counted for each resample by all tasks.
+TAU_ROWS = 200_000
+#: Rows that a task multiplies at a time, and groups whose sums it holds before it passes them on.
+HELD_ROWS, HELD_GROUPS = 256, 1000
 
 
 def units(rows: DataFrame, group: str, doc: str, order: str, values: list[str]) -> DataFrame:
@@ -26,39 +29,75 @@ def units(rows: DataFrame, group: str, doc: str, order: str, values: list[str])
     return rows.groupBy(group, doc).agg(packed.alias("_v")).select(group, doc, *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
-@dataclass(frozen=True)
+@dataclass
 class Resamples:
-    """``draws`` resamples of ``n`` documents, numbered from 0: made in any task from the seed alone, always the same.
+    """``draws`` resamples of ``n`` documents, numbered from 0, with replacement: made in any task from the seed alone, always the same.
 
-    Up to EXACT_DOCS documents are drawn with replacement, n at a time (multinomial counts). Beyond, where a task cannot hold all
-    counts, each document gets a Poisson count of mean one for itself, which is what multinomial counts come to.
+    The n draws of a resample are shared out down a binary tree over leaves of ``per_leaf`` documents: a seeded binomial says how many fall on the left half
+    of a node. So a leaf gets its exact multinomial counts from the nodes above it, and nobody needs those of other leaves.
     """
 
     n: int
     draws: int
     seed: int
-    exact: bool
-
-    @staticmethod
-    def of(n: int, draws: int, seed: int) -> Resamples:
-        return Resamples(n, draws, seed, n <= EXACT_DOCS)
-
-    def times(self, b: int, index: np.ndarray) -> np.ndarray:
-        """How often each of the documents is in resample b."""
-        if self.exact:
-            drawn = np.random.default_rng([self.seed, b]).integers(0, self.n, self.n)
-            return np.bincount(drawn, minlength=self.n)[index]
-        x = (index.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64((self.seed << 32) + b)
-        for m in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
-            x = (x ^ (x >> np.uint64(29))) * np.uint64(m)
-        return np.searchsorted(_POISSON, (x >> np.uint64(11)).astype(np.float64) / 2.0**53, "right")
+    per_leaf: int = LEAF
+    per_block: int = DRAW_BLOCK
+    _known: dict = field(default_factory=dict, repr=False)
+
+    @property
+    def blocks(self) -> int:
+        return -(-self.draws // self.per_block)
+
+    def _size(self, block: int) -> int:
+        return min(self.per_block, self.draws - block * self.per_block)
+
+    def _falls(self, block: int, low: int, high: int, leaf: int) -> np.ndarray:
+        """How many draws of each resample of a block fall on a leaf, from the node of leaves [low, high)."""
+        m = np.full(self._size(block), self.n, np.int64)
+        while high - low > 1:
+            middle = (low + high) // 2
+            key = (block, low, high)
+            if key not in self._known:
+                if len(self._known) > 4096:
+                    self._known.clear()
+                left, whole = (min(x * self.per_leaf, self.n) - low * self.per_leaf for x in (middle, high))
+                self._known[key] = np.random.default_rng([self.seed, *key]).binomial(m, left / whole)
+            on_left = self._known[key]
+            if leaf < middle:
+                m, high = on_left, middle
+            else:
+                m, low = m - on_left, middle
+        return m
+
+    def leaf(self, block: int, leaf: int) -> np.ndarray:
+        """Counts of a leaf's documents in each resample of a block: a row per resample."""
+        size = min(self.per_leaf, self.n - leaf * self.per_leaf)
+        m = self._falls(block, 0, -(-self.n // self.per_leaf), leaf)
+        drawn = np.random.default_rng([self.seed, block, leaf]).integers(0, size, int(m.sum()))
+        return np.bincount(np.repeat(np.arange(len(m)), m) * size + drawn, minlength=len(m) * size).reshape(len(m), size)
+
+    def times(self, block: int, index: np.ndarray) -> np.ndarray:
+        """How often each of the documents is in each resample of a block."""
+        out = np.zeros((self._size(block), len(index)), np.int64)
+        order = np.argsort(index // self.per_leaf, kind="stable")
+        leaves = (index // self.per_leaf)[order]
+        for a, b in _runs(leaves):
+            out[:, order[a:b]] = self.leaf(block, int(leaves[a]))[:, index[order[a:b]] - int(leaves[a]) * self.per_leaf]
+        return out
+
+
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where runs of equal values begin and end."""
+    return pairwise([0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]) if len(values) else iter(())
 
 
 def numbered(rows: DataFrame, doc: str) -> tuple[DataFrame, int]:
     """Rows with ``_doc``, their document's number from 0 in the order of a hash, and how many documents there are."""
-    keys = rows.select(F.xxhash64(doc).alias("_h")).distinct().withColumn("n", F.lit(1).cast("bigint"))
-    placed = cumulative(keys.withColumn("_all", F.lit(0)), ["_all"], "_h").select("_h", F.col("before").alias("_doc"))
-    return rows.withColumn("_h", F.xxhash64(doc)).join(placed, "_h").drop("_h"), keys.count()
+    keys = rows.select(F.struct(F.col(doc)).alias("_d")).distinct().withColumn("_h", F.xxhash64("_d"))
+    placed = cumulative(keys.groupBy("_h").agg(F.count(F.lit(1)).alias("n")).withColumn("_all", F.lit(0)), ["_all"], "_h").select("_h", "before")
+    inside = F.row_number().over(Window.partitionBy("_h").orderBy("_d")) - 1  # 0, but for equal hashes
+    placed = keys.withColumn("_in", inside).join(placed, "_h").select("_d", (F.col("before") + F.col("_in")).alias("_doc"))
+    return rows.withColumn("_d", F.struct(F.col(doc))).join(placed, "_d").drop("_d"), keys.count()
 
 
 def _tasks(rows: DataFrame) -> int:
@@ -69,32 +108,47 @@ def _tasks(rows: DataFrame) -> int:
 def weighted_means(units_: DataFrame, doc: str, group: str, value: str, draws: int, seed: int) -> DataFrame:
     """Per resample (``b``): mean over groups of the group's mean weighted by draws; groups without weight are left out.
 
-    Each task sums its rows under every resample; what leaves it is a row per resample and group, not per row.
+    Values are summed by document and group first. Tasks then go through their leaves of documents in order, so each leaf's draws are made
+    once and a task holds one leaf and the sums of about HELD_GROUPS groups, whatever its share of the data.
     """
     rows, n = numbered(units_.filter(F.col(value).isNotNull()).select(doc, group, F.col(value).cast("double").alias("_v")), doc)
-    drawn, kind = Resamples.of(n, draws, seed), rows.schema[group].dataType
+    summed = rows.groupBy("_doc", group).agg(F.sum("_v").alias("_s"), F.count(F.lit(1)).cast("double").alias("_n"))
+    drawn, kind = Resamples(n, draws, seed, LEAF, DRAW_BLOCK), rows.schema[group].dataType
     schema = T.StructType([T.StructField("b", T.LongType()), T.StructField(group, kind), T.StructField("_s", T.DoubleType()), T.StructField("_w", T.DoubleType())])
 
     def run(batches):
-        parts = [pa.Table.from_batches([x]) for x in batches if x.num_rows]
-        if not parts:
-            return
-        table = pa.concat_tables(parts)
-        names = table.column(group).combine_chunks().dictionary_encode()
-        at = pc.fill_null(names.indices, len(names.dictionary)).to_numpy(zero_copy_only=False)
-        index, values, groups = table.column("_doc").to_numpy(), table.column("_v").to_numpy(), len(names.dictionary) + 1
-        labels = pa.concat_arrays([names.dictionary, pa.nulls(1, names.dictionary.type)])
-        for first in range(0, drawn.draws, DRAW_BLOCK):
-            bs = range(first, min(first + DRAW_BLOCK, drawn.draws))
-            total, sums = np.zeros((len(bs), groups)), np.zeros((len(bs), groups))
-            for i, b in enumerate(bs):
-                w = drawn.times(b, index)
-                total[i] = np.bincount(at, weights=w, minlength=groups)
-                sums[i] = np.bincount(at, weights=w * values, minlength=groups)
-            draw, some = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(draw + first), labels.take(pa.array(some)), pa.array(sums[draw, some]), pa.array(total[draw, some])], names=schema.names)
-
-    spread = rows.select("_doc", group, "_v").repartition(_tasks(rows))
+        held: dict = {}
+
+        def rows_of(labels: pa.DataType) -> Iterator[pa.RecordBatch]:
+            for g, (s, w) in held.items():
+                some = np.flatnonzero(w)
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([g] * len(some), labels), pa.array(s[some]), pa.array(w[some])], names=schema.names)
+            held.clear()
+
+        now, counts = None, None
+        for batch in batches:  # in the order of leaves
+            index, groups, s, c = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            for begin, end in _runs(index // drawn.per_leaf):
+                leaf = int(index[begin]) // drawn.per_leaf
+                if leaf != now:
+                    now, counts = leaf, np.concatenate([drawn.leaf(block, leaf) for block in range(drawn.blocks)])
+                for a in range(begin, end, HELD_ROWS):
+                    b = min(a + HELD_ROWS, end)
+                    names = {g: k for k, g in enumerate(dict.fromkeys(groups[a:b]))}
+                    of = np.fromiter((names[g] for g in groups[a:b]), np.int64, b - a)
+                    at = np.zeros((len(names), 2, counts.shape[1]))
+                    at[of, 0, index[a:b] - leaf * drawn.per_leaf], at[of, 1, index[a:b] - leaf * drawn.per_leaf] = s[a:b], c[a:b]
+                    sums = at @ counts.T.astype(np.float64)
+                    for g, k in names.items():
+                        x, w = held.get(g) or (0.0, 0.0)
+                        held[g] = x + sums[k, 0], w + sums[k, 1]
+                    if len(held) > HELD_GROUPS:
+                        yield from rows_of(batch.column(1).type)
+        if held:
+            yield from rows_of(batch.column(1).type)
+
+    parts = max(1, min(-(-n // drawn.per_leaf), 4 * _tasks(rows)))
+    spread = summed.select("_doc", group, "_s", "_n").repartition(parts, F.floor(F.col("_doc") / drawn.per_leaf)).sortWithinPartitions("_doc")
     cell = spread.mapInArrow(run, schema).groupBy("b", group).agg((F.sum("_s") / F.sum("_w")).alias("m"))
     return cell.groupBy("b").agg(F.avg("m").alias("value"))
 
@@ -108,28 +162,52 @@ def interval(values: DataFrame, value: str = "value", low: float = 0.025, high:
 def tau_delta(rows: DataFrame, group: str, doc: str, gold: str, a: str, b: str, draws: int, seed: int) -> DataFrame:
     """Per resample: mean over groups of tau-b of ``a`` minus that of ``b``, on the same documents.
 
-    Groups with two rows or fewer, or without variance, are left out of a resample. A group goes to as many tasks as there are
-    blocks of DRAW_BLOCK resamples, which count for themselves; a group that no task can hold is refused.
+    Groups with two rows or fewer, or without variance, are left out of a resample. A group of up to TAU_ROWS rows goes to as many tasks as there are
+    blocks of DRAW_BLOCK resamples; a larger one is weighed row by row for each resample, and its taus come from :func:`correlate.kendall`, which no task
+    holds whole. Both give the same numbers.
     """
-    full, n = numbered(rows.select(group, doc, *[F.col(c).cast("double").alias(x) for c, x in ((gold, "_gold"), (a, "_one"), (b, "_two"))]), doc)
-    largest = full.groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).head()["n"] or 0
-    if largest > MOST_CELLS:
-        raise ValueError(f"tau_delta: a group has {largest} rows, {MOST_CELLS} at most; part the group")
-    drawn = Resamples.of(n, draws, seed)
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-draws // DRAW_BLOCK) - 1))).alias("_block")
+    full, n = numbered(rows.select(F.struct(F.col(group)).alias("_g"), doc, *[F.col(c).cast("double").alias(x) for c, x in ((gold, "_gold"), (a, "_one"), (b, "_two"))]), doc)
+    full = full.na.drop(subset=["_gold", "_one", "_two"]).select("_g", "_doc", "_gold", "_one", "_two")
+    drawn = Resamples(n, draws, seed, LEAF, DRAW_BLOCK)
+    large = [r["_g"] for r in full.groupBy("_g").count().filter(F.col("count") > TAU_ROWS).select("_g").limit(1).collect()]  # is there any
+    sizes = full.groupBy("_g").agg((F.count(F.lit(1)) > TAU_ROWS).alias("_large"))
+    few = full.join(sizes.filter(~F.col("_large")), "_g") if large else full
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(drawn.blocks - 1))).alias("_block")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         index, g, x, y = (table.column(c).to_numpy() for c in ("_doc", "_gold", "_one", "_two"))
         tau_one, tau_two = weighted_tau_b(g, x), weighted_tau_b(g, y)
-        first, out = DRAW_BLOCK * key[1].as_py(), []
-        for i in range(first, min(first + DRAW_BLOCK, drawn.draws)):
-            w = drawn.times(i, index)
+        block, out = key[1].as_py(), []
+        for w in drawn.times(block, index):
             one, two = tau_one(w), tau_two(w)
             out.append(one - two if int(w.sum()) > 2 and one is not None and two is not None else None)
+        first = drawn.per_block * block
         return pa.table({"b": pa.array(range(first, first + len(out)), pa.int64()), "delta": pa.array(out, pa.float64())})
 
-    spread = full.na.drop(subset=["_gold", "_one", "_two"]).select(group, "_doc", "_gold", "_one", "_two", blocks).repartition(_tasks(rows), group, "_block")
-    return spread.groupBy(group, "_block").applyInArrow(run, "b bigint, delta double").groupBy("b").agg(F.avg("delta").alias("value"))
+    spread = few.select("_g", "_doc", "_gold", "_one", "_two", blocks).repartition(_tasks(rows), "_g", "_block")
+    deltas = spread.groupBy("_g", "_block").applyInArrow(run, "b bigint, delta double")
+    if large:
+        deltas = deltas.unionByName(_large_deltas(full.join(sizes.filter("_large"), "_g").drop("_large"), drawn))
+    return deltas.groupBy("b").agg(F.avg("delta").alias("value"))
+
+
+def _large_deltas(rows: DataFrame, drawn: Resamples) -> DataFrame:
+    """``b``, ``delta``: of groups that no task holds, from rows weighed under every resample."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("b", T.LongType()), T.StructField("_w", T.LongType())])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in range(drawn.blocks):
+                for i, w in enumerate(drawn.times(block, batch.column("_doc").to_numpy())):
+                    some = np.flatnonzero(w)
+                    part = batch.take(pa.array(some))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(some), block * drawn.per_block + i)), pa.array(w[some])], names=schema.names)
+
+    weighed = rows.repartition(F.floor(F.col("_doc") / drawn.per_leaf)).sortWithinPartitions("_doc").mapInArrow(weigh, schema)
+    sizes = weighed.groupBy("_g", "b").agg(F.sum("_w").alias("_n"))
+    one, two = (kendall(weighed, ["_g", "b"], "_gold", c, weight="_w").withColumnRenamed("kendall", c) for c in ("_one", "_two"))
+    both = one.join(two, ["_g", "b"]).join(sizes, ["_g", "b"])
+    return both.select("b", F.when(F.col("_n") > 2, F.col("_one") - F.col("_two")).alias("delta"))
 
 
 def slope_per_doubling(rows: DataFrame, group: list[str], length: str, value: str) -> DataFrame:

@@ -8,11 +8,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from loomspan.sources.scratch import Scratch
 
 from .order import cumulative
 
-#: Distinct pairs of values of a group that one task may hold (three numbers each), and that may be held against each other.
-MOST_CELLS, MOST_PAIRED_CELLS = 20_000_000, 5_000
+#: Distinct pairs of values of a group that one task counts at a time, and that are held against each other.
+SLICE_CELLS, PAIRED_CELLS = 200_000, 5_000
 
 
 def pearson(x: str, y: str) -> Column:
@@ -21,10 +24,11 @@ def pearson(x: str, y: str) -> Column:
     return F.when(sd > 1e-15, F.covar_pop(x, y) / F.nullif(sd, F.lit(0.0)))
 
 
-def cells_of(rows: DataFrame, group: list[str], gold: str, pred: str) -> DataFrame:
+def cells_of(rows: DataFrame, group: list[str], gold: str, pred: str, weight: str | None = None) -> DataFrame:
     """Distinct pairs of values (``_x``, ``_y``) per group, without nulls, and how often each occurs (``_c``)."""
     full = rows.filter(F.col(gold).isNotNull() & F.col(pred).isNotNull())
-    return full.groupBy(*group, F.col(gold).alias("_x"), F.col(pred).alias("_y")).agg(F.count(F.lit(1)).alias("_c"))
+    count = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    return full.groupBy(*group, F.col(gold).alias("_x"), F.col(pred).alias("_y")).agg(count.alias("_c"))
 
 
 def spearman(cells: DataFrame, group: list[str]) -> DataFrame:
@@ -60,25 +64,28 @@ def correlations(rows: DataFrame, group: list[str], gold: str, pred: str) -> Dat
     return whole.select(*[F.col("_key").getField(g).alias(g) for g in group], "n", "pearson", "spearman", tau.alias("kendall"))
 
 
-def _refuse_large(cells: DataFrame, group: list[str], most: int, what: str) -> None:
-    size = cells.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).head()["n"]
-    if (size or 0) > most:
-        raise ValueError(f"{what}: a group has {size} different pairs of values, {most} at most; round the values or part the group")
+def _by_size(cells: DataFrame, group: list[str], most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Cells of groups of up to ``most``, and those of larger ones (None if there are none)."""
+    sizes = cells.groupBy(F.struct(*group).alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    if sizes.filter(F.col("_n") > most).isEmpty():
+        return cells, None
+    keyed = cells.withColumn("_of", F.struct(*group)).join(sizes, "_of").drop("_of")
+    return keyed.filter(F.col("_n") <= most).drop("_n"), keyed.filter(F.col("_n") > most).drop("_n")
 
 
-def kendall_pairs(rows: DataFrame, group: list[str], gold: str, pred: str, most: int = MOST_PAIRED_CELLS) -> DataFrame:
+def kendall_pairs(rows: DataFrame, group: list[str], gold: str, pred: str, most: int = PAIRED_CELLS) -> DataFrame:
     """Tau-b from pairs of distinct (gold, pred) cells with their counts: for discrete values, where cells are few.
 
-    The work is the square of a group's cells, so groups of more than ``most`` are refused.
+    The work is the square of a group's cells; groups of more than ``most`` are counted as in :func:`kendall`.
     """
-    cells = cells_of(rows, group, gold, pred)
-    _refuse_large(cells, group, most, "kendall_pairs")
-    other = cells.withColumnsRenamed({"_x": "_x2", "_y": "_y2", "_c": "_c2"})
-    pairs = cells.join(other, group)
+    cells, more = _by_size(cells_of(rows, group, gold, pred), group, most)
+    other = cells.withColumnsRenamed({"_x": "_x2", "_y": "_y2", "_c": "_c2"}).withColumn("_key", F.struct(*group)).drop(*group)
+    pairs = cells.withColumn("_key", F.struct(*group)).join(other, "_key")
     sx, sy, w = F.signum(F.col("_x") - F.col("_x2")), F.signum(F.col("_y") - F.col("_y2")), F.col("_c") * F.col("_c2")
     sums = pairs.groupBy(*group).agg(F.sum(sx * sy * w).alias("_s"), F.sum(F.abs(sx) * w).alias("_a"), F.sum(F.abs(sy) * w).alias("_b"))
     below = F.sqrt(F.col("_a") * F.col("_b"))
-    return sums.select(*group, F.when(below > 0, F.col("_s") / F.nullif(below, F.lit(0.0))).alias("kendall"))
+    taus = sums.select(*group, F.when(below > 0, F.col("_s") / F.nullif(below, F.lit(0.0))).alias("kendall"))
+    return taus if more is None else taus.unionByName(kendall(more, group, "_x", "_y", weight="_c"))
 
 
 def tau_b(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> float | None:
@@ -141,20 +148,83 @@ def _inversions(values: np.ndarray, weight: np.ndarray) -> int:
     return total + int((above * weight[half:]).sum())
 
 
-def kendall(rows: DataFrame, group: list[str], gold: str, pred: str, most: int = MOST_CELLS) -> DataFrame:
-    """Tau-b of large groups in n log n each; a group's distinct pairs must fit one task, so more than ``most`` are refused.
+def kendall(rows: DataFrame, group: list[str], gold: str, pred: str, most: int | None = None, weight: str | None = None) -> DataFrame:
+    """Tau-b per group in n log n, null if a side is constant; rows count ``weight`` times.
 
-    Equal (gold, pred) cells are counted before they are shuffled.
+    Equal (gold, pred) cells are counted before they are shuffled. Groups of up to ``most`` (SLICE_CELLS) cells are each counted by one task, larger
+    ones in slices by :func:`_sliced_taus`.
     """
-    cells = cells_of(rows.withColumns({gold: F.col(gold).cast("double"), pred: F.col(pred).cast("double")}), group, gold, pred)
-    _refuse_large(cells, group, most, "kendall")
+    most = SLICE_CELLS if most is None else most
+    cells = cells_of(rows.withColumns({gold: F.col(gold).cast("double"), pred: F.col(pred).cast("double")}), group, gold, pred, weight)
+    cells, more = _by_size(cells, group, most)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         tau = tau_b(*(table.column(c).to_numpy() for c in ("_x", "_y", "_c")))
         return pa.table({**{g: pa.array([k.as_py()], table.schema.field(g).type) for g, k in zip(group, key, strict=True)}, "kendall": pa.array([tau], pa.float64())})
 
-    schema = cells.select(*group).schema.add("kendall", "double")
-    return cells.groupBy(*group).applyInArrow(run, schema)
+    taus = cells.groupBy(*group).applyInArrow(run, cells.select(*group).schema.add("kendall", "double"))
+    return taus if more is None else taus.unionByName(_sliced_taus(more, group, most))
+
+
+def _exact(column: str | Column) -> Column:
+    return (F.col(column) if isinstance(column, str) else column).cast("decimal(38, 0)")
+
+
+def _pairs_in(column: str) -> Column:
+    n = F.col(column).cast("decimal(19, 0)")
+    return _exact(n * (n - 1) / 2)
+
+
+def _sliced(cells: DataFrame, side: str) -> DataFrame:
+    """Adds ``_s`` and the side's name: the number of a slice of about ``_size`` cells in the order of the side's values.
+
+    Equal values share a slice. Slices with even numbers hold up to twice ``_size`` cells; a value with more than ``_size`` has a slice, with an odd number, for itself.
+    """
+    values = cells.groupBy("_key", "_size", side).agg(F.count(F.lit(1)).alias("n"))
+    number = 2 * F.floor(F.col("before") / F.col("_size")) + (F.col("n") > F.col("_size")).cast("long")
+    placed = cumulative(values.withColumnRenamed("_key", "_group"), ["_group"], side).withColumnRenamed("_group", "_key").select(F.struct("_key", side).alias("_at"), number.alias(f"_s{side}"))
+    return cells.withColumn("_at", F.struct("_key", side)).join(placed, "_at").drop("_at")
+
+
+def _discordant(cells: DataFrame, most: int, scratch: Scratch) -> DataFrame:
+    """``_key``, ``_d``: weighted pairs of cells of each group that x and y order in opposite ways, as rows to be summed.
+
+    Pairs in one x-slice are counted there, pairs in one y-slice but different x-slices there, and all others between cells of the
+    grid of slices: the same task again, on a quarter of the cells at most, since slices have at least four times the root of their number.
+    """
+    sizes = cells.groupBy("_key").agg(F.greatest(F.lit(float(most)), F.ceil(4 * F.sqrt(F.count(F.lit(1))))).alias("_size"))
+    cut = scratch.save(_sliced(_sliced(cells.join(sizes, "_key"), "_x"), "_y"), "slices")
+    inside = T.StructType([cut.schema["_key"], T.StructField("_d", T.DecimalType(38, 0))])
+
+    def within(first: str):
+        def run(key: tuple, table: pa.Table) -> pa.Table:
+            x, y, w = (table.column(c).to_numpy() for c in (first, "_y", "_c"))
+            order = np.lexsort((y, x))
+            return pa.table({"_key": table.column("_key")[:1], "_d": pa.array([_inversions(y[order], w[order])], pa.decimal128(38, 0))})
+
+        return run
+
+    by_x = cut.filter(F.col("_s_x") % 2 == 0).groupBy("_key", "_s_x").applyInArrow(within("_x"), inside)
+    by_y = cut.filter(F.col("_s_y") % 2 == 0).groupBy("_key", "_s_y").applyInArrow(within("_s_x"), inside)
+    grid = scratch.save(cut.groupBy("_key", F.col("_s_x").cast("double").alias("_x"), F.col("_s_y").cast("double").alias("_y")).agg(F.sum("_c").alias("_c")), "grid")
+    small, large = _by_size(grid, ["_key"], most)
+    found = by_x.unionByName(by_y).unionByName(small.groupBy("_key").applyInArrow(within("_x"), inside))
+    return found if large is None else found.unionByName(_discordant(large, most, scratch))
+
+
+def _sliced_taus(cells: DataFrame, group: list[str], most: int) -> DataFrame:
+    """Tau-b of groups that no task holds, from counts of ties and of discordant pairs in slices; sums are exact decimals."""
+    scratch = Scratch(cells.sparkSession, "kendall")
+    keyed = scratch.save(cells.select(F.struct(*group).alias("_key"), "_x", "_y", F.col("_c").cast("long").alias("_c")), "cells")
+
+    def ties(*by: str) -> DataFrame:
+        return keyed.groupBy("_key", *by).agg(F.sum("_c").alias("_c")).groupBy("_key").agg(F.sum(_pairs_in("_c")).alias("".join(["_t", *by])))
+
+    sums = ties().join(ties("_x"), "_key").join(ties("_y"), "_key").join(ties("_x", "_y"), "_key")
+    sums = sums.join(_discordant(keyed, most, scratch).groupBy("_key").agg(F.sum("_d").alias("_d")), "_key")
+    above = _exact("_t") - F.col("_t_x") - F.col("_t_y") + F.col("_t_x_y") - 2 * F.col("_d")
+    below = F.sqrt((F.col("_t") - F.col("_t_x")).cast("double")) * F.sqrt((F.col("_t") - F.col("_t_y")).cast("double"))
+    return sums.select(*[F.col("_key").getField(g).alias(g) for g in group], F.when(below > 0, above.cast("double") / F.nullif(below, F.lit(0.0))).alias("kendall"))
 
 
 def macro_mean(cells: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:

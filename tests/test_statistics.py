@@ -146,36 +146,71 @@ def test_contrastive_accuracy_counts_ties(spark):
     assert got["g"]["accuracy"] == pytest.approx(1 / 3) and got["g"]["ties"] == 1 and got["one"]["t"] is None
 
 
-def test_bootstrap_resamples_documents(spark, monkeypatch):
-    """Every resample against plain sums and taus over the drawn documents."""
-    data = [("g" if i % 3 else None, f"d{i % 60}", float(i % 5), float(i % 7), float(i % 5)) for i in range(120)]
+def test_draws_are_multinomial_whatever_the_slicing():
+    for n, leaf in ((1, 1024), (100, 7), (2500, 1024), (40, 40)):
+        drawn = bootstrap.Resamples(n, 130, 5, leaf, 50)
+        whole = np.concatenate([drawn.times(b, np.arange(n)) for b in range(drawn.blocks)])
+        assert whole.shape == (130, n) and (whole.sum(axis=1) == n).all()
+        some = np.random.default_rng(1).permutation(n)[: n // 2 + 1]
+        other = bootstrap.Resamples(n, 130, 5, leaf, 50)  # starts from other leaves, in another order
+        assert (np.concatenate([other.times(b, some) for b in reversed(range(other.blocks))][::-1]) == whole[:, some]).all()
+    counts = np.concatenate([bootstrap.Resamples(100, 4000, 9, 7, 50).times(b, np.arange(100)) for b in range(80)])
+    assert abs(counts.mean(axis=0) - 1).max() < 0.1  # each document once on average
+    assert counts.var(axis=0).mean() == pytest.approx(0.99, abs=0.03)  # n p (1 - p)
+    pairs = np.cov(counts[:, 0], counts[:, 99])[0, 1]
+    assert pairs == pytest.approx(-0.01, abs=0.05)
+
+
+@pytest.mark.parametrize(("leaf", "block", "large"), [(1024, 50, 10**6), (7, 16, 10**6), (7, 50, 50)])
+def test_bootstrap_resamples_documents(spark, monkeypatch, leaf, block, large):
+    """Every resample against plain sums and taus over the drawn documents, also where groups are too large for a task."""
+    for name, value in (("LEAF", leaf), ("DRAW_BLOCK", block), ("TAU_ROWS", large)):
+        monkeypatch.setattr(bootstrap, name, value)
+    data = [("g" if i % 3 else None, f"d{i % 60}" if i % 60 else None, float(i % 5), float(i % 7), float(i % 5)) for i in range(120)]
     rows = spark.createDataFrame(data, "g string, d string, gold double, a double, b double")
-    for exact in (1_000_000, 10):
-        monkeypatch.setattr(bootstrap, "EXACT_DOCS", exact)
-        keyed, n = bootstrap.numbered(rows, "d")
-        index = {r["d"]: r["_doc"] for r in keyed.collect()}
-        assert n == 60 and sorted(index.values()) == list(range(60))
-        drawn = bootstrap.Resamples.of(n, 40, 3)
-        times = [drawn.times(b, np.arange(60)) for b in range(40)]
-        assert all(t.sum() == 60 for t in times) if exact > 60 else 55 < np.mean([t.sum() for t in times]) < 65
-        means = {r["b"]: r["value"] for r in bootstrap.weighted_means(rows.repartition(5), "d", "g", "a", 40, 3).collect()}
-        for b, t in enumerate(times):
-            per = []
-            for g in ("g", None):
-                w = [(t[index[d]], a) for k, d, _, a, _ in data if k == g]
-                per.append(sum(x * y for x, y in w) / sum(x for x, _ in w))
-            assert means[b] == pytest.approx(np.mean(per))
-        deltas = {r["b"]: r["value"] for r in bootstrap.tau_delta(rows, "g", "d", "gold", "a", "b", 40, 3).collect()}
-        for b, t in list(enumerate(times))[:5]:
-            per = []
-            for g in ("g", None):
-                many = [(y, a, c) for k, d, y, a, c in data if k == g for _ in range(t[index[d]])]
-                per.append(slow_tau([m[0] for m in many], [m[1] for m in many]) - slow_tau([m[0] for m in many], [m[2] for m in many]))
-            assert deltas[b] == pytest.approx(np.mean(per))
+    keyed, n = bootstrap.numbered(rows, "d")
+    index = {r["d"]: r["_doc"] for r in keyed.collect()}
+    assert n == 60 and sorted(index.values()) == list(range(60))
+    drawn = bootstrap.Resamples(n, 40, 3, leaf, block)
+    times = np.concatenate([drawn.times(b, np.arange(60)) for b in range(drawn.blocks)])
+    means = {r["b"]: r["value"] for r in bootstrap.weighted_means(rows.repartition(5), "d", "g", "a", 40, 3).collect()}
+    for b, t in enumerate(times):
+        per = []
+        for g in ("g", None):
+            w = [(t[index[d]], a) for k, d, _, a, _ in data if k == g]
+            per.append(sum(x * y for x, y in w) / sum(x for x, _ in w))
+        assert means[b] == pytest.approx(np.mean(per))
+    deltas = {r["b"]: r["value"] for r in bootstrap.tau_delta(rows, "g", "d", "gold", "a", "b", 40, 3).collect()}
+    for b, t in list(enumerate(times))[:5]:
+        per = []
+        for g in ("g", None):
+            many = [(y, a, c) for k, d, y, a, c in data if k == g for _ in range(t[index[d]])]
+            per.append(slow_tau([m[0] for m in many], [m[1] for m in many]) - slow_tau([m[0] for m in many], [m[2] for m in many]))
+        assert deltas[b] == pytest.approx(np.mean(per))
     ci = bootstrap.interval(bootstrap.tau_delta(rows, "g", "d", "gold", "a", "b", 40, 3)).head()
     assert ci["high"] < 0 and ci["significant"]
 
 
+def test_kendall_in_slices(spark):
+    """Groups cut into slices of ten cells, and their grids again, against the plain form: ties, heavy values, constants, weights."""
+    rng = np.random.default_rng(8)
+    rows = [("even", float(x), float(y), 1) for x, y in rng.normal(size=(700, 2)).round(1)]
+    rows += [("up", float(i), float(i + rng.integers(0, 40)), int(rng.integers(1, 5))) for i in range(400)]
+    rows += [("hot", 3.0 if i % 3 else float(i), float(rng.integers(0, 200)), 2) for i in range(600)]
+    rows += [("hoty", float(rng.integers(0, 200)), 3.0 if i % 3 else float(i), 1) for i in range(600)]
+    rows += [("flat", 1.0, float(i), 1) for i in range(50)] + [(None, float(-i), float(i), 1) for i in range(60)] + [("one", 1.0, 1.0, 1), ("null", None, 1.0, 1), ("even", None, 2.0, 1)]
+    df = spark.createDataFrame(rows, "g string, x double, y double, w long")
+    got = {r["g"]: r["kendall"] for r in correlate.kendall(df, ["g"], "x", "y", most=10, weight="w").collect()}
+    plain = {r["g"]: r["kendall"] for r in correlate.kendall(df, ["g"], "x", "y", weight="w").collect()}
+    pairs = {r["g"]: r["kendall"] for r in correlate.kendall_pairs(df.filter("w = 1"), ["g"], "x", "y", most=10).collect()}
+    for g in {r[0] for r in rows} - {"null"}:
+        x, y, w = (np.array(v) for v in zip(*[(a, b, c) for k, a, b, c in rows if k == g and a is not None]))
+        want = correlate.tau_b(x, y, w)
+        assert got[g] == pytest.approx(want, abs=1e-12) and plain[g] == pytest.approx(want, abs=1e-12), g
+        if (w == 1).all():
+            assert pairs[g] == pytest.approx(want, abs=1e-12)
+
+
 def test_intervals_come_from_a_thousand_resamples(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").orderBy("l_orderkey", "l_linenumber").limit(120).write.parquet(f"{tmp_path}/lineitem.parquet")
     for query in (statistics.bootstrap_ci, statistics.bootstrap_tau_delta):
@@ -221,7 +256,3 @@ def test_ranks_and_percentiles_in_slices(spark, monkeypatch):
     found = {r["g"]: r["q"] for r in order.percentiles(df, ["g"], "y", shares).collect()}
     for g in ("big", None, "one", "flat"):
         assert found[g] == pytest.approx(list(np.percentile([y for k, _, y in rows if k == g], [100 * s for s in shares])))
-    with pytest.raises(ValueError, match="different pairs"):
-        correlate.kendall(df, ["g"], "x", "y", most=100)
-    with pytest.raises(ValueError, match="different pairs"):
-        correlate.kendall_pairs(df, ["g"], "x", "y", most=100)
