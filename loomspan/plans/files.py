@@ -43,18 +43,38 @@ def tsv_ratings(spark, sf_dir):
     return rounded(readers.read_ratings(spark, path).select("system", "doc", "seg_id", "score"), "score")
 
 
-@query("tsv_errors", "SELECT l_returnflag AS severity, 's' || l_partkey AS source, 't' || l_suppkey AS target, l_orderkey || ':' || l_linenumber AS seg FROM lineitem WHERE l_partkey % 10 <> 0 AND l_suppkey % 6 <> 0")
+def _write_lines(rows, short, path):
+    """Tab-separated lines under a header, without quoting; where ``short`` holds the last field is not written at all."""
+    whole = F.concat_ws("\t", *rows.columns)
+    cut = F.concat_ws("\t", *rows.columns[:-1])
+    name = "\t".join(rows.columns)
+    rows.select(F.when(short, cut).otherwise(whole).alias(name)).write.option("sep", "\x01").option("quote", "").option("header", True).csv(path)
+
+
+@query("tsv_errors", "SELECT l_returnflag AS severity, CASE l_partkey % 10 WHEN 1 THEN '' ELSE 's' || l_partkey END AS source, CASE l_suppkey % 6 WHEN 1 THEN '' ELSE 't' || l_suppkey END AS target, l_orderkey || ':' || l_linenumber AS seg FROM lineitem WHERE l_partkey % 10 <> 0 AND l_suppkey % 6 <> 0")
 def tsv_errors(spark, sf_dir):
-    """Error rows as TSV: marked canary rows and short ones go, docSegId comes before seg_id."""
+    """Error rows as TSV: marked canary rows and lines without a target go, empty fields stay, docSegId comes before seg_id."""
     line = read(spark, sf_dir, "lineitem")
-    source = F.concat(F.when(F.col("l_partkey") % 10 == 0, "a CANARY row ").otherwise(""), F.lit("s"), F.col("l_partkey").cast("string"))
-    target = F.when(F.col("l_suppkey") % 6 != 0, F.concat(F.lit("t"), F.col("l_suppkey").cast("string")))
+    source = F.when(F.col("l_partkey") % 10 == 1, "").otherwise(F.concat(F.when(F.col("l_partkey") % 10 == 0, "a CANARY row ").otherwise(""), F.lit("s"), F.col("l_partkey").cast("string")))
+    target = F.when(F.col("l_suppkey") % 6 == 1, "").otherwise(F.concat(F.lit("t"), F.col("l_suppkey").cast("string")))
     rows = line.select(F.col("l_returnflag").alias("severity"), source.alias("source"), F.lit("none").alias("seg_id"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("docSegId"), target.alias("target"))
     path = _folder(spark, "errors")
-    _write_tsv(rows, path)
+    _write_lines(rows, F.col("target").rlike("^t") & (F.substring("target", 2, 20).try_cast("long") % 6 == 0), path)
     return readers.read_errors(spark, path).select("severity", "source", "target", "seg")
 
 
+@query("tsv_error_segments", "WITH e AS (SELECT l_returnflag AS system, l_orderkey // 8 AS doc, l_orderkey % 8 AS seg, l_linestatus || l_shipmode AS rater, CASE l_linenumber % 4 WHEN 0 THEN 'Major' WHEN 1 THEN 'minor' WHEN 2 THEN ' MINOR ' ELSE '' END AS severity, CASE l_suppkey % 3 WHEN 0 THEN 'Fluency/Punctuation' WHEN 1 THEN 'Non-translation!' ELSE '' END AS category FROM lineitem), r AS (SELECT system, doc, seg, rater, sum(CASE lower(trim(severity)) WHEN 'major' THEN CASE WHEN category LIKE 'Non-%' THEN 25.0 ELSE 5.0 END WHEN 'minor' THEN CASE WHEN category LIKE 'Flu%' THEN 0.1 ELSE 1.0 END ELSE 0.0 END::DOUBLE) AS w FROM e GROUP BY ALL) SELECT system, doc::VARCHAR AS doc, seg::VARCHAR AS seg, 's' || (8 * doc + seg) AS source, '' AS target, " + r6("0.0 - avg(w)") + " AS score FROM r GROUP BY system, doc, seg")
+def tsv_error_segments(spark, sf_dir):
+    """From error lines to scored segments: penalties by category and severity, summed by rater, averaged over raters."""
+    n, c = F.col("l_linenumber") % 4, F.col("l_suppkey") % 3
+    severity = F.when(n == 0, "Major").when(n == 1, "minor").when(n == 2, " MINOR ").otherwise("")
+    category = F.when(c == 0, "Fluency/Punctuation").when(c == 1, "Non-translation!").otherwise("")
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias(" system "), F.expr("l_orderkey div 8").cast("string").alias("doc"), (F.col("l_orderkey") % 8).cast("string").alias("seg_id"), F.concat("l_linestatus", "l_shipmode").alias("rater"), severity.alias("severity"), category.alias("category"), F.concat(F.lit("s"), F.col("l_orderkey").cast("string")).alias("source"), F.lit("").alias("target"))
+    path = _folder(spark, "errors")
+    _write_lines(rows, F.lit(False), path)
+    return rounded(readers.error_segments(readers.read_errors(spark, path)), "score")
+
+
 @query("json_document_scores", "SELECT 'en-de_DE_#_' || lower(o_orderpriority[1:1]) || '_#_' || o_orderkey AS doc_id, l_returnflag AS system, true AS has_mt, " + r6("avg(l_quantity)") + " AS score, 'en-de' AS lp, lower(o_orderpriority[1:1]) AS domain FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linestatus = 'F' AND o_orderkey % 5 <> 0 GROUP BY o_orderkey, o_orderpriority, l_returnflag")
 def json_document_scores(spark, sf_dir):
     """Nested scores as JSON lines: systems named ref*, documents without a reference and scores that are no numbers go."""

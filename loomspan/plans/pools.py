@@ -134,18 +134,21 @@ def comparison_table(spark, sf_dir):
     return rounded(report.comparison_table(_cells(spark, sf_dir), ["arm", "file"], "k", [1, 2, 3], "v"), "k1", "k2", "k3")
 
 
-_ARMS = "arms AS (SELECT l_returnflag AS family, CASE l_suppkey % 5 WHEN 0 THEN 'base' WHEN 1 THEN 'frac100' WHEN 2 THEN 'frac040' WHEN 3 THEN 'uncontrolled' ELSE 'other' END AS mix, l_suppkey % 5 <> 0 AND l_linestatus = 'F' AS frozen, l_linenumber AS k, avg(l_quantity) AS v FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2, 3, 4)"
+_ARMS = "arms AS (SELECT l_returnflag AS family, CASE l_suppkey % 5 WHEN 0 THEN 'base' WHEN 1 THEN 'frac100' WHEN 2 THEN 'frac040' WHEN 3 THEN 'uncontrolled' ELSE 'other' END AS mix, l_suppkey % 5 <> 0 AND l_linestatus = 'F' AS frozen, l_linenumber AS k, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3, 4)"
 
 
-@query("arms_table", f"WITH {_ARMS}, w AS (SELECT family, mix, frozen, max(v) FILTER (WHERE k = 1) AS k1, max(v) FILTER (WHERE k = 2) AS k2, max(v) FILTER (WHERE k = 3) AS k3 FROM arms GROUP BY ALL) SELECT family, mix, frozen, {r6('k1')} AS k1, {r6('k2')} AS k2, {r6('k3')} AS k3, {r6("k1 - max(k1) FILTER (WHERE mix = 'base') OVER (PARTITION BY family)")} AS delta, mix = 'uncontrolled' AS contaminated, row_number() OVER (PARTITION BY family ORDER BY CASE mix WHEN 'base' THEN 1 WHEN 'frac040' THEN 2 WHEN 'frac100' THEN 3 WHEN 'uncontrolled' THEN 4 ELSE 5 END, frozen, mix)::INTEGER AS place FROM w")
+_ALL_K = range(1, 8)
+
+
+@query("arms_table", f"WITH {_ARMS}, w AS (SELECT family, mix, frozen, {", ".join(f"max(v) FILTER (WHERE k = {k}) AS k{k}" for k in _ALL_K)} FROM arms GROUP BY ALL) SELECT family, mix, frozen, {", ".join(f"{r6(f'k{k}')} AS k{k}" for k in _ALL_K)}, {r6("k1 - max(k1) FILTER (WHERE mix = 'base') OVER (PARTITION BY family)")} AS delta, mix = 'uncontrolled' AS contaminated, row_number() OVER (PARTITION BY family ORDER BY CASE mix WHEN 'base' THEN 1 WHEN 'frac040' THEN 2 WHEN 'frac100' THEN 3 WHEN 'uncontrolled' THEN 4 ELSE 5 END, frozen, mix)::INTEGER AS place FROM w")
 def arms_table(spark, sf_dir):
     """Arms of each family in the order of display, with their gain over the base and a mark on contaminated ones."""
     n = F.col("l_suppkey") % 5
     mix = F.when(n == 0, "base").when(n == 1, "frac100").when(n == 2, "frac040").when(n == 3, "uncontrolled").otherwise("other")
-    rows = read(spark, sf_dir, "lineitem").filter("l_linenumber <= 3").select(F.col("l_returnflag").alias("family"), mix.alias("mix"), ((n != 0) & (F.col("l_linestatus") == "F")).alias("frozen"), F.col("l_linenumber").alias("k"), "l_quantity")
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("family"), mix.alias("mix"), ((n != 0) & (F.col("l_linestatus") == "F")).alias("frozen"), F.col("l_linenumber").alias("k"), "l_quantity")
     cells = rows.groupBy("family", "mix", "frozen", "k").agg(F.avg("l_quantity").alias("v"))
-    table = report.arms_table(cells, "family", "mix", "frozen", "k", "v", [1, 2, 3], [mixtures.CONTAMINATED.name], ["base", "frac040", "frac100", "uncontrolled"])
-    return rounded(table, "k1", "k2", "k3", "delta")
+    table = report.arms_table(cells, "family", "mix", "frozen", "k", "v", list(_ALL_K), [mixtures.CONTAMINATED.name], ["base", "frac040", "frac100", "uncontrolled"])
+    return rounded(table, *[f"k{k}" for k in _ALL_K], "delta")
 
 
 @query("regime_means", f"WITH {_CELLS} SELECT arm, {r6('avg(v) FILTER (WHERE k = 1)')} AS single, {r6('avg(v) FILTER (WHERE k IN (2, 3, 4, 6))')} AS windows, {r6('avg(v) FILTER (WHERE k = 0)')} AS document FROM cells GROUP BY arm")

@@ -171,10 +171,10 @@ def token_budget(spark, sf_dir):
     return prepare.token_budget(rows, ["text", "lang"], ("text", "lang"), 480, 400).select("doc_id", "n_text", "n_lang")
 
 
-@query("unfitted_groups", "SELECT DISTINCT source FROM documents WHERE doc_id % 7 = 0 AND source NOT IN (SELECT source FROM documents WHERE doc_id % 7 <> 0 AND length(source) = 4)")
+@query("unfitted_groups", "WITH g AS (SELECT source, lang, (length(coalesce(text, '')) // 1000)::INTEGER AS size, doc_id % 7 <> 0 AS t FROM documents) SELECT DISTINCT source, lang, size FROM g WHERE NOT t AND NOT EXISTS (SELECT 1 FROM g h WHERE h.t AND h.source = g.source AND h.lang = g.lang AND h.size = g.size)")
 def unfitted_groups(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").select("source", ((F.col("doc_id") % 7 != 0)).alias("t")).filter((F.length("source") == 4) | ~F.col("t"))
-    return normalize.unfitted_groups(rows, ["source"], "t")
+    rows = read(spark, sf_dir, "documents").select("source", "lang", F.expr("length(coalesce(text, '')) div 1000").cast("int").alias("size"), (F.col("doc_id") % 7 != 0).alias("t"))
+    return normalize.unfitted_groups(rows, ["source", "lang", "size"], "t")
 
 
 @query("coverage_shared_keys", "SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier INTERSECT SELECT n_nationkey FROM nation")

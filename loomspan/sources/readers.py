@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomspan.functions.text import arm_to_label, domain_of, file_to_arm, pair_of
-from loomspan.operators.annotations import penalties
+from loomspan.operators.annotations import error_weight, penalties, two_level_rollup
 
 
 def _fields(spec: str) -> T.StructType:
@@ -116,9 +116,16 @@ def read_json(spark: SparkSession, path: str, schema: str, multiline: bool = Fal
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated with a header, quotes meaning nothing; header names are stripped."""
-    raw = spark.read.option("sep", "\t").option("quote", "").option("header", True).option("mode", "PERMISSIVE").csv(path)
-    return raw.toDF(*[c.strip() for c in raw.columns])
+    """Tab-separated lines under a header, quotes meaning nothing; header names are stripped.
+
+    An empty field is an empty text; one that a short line lacks is null. The files of a folder have one header each, the same.
+    """
+    lines = spark.read.text(path)
+    header = lines.first()
+    names = [c.strip() for c in header[0].split("\t")] if header else []
+    fields = F.split("value", "\t", -1)
+    rows = lines.filter(F.col("value") != header[0]) if header else lines
+    return rows.select(*[F.get(fields, i).alias(c) for i, c in enumerate(names)])
 
 
 def read_ratings(spark: SparkSession, path: str, score: str = "score") -> DataFrame:
@@ -126,14 +133,30 @@ def read_ratings(spark: SparkSession, path: str, score: str = "score") -> DataFr
     return read_tsv(spark, path).withColumn(score, F.col(score).try_cast("double")).na.drop(subset=[score])
 
 
+#: Fields without which a line of an error-level file is passed over.
+ERROR_FIELDS = ("system", "doc", "seg", "rater", "source", "target", "category", "severity")
+
+
 def read_errors(spark: SparkSession, path: str, canary: str = "CANARY") -> DataFrame:
-    """Error-level TSV: docSegId is preferred over seg_id; rows whose source has the canary mark and short rows go."""
-    raw = read_tsv(spark, path)
-    seg = F.coalesce(*[F.col(c) for c in ("docSegId", "seg_id") if c in raw.columns]).alias("seg")
-    rows = raw.select(*[c for c in raw.columns if c not in ("docSegId", "seg_id")], seg).filter(F.col("target").isNotNull())
+    """Error-level TSV in the order of its lines (``line``): docSegId is taken for ``seg`` where there is one, else seg_id.
+
+    Rows whose source has the canary mark go, and lines too short for a field that the header has. Full lines with empty fields stay.
+    """
+    raw = read_tsv(spark, path).withColumn("line", F.monotonically_increasing_id())
+    seg = next(c for c in ("docSegId", "seg_id") if c in raw.columns)
+    rows = raw.select(*[c for c in raw.columns if c not in ("docSegId", "seg_id")], F.col(seg).alias("seg"))
+    rows = rows.na.drop(subset=[c for c in ERROR_FIELDS if c in rows.columns])
     return rows.filter(~F.col("source").contains(canary)) if canary else rows
 
 
+def error_segments(errors: DataFrame) -> DataFrame:
+    """system, doc, seg, source, target, score of error rows: the first texts of a segment, penalties summed by rater, averaged and negated."""
+    keys = ["system", "doc", "seg"]
+    texts = errors.groupBy(*keys).agg(*[F.min_by(c, "line").alias(c) for c in ("source", "target")])
+    weighed = errors.withColumn("weight", error_weight(F.col("severity"), F.col("category")))
+    return texts.join(two_level_rollup(weighed, keys, "rater", "weight"), keys)
+
+
 DOCUMENT_SCORES = "doc_id string, src_text string, ref_text string, tgt_text map<string,string>, scores map<string,array<struct<score:string>>>"
 
 
