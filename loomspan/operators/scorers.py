@@ -57,6 +57,13 @@ def pair_key(a: str, b: str):
     return F.md5(F.concat(F.md5(F.col(a).cast("binary")), F.md5(F.col(b).cast("binary"))).cast("binary"))
 
 
+def own_cache(cache: DataFrame, scorer: Scorer) -> DataFrame:
+    """The cache, stopped with an error if it holds this scorer's name with another fingerprint: scores of other weights."""
+    foreign = (F.col("scorer") == scorer.name) & (F.col("fingerprint") != scorer.fingerprint)
+    stop = F.raise_error(F.concat(F.lit(f"the cache has scores of {scorer.name} by other weights: "), F.col("fingerprint")))
+    return cache.withColumn("fingerprint", F.when(foreign, stop.cast("string")).otherwise(F.col("fingerprint")))
+
+
 def unscored(pairs: DataFrame, cache: DataFrame, scorer: Scorer, a: str, b: str) -> DataFrame:
     """Distinct pairs that the cache lacks for this scorer."""
     known = cache.filter((F.col("scorer") == scorer.name) & (F.col("fingerprint") == scorer.fingerprint)).select("pair")
