@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions.hashing import held_out
@@ -26,9 +28,9 @@ def frequent_groups(rows: DataFrame, group: list[str], least: int) -> DataFrame:
     return rows.join(often, group, "left_semi")
 
 
-def token_budget(rows: DataFrame, texts: list[str], pair: tuple[str, str], most: int, most_pair: int) -> DataFrame:
+def token_budget(rows: DataFrame, texts: list[str], pair: tuple[str, str], most: int, most_pair: int, counter: Callable[[Column], Column] = n_tokens) -> DataFrame:
     """Rows whose every text has at most ``most`` tokens and whose pair has at most ``most_pair`` together."""
-    counted = rows.withColumns({f"n_{t}": n_tokens(F.col(t)) for t in texts})
+    counted = rows.withColumns({f"n_{t}": counter(F.col(t)) for t in texts})
     fits = F.lit(True)
     for t in texts:
         fits = fits & (F.col(f"n_{t}") <= most)

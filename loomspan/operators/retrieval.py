@@ -9,14 +9,19 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomspan.functions.numeric import dot, unit
 
 
-#: Candidates of one slice.
-SLICE_CANDIDATES = 2_000
+#: Candidates of one slice and queries of one block: what a task holds, and queries whose similarities to a slice it holds at a time.
+SLICE_CANDIDATES, BLOCK_QUERIES, TILE_QUERIES = 2_000, 4_000, 256
+#: Similarities nearer to the best than this are taken again, number by number, before ties are decided.
+NEAR = 1e-9
 
 
 def own_similarities(queries: DataFrame, candidates: DataFrame, group: list[str]) -> DataFrame:
@@ -27,21 +32,85 @@ def own_similarities(queries: DataFrame, candidates: DataFrame, group: list[str]
     return pairs.filter("kind = 'perturbed'").join(gold, [*group, "block_id"])
 
 
+def _codes(*columns: pa.ChunkedArray) -> list[np.ndarray]:
+    """Numbers of values, the same in all columns."""
+    lists = [c.to_pylist() for c in columns]
+    names = {v: i for i, v in enumerate(dict.fromkeys(v for x in lists for v in x))}
+    return [np.fromiter((names[v] for v in x), np.int64, len(x)) for x in lists]
+
+
+def _rows_of(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    return flat.flatten().to_numpy().reshape(len(flat), -1)
+
+
+def _exact_dots(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Row by row, adding in the order of the components, so that equal vectors have equal similarities."""
+    out = np.zeros(len(q))
+    for j in range(q.shape[1]):
+        out += q[:, j] * c[:, j]
+    return out
+
+
+def tile_bests(q: np.ndarray, c: np.ndarray, mine: np.ndarray, classes: list[tuple[np.ndarray, bool]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(queries, candidates, similarities) of the best candidate of each class for each query that has any, the first one of ties.
+
+    ``mine`` marks pairs of one block; a class is the candidates it may come from, and whether these must be of the query's block or of others.
+    """
+    sims, out = q @ c.T, []
+    for columns, own in classes:
+        allowed = mine[:, columns] == own
+        part = np.where(allowed, sims[:, columns], -np.inf)
+        best = part.max(axis=1, initial=-np.inf)
+        x, y = np.nonzero((part >= best[:, None] - NEAR) & allowed)
+        exact = _exact_dots(q[x], c[columns[y]])
+        order = np.lexsort((columns[y], -exact, x))
+        first = order[np.flatnonzero(np.concatenate([[True], np.diff(x[order]) > 0]))] if len(order) else order
+        out.append((x[first], columns[y[first]], exact[first]))
+    return out
+
+
 def class_bests(queries: DataFrame, candidates: DataFrame, group: list[str], slices: int | None = None) -> DataFrame:
     """For each query the best candidate among: its gold, other true blocks, and negatives by category and by whose they are.
 
-    Every query meets every candidate of its group. Candidates are dealt over slices and queries copied to each, so that
-    one group spreads over tasks; only the best of each class leaves a task. Slices follow the number of candidates.
+    Every query meets every candidate of its group, in cells of a block of queries and a slice of candidates. A cell is a task's: it multiplies
+    tiles of TILE_QUERIES queries by the slice, and only the best of each class leaves it. Slices and blocks follow the numbers of candidates and queries;
+    each row is copied to as many cells as the other side has parts. Vectors must have one dimension; rows without one are left out.
     """
+    queries, candidates = queries.filter("vector IS NOT NULL"), candidates.filter("vector IS NOT NULL")
     if slices is None:
         slices = max(16, -(-candidates.count() // SLICE_CANDIDATES))
-    c = candidates.select(*group, "pool_idx", F.col("block_id").alias("_block"), "kind", "category", unit(F.col("vector")).alias("_c"), F.pmod(F.xxhash64("pool_idx"), F.lit(slices)).alias("_s"))
-    q = queries.select(*group, "block_id", unit(F.col("vector")).alias("_q")).withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint"))))
-    met = q.join(c, [*group, "_s"])
-    own = F.col("block_id") == F.col("_block")
-    kind = F.when((F.col("kind") == "true") & own, "gold").when(F.col("kind") == "true", "other").when(own, "own").otherwise("foreign")
-    best = F.max(F.struct(dot(F.col("_q"), F.col("_c")).alias("sim"), (-F.col("pool_idx")).alias("_i")))
-    found = met.groupBy(*group, "block_id", kind.alias("kind"), F.when(F.col("kind") == "true", F.lit(None)).otherwise(F.col("category")).alias("category")).agg(best.alias("b"))
+    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    c = candidates.select(*group, "pool_idx", "block_id", "kind", "category", unit(F.col("vector")).alias("_v"), F.pmod(F.xxhash64("pool_idx"), F.lit(slices)).alias("_s"), each(blocks).alias("_b"))
+    q = queries.select(*group, "block_id", unit(F.col("vector")).alias("_v"), F.pmod(F.xxhash64("block_id"), F.lit(blocks)).alias("_b"), each(slices).alias("_s"))
+    schema = T.StructType([*[q.schema[g] for g in group], q.schema["block_id"], T.StructField("kind", T.StringType()), T.StructField("category", T.StringType()), T.StructField("sim", T.DoubleType()), T.StructField("pool_idx", T.LongType())])
+
+    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[pa.Table] = []
+        if len(left) and len(right):
+            right = right.sort_by("pool_idx")
+            block_q, block_c = _codes(left["block_id"], right["block_id"])
+            vq, vc, idx = _rows_of(left["_v"]), _rows_of(right["_v"]), right["pool_idx"].to_numpy()
+            true = np.array([k == "true" for k in right["kind"].to_pylist()], bool)
+            categories = np.array(right["category"].to_pylist(), object)
+            classes = [(np.flatnonzero(true), True, "gold", None), (np.flatnonzero(true), False, "other", None)]
+            for name in dict.fromkeys(categories[~true].tolist()):
+                at = np.flatnonzero(~true & (categories == name))
+                classes += [(at, True, "own", name), (at, False, "foreign", name)]
+            for a in range(0, len(vq), TILE_QUERIES):
+                tile = slice(a, a + TILE_QUERIES)
+                mine = block_q[tile, None] == block_c[None, :]
+                for (_, _, kind, name), (x, y, sim) in zip(classes, tile_bests(vq[tile], vc, mine, [k[:2] for k in classes]), strict=True):
+                    own = left.select([*group, "block_id"]).take(pa.array(x + a))
+                    found.append(pa.table([*own.columns, pa.array([kind] * len(x), pa.string()), pa.array([name] * len(x), pa.string()), pa.array(sim), pa.array(idx[y], pa.int64())], names=schema.names))
+        empty = pa.table([*[left[g].slice(0, 0) for g in (*group, "block_id")], pa.array([], pa.string()), pa.array([], pa.string()), pa.array([], pa.float64()), pa.array([], pa.int64())], names=schema.names)
+        return pa.concat_tables([empty, *found])
+
+    key = [*group, "_s", "_b"]
+    met = q.groupBy(*key).cogroup(c.groupBy(*key)).applyInArrow(cell, schema)
+    best = F.max(F.struct("sim", (-F.col("pool_idx")).alias("_i")))
+    found = met.groupBy(*group, "block_id", "kind", "category").agg(best.alias("b"))
     return found.select(*group, "block_id", "kind", "category", F.col("b.sim").alias("sim"), (-F.col("b._i")).alias("pool_idx"))
 
 
