@@ -32,7 +32,7 @@ class Passes:
         rows = items.select(*ids, text_or_empty(f"`{text_col}`").alias("_text")).filter(F.col("_text").rlike(r"[^\x20\x09-\x0D]")).distinct()
         self.table = self.scratch.save(rows.withColumn("_key", F.monotonically_increasing_id()), "items")
         size = self.table.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)).alias("b")).head()
-        self.items, self.passes = size["n"], -(-(size["b"] + size["n"] * _ITEM_BYTES) // pass_bytes)
+        self.items, self.passes = size["n"], -(-(3 * size["b"] // 2 + size["n"] * _ITEM_BYTES) // pass_bytes)
 
     def __iter__(self):
         for p in range(self.passes):

@@ -5,6 +5,10 @@ shingles and every three blocks in a row are a window, so each run of n shingles
 Rows per band are the most for which a short text that is contained at the threshold is missed with a
 probability of at most MISS; whatever is retrieved is then verified on the words themselves. With one row per band, which
 is the rule, a text torn into pieces far apart is found as surely: each hash's least shingle lies in some window.
+
+Before that an exact filter: a text of n shingles that is contained at the threshold can lack few of them, so one of its rarest ones,
+as many as it can lack and one more, is in the document. Bands retrieve only texts with such a shingle there. So
+a frame that thousands of short texts share, such as a question's, does not retrieve them all.
 """
 
 from __future__ import annotations
@@ -65,12 +69,13 @@ def hashed(x: np.ndarray, j: int) -> np.ndarray:
 
 @dataclass
 class Part:
-    """Short texts of about one size: band keys in order, and the id of the text of each."""
+    """Short texts of about one size: band keys in order, and the text of each, numbered within the part; ``first`` is the index's number of the first."""
 
     stride: int
     rows: int
     ids: np.ndarray
     sizes: np.ndarray
+    first: int = 0
     values: list[np.ndarray] = field(default_factory=list)
     order: list[np.ndarray] = field(default_factory=list)
     maybe: list[np.ndarray] = field(default_factory=list)
@@ -97,10 +102,49 @@ def band_key(minima: list[np.ndarray]) -> np.ndarray:
     return (acc >> np.uint64(32)).astype(np.uint32)
 
 
+class Rarest:
+    """The shingles of short texts that at least one of must be in a document which contains the text at the threshold.
+
+    Rare is what few of the texts have. ``values`` are these shingles' hashes in order; those of the k-th have ``texts[begins[k]:begins[k + 1]]``.
+    """
+
+    def __init__(self, hashes: list[np.ndarray], threshold: float):
+        sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
+        flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        of = np.repeat(np.arange(len(hashes)), sizes)
+        _, at, shared = np.unique(flat, return_inverse=True, return_counts=True)
+        order = np.lexsort((flat, shared[at], of))
+        begins = np.cumsum(sizes) - sizes
+        lacking = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64)
+        kept = order[np.arange(len(flat)) - begins[of] <= lacking[of]]
+        kept = kept[np.argsort(flat[kept], kind="stable")]
+        self.texts = of[kept].astype(np.int32)
+        new = np.flatnonzero(np.concatenate([[True], flat[kept][1:] != flat[kept][:-1]])) if len(kept) else np.zeros(0, np.int64)
+        self.values, self.begins = flat[kept][new], np.append(new, len(kept))
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.values >> np.uint64(44)] = True
+
+    def of(self, per_text: list[np.ndarray]) -> dict[int, np.ndarray]:
+        """For each place of a document the numbers of the short texts, in order, that have one of their shingles there."""
+        lens = np.fromiter(map(len, per_text), np.int64, len(per_text))
+        flat = np.concatenate(per_text)
+        near = np.flatnonzero(self.maybe[flat >> np.uint64(44)])
+        if not len(near) or not len(self.values):
+            return {}
+        at = np.minimum(np.searchsorted(self.values, flat[near]), len(self.values) - 1)
+        hit = self.values[at] == flat[near]
+        doc = np.repeat(np.arange(len(lens)), lens)[near[hit]]
+        pairs = np.unique(np.stack([doc, at[hit]], 1), axis=0)
+        out: dict[int, list[np.ndarray]] = {}
+        for d, k in pairs.tolist():
+            out.setdefault(d, []).append(self.texts[self.begins[k] : self.begins[k + 1]])
+        return {d: np.unique(np.concatenate(x)) for d, x in out.items()}
+
+
 class WindowIndex:
     """An index of short texts, given as {id: words}; texts without words are in none of its parts.
 
-    It holds 8 bytes a band and text, and the words: shingles to verify with are made when a text is first retrieved.
+    It holds 8 bytes a band and text, 12 for each shingle of the filter, and the words: shingles to verify with are made when a text is first retrieved.
     """
 
     def __init__(self, texts: dict[int, list[bytes]], threshold: float = THRESHOLD):
@@ -115,6 +159,12 @@ class WindowIndex:
         for high in part_bounds(largest):
             self._add(hashes, low, high)
             low = high
+        self.ids, numbered = np.zeros(0, np.int64), []
+        for part in self.parts:
+            part.first = len(self.ids)
+            self.ids = np.concatenate([self.ids, part.ids])
+            numbered += [hashes[i] for i in part.ids.tolist()]
+        self.rarest = Rarest(numbered, threshold)
 
     def _add(self, hashes: dict[int, np.ndarray], low: int, high: int) -> None:
         """Parts of the texts of more than ``low`` and at most ``high`` shingles, cut finer where one would miss more than MISS."""
@@ -148,10 +198,16 @@ class WindowIndex:
         return known
 
     def candidates(self, per_text: list[np.ndarray]) -> set[tuple[int, int]]:
-        """(place of the text, id of the short text) that share a band in some window."""
-        lens = np.fromiter(map(len, per_text), np.int64, len(per_text))
-        if not lens.sum():
+        """(place of the text, id of the short text) that share a band in some window, and one of the short text's rarest shingles."""
+        if not sum(map(len, per_text)):
             return set()
+        able = self.rarest.of(per_text)
+        if not able:
+            return set()
+        places = sorted(able)
+        per_text = [per_text[p] for p in places]
+        able_here = [able[p] for p in places]
+        lens = np.fromiter(map(len, per_text), np.int64, len(per_text))
         flat, begins = np.concatenate(per_text), np.cumsum(lens) - lens
         grids, before = [], None
         for part in self.parts:
@@ -188,8 +244,11 @@ class WindowIndex:
                         values = part.values[band]
                         lo, hi = np.searchsorted(values, keys[near], "left"), np.searchsorted(values, keys[near], "right")
                         for k in np.flatnonzero(hi > lo):
-                            t = int(text[near[k]])
-                            found.update((t, o) for o in part.ids[part.order[band][lo[k] : hi[k]]].tolist())
+                            t, same = int(text[near[k]]), part.order[band][lo[k] : hi[k]]  # in order
+                            wanted = able_here[t] - part.first
+                            wanted = wanted[(wanted >= same[0]) & (wanted <= same[-1])]
+                            wanted = wanted[same[np.minimum(np.searchsorted(same, wanted), len(same) - 1)] == wanted]
+                            found.update((places[t], o) for o in part.ids[wanted].tolist())
                 rows.clear()
         return found
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -151,3 +152,53 @@ def test_whole_licenses_with_small_changes(spark):
         rows.append((i, "word " * 500 + "\nCopyright 2020 Somebody\n" + " ".join(ws) + " tail" * 300))
     got = {(r["doc"]["doc_id"], r["template_id"]) for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
     assert {(i, i) for i, _ in rows} <= got
+
+
+def test_a_frame_that_many_items_share_retrieves_few_of_them():
+    """Twenty thousand questions of one form: only those that are there are retrieved, and all of them are."""
+    rng = random.Random(6)
+    word = lambda: rng.choice("abcdefghij") + str(rng.randrange(30_000))
+    frame = "which of the following statements about the {} {} is true ? answer : {}"
+    items = {i: frame.format(word(), word(), word()).encode().split() for i in range(20_000)}
+    index = window_search.WindowIndex(items)
+    held = rng.sample(range(20_000), 40)
+    texts = [b" ".join(b"x%d" % rng.randrange(99) for _ in range(60)) + b" " + b" ".join(items[i]) + b" and so on" for i in held]
+    texts += [frame.format("never", "asked", "before").encode()] * 20
+    split = [t.split() for t in texts]
+    per_text = hashed(*hash_words(split, WordHashes()), 5)
+    began = time.perf_counter()
+    found = index.candidates(per_text)
+    took = time.perf_counter() - began
+    assert took < 0.05 * len(texts), took
+    assert {(t, i) for t, i in found} >= {(t, i) for t, i in enumerate(held)} and len(found) < 200
+    sets = {i: set(window_search.word_shingles(w)) for i, w in items.items()}
+    for t, w in enumerate(split):
+        own = set(window_search.word_shingles(w))
+        want = [i for i in items if len(sets[i] & own) >= 0.8 * len(sets[i]) - 1e-9]
+        assert [m[0] for m in index.verified(w, [i for p, i in found if p == t])] == want
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
+def test_the_rarest_shingles_lose_nothing(threshold):
+    """Items that overlap, repeat and are cut short, in texts that hold them whole or in part: every contained one passes the filter."""
+    rng = random.Random(int(10 * threshold))
+    vocabulary = [b"w%d" % i for i in range(60)]
+    base = [[rng.choice(vocabulary) for _ in range(rng.randint(1, 40))] for _ in range(120)]
+    items = dict(enumerate(base + [b[: len(b) // 2] for b in base] + base[:20]))
+    hashes = [np.unique(hashed(*hash_words([w], WordHashes()), 5)[0]) for w in items.values()]
+    split = []
+    for _ in range(80):
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        split.append([rng.choice(vocabulary) for _ in range(9)] + w + [rng.choice(vocabulary) for _ in range(9)])
+    able = window_search.Rarest(hashes, threshold).of(hashed(*hash_words(split, WordHashes()), 5))
+    sets = [set(window_search.word_shingles(w)) for w in items.values()]
+    contained = 0
+    for t, w in enumerate(split):
+        own = set(window_search.word_shingles(w))
+        for i, s in enumerate(sets):
+            if s and len(s & own) >= threshold * len(s) - 1e-9:
+                contained += 1
+                assert i in able[t].tolist()
+    assert contained > 20
