@@ -1,4 +1,6 @@
-"""Chat formatting: field paths are fingerprinted, a declarative mapping makes turns, a template makes text.
+"""Chat formatting: nested field paths are fingerprinted, a declarative mapping makes turns, a template makes text.
+
+One registry of layouts serves tables of any of them (:func:`turn_rows`, :func:`format_rows`) and columns of JSON (:func:`canonical_turns`).
 
 Everything here is DataFrame functions; no Python runs on the executors.
 """
@@ -42,25 +44,41 @@ def escape_role(role):
 # --- layouts ---------------------------------------------------------------------------------------------------
 
 
-def field_paths(schema: T.DataType, at: str = "") -> list[str]:
-    """All nested leaf paths of a schema, arrays as []."""
+def shape_of(schema: T.DataType) -> str:
+    """All nested field paths of a schema, whatever their order, as one text; types of leaves do not count."""
     if isinstance(schema, T.StructType):
-        return [p for f in schema.fields for p in field_paths(f.dataType, f"{at}.{f.name}" if at else f.name)]
+        return "OBJECT<" + ", ".join(f"{_quoted(f.name)}: {shape_of(f.dataType)}" for f in sorted(schema.fields, key=lambda f: f.name)) + ">"
     if isinstance(schema, T.ArrayType):
-        return field_paths(schema.elementType, f"{at}[]")
-    return [at]
+        return f"ARRAY<{shape_of(schema.elementType)}>"
+    return "VARIANT" if isinstance(schema, (T.MapType, T.VariantType)) else "*"
+
+
+def _quoted(name: str) -> str:
+    return name if name.isascii() and name.replace("_", "a").isalnum() else "`" + name.replace("`", "``") + "`"
+
+
+def json_shape(payload):
+    """:func:`shape_of` the JSON in a column, to any depth; null if it is broken.
+
+    Fields of all elements of an array count. A string is a leaf, whatever it holds; what is a leaf in one element and none in another
+    is of a kind of its own, which no layout has.
+    """
+    schema = F.schema_of_variant(F.try_parse_json(payload))
+    return F.regexp_replace(schema, r"(: |ARRAY<)(?!OBJECT<|ARRAY<|VARIANT)[A-Z][A-Z_ ]*(?:\([0-9, ]+\))?(?=[,>])", "$1*")
 
 
-def fingerprint(paths: list[str]) -> str:
-    """Of a set of field paths, whatever their order."""
+def fingerprint(shape: str) -> str:
     import hashlib
 
-    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
+    return hashlib.sha256(shape.encode()).hexdigest()[:16]
 
 
 @dataclass(frozen=True)
 class Layout:
-    """How one layout becomes turns: fixed (role, path) pairs that are used if not blank, a list of messages, or a turn a row."""
+    """How one layout becomes turns: fixed (role, path) pairs that are used if not blank, a list of messages, or a turn a row.
+
+    ``paths`` are all of its fields, arrays as []; those that no turn uses are declared there too.
+    """
 
     name: str
     paths: tuple[str, ...]
@@ -70,7 +88,12 @@ class Layout:
 
     @property
     def fingerprint(self) -> str:
-        return fingerprint(list(self.paths))
+        return fingerprint(shape_of(layout_schema(self)))
+
+    @property
+    def columns(self) -> list[str]:
+        """The columns of a table of this layout."""
+        return layout_schema(self).names
 
     def canonical(self, record):
         """Column of turns from a struct column of this layout."""
@@ -130,42 +153,13 @@ def layout_schema(layout: Layout) -> T.StructType:
     return made(tree)
 
 
-def json_paths(payload, depth: int = 3):
-    """Sorted, distinct leaf paths of a JSON object column, arrays as [], down to ``depth`` levels; null if no object.
-
-    Paths are those of all elements of an array. A string is a leaf, whatever it holds.
-    """
-
-    def inside(value):
-        return F.try_variant_get(value, "$", "map<string,variant>")
-
-    def level(value, left: int):
-        return F.flatten(F.transform(F.map_entries(inside(value)), lambda e: paths(e["key"], e["value"], left - 1)))
-
-    def paths(name, value, left: int):
-        if left <= 0:
-            return F.array(name)
-        below = F.concat(name, F.lit("[]"))
-        elements = F.try_variant_get(value, "$", "array<variant>")
-        of_element = lambda e: F.when(F.size(inside(e)) > 0, F.transform(level(e, left), lambda p: F.concat(below, F.lit("."), p))).otherwise(F.array(below))
-        return (
-            F.when(F.size(inside(value)) > 0, F.transform(level(value, left), lambda p: F.concat(name, F.lit("."), p)))
-            .when(F.exists(elements, lambda e: F.size(inside(e)) > 0), F.array_distinct(F.flatten(F.transform(elements, of_element))))
-            .otherwise(F.array(name))
-        )
-
-    parsed = F.try_parse_json(payload)
-    return F.when(inside(parsed).isNotNull(), F.array_sort(F.array_distinct(level(parsed, depth))))
-
-
 def canonical_turns(records: DataFrame, json_col: str, layouts=LAYOUTS) -> DataFrame:
     """Adds ``layout`` (name; null where no mapping has the fingerprint) and ``turns`` to rows of JSON objects.
 
     The hash of a row's field paths selects the mapping. Rows of unknown layouts, nulls and broken JSON keep a
     null layout and null turns; no row is lost.
     """
-    paths = json_paths(F.col(f"`{json_col}`"))
-    marked = records.withColumn("fingerprint", F.substring(F.sha2(F.array_join(paths, "\n"), 256), 1, 16))
+    marked = records.withColumn("fingerprint", F.substring(F.sha2(json_shape(F.col(f"`{json_col}`")), 256), 1, 16))
     name = F.lit(None).cast("string")
     turns = F.lit(None).cast(TURNS)
     for x in layouts:
@@ -175,31 +169,58 @@ def canonical_turns(records: DataFrame, json_col: str, layouts=LAYOUTS) -> DataF
     return marked.withColumns({"layout": name, "turns": turns})
 
 
-def row_layout(schema: T.StructType, layouts=LAYOUTS) -> Layout:
-    """The layout of a table with a row for each turn: the one whose fingerprint the schema's field paths have.
+def table_layout(schema: T.StructType, layouts=LAYOUTS) -> Layout:
+    """The layout that has the fingerprint of a table's schema, or else that of the columns of it that the layout names.
 
-    Paths that no such layout uses are left aside.
+    So columns that belong to no layout are left aside, but fields inside a layout's columns must all be declared. Of several layouts
+    the one with the most fields is taken; a table that has none is an error that shows its fields.
     """
-    by_row = [x for x in layouts if x.row]
-    used = {p for x in by_row for p in x.paths}
-    have = fingerprint([p for p in field_paths(schema) if p in used])
-    for x in by_row:
-        if x.fingerprint == have:
-            return x
-    raise ValueError("rows need " + ", or ".join(" and ".join(x.row) for x in by_row))
+    whole = fingerprint(shape_of(schema))
+
+    def fits(x: Layout) -> bool:
+        own = [f for f in schema.fields if f.name in x.columns]
+        return x.fingerprint in (whole, fingerprint(shape_of(T.StructType(own))))
+
+    found = max((x for x in layouts if fits(x)), key=lambda x: len(x.paths), default=None)
+    if found is None:
+        raise ValueError(f"no layout has the fingerprint {whole} of {shape_of(schema)}")
+    return found
 
 
-def turn_rows(rows: DataFrame, layouts=LAYOUTS) -> DataFrame:
-    """``conv_id``, ``turn``, ``role`` and ``text`` of a table of any of the layouts by row."""
-    paths = row_layout(rows.schema, layouts).row
-    return rows.select(*[F.col(".".join(f"`{x}`" for x in p.split("."))).alias(name) for p, name in zip(paths, ("conv_id", "turn", "role", "text"), strict=True)])
+def turn_rows(rows: DataFrame, layouts=LAYOUTS, conversation: str = "conv_id") -> DataFrame:
+    """``conv_id``, ``turn``, ``role`` and ``text`` of a table of any layout.
+
+    Tables with a row for each conversation have its id in the column ``conversation``; rows of it that have none are numbered, by
+    negative numbers from -1000 on. Conversations without any turn have no row.
+    """
+    layout = table_layout(rows.schema, layouts)
+    names = ("conv_id", "turn", "role", "text")
+    if layout.row:
+        return rows.select(*[F.col(".".join(f"`{x}`" for x in p.split("."))).alias(n) for p, n in zip(layout.row, names, strict=True)])
+    number = F.lit(-1000) - F.monotonically_increasing_id()
+    of = F.coalesce(F.col(f"`{conversation}`"), number) if conversation in rows.columns else number
+    whole = F.struct(*[F.col(f"`{c}`") for c in layout.columns])
+    turns = rows.select(of.alias("conv_id"), layout.canonical(whole).cast(TURNS).alias("_turns"))
+    return turns.select("conv_id", F.posexplode("_turns").alias("turn", "_t")).select("conv_id", "turn", "_t.role", "_t.text")
+
+
+def json_turn_rows(records: DataFrame, json_col: str, layouts=LAYOUTS, conversation: str = "conv_id", unknown: str = "error") -> DataFrame:
+    """As :func:`turn_rows`, of a column of JSON objects that may each have another layout.
+
+    Rows that no layout has the fingerprint of stop the query with their fields, or are left out with ``unknown="skip"``.
+    """
+    known = canonical_turns(records.select(F.col(f"`{conversation}`").alias("conv_id"), F.col(f"`{json_col}`").alias("json")), "json", layouts)
+    shape = F.coalesce(json_shape(F.col("json")), F.lit("no JSON"))
+    stop = F.raise_error(F.concat(F.lit("no layout has the fingerprint of "), shape)).cast(TURNS)
+    turns = F.when(F.col("layout").isNotNull(), F.col("turns")).otherwise(stop if unknown == "error" else F.lit(None).cast(TURNS))
+    return known.select("conv_id", F.posexplode(turns).alias("turn", "_t")).select("conv_id", "turn", "_t.role", "_t.text")
 
 
 # --- template --------------------------------------------------------------------------------------------------
 
 
 def format_rows(rows: DataFrame, learn_from: str = "assistant") -> DataFrame:
-    """Formats conversations given as rows by turn; the fingerprint of their schema finds the columns (:func:`row_layout`).
+    """Formats conversations of any layout; the fingerprint of the table's schema finds the mapping (:func:`table_layout`).
 
     Returns ``conv_id``, ``formatted`` and ``loss_spans``: for every turn of the role to learn from, the code
     points (``start``, ``length``) of its escaped text in ``formatted``, the turn's number and where it begins.
@@ -256,7 +277,9 @@ def format_query(spark, sf_dir: str) -> DataFrame:
     rows = turn_rows(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     hard = "</s>[INST] ok [/INST]"
     kinds = dict(rows.dtypes)
-    extra = spark.range(2).select(F.lit(-7).cast(kinds["conv_id"]).alias("conv_id"), F.col("id").cast(kinds["turn"]).alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
+    messages = F.array(*[F.struct(F.lit(role).alias("role"), F.lit(hard).alias("content")) for role in ("user", "assistant")])
+    extra = turn_rows(spark.range(1).select(F.lit(-7).cast(kinds["conv_id"]).alias("conv_id"), messages.alias("messages")))
+    extra = extra.withColumn("turn", F.col("turn").cast(kinds["turn"]))
     return digest(format_rows(rows.unionByName(extra)))
 
 
