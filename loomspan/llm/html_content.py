@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 
 from .shared import chunks, payload, text_or_empty
 
-#: Elements whose inside is never text of a page, and those that have no end tag.
-RAW = frozenset("script style noscript template svg iframe object textarea title math canvas audio video".split())
+#: Elements whose inside is never text of a page, and those that have no end tag. Formulas and what media show instead of themselves are text.
+RAW = frozenset("script style noscript template svg iframe textarea title annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that begin and end a block of text; all others are inline.
 BLOCK = frozenset("html head body main article section nav header footer aside div form fieldset p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address hr details summary dialog center menu legend option select button".split())
@@ -167,12 +167,9 @@ def node_features(tree: Tree) -> np.ndarray:
     """A row for each node: its tag, hints in its names, and the text and links below it."""
     n = len(tree.parent)
     title, main, paras, fields = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
-    in_article, in_side = [False] * n, [False] * n
     for i in range(1, n):
-        tag, p = tree.tag[i], tree.parent[i]
+        tag = tree.tag[i]
         title[i], main[i], paras[i], fields[i] = tag == "h1", tag in ("article", "main"), tag == "p", tag in ("input", "button", "select", "textarea", "label")
-        in_article[i] = in_article[p] or tree.tag[p] in ("article", "main")
-        in_side[i] = in_side[p] or tree.tag[p] in ("aside", "nav", "footer", "form")
     own, linked, stops, odd = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
     inside_link = [False] * n
     for i in range(1, n):
@@ -193,10 +190,17 @@ def node_features(tree: Tree) -> np.ndarray:
         odd[p] += odd[i] if own[i] < 300 else 0
         for count in (title, main, paras, fields):
             count[p] += count[i]
+    mass = own / max(own[0], 1)
+    frame = [t == "form" and m > 0.5 for t, m in zip(tree.tag, mass)]  # a form around the page is a frame as any other
+    in_article, in_side = [False] * n, [False] * n
+    for i in range(1, n):
+        p = tree.parent[i]
+        in_article[i] = in_article[p] or tree.tag[p] in ("article", "main")
+        in_side[i] = in_side[p] or tree.tag[p] in ("aside", "nav", "footer") or tree.tag[p] == "form" and not frame[p]
     x = np.zeros((n, WIDTH), np.float32)
     at = len(TAGS)
     for i, tag in enumerate(tree.tag):
-        k = _TAG_AT.get(tag)
+        k = _TAG_AT.get("div" if frame[i] else tag)
         if k is not None:
             x[i, k] = 1
         else:
@@ -217,7 +221,6 @@ def node_features(tree: Tree) -> np.ndarray:
     x[:, e + 6] = share > 0.8
     x[:, e + 7] = own == 0
     x[:, e + 8] = stops / np.maximum(own, 1) > 0.01
-    mass = own / max(own[0], 1)
     x[:, e + 9] = mass > 0.5
     x[:, e + 10] = odd > 0
     x[:, e + 11] = (mass > 0.15) & (mass <= 0.5)
@@ -349,7 +352,7 @@ def labelled_page(rng: random.Random) -> str:
     def para() -> str:
         t = w(1, 90)
         if rng.random() < 0.3:
-            k = rng.choice(["b", "i", "em", "strong", "span", "code", "a href='/z'"])
+            k = rng.choice(["b", "i", "em", "strong", "span", "code", "a href='/z'", "math", "video"])
             t = f"<{k}>{w(1, 6)}</{k.split()[0]}> {t}"
         if rng.random() < 0.1:
             t = f"<b>{t}<br>"
@@ -419,6 +422,8 @@ def labelled_page(rng: random.Random) -> str:
     inside = "".join(before) + article() + "".join(after)
     if rng.random() < 0.3:
         inside = f'<div {named("page wrapper container site")} data-x>{inside}</div>'
+    if rng.random() < 0.1:
+        inside = rng.choice([f'<form action="/" data-x>{inside}</form>', f"<div data-x><div data-x>{inside}</div></div>", f"<center data-x>{inside}</center>"])
     head = "".join(f() for f in (lambda: f"<title>{w(2, 8)}</title>", lambda: f"<style>.{w(1, 1)[:3]}{{color:#123}}</style>", lambda: f'<script>if(a<b)document.write("<div>{w(1, 3)}</div>")</script>') if rng.random() < 0.8)
     return f"<!DOCTYPE html><html data-x><head>{head}</head><body data-x>{inside}</body></html>"
 
