@@ -13,19 +13,22 @@ TARGET_PERCENT, MAX_EPOCHS, SEED = 60, 2, "17"
 DOMAIN_WEIGHTS = {"web": 5, "news": 3, "forum": 2, "reference": 4}
 LANGUAGE_WEIGHTS = {"en": 6, "fr": 2, "de": 2, "es": 2}
 DEFAULT_WEIGHT = 1
-_DOMAINS = ("web", "news", "forum", "reference")
+#: The catalogue of the registered query: sources by domain, with a weight where it is not DEFAULT_WEIGHT.
+CATALOGUE = {
+    "web": {"src0": 4, "src1": 1, "src2": 1, "src3": 2, "src4": 1, "src5": 1, "src6": 1, "src7": 1},
+    "news": {"src8": 2, "src9": 2, "src10": 1, "src11": 1, "src12": 1},
+    "forum": {"src13": 1, "src14": 1, "src15": 3},
+    "reference": {"src16": 3, "src17": 2, "src18": 1, "src19": 1},
+}
 #: Rows of a leaf that one sorted slice is to hold; slices follow the number of rows.
 SLICE_ROWS = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def domain_of(source):
-    """Without a catalogue: sources ending in a number are dealt over the four domains by it; others are web."""
-    n = F.regexp_extract(source, "([0-9]{1,9})$", 1).try_cast("bigint")
-    out = F.lit("web")
-    for i, name in enumerate(_DOMAINS):
-        out = F.when(F.pmod(n, F.lit(len(_DOMAINS))) == i, F.lit(name)).otherwise(out)
-    return out
+def default_catalogue(spark) -> DataFrame:
+    """:data:`CATALOGUE` as a table (``source``, ``domain``, ``weight``)."""
+    rows = [(source, domain, weight) for domain, sources in CATALOGUE.items() for source, weight in sources.items()]
+    return spark.createDataFrame(rows, "source string, domain string, weight bigint")
 
 
 def _weight(column, weights: dict[str, int]):
@@ -46,9 +49,11 @@ def fill(children: DataFrame, parent: list[str], name: str) -> DataFrame:
     Children that cannot use their part are filled and what is left goes to their siblings by weight. Sorted by
     capacity over weight, a child is filled if, given the fills before it, its part would be its capacity or more;
     integers throughout, so a few tokens below the number of children may stay unused. A child of weight 0 gets
-    nothing; a null or negative weight is an error of the caller's. Children of one parent are sorted in one task: they are
+    nothing; a null or negative weight stops the query. Children of one parent are sorted in one task: they are
     nodes of the tree (domains, languages, sources), never documents.
     """
+    wrong = F.raise_error(F.concat(F.lit("the weight of "), F.col(name), F.lit(" is "), F.coalesce(F.col("weight").cast("string"), F.lit("null")), F.lit(", not 0 or more")))
+    children = children.withColumn("weight", F.when(F.col("weight") >= 0, F.col("weight")).otherwise(wrong.cast("bigint")))
     order = Window.partitionBy(*parent).orderBy(F.when(F.col("weight") > 0, F.col("capacity") / F.col("weight")).otherwise(float("inf")), name)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     after = order.rowsBetween(0, Window.unboundedFollowing)
@@ -91,7 +96,7 @@ def mix_sources(
     """The mix: ``doc_id``, ``domain``, ``lang``, ``source``, ``epoch`` (from 0) and ``n_tokens``, a row for each reading of a document.
 
     ``catalogue`` has a row (``source``, ``domain``, ``weight``) for each source; one that it lacks is in the domain "" with
-    DEFAULT_WEIGHT. Without it :func:`domain_of` names domains and all sources weigh the same.
+    DEFAULT_WEIGHT, and so are all without a catalogue.
 
     Tokens are words. In every epoch a leaf's documents come in the order of md5(seed, epoch, id); a leaf takes
     documents while the tokens before them are fewer than its budget, so it passes it by less than one document.
@@ -104,7 +109,7 @@ def mix_sources(
     scratch = Scratch(docs.sparkSession, "mix")
     texts = docs.select(F.col("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint").alias("n_tokens"))
     if catalogue is None:
-        placed = texts.withColumns({"domain": domain_of(F.col("source")), "_weight": F.lit(DEFAULT_WEIGHT).cast("bigint")})
+        placed = texts.withColumns({"domain": F.lit(""), "_weight": F.lit(DEFAULT_WEIGHT).cast("bigint")})
     else:
         known = catalogue.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")).agg(F.min(F.struct("domain", "weight")).alias("_c"))
         known = scratch.save(known.select("source", F.col("_c.domain").alias("domain"), F.col("_c.weight").cast("bigint").alias("_weight")), "catalogue")
@@ -132,8 +137,8 @@ def mix_sources(
 
 
 def mix_query(spark, sf_dir: str) -> DataFrame:
-    """op7: the mix of all ``documents``."""
-    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "text"))
+    """op7: the mix of all ``documents``, by :data:`CATALOGUE`."""
+    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "text"), catalogue=default_catalogue(spark))
 
 
 def _case(column: str, weights: dict[str, int]) -> str:
@@ -146,16 +151,18 @@ def _fill_sql(table: str, parent: str, name: str) -> str:
     >= capacity * sum(weight) OVER (PARTITION BY {parent} ORDER BY capacity::DOUBLE / weight, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS _full FROM {table}))"""
 
 
+_LISTED = ", ".join(f"('{source}', '{domain}', {weight})" for domain, sources in CATALOGUE.items() for source, weight in sources.items())
 SQL = rf"""
-WITH base AS (
+WITH listed(source, domain, weight) AS (VALUES {_LISTED}
+), base AS (
   SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n_tokens,
-    coalesce(list_extract(['web', 'news', 'forum', 'reference'], try_cast(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS BIGINT) % 4 + 1), 'web') AS domain FROM documents
-), leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, {MAX_EPOCHS} * sum(n_tokens)::BIGINT AS capacity FROM base GROUP BY ALL
+    coalesce(domain, '') AS domain, coalesce(weight, {DEFAULT_WEIGHT})::BIGINT AS source_weight FROM documents LEFT JOIN listed USING (source)
+), leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, {MAX_EPOCHS} * sum(n_tokens)::BIGINT AS capacity, max(source_weight) AS source_weight FROM base GROUP BY domain, lang, source
 ), d0 AS (SELECT domain, sum(capacity)::BIGINT AS capacity, {_case("domain", DOMAIN_WEIGHTS)} AS weight, (SELECT sum(tokens)::BIGINT * {TARGET_PERCENT} // 100 FROM leaf) AS budget FROM leaf GROUP BY domain
 ), d AS (SELECT domain, share AS budget FROM {_fill_sql("d0", "1", "domain")}
 ), l0 AS (SELECT domain, lang, sum(capacity)::BIGINT AS capacity, {_case("lang", LANGUAGE_WEIGHTS)} AS weight, any_value(d.budget) AS budget FROM leaf JOIN d USING (domain) GROUP BY domain, lang
 ), l AS (SELECT domain, lang, share AS budget FROM {_fill_sql("l0", "domain", "lang")}
-), s0 AS (SELECT domain, lang, source, capacity, {DEFAULT_WEIGHT} AS weight, l.budget FROM leaf JOIN l USING (domain, lang)
+), s0 AS (SELECT domain, lang, source, capacity, source_weight AS weight, l.budget FROM leaf JOIN l USING (domain, lang)
 ), s AS (SELECT domain, lang, source, share AS budget FROM {_fill_sql("s0", "domain, lang", "source")}
 ), read AS (
   SELECT doc_id, domain, lang, source, epoch, n_tokens, budget, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY epoch, md5(concat('{SEED}|', epoch, '|', doc_id)), n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n_tokens AS before

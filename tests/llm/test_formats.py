@@ -53,7 +53,57 @@ def test_layouts_become_turns(spark):
         assert got[i]["layout"] == name
         assert (None if got[i]["turns"] is None else [(t["role"], t["text"]) for t in got[i]["turns"]]) == turns
     assert all(got[i]["layout"] is None for i in (90, 91, 92, 93))
-    assert cf.fingerprint(["a", "b"]) == cf.fingerprint(["b", "a"]) != cf.fingerprint(["a"])
+
+
+def test_layouts_at_any_depth_differ(spark):
+    texts = ['{"a":{"b":{"c":{"d":1}}}}', '{"a":{"b":{"c":{"e":1}}}}', '{"a":{"b":{"c":{"d":"x"}}}}', '{"a":[[{"b":{"c":[{"d":1},{"e":2}]}}]]}', '{"a":[[{"b":{"c":[{"d":1}]}}]]}', '{"a b":1,"x: STRING":2}', '{"x: STRING":2.5,"a b":null}', '{"a":[1,{"b":2}]}', '{"a":[1]}']
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, j string").orderBy("i").select(cf.json_shape(F.col("j"))).collect()]
+    assert got[0] == got[2] != got[1] and got[3] != got[4] and got[5] == got[6] and got[7] != got[8]
+    for layout in cf.LAYOUTS:  # a schema and JSON of it have one shape
+        record = spark.createDataFrame([], cf.layout_schema(layout))
+        one = spark.range(1).select(F.from_json(F.lit(_sample(layout)), record.schema).alias("r"))
+        assert one.select(cf.json_shape(F.to_json("r"))).head()[0] == cf.shape_of(record.schema), layout.name
+
+
+def _sample(layout):
+    """A JSON object with all of a layout's fields."""
+    tree = {}
+    for path in layout.paths:
+        at, names = tree, path.split(".")
+        for name in names[:-1]:
+            at = at.setdefault(name.removesuffix("[]"), [{}] if name.endswith("[]") else {})
+            at = at[0] if isinstance(at, list) else at
+        at[names[-1]] = "x"
+    return json.dumps(tree)
+
+
+def test_tables_of_every_layout_are_formatted_and_read_back(spark):
+    """As a table and as JSON, with columns that belong to no layout, and to another one."""
+    for layout in cf.LAYOUTS:
+        if layout.row:
+            continue
+        df = spark.createDataFrame([(_sample(layout), 5), (_sample(layout), None)], "j string, conv_id bigint")
+        table = df.select("conv_id", F.from_json("j", cf.layout_schema(layout)).alias("r")).select("conv_id", "r.*").withColumn("source", F.lit("s"))
+        assert cf.table_layout(table.schema).name == layout.name
+        back = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in cf.read_back(cf.format_rows(table)).collect()}
+        want = [(role, "x") for role, _ in layout.turns] or [("x", "x")]
+        assert len(back) == 2 and all(v == want for v in back.values()) and 5 in back
+        same = cf.read_back(cf.format_rows(cf.json_turn_rows(df.filter("conv_id = 5"), "j"))).collect()
+        assert [[(t["role"], t["text"]) for t in r["turns"]] for r in same] == [want]
+    rows = spark.createDataFrame([(1, 0, "user", "t", "p", "c")], "conv_id int, turn int, role string, text string, prompt string, completion string")
+    assert cf.table_layout(rows.schema).name == "rows"  # the most fields
+
+
+def test_unknown_layouts_are_named(spark):
+    deeper = spark.createDataFrame([(1, [("user", "x", 1.0)])], "conv_id int, messages array<struct<role string, content string, weight double>>")
+    with pytest.raises(ValueError, match="weight"):
+        cf.format_rows(deeper)
+    declared = cf.Layout("weighed", ("messages[].role", "messages[].content", "messages[].weight"), messages=("messages", "role", "content"))
+    assert cf.turn_rows(deeper, (*cf.LAYOUTS, declared)).collect() == [(1, 0, "user", "x")]
+    records = spark.createDataFrame([(1, '{"prompt":"p","completion":"c"}'), (2, '{"what":{"is":1}}'), (3, None)], "conv_id int, j string")
+    with pytest.raises(Exception, match="what"):
+        cf.json_turn_rows(records.filter("conv_id < 3"), "j").collect()
+    assert {r["conv_id"] for r in cf.json_turn_rows(records, "j", unknown="skip").collect()} == {1}
 
 
 def test_all_elements_and_no_strings_decide_the_layout(spark):
@@ -74,9 +124,9 @@ def test_all_elements_and_no_strings_decide_the_layout(spark):
 def test_the_schema_of_rows_chooses_their_layout(spark):
     df = spark.createDataFrame([(1, 0, ("user", "x"), "z"), (1, 1, ("assistant", "y"), "z")], "conv int, at int, said struct<who string, what string>, other string")
     nested = cf.Layout("nested", ("conv", "at", "said.who", "said.what"), row=("conv", "at", "said.who", "said.what"))
-    assert cf.row_layout(df.schema, (*cf.LAYOUTS, nested)).name == "nested"
+    assert cf.table_layout(df.schema, (*cf.LAYOUTS, nested)).name == "nested"
     plain = cf.turn_rows(df, (*cf.LAYOUTS, nested))
-    assert cf.row_layout(plain.schema).name == "rows" and cf.format_rows(plain).head()["formatted"].count(cf.OPEN) == 2
+    assert cf.table_layout(plain.schema).name == "rows" and cf.format_rows(plain).head()["formatted"].count(cf.OPEN) == 2
     with pytest.raises(ValueError):
         cf.format_rows(plain.withColumn("text", F.struct("text")))
 
@@ -105,6 +155,20 @@ def test_boilerplate_goes_and_content_stays():
         assert text_of(frame.replace("{}", junk + ARTICLE)) == WANT, junk
 
 
+def test_formulas_and_what_media_show_instead_stay():
+    page = "<html><body><nav><a href=/>Home</a></nav><article><h1>Energy</h1><p>Einstein wrote <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation encoding='tex'>E=m</annotation></math> in a paper that is long enough.</p><p>See <video src=v>a film of <b>waves</b></video> and <object data=o>a drawing</object> of it, and so on.</p><script>no()</script></article></body></html>"
+    assert text_of(page) == "Energy\nEinstein wrote E=m in a paper that is long enough.\nSee a film of waves and a drawing of it, and so on."
+
+
+@pytest.mark.parametrize("frame", ["<form action='/x' method=post><input type=hidden name=v>{}</form>", "<center>{}</center>", "<div><div><div>{}</div></div></div>", "<form>{}<input name=q><button>Go</button></form>"])
+def test_frames_around_the_page_do_not_hide_it(frame):
+    menu, foot = "<ul class=menu><li><a href=/a>A</a></li><li><a href=/b>B</a></li></ul>", "<div class=footer>&copy; 2020 Site</div>"
+    assert text_of("<html><body>" + frame.replace("{}", menu + ARTICLE + foot) + "</body></html>") == WANT
+    plain = "<h1>A heading of the page</h1><p>A first paragraph of the text, which has words enough to be one.</p><p>A second paragraph of the text, and it has words enough too.</p>"
+    want = "A heading of the page\nA first paragraph of the text, which has words enough to be one.\nA second paragraph of the text, and it has words enough too."
+    assert text_of("<html><body>" + frame.replace("{}", plain) + "</body></html>") == want
+
+
 def test_broken_pages_do_not_crash():
     for page in ("", "<", "<p", "plain text", "<p>a<p>b</div></p>", "<script>x", "<!-- x", "</b></i><b><i>", "<a href='x>y", "<table><tr><td>a<td>b", "&#x110000; &bogus; &#0;", "<" * 500, "<div>" * 3000 + "x"):
         text_of(page)

@@ -143,10 +143,8 @@ def mix_of(rows, percent, epochs, domain_of=None, weights=None):
     """The mix by plain loops."""
     weights = weights or {}
     leaf, docs = defaultdict(int), defaultdict(list)
-    domains = ("web", "news", "forum", "reference")
     for i, text, lang, source in rows:
-        digits = "".join(c for c in (source or "") if c.isdigit())
-        domain = domain_of.get(source or "", "") if domain_of is not None else domains[int(digits) % 4] if digits else "web"
+        domain = (domain_of or {}).get(source or "", "")
         key = (domain, lang or "", source or "")
         leaf[key] += len(words(text))
         docs[key].append((i, len(words(text))))
@@ -175,6 +173,23 @@ def test_mix_against_loops(spark, percent, epochs):
     got = Counter(map(tuple, source_mix.mix_sources(df, percent, epochs).collect()))
     assert got == mix_of([*rows, rows[4]], percent, epochs)
     assert source_mix.mix_sources(df.limit(0)).count() == 0
+    listed = {s: d for d, sources in source_mix.CATALOGUE.items() for s in sources}
+    weights = {s: w for sources in source_mix.CATALOGUE.values() for s, w in sources.items()}
+    got = Counter(map(tuple, source_mix.mix_sources(df, percent, epochs, catalogue=source_mix.default_catalogue(spark)).collect()))
+    assert got == mix_of([*rows, rows[4]], percent, epochs, listed, weights)
+
+
+@pytest.mark.parametrize("weight", [None, -1])
+def test_weights_must_be_numbers_of_parts(spark, weight):
+    df = spark.createDataFrame([(1, "a b", "en", "x"), (2, "c d", "en", "y")], "doc_id int, text string, lang string, source string")
+    catalogue = spark.createDataFrame([("x", "web", weight), ("y", "web", 2)], "source string, domain string, weight int")
+    if weight is None:  # a source without a weight has the default one
+        assert source_mix.mix_sources(df, 100, 1, catalogue=catalogue).count() == 2
+    else:
+        with pytest.raises(Exception, match="the weight of x is -1"):
+            source_mix.mix_sources(df, 100, 1, catalogue=catalogue).collect()
+    with pytest.raises(Exception, match="the weight of en"):
+        source_mix.mix_sources(df, 100, 1, language_weights={"en": -3}).collect()
 
 
 def test_a_catalogue_names_domains_and_weights(spark):
