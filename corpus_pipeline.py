@@ -14,7 +14,7 @@ from loomspan.llm.decontaminate import drop_contaminated
 from loomspan.llm.line_dedup import dedup_lines
 from loomspan.llm.ngram_join import one_of_each_group
 from loomspan.llm.shared import Scratch
-from loomspan.llm.source_mix import mix_sources
+from loomspan.llm.source_mix import default_catalogue, mix_sources
 from loomspan.llm.weak_rules import quality_rules
 
 #: Near duplicates in the pipeline: words in a shingle, and hundredths of similarity.
@@ -59,8 +59,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The readings of documents that make up the mix: a row for each, ties of the drawn order by number of tokens."""
-    return mix_sources(docs)
+    """The readings of documents that make up the mix, without their texts: a row for each, ties of the drawn order by number of tokens."""
+    return mix_sources(docs, catalogue=default_catalogue(spark))
 
 
 STAGES = [
