@@ -28,5 +28,6 @@ SQL = {
     "op9_substring_dedup": phrase_dedup.SQL,
     "op10_decontaminate": decontaminate.SQL,
     "op11_product_search": product_search.SQL,
+    "op12_spelling_variants": spelling_variants.SQL,
     "op13_phrase_collocations": phrase_mining.SQL,
 }

