@@ -424,10 +424,6 @@ def labelled_page(rng: random.Random) -> str:
         inside = f'<div {named("page wrapper container site")} data-x>{inside}</div>'
     if rng.random() < 0.1:
         inside = rng.choice([f'<form action="/" data-x>{inside}</form>', f"<div data-x><div data-x>{inside}</div></div>", f"<center data-x>{inside}</center>"])
-    if rng.random() < 0.1:
-        inside = rng.choice([f'<form action="/" data-x>{inside}</form>', f"<div data-x><div data-x>{inside}</div></div>", f"<center data-x>{inside}</center>"])
-    if rng.random() < 0.1:
-        inside = rng.choice([f'<form action="/" data-x>{inside}</form>', f"<div data-x><div data-x>{inside}</div></div>", f"<center data-x>{inside}</center>"])
     head = "".join(f() for f in (lambda: f"<title>{w(2, 8)}</title>", lambda: f"<style>.{w(1, 1)[:3]}{{color:#123}}</style>", lambda: f'<script>if(a<b)document.write("<div>{w(1, 3)}</div>")</script>') if rng.random() < 0.8)
     return f"<!DOCTYPE html><html data-x><head>{head}</head><body data-x>{inside}</body></html>"
 
