@@ -56,8 +56,8 @@ def units_of(text, lang):
     return units, F.when(unspaced, F.split(text, _ENTRIES, -1)).otherwise(F.split(text, _WORDS, -1))
 
 
-def _edit(at, put, way: str, at2=None, put2=None):
-    return F.struct(F.lit(at).cast("int").alias("at") if isinstance(at, int) else at.cast("int").alias("at"), put.alias("put"), (F.lit(-1) if at2 is None else at2).cast("int").alias("at2"), (F.lit("") if put2 is None else put2).alias("put2"), F.lit(way).alias("way"))
+def _edit(at, put, way, at2=None, put2=None):
+    return F.struct(F.lit(at).cast("int").alias("at") if isinstance(at, int) else at.cast("int").alias("at"), put.alias("put"), (F.lit(-1) if at2 is None else at2).cast("int").alias("at2"), (F.lit("") if put2 is None else put2).alias("put2"), (F.lit(way) if isinstance(way, str) else way).alias("way"))
 
 
 def edited(text, units, gaps, edit):
@@ -215,24 +215,48 @@ def entity_variants(sentences: DataFrame, n: int, seed: int) -> DataFrame:
 # --- all categories --------------------------------------------------------------------------------------------
 
 
-def variant_lists(sentences: DataFrame, n: int, seed: int, tables: DataFrame | None = None) -> DataFrame:
-    """Per distinct sentence (``_k1``, ``_k2``, ``lang``, ``text``) the arrays ``causality``, ``entity`` and ``number`` of at most n variants.
-
-    ``sentences`` has ``lang`` and ``text``; null languages are "" and null or blank texts are left out.
-    """
-    lang, text = F.col("lang"), F.col("text")
-    whole = sentences.select(F.coalesce("lang", F.lit("")).alias("lang"), "text").filter(text.rlike(r"\S")).distinct()
-    whole = whole.select(F.xxhash64(F.lit(11), "lang", "text").alias("_k1"), F.xxhash64(F.lit(29), "lang", "text").alias("_k2"), "lang", "text")
-    tables = lexicon(sentences.sparkSession) if tables is None else tables
+def hits_of(whole: DataFrame, tables: DataFrame) -> DataFrame:
+    """``_hits`` by sentence key: the units that a table has, with what each way puts there, and the runs of digits."""
     tables = F.broadcast(tables) if tables.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else tables
-    split = whole.select("_k1", "_k2", "lang", F.posexplode(units_of(text, lang)[0]).alias("at", "unit")).withColumn("word", F.lower("unit"))
+    split = whole.select("_k1", "_k2", "lang", F.posexplode(units_of(F.col("text"), F.col("lang"))[0]).alias("at", "unit")).withColumn("word", F.lower("unit"))
     # an opener that leads a word, as n' in n'est, is met as a word that starts with it
     lead = F.regexp_extract("word", r"^(\p{L}+['’])\p{L}", 1)
     hits = split.join(tables, ["lang", "word"]).select("_k1", "_k2", "at", "unit", "way", "put")
     leading = split.filter(lead != "").withColumn("_lead", lead).join(tables.filter("way = 'opener'").select("lang", F.col("word").alias("_lead"), "way"), ["lang", "_lead"])
     leading = leading.select("_k1", "_k2", "at", "unit", "way", F.substring("unit", F.length("_lead") + 1, F.length("unit")).alias("put"))
     digits = split.filter(F.col("unit").rlike(r"^\p{Nd}")).select("_k1", "_k2", "at", "unit", F.lit("digits").alias("way"), F.lit("").alias("put"))
-    listed = hits.unionByName(leading).unionByName(digits).groupBy("_k1", "_k2").agg(F.array_sort(F.collect_list(F.struct("at", "unit", "way", "put"))).alias("_hits"))
+    return hits.unionByName(leading).unionByName(digits).groupBy("_k1", "_k2").agg(F.array_sort(F.collect_list(F.struct("at", "unit", "way", "put"))).alias("_hits"))
+
+
+def distinct_sentences(sentences: DataFrame) -> DataFrame:
+    """``_k1``, ``_k2``, ``lang``, ``text`` of each; null languages are "", null and blank texts are left out."""
+    whole = sentences.select(F.coalesce("lang", F.lit("")).alias("lang"), "text").filter(F.col("text").rlike(r"\S")).distinct()
+    return whole.select(F.xxhash64(F.lit(11), "lang", "text").alias("_k1"), F.xxhash64(F.lit(29), "lang", "text").alias("_k2"), "lang", "text")
+
+
+def listed_edits(sentences: DataFrame, ways: tuple[str, ...], n: int = 0, seed: int = 0, tables: DataFrame | None = None) -> DataFrame:
+    """``lang``, ``text``, ``at``, ``way``, ``made``: every edit of every distinct sentence by word pairs (antonym, modal) or by numbers.
+
+    Numbers are drawn as for ``n`` variants: each run of digits gets the different ones of 6 n + 1 draws.
+    """
+    whole, lang, text = distinct_sentences(sentences), F.col("lang"), F.col("text")
+    tables = lexicon(sentences.sparkSession) if tables is None else tables
+    rows = whole.join(hits_of(whole, tables), ["_k1", "_k2"])
+    units, gaps = units_of(text, lang)
+    pairs = F.transform(F.filter("_hits", lambda h: h["way"].isin("antonym", "modal")), lambda h: _edit(h["at"], match_case(h["put"], h["unit"]), h["way"]))
+    listed = F.concat(pairs, number_edits(F.col("_hits"), seed, lang, text, n)) if "number" in ways else pairs
+    edits = rows.select("lang", "text", units.alias("_units"), gaps.alias("_gaps"), F.explode(F.filter(listed, lambda e: e["way"].isin(*ways))).alias("_e"))
+    return edits.select("lang", "text", "_e.at", "_e.way", edited(text, F.col("_units"), F.col("_gaps"), F.col("_e")).alias("made"))
+
+
+def variant_lists(sentences: DataFrame, n: int, seed: int, tables: DataFrame | None = None) -> DataFrame:
+    """Per distinct sentence (``_k1``, ``_k2``, ``lang``, ``text``) the arrays ``causality``, ``entity`` and ``number`` of at most n variants.
+
+    ``sentences`` has ``lang`` and ``text``; null languages are "" and null or blank texts are left out.
+    """
+    lang, text = F.col("lang"), F.col("text")
+    whole = distinct_sentences(sentences)
+    listed = hits_of(whole, lexicon(sentences.sparkSession) if tables is None else tables)
     rows = whole.join(listed, ["_k1", "_k2"], "left").join(entity_variants(whole, n, seed), ["_k1", "_k2"], "left")
     units, gaps = units_of(text, lang)
     rows = rows.withColumns({"_units": units, "_gaps": gaps, "_hits": F.coalesce("_hits", F.array().cast("array<struct<at:int,unit:string,way:string,put:string>>"))})

@@ -82,8 +82,9 @@ def class_bests(queries: DataFrame, candidates: DataFrame, group: list[str], sli
         slices = max(16, -(-candidates.count() // SLICE_CANDIDATES))
     blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-    c = candidates.select(*group, "pool_idx", "block_id", "kind", "category", unit(F.col("vector")).alias("_v"), F.pmod(F.xxhash64("pool_idx"), F.lit(slices)).alias("_s"), each(blocks).alias("_b"))
-    q = queries.select(*group, "block_id", unit(F.col("vector")).alias("_v"), F.pmod(F.xxhash64("block_id"), F.lit(blocks)).alias("_b"), each(slices).alias("_s"))
+    names = [F.col(x).alias(x) for x in (*group, "block_id")]  # columns of their own on each side, should both come from one table
+    c = candidates.select(*names, "pool_idx", "kind", "category", unit(F.col("vector")).alias("_v"), F.pmod(F.xxhash64("pool_idx"), F.lit(slices)).alias("_s"), each(blocks).alias("_b"))
+    q = queries.select(*names, unit(F.col("vector")).alias("_v"), F.pmod(F.xxhash64("block_id"), F.lit(blocks)).alias("_b"), each(slices).alias("_s"))
     schema = T.StructType([*[q.schema[g] for g in group], q.schema["block_id"], T.StructField("kind", T.StringType()), T.StructField("category", T.StringType()), T.StructField("sim", T.DoubleType()), T.StructField("pool_idx", T.LongType())])
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:

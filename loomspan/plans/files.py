@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomspan.sources import readers, writers
+from loomspan.operators import contrastive
+from loomspan.sources import aligned_source, readers, writers
 from loomspan.sources.scratch import Scratch
 
 from .tables import r6, read, rounded
@@ -48,7 +49,7 @@ def _write_lines(rows, short, path):
     whole = F.concat_ws("\t", *rows.columns)
     cut = F.concat_ws("\t", *rows.columns[:-1])
     name = "\t".join(rows.columns)
-    rows.select(F.when(short, cut).otherwise(whole).alias(name)).write.option("sep", "\x01").option("quote", "").option("header", True).csv(path)
+    rows.select(F.when(short, cut).otherwise(whole).alias(name)).write.option("sep", "\x01").option("quote", "").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 @query("tsv_errors", "SELECT l_returnflag AS severity, CASE l_partkey % 10 WHEN 1 THEN '' ELSE 's' || l_partkey END AS source, CASE l_suppkey % 6 WHEN 1 THEN '' ELSE 't' || l_suppkey END AS target, l_orderkey || ':' || l_linenumber AS seg FROM lineitem WHERE l_partkey % 10 <> 0 AND l_suppkey % 6 <> 0")
@@ -63,13 +64,13 @@ def tsv_errors(spark, sf_dir):
     return readers.read_errors(spark, path).select("severity", "source", "target", "seg")
 
 
-@query("tsv_error_segments", "WITH e AS (SELECT l_returnflag AS system, l_orderkey // 8 AS doc, l_orderkey % 8 AS seg, l_linestatus || l_shipmode AS rater, CASE l_linenumber % 4 WHEN 0 THEN 'Major' WHEN 1 THEN 'minor' WHEN 2 THEN ' MINOR ' ELSE '' END AS severity, CASE l_suppkey % 3 WHEN 0 THEN 'Fluency/Punctuation' WHEN 1 THEN 'Non-translation!' ELSE '' END AS category FROM lineitem), r AS (SELECT system, doc, seg, rater, sum(CASE lower(trim(severity)) WHEN 'major' THEN CASE WHEN category LIKE 'Non-%' THEN 25.0 ELSE 5.0 END WHEN 'minor' THEN CASE WHEN category LIKE 'Flu%' THEN 0.1 ELSE 1.0 END ELSE 0.0 END::DOUBLE) AS w FROM e GROUP BY ALL) SELECT system, doc::VARCHAR AS doc, seg::VARCHAR AS seg, 's' || (8 * doc + seg) AS source, '' AS target, " + r6("0.0 - avg(w)") + " AS score FROM r GROUP BY system, doc, seg")
+@query("tsv_error_segments", "WITH e AS (SELECT l_returnflag AS system, l_orderkey // 8 AS doc, l_orderkey % 8 AS seg, l_linestatus || (l_partkey % 7) AS rater, CASE l_linenumber % 4 WHEN 0 THEN 'Major' WHEN 1 THEN 'minor' WHEN 2 THEN ' MINOR ' ELSE '' END AS severity, CASE l_suppkey % 3 WHEN 0 THEN 'Fluency/Punctuation' WHEN 1 THEN 'Non-translation!' ELSE '' END AS category FROM lineitem), r AS (SELECT system, doc, seg, rater, sum(CASE lower(trim(severity)) WHEN 'major' THEN CASE WHEN category LIKE 'Non-%' THEN 25.0 ELSE 5.0 END WHEN 'minor' THEN CASE WHEN category LIKE 'Flu%' THEN 0.1 ELSE 1.0 END ELSE 0.0 END::DOUBLE) AS w FROM e GROUP BY ALL) SELECT system, doc::VARCHAR AS doc, seg::VARCHAR AS seg, 's' || (8 * doc + seg) AS source, '' AS target, " + r6("0.0 - avg(w)") + " AS score FROM r GROUP BY system, doc, seg")
 def tsv_error_segments(spark, sf_dir):
     """From error lines to scored segments: penalties by category and severity, summed by rater, averaged over raters."""
     n, c = F.col("l_linenumber") % 4, F.col("l_suppkey") % 3
     severity = F.when(n == 0, "Major").when(n == 1, "minor").when(n == 2, " MINOR ").otherwise("")
     category = F.when(c == 0, "Fluency/Punctuation").when(c == 1, "Non-translation!").otherwise("")
-    rows = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias(" system "), F.expr("l_orderkey div 8").cast("string").alias("doc"), (F.col("l_orderkey") % 8).cast("string").alias("seg_id"), F.concat("l_linestatus", "l_shipmode").alias("rater"), severity.alias("severity"), category.alias("category"), F.concat(F.lit("s"), F.col("l_orderkey").cast("string")).alias("source"), F.lit("").alias("target"))
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias(" system "), F.expr("l_orderkey div 8").cast("string").alias("doc"), (F.col("l_orderkey") % 8).cast("string").alias("seg_id"), F.concat("l_linestatus", (F.col("l_partkey") % 7).cast("string")).alias("rater"), severity.alias("severity"), category.alias("category"), F.concat(F.lit("s"), F.col("l_orderkey").cast("string")).alias("source"), F.lit("").alias("target"))
     path = _folder(spark, "errors")
     _write_lines(rows, F.lit(False), path)
     return rounded(readers.error_segments(readers.read_errors(spark, path)), "score")
@@ -249,3 +250,25 @@ def json_length_histogram(spark, sf_dir):
     path = _folder(spark, "lengths")
     sets.coalesce(1).write.text(path)
     return readers.length_histogram(spark, path).filter("n > 0")
+
+
+@query("contrastive_files", "WITH r AS (SELECT l_returnflag AS lp, l_linestatus AS system, 'p' || (l_suppkey % 4) AS perturbation, l_extendedprice - 1000 * l_quantity AS diff FROM lineitem) SELECT lp, system, perturbation, count(*) AS n, " + r6("avg((diff > 0)::INT)") + " AS accuracy, count(*) FILTER (WHERE diff = 0) AS ties, perturbation = 'p3' AS sparse FROM r GROUP BY lp, system, perturbation")
+def contrastive_files(spark, sf_dir):
+    """Contrastive sets as a folder of JSON lines for each pair and system: both scores of every item, read back with the folders' names."""
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("lp"), F.col("l_linestatus").alias("system"), F.concat(F.lit("p"), (F.col("l_suppkey") % 4).cast("string")).alias("perturbation"), F.col("l_extendedprice").alias("original"), (F.col("l_quantity") * 1000).alias("perturbed"))
+    path = _folder(spark, "contrastive")
+    writers.write_json(rows, path, ["lp", "system"])
+    back = readers.read_contrastive(spark, path, "perturbation string, original double, perturbed double")
+    cells = contrastive.accuracy(back.withColumn("diff", F.col("original") - F.col("perturbed")), ["lp", "system", "perturbation"])
+    return rounded(cells.select("lp", "system", "perturbation", "n", "accuracy", "ties", (F.col("perturbation") == "p3").alias("sparse")), "accuracy")
+
+
+@query("aligned_format", "WITH p AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS row, p_name FROM part) SELECT 'dev' AS split, lang, row::INTEGER AS row, CASE lang WHEN 'en' THEN p_name ELSE upper(p_name) END AS text FROM p, (SELECT unnest(['en', 'fr']) AS lang) WHERE row >= 3")
+def aligned_format(spark, sf_dir):
+    """A corpus of three languages read as a format; the language and the first rows are left out by pushed filters."""
+    path = _folder(spark, "corpus")
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_name", F.upper("p_name").alias("upper"), F.reverse("p_name").alias("reversed")).orderBy("p_partkey").coalesce(1)
+    for lang, column in (("en", "p_name"), ("fr", "upper"), ("de", "reversed")):
+        part.select(column).write.text(f"{path}/dev/{lang}.dev")
+    aligned_source.register(spark)
+    return spark.read.format("aligned_lines").load(path).filter("lang IN ('en', 'fr') AND row >= 3")

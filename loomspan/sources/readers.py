@@ -115,6 +115,13 @@ def read_json(spark: SparkSession, path: str, schema: str, multiline: bool = Fal
     return spark.read.schema(schema).option("multiLine", multiline).json(path)
 
 
+def read_contrastive(spark: SparkSession, path: str, schema: str, by: tuple[str, ...] = ("lp", "system")) -> DataFrame:
+    """Contrastive sets, a folder of JSON lines for each pair and system (``lp=../system=..``); the folders' names are columns, as text."""
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).json(path)
+    folder = F.col("_metadata.file_path")
+    return rows.withColumns({c: F.url_decode(F.regexp_extract(folder, rf"/{c}=([^/]*)/", 1)) for c in by})
+
+
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated lines under a header, quotes meaning nothing; header names are stripped.
 
