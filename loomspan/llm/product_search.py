@@ -139,7 +139,7 @@ def best_of_cell(q, ids_q, len_q, least, c, ids_c, len_c, k: int) -> Best:
         with np.errstate(divide="ignore", invalid="ignore"):
             cosine = np.where((least > 0) & (longest > 0) & np.isfinite(longest), least / longest, 0.0)
         open_ = longest * (1 + _SLACK) >= least
-        narrow = cosine * (1 - _SLACK) >= COORDINATE_COSINE
+        narrow = (cosine > 0) & (cosine * (1 - _SLACK) >= COORDINATE_COSINE)
         _by_coordinates(np.flatnonzero(open_ & narrow), np.minimum(cosine[open_ & narrow] * (1 - _SLACK), 1.0), q, ids_q, len_q, c, ids_c, len_c, best, exact)
         _by_length(np.flatnonzero(open_ & ~narrow), q, ids_q, len_q, c, ids_c, len_c, best, exact)
     return best

@@ -270,3 +270,42 @@ def test_no_vectors(spark):
     assert product_search.top_products(some, empty).collect() == []
     assert product_search.top_products(empty, some).collect() == []
     assert product_search.top_products(some, some).collect() == []
+
+
+@pytest.mark.parametrize("switch", [0.0, 0.75, 2.0])
+@pytest.mark.parametrize("tiles", [(256, 4096), (3, 7), (1, 1)])
+def test_a_cell_against_all_products(monkeypatch, switch, tiles):
+    """Tiles and prunings of every kind, with ties, own rows, zeros and thresholds that are already there."""
+    for name, value in {"QUERY_TILE": tiles[0], "VECTOR_TILE": tiles[1], "COORDINATE_COSINE": switch}.items():
+        monkeypatch.setattr(product_search, name, value)
+    rng = np.random.default_rng(5)
+    c = np.floor(40 * rng.normal(size=(120, 4)) * np.exp(rng.normal(size=(120, 1))))
+    c[30:60], c[60:63] = c[29], 0  # ties and zeros
+    ids = rng.permutation(120)
+    q = np.concatenate([c[:12] + 1, c[60:62], np.floor(30 * rng.normal(size=(6, 4)))])
+    own = np.concatenate([ids[:12], ids[60:62], np.arange(500, 506)])
+    norms = lambda x: np.sqrt((x * x).sum(axis=1))
+    scores = (q @ c.T).astype(np.int64)
+    for k in (1, 5):
+        allowed = [[(-int(s), int(i)) for s, i in zip(row, ids, strict=True) if i != o] for row, o in zip(scores, own, strict=True)]
+        best = [sorted(a)[:k] for a in allowed]
+        for least in (np.full(len(q), product_search._LEAST), np.array([-b[-1][0] for b in best])):
+            found = product_search.best_of_cell(q, own, norms(q), least, c, ids, norms(c), k)
+            for r in range(len(q)):
+                mine = found.query == r
+                assert sorted(zip((-found.score[mine]).tolist(), found.id[mine].tolist(), strict=True)) == best[r]
+
+
+def test_deletion_keys_are_those_of_the_words_that_are_left():
+    """A deletion's key is the key of the word that it leaves, wherever the word stands and in whatever batch."""
+    words = ["banana", "a", "aab", "ÿ×é", "banan", "bnana", "x" * 50]
+    k1, k2, at, of, fresh = spelling_variants.deletion_keys(words)
+    left = [words[o] if a < 0 else words[o][:a] + words[o][a + 1 :] for a, o in zip(at.tolist(), of.tolist(), strict=True)]
+    keys = {}
+    for w, x, y in zip(left, k1.tolist(), k2.tolist(), strict=True):
+        assert keys.setdefault(w, (x, y)) == (x, y)
+    assert len(set(keys.values())) == len(keys)
+    for w in words:
+        one = spelling_variants.deletion_keys([w])
+        assert (int(one[0][0]), int(one[1][0])) == keys[w]
+        assert sum(one[4][1:]) == len({w[:i] + w[i + 1 :] for i in range(len(w))})  # each distinct deletion is fresh once
