@@ -28,7 +28,7 @@ def stages(spark, tmp_path_factory):
 
 def test_stages_are_named_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "ngram_jaccard", "decontaminate", "source_mix"]
-    assert importlib.util.find_spec("loomspan.llm") and len(queries.QUERIES) == 10
+    assert importlib.util.find_spec("loomspan.llm") and len(queries.QUERIES) == 13
 
 
 def test_columns_stay(stages):
@@ -91,7 +91,7 @@ def test_the_queries_sql_agrees(spark):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "conversations", "benchmark", "pages"):
+    for t in ("documents", "conversations", "benchmark", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     for name, sql in queries.SQL.items():
         got = queries.QUERIES[name](spark, DATA)
