@@ -20,6 +20,8 @@ from loomspan.functions.numeric import dot, unit
 
 #: Candidates of one slice and queries of one block: what a task holds, and queries whose similarities to a slice it holds at a time.
 SLICE_CANDIDATES, BLOCK_QUERIES, TILE_QUERIES = 2_000, 4_000, 256
+#: Slices of all groups together, at least.
+LEAST_CELLS = 16
 #: Similarities nearer to the best than this are taken again, number by number, before ties are decided.
 NEAR = 1e-9
 
@@ -74,17 +76,19 @@ def class_bests(queries: DataFrame, candidates: DataFrame, group: list[str], sli
     """For each query the best candidate among: its gold, other true blocks, and negatives by category and by whose they are.
 
     Every query meets every candidate of its group, in cells of a block of queries and a slice of candidates. A cell is a task's: it multiplies
-    tiles of TILE_QUERIES queries by the slice, and only the best of each class leaves it. Slices and blocks follow the numbers of candidates and queries;
+    tiles of TILE_QUERIES queries by the slice, and only the best of each class leaves it. Slices and blocks follow the numbers of candidates and queries of each group;
     each row is copied to as many cells as the other side has parts. Vectors must have one dimension; rows without one are left out.
     """
     queries, candidates = queries.filter("vector IS NOT NULL"), candidates.filter("vector IS NOT NULL")
-    if slices is None:
-        slices = max(16, -(-candidates.count() // SLICE_CANDIDATES))
-    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
     names = [F.col(x).alias(x) for x in (*group, "block_id")]  # columns of their own on each side, should both come from one table
-    c = candidates.select(*names, "pool_idx", "kind", "category", unit(F.col("vector")).alias("_v"), F.pmod(F.xxhash64("pool_idx"), F.lit(slices)).alias("_s"), each(blocks).alias("_b"))
-    q = queries.select(*names, unit(F.col("vector")).alias("_v"), F.pmod(F.xxhash64("block_id"), F.lit(blocks)).alias("_b"), each(slices).alias("_s"))
+    key = F.struct(*group) if group else F.lit(0)
+    sizes = candidates.groupBy(key.alias("_g")).agg(F.count(F.lit(1)).alias("_c")).join(queries.groupBy(key.alias("_g")).agg(F.count(F.lit(1)).alias("_q")), "_g")
+    few = F.lit(1 + LEAST_CELLS // max(1, sizes.count())) if slices is None else F.lit(slices)  # so that few groups still spread over tasks
+    cut = F.greatest(F.ceil(F.col("_c") / SLICE_CANDIDATES), few) if slices is None else few
+    sizes = sizes.select("_g", cut.cast("bigint").alias("_slices"), F.ceil(F.col("_q") / BLOCK_QUERIES).cast("bigint").alias("_blocks"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    c = candidates.select(*names, "pool_idx", "kind", "category", unit(F.col("vector")).alias("_v"), key.alias("_g")).join(sizes, "_g").withColumn("_s", F.pmod(F.xxhash64("pool_idx"), F.col("_slices"))).withColumn("_b", each("_blocks")).drop("_g", "_slices", "_blocks")
+    q = queries.select(*names, unit(F.col("vector")).alias("_v"), key.alias("_g")).join(sizes, "_g").withColumn("_b", F.pmod(F.xxhash64("block_id"), F.col("_blocks"))).withColumn("_s", each("_slices")).drop("_g", "_slices", "_blocks")
     schema = T.StructType([*[q.schema[g] for g in group], q.schema["block_id"], T.StructField("kind", T.StringType()), T.StructField("category", T.StringType()), T.StructField("sim", T.DoubleType()), T.StructField("pool_idx", T.LongType())])
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -108,8 +112,8 @@ def class_bests(queries: DataFrame, candidates: DataFrame, group: list[str], sli
         empty = pa.table([*[left[g].slice(0, 0) for g in (*group, "block_id")], pa.array([], pa.string()), pa.array([], pa.string()), pa.array([], pa.float64()), pa.array([], pa.int64())], names=schema.names)
         return pa.concat_tables([empty, *found])
 
-    key = [*group, "_s", "_b"]
-    met = q.groupBy(*key).cogroup(c.groupBy(*key)).applyInArrow(cell, schema)
+    cells = [*group, "_s", "_b"]
+    met = q.groupBy(*cells).cogroup(c.groupBy(*cells)).applyInArrow(cell, schema)
     best = F.max(F.struct("sim", (-F.col("pool_idx")).alias("_i")))
     found = met.groupBy(*group, "block_id", "kind", "category").agg(best.alias("b"))
     return found.select(*group, "block_id", "kind", "category", F.col("b.sim").alias("sim"), (-F.col("b._i")).alias("pool_idx"))

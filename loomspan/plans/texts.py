@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from loomspan.functions.tokens import subword_counter
 from loomspan.operators import embed, perturb, prepare, retrieval, tagger  # noqa: F401  (the tagger adds a backend)
 
+from loomspan.sources.scratch import Scratch
+
 from .pools import candidate_pool
 from .tables import read, rounded, sentences
 
@@ -45,9 +47,9 @@ def text_pools(spark, sf_dir):
 
 def retrieval_texts(spark, sf_dir):
     """Errors of the four pools by language and source, from texts: an embedder fitted on all lines makes the vectors."""
-    queries, candidates = text_pools(spark, sf_dir)
-    embedder = embed.fit(sentences(spark, sf_dir), "text")
-    bests = retrieval.class_bests(embedder.embed(queries, "text"), embedder.embed(candidates, "text"), ["lang", "source"])
+    scratch, embedder = Scratch(spark, "vectors"), embed.fit(sentences(spark, sf_dir), "text")
+    queries, candidates = (scratch.save(embedder.embed(t, "text").drop("text"), "vectors") for t in text_pools(spark, sf_dir))
+    bests = retrieval.class_bests(queries, candidates, ["lang", "source"])
     return rounded(retrieval.pool_errors(bests, ["lang", "source"]), "error")
 
 
