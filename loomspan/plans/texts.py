@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from loomspan.functions.tokens import subword_counter
 from loomspan.operators import embed, perturb, prepare, retrieval, tagger  # noqa: F401  (the tagger adds a backend)
-
 from loomspan.sources.scratch import Scratch
 
 from .pools import candidate_pool
