@@ -177,6 +177,8 @@ def _cells(queries: DataFrame, vectors: DataFrame, groups: list[tuple[int, int]]
     base = _first_where([(u, s) for u, (s, _) in starts.items()], lambda u: u == F.col("upto"), 0)
     count = _first_where([(u, m) for u, (_, m) in starts.items()], lambda u: u == F.col("upto"), 1)
     block = base + F.pmod(F.xxhash64("row"), count)
+    # Both sides' keys are of one type: equal numbers of different types have different hashes, so cells would not meet.
+    block = block.cast("int")
     left = queries.filter(F.col("upto") > begin).select("row", "id", "v", "length", "least", block.alias("block"), F.explode(F.sequence(F.lit(begin), F.col("upto") - 1)).alias("slice"))
     meeting = _first_where(reach, lambda u: u > F.col("slice"), 0)
     right = vectors.filter(F.col("slice") >= begin).withColumn("_blocks", meeting).filter("_blocks > 0").select("id", "v", "length", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block"), "slice")

@@ -234,6 +234,20 @@ def test_products_against_brute_force(spark, monkeypatch, slice_, block, tiles,
     assert got == best_products(rows, 5, 5)
 
 
+def test_cells_meet_in_every_partition(spark, monkeypatch):
+    """Shuffle partitions stay apart, as they do on large tables: a block and a slice still meet, whichever partition they fall into."""
+    for name, value in {"SLICE_NUMBERS": 120, "BLOCK_NUMBERS": 60}.items():
+        monkeypatch.setattr(product_search, name, value)
+    rows = vector_rows(3)
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = Counter(tuple(r) for r in product_search.top_products(v, v.filter("vec_id % 5 = 0"), 5).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == best_products(rows, 5, 5)
+
+
 def test_huge_components(spark):
     rows = [(i, [x, -x / 3, 1.0]) for i, x in enumerate([1e30, 1e15, 3e9, 2.0, -1e15, -1e30, 1e306, 5e8])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
