@@ -12,13 +12,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .correlate import kendall, weighted_tau_b
+from loomspan.sources.scratch import Scratch
+
+from .correlate import cells_of, kendall, weighted_tau_b
 from .order import cumulative
 
 #: Documents in a leaf of the tree that deals out draws, and resamples that are made at a time.
 LEAF, DRAW_BLOCK = 1024, 50
 #: Rows of a group whose taus one task computes for all resamples; larger groups are counted for each resample by all tasks.
 TAU_ROWS = 200_000
+#: Distinct pairs of values up to which a larger group is counted in cells, and counts of cells that a task holds before it passes them on.
+TAU_CELLS, HELD_COUNTS = 100_000, 120_000_000
 #: Rows that a task multiplies at a time, and groups whose sums it holds before it passes them on.
 HELD_ROWS, HELD_GROUPS = 256, 1000
 
@@ -163,15 +167,20 @@ def tau_delta(rows: DataFrame, group: str, doc: str, gold: str, a: str, b: str,
     """Per resample: mean over groups of tau-b of ``a`` minus that of ``b``, on the same documents.
 
     Groups with two rows or fewer, or without variance, are left out of a resample. A group of up to TAU_ROWS rows goes to as many tasks as there are
-    blocks of DRAW_BLOCK resamples; a larger one is weighed row by row for each resample, and its taus come from :func:`correlate.kendall`, which no task
-    holds whole. Both give the same numbers.
+    blocks of DRAW_BLOCK resamples. Of a larger one with up to TAU_CELLS distinct (gold, a) and (gold, b) each, tasks count the cells under all resamples at once;
+    others are weighed row by row for each resample, and their taus come from :func:`correlate.kendall`, which no task holds whole. All give the same numbers.
     """
+    scratch = Scratch(rows.sparkSession, "taus")
     full, n = numbered(rows.select(F.struct(F.col(group)).alias("_g"), doc, *[F.col(c).cast("double").alias(x) for c, x in ((gold, "_gold"), (a, "_one"), (b, "_two"))]), doc)
-    full = full.na.drop(subset=["_gold", "_one", "_two"]).select("_g", "_doc", "_gold", "_one", "_two")
+    full = scratch.save(full.na.drop(subset=["_gold", "_one", "_two"]).select("_g", "_doc", "_gold", "_one", "_two"), "rows")
     drawn = Resamples(n, draws, seed, LEAF, DRAW_BLOCK)
-    large = [r["_g"] for r in full.groupBy("_g").count().filter(F.col("count") > TAU_ROWS).select("_g").limit(1).collect()]  # is there any
     sizes = full.groupBy("_g").agg((F.count(F.lit(1)) > TAU_ROWS).alias("_large"))
-    few = full.join(sizes.filter(~F.col("_large")), "_g") if large else full
+    parts = [full]
+    if not sizes.filter("_large").isEmpty():
+        keyed = full.join(sizes, "_g")
+        cells = [cells_of(keyed.filter("_large"), ["_g"], "_gold", c).groupBy("_g").agg((F.count(F.lit(1)) <= TAU_CELLS).alias(f"_few{c}")) for c in ("_one", "_two")]
+        kinds = scratch.save(cells[0].join(cells[1], "_g").select("_g", (F.col("_few_one") & F.col("_few_two")).alias("_few")), "kinds")
+        parts = [keyed.filter(~F.col("_large")).drop("_large"), *[full.join(kinds.filter(F.col("_few") == few), "_g").drop("_few") if not kinds.filter(F.col("_few") == few).isEmpty() else None for few in (True, False)]]
     blocks = F.explode(F.sequence(F.lit(0), F.lit(drawn.blocks - 1))).alias("_block")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -184,13 +193,98 @@ def tau_delta(rows: DataFrame, group: str, doc: str, gold: str, a: str, b: str,
         first = drawn.per_block * block
         return pa.table({"b": pa.array(range(first, first + len(out)), pa.int64()), "delta": pa.array(out, pa.float64())})
 
-    spread = few.select("_g", "_doc", "_gold", "_one", "_two", blocks).repartition(_tasks(rows), "_g", "_block")
+    spread = parts[0].select("_g", "_doc", "_gold", "_one", "_two", blocks).repartition(_tasks(rows), "_g", "_block")
     deltas = spread.groupBy("_g", "_block").applyInArrow(run, "b bigint, delta double")
-    if large:
-        deltas = deltas.unionByName(_large_deltas(full.join(sizes.filter("_large"), "_g").drop("_large"), drawn))
+    for part, way in zip(parts[1:], (_counted_deltas, _large_deltas), strict=False):
+        deltas = deltas if part is None else deltas.unionByName(way(part, drawn))
     return deltas.groupBy("b").agg(F.avg("delta").alias("value"))
 
 
+def _counted_deltas(rows: DataFrame, drawn: Resamples) -> DataFrame:
+    """``b``, ``delta``: of groups of any size that have few distinct (gold, one) and (gold, two), from counts of these cells under every resample.
+
+    Tasks go through documents in order of leaves and add each row's weights in all resamples to its two cells; what leaves a task is a row for each cell
+    and block of resamples, however many rows it had.
+    """
+    counts = [f"_w{i}" for i in range(drawn.per_block)]
+    fields = [rows.schema["_g"], T.StructField("_side", T.LongType()), T.StructField("_x", T.DoubleType()), T.StructField("_y", T.DoubleType()), T.StructField("_block", T.LongType()), *[T.StructField(c, T.IntegerType()) for c in counts]]
+    schema = T.StructType(fields)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = drawn.blocks * drawn.per_block
+        most = max(1, HELD_COUNTS // width)
+        known: dict[tuple, dict[complex, int]] = {}
+        held, used, rows_held = np.zeros((min(most, 1024), width), np.int32), 0, 0
+        now, weights = None, None
+
+        def cells(kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+            for (g, side), at in known.items():
+                values, slots = np.array(list(at), np.complex128), np.fromiter(at.values(), np.int64, len(at))
+                for block in range(drawn.blocks):
+                    part = held[slots, block * drawn.per_block : (block + 1) * drawn.per_block].T.copy()
+                    labels = pa.array([{kind.field(0).name: g}] * len(at), kind)
+                    yield pa.RecordBatch.from_arrays([labels, pa.array(np.full(len(at), side)), pa.array(values.real.copy()), pa.array(values.imag.copy()), pa.array(np.full(len(at), block)), *map(pa.array, part)], names=schema.names)
+
+        for batch in batches:  # in the order of leaves
+            kind, index = batch.column("_g").type, batch.column("_doc").to_numpy()
+            if used and (used + 2 * len(index) > most or rows_held > 1 << 26):
+                yield from cells(kind)
+                known.clear()
+                held[:used] = 0
+                used = rows_held = 0
+            rows_held += len(index)
+            labels = batch.column("_g").field(0).dictionary_encode("encode")
+            codes, slots = labels.indices.to_numpy(), np.zeros((2, len(index)), np.int64)
+            for code, g in enumerate(labels.dictionary.to_pylist()):
+                mine = np.flatnonzero(codes == code)
+                for side, column in enumerate(("_one", "_two")):
+                    pair = np.stack([batch.column("_gold").to_numpy()[mine], batch.column(column).to_numpy()[mine]], axis=1).view(np.complex128)[:, 0]
+                    values, inverse = np.unique(pair, return_inverse=True)
+                    at, own = known.setdefault((g, side), {}), []
+                    for v in values.tolist():
+                        if v not in at:
+                            at[v], used = used, used + 1
+                        own.append(at[v])
+                    slots[side, mine] = np.array(own, np.int64)[inverse]
+            if used > len(held):
+                held = np.concatenate([held, np.zeros((max(used - len(held), min(len(held), most)), width), np.int32)])
+            for begin, end in _runs(index // drawn.per_leaf):
+                leaf = int(index[begin]) // drawn.per_leaf
+                if leaf != now:
+                    made = np.concatenate([drawn.leaf(block, leaf) for block in range(drawn.blocks)])
+                    weights = np.zeros((made.shape[1], width), np.int32)
+                    weights[:, : len(made)] = made.T
+                    now = leaf
+                for a in range(begin, end, HELD_ROWS):
+                    b = min(a + HELD_ROWS, end)
+                    for own in slots[:, a:b]:
+                        order = np.argsort(own, kind="stable")
+                        own = own[order]
+                        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                        held[own[first]] += np.add.reduceat(weights[index[a:b][order] - leaf * drawn.per_leaf], first, axis=0)
+        if used:
+            yield from cells(kind)
+
+    def taus(key: tuple, table: pa.Table) -> pa.Table:
+        block, sides = key[1].as_py(), table.column("_side").to_numpy()
+        halves = []
+        for side in (0, 1):
+            part = table.filter(pa.array(sides == side))
+            x, y = part.column("_x").to_numpy(), part.column("_y").to_numpy()
+            halves.append((weighted_tau_b(x, y), [part.column(c).to_numpy() for c in counts]))
+        size, first, out = drawn._size(block), drawn.per_block * block, []
+        (tau_one, w_one), (tau_two, w_two) = halves
+        for i in range(size):
+            one, two = tau_one(w_one[i]), tau_two(w_two[i])
+            out.append(one - two if int(w_one[i].sum()) > 2 and one is not None and two is not None else None)
+        return pa.table({"b": pa.array(range(first, first + size), pa.int64()), "delta": pa.array(out, pa.float64())})
+
+    parts = max(1, min(-(-drawn.n // drawn.per_leaf), _tasks(rows)))
+    spread = rows.select("_g", "_doc", "_gold", "_one", "_two").repartition(parts, F.floor(F.col("_doc") / drawn.per_leaf)).sortWithinPartitions("_doc")
+    cells_ = spread.mapInArrow(count, schema).groupBy("_g", "_side", "_x", "_y", "_block").agg(*[F.sum(c).alias(c) for c in counts])
+    return cells_.groupBy("_g", "_block").applyInArrow(taus, "b bigint, delta double")
+
+
 def _large_deltas(rows: DataFrame, drawn: Resamples) -> DataFrame:
     """``b``, ``delta``: of groups that no task holds, from rows weighed under every resample."""
     schema = T.StructType([*rows.schema.fields, T.StructField("b", T.LongType()), T.StructField("_w", T.LongType())])

@@ -191,6 +191,26 @@ def test_bootstrap_resamples_documents(spark, monkeypatch, leaf, block, large):
     assert ci["high"] < 0 and ci["significant"]
 
 
+@pytest.mark.parametrize("held", [1, 10**8])
+def test_large_groups_of_few_values_are_counted_in_cells(spark, monkeypatch, held):
+    """Rows are not multiplied by resamples where values are few: the same numbers as from whole groups, also where a task passes on its counts at once."""
+    rng = np.random.default_rng(4)
+    data = [("g" if i % 3 else None, int(d), float(x), float(y), float(z)) for i, (d, x, y, z) in enumerate(zip(rng.integers(0, 90, 600), *rng.integers(0, 9, (3, 600)), strict=True))] + [("h", 1, 1.0, 2.0, 3.0)] * 3
+    rows = spark.createDataFrame(data, "g string, d long, gold double, a double, b double")
+    monkeypatch.setattr(bootstrap, "LEAF", 16)
+    want = {r["b"]: r["value"] for r in bootstrap.tau_delta(rows, "g", "d", "gold", "a", "b", 70, 3).collect()}
+    for name, value in (("TAU_ROWS", 50), ("HELD_COUNTS", held)):
+        monkeypatch.setattr(bootstrap, name, value)
+    weigh = bootstrap._large_deltas
+    monkeypatch.setattr(bootstrap, "_large_deltas", None)
+    got = {r["b"]: r["value"] for r in bootstrap.tau_delta(rows, "g", "d", "gold", "a", "b", 70, 3).collect()}
+    assert got.keys() == want.keys() and all(got[b] == pytest.approx(want[b], abs=1e-12) for b in want)
+    monkeypatch.setattr(bootstrap, "_large_deltas", weigh)
+    monkeypatch.setattr(bootstrap, "TAU_CELLS", 3)
+    got = {r["b"]: r["value"] for r in bootstrap.tau_delta(rows, "g", "d", "gold", "a", "b", 4, 3).collect()}
+    assert len(got) == 4
+
+
 def test_kendall_in_slices(spark):
     """Groups cut into slices of ten cells, and their grids again, against the plain form: ties, heavy values, constants, weights."""
     rng = np.random.default_rng(8)
