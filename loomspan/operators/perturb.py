@@ -142,28 +142,39 @@ def _core(token):
     return F.regexp_replace(token, r"^\p{P}+|\p{P}+$", "")
 
 
-def common_words(sentences: DataFrame) -> DataFrame:
+def vocabulary(sentences: DataFrame) -> DataFrame:
+    """(``lang``, ``_t``, ``_m``): the tokens between single spaces and how often each occurs, so that patterns meet each of them once."""
+    return sentences.select("lang", F.explode(F.split("text", " ")).alias("_t")).groupBy("lang", "_t").agg(F.count(F.lit(1)).alias("_m"))
+
+
+def common_words(sentences: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """(``lang``, ``word``, lower-cased): what the corpus itself shows to be no names.
 
-    These are the words that it has with a small first letter anywhere, and those that make up a large share of a language.
+    These are the words that it has with a small first letter anywhere, and those that make up a large share of a language. ``tokens`` is
+    its :func:`vocabulary`, where that is known.
     """
-    words = sentences.select("lang", F.explode(F.split("text", " ")).alias("_t")).select("lang", _core(F.col("_t")).alias("_w")).filter(F.col("_w") != "")
-    counts = words.groupBy("lang", F.lower("_w").alias("word")).agg(F.count(F.lit(1)).alias("_n"), F.max(F.col("_w").rlike(r"^\p{Ll}")).alias("_small"))
+    tokens = vocabulary(sentences) if tokens is None else tokens
+    words = tokens.select("lang", _core(F.col("_t")).alias("_w"), "_m").filter(F.col("_w") != "")
+    counts = words.groupBy("lang", F.lower("_w").alias("word")).agg(F.sum("_m").alias("_n"), F.max(F.col("_w").rlike(r"^\p{Ll}")).alias("_small"))
     totals = counts.groupBy("lang").agg(F.sum("_n").alias("_all"))
     frequent = (F.col("_all") >= FREQUENT_WORDS) & (F.col("_n") * FREQUENT_SHARE >= F.col("_all"))
     return counts.join(totals, "lang").filter(F.col("_small") | frequent).select("lang", "word")
 
 
-def entity_spans(sentences: DataFrame) -> DataFrame:
+def entity_spans(sentences: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``spans`` (token ``a`` up to, not including, ``b``, and ``surface``) by sentence key: maximal runs of entity tokens.
 
     An entity token has two characters or more without punctuation, its first letter is a capital, and it is none of the
-    corpus's :func:`common_words`. Languages without spaces have none.
+    corpus's :func:`common_words`. Languages without spaces have none. Which tokens these are is decided once for each distinct one.
     """
+    scratch = Scratch(sentences.sparkSession, "entities") if scratch is None else scratch
+    capital = r"^[^\p{L}\p{Nd}]*\p{Lu}"
+    known = scratch.save(vocabulary(sentences), "vocabulary")
+    names = known.filter(~F.col("lang").isin(*UNSPACED) & F.col("_t").rlike(capital)).select("lang", "_t", _core(F.col("_t")).alias("core"))
+    names = names.filter((F.length("core") >= 2) & F.col("core").rlike(capital)).withColumn("word", F.lower("core"))
+    names = scratch.save(names.join(common_words(sentences, known), ["lang", "word"], "left_anti").select("lang", "_t", "core"), "names")
     tokens = sentences.filter(~F.col("lang").isin(*UNSPACED)).select("_k1", "_k2", "lang", F.posexplode(F.split("text", " ")).alias("pos", "_t"))
-    tokens = tokens.select("_k1", "_k2", "lang", "pos", _core(F.col("_t")).alias("core"))
-    tokens = tokens.filter((F.length("core") >= 2) & F.col("core").rlike(r"^[^\p{L}\p{Nd}]*\p{Lu}")).withColumn("word", F.lower("core"))
-    named = tokens.join(common_words(sentences), ["lang", "word"], "left_anti")
+    named = tokens.filter(F.col("_t").rlike(capital)).join(names, ["lang", "_t"])
     per = named.groupBy("_k1", "_k2").agg(F.array_sort(F.collect_list(F.struct("pos", "core"))).alias("_all"))
     runs = F.transform("_all", lambda x, i: F.struct((x["pos"] - i).alias("run"), x["pos"].alias("pos"), x["core"].alias("core")))
 
@@ -192,7 +203,7 @@ def entity_variants(sentences: DataFrame, n: int, seed: int) -> DataFrame:
     The other is drawn from those of as many tokens, or from all if there is none; punctuation at the ends of the run stays.
     """
     scratch = Scratch(sentences.sparkSession, "entities")
-    spans = scratch.save(sentences.select("_k1", "_k2", "lang", "text").join(entity_spans(sentences), ["_k1", "_k2"]), "spans")
+    spans = scratch.save(sentences.select("_k1", "_k2", "lang", "text").join(entity_spans(sentences, scratch), ["_k1", "_k2"]), "spans")
     bank = scratch.save(entity_bank(spans), "bank")
     sizes = bank.groupBy("lang", "width").agg(F.count(F.lit(1)).alias("_size"))
     draws = F.flatten(F.transform("spans", lambda s: F.transform(F.sequence(F.lit(0), F.lit(6 * n)), lambda d: F.struct(_key(seed, F.col("lang"), F.lit("entity"), F.col("text"), s["a"].cast("string"), d.cast("string")).alias("k"), s.alias("s")))))
@@ -216,16 +227,26 @@ def entity_variants(sentences: DataFrame, n: int, seed: int) -> DataFrame:
 
 
 def hits_of(whole: DataFrame, tables: DataFrame) -> DataFrame:
-    """``_hits`` by sentence key: the units that a table has, with what each way puts there, and the runs of digits."""
-    tables = F.broadcast(tables) if tables.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else tables
+    """``_hits`` by sentence key: the units that a table has, with what each way puts there, and the runs of digits.
+
+    Sentences are split once: a unit meets what the table has for its word and for the opener that it begins with.
+    """
+    few = tables.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    words = tables.groupBy("lang", "word").agg(F.collect_list(F.struct("way", "put")).alias("_own"))
+    openers = tables.filter("way = 'opener'").groupBy("lang", F.col("word").alias("_lead")).agg(F.collect_list("way").alias("_opened"))
     split = whole.select("_k1", "_k2", "lang", F.posexplode(units_of(F.col("text"), F.col("lang"))[0]).alias("at", "unit")).withColumn("word", F.lower("unit"))
     # an opener that leads a word, as n' in n'est, is met as a word that starts with it
-    lead = F.regexp_extract("word", r"^(\p{L}+['’])\p{L}", 1)
-    hits = split.join(tables, ["lang", "word"]).select("_k1", "_k2", "at", "unit", "way", "put")
-    leading = split.filter(lead != "").withColumn("_lead", lead).join(tables.filter("way = 'opener'").select("lang", F.col("word").alias("_lead"), "way"), ["lang", "_lead"])
-    leading = leading.select("_k1", "_k2", "at", "unit", "way", F.substring("unit", F.length("_lead") + 1, F.length("unit")).alias("put"))
-    digits = split.filter(F.col("unit").rlike(r"^\p{Nd}")).select("_k1", "_k2", "at", "unit", F.lit("digits").alias("way"), F.lit("").alias("put"))
-    return hits.unionByName(leading).unionByName(digits).groupBy("_k1", "_k2").agg(F.array_sort(F.collect_list(F.struct("at", "unit", "way", "put"))).alias("_hits"))
+    lead = F.when(F.col("word").contains("'") | F.col("word").contains("’"), F.regexp_extract("word", r"^(\p{L}+['’])\p{L}", 1)).otherwise("")
+    met = split.withColumn("_lead", lead).join(F.broadcast(words) if few else words, ["lang", "word"], "left").join(F.broadcast(openers) if few else openers, ["lang", "_lead"], "left")
+
+    def made(array, way, put):
+        return F.coalesce(F.transform(array, lambda x: F.struct(F.col("at"), F.col("unit"), way(x).alias("way"), put(x).alias("put"))), F.array().cast("array<struct<at:int,unit:string,way:string,put:string>>"))
+
+    own = made(F.col("_own"), lambda x: x["way"], lambda x: x["put"])
+    opened = made(F.col("_opened"), lambda x: x, lambda x: F.substring("unit", F.length("_lead") + 1, F.length("unit")))
+    digits = made(F.when(F.col("unit").rlike(r"^\p{Nd}"), F.array(F.lit("digits"))), lambda x: x, lambda x: F.lit(""))
+    hits = met.filter(F.col("_own").isNotNull() | F.col("_opened").isNotNull() | F.col("unit").rlike(r"^\p{Nd}")).select("_k1", "_k2", F.concat(own, opened, digits).alias("_h"))
+    return hits.groupBy("_k1", "_k2").agg(F.array_sort(F.flatten(F.collect_list("_h"))).alias("_hits"))
 
 
 def distinct_sentences(sentences: DataFrame) -> DataFrame:
@@ -255,7 +276,7 @@ def variant_lists(sentences: DataFrame, n: int, seed: int, tables: DataFrame | N
     ``sentences`` has ``lang`` and ``text``; null languages are "" and null or blank texts are left out.
     """
     lang, text = F.col("lang"), F.col("text")
-    whole = distinct_sentences(sentences)
+    whole = Scratch(sentences.sparkSession, "variants").save(distinct_sentences(sentences), "sentences")
     listed = hits_of(whole, lexicon(sentences.sparkSession) if tables is None else tables)
     rows = whole.join(listed, ["_k1", "_k2"], "left").join(entity_variants(whole, n, seed), ["_k1", "_k2"], "left")
     units, gaps = units_of(text, lang)

@@ -320,3 +320,14 @@ def test_folders_checkpoints_and_configs(spark, tmp_path):
     writers.write_yaml(spark, str(tmp_path / "c"), {**config, "note": "a: \"b\"\nc", "none": None, "empty": []})
     lines = [r["value"] for r in spark.read.text(str(tmp_path / "c")).collect()]
     assert lines[:4] == ["train_data:", '  - "a"', "validation_data:", '  - "v"'] and 'note: "a: \\"b\\"\\nc"' in lines and "none: null" in lines and "empty: []" in lines
+
+
+def test_sentences_are_split_once_for_hits(spark):
+    """Words, openers that lead words, and digits come from one pass; each distinct token is looked at once for entities."""
+    rows = spark.createDataFrame([("fr", "Il n'est pas 12 ici"), ("fr", "Rien")], "lang string, text string")
+    whole = perturb.distinct_sentences(rows)
+    hits = perturb.hits_of(whole, perturb.lexicon(spark))
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("posexplode(") == 1
+    got = {(h["unit"], h["way"], h["put"]) for r in hits.collect() for h in r["_hits"]}
+    assert ("12", "digits", "") in got and ("n'est", "opener", "est") in got
+    assert {(r["_t"], r["_m"]) for r in perturb.vocabulary(rows).collect()} == {(t, 1) for t in ("Il", "n'est", "pas", "12", "ici", "Rien")}
