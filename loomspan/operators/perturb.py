@@ -25,9 +25,11 @@ from .order import cumulative
 CATEGORIES = ("causality", "entity", "number")
 #: Rows of word tables up to which they are broadcast.
 BROADCAST_ROWS = 100_000
+#: Distinct words of word tables up to which units are compared with all of them before they are joined.
+LISTED_WORDS = 5_000
 #: A word with at least one in FREQUENT_SHARE of a language's words is a common one, if the language has FREQUENT_WORDS or more.
 FREQUENT_SHARE, FREQUENT_WORDS = 200, 10_000
-_WORDS = r"\p{Nd}+|[\p{L}\p{M}_]+(?:['’][\p{L}\p{M}]+)*"
+_WORDS = r"\p{Nd}+|[a-zA-Z\p{L}\p{M}_]+(?:['’][a-zA-Z\p{L}\p{M}]+)*"
 _ENTRIES = r"\p{Nd}+|" + "|".join(sorted({re.escape(w) for lang, w, *_ in lexicons.rows() if lang in UNSPACED}, key=lambda w: (-len(w), w)))
 _AT_END = -2
 
@@ -56,14 +58,24 @@ def units_of(text, lang):
     return units, F.when(unspaced, F.split(text, _ENTRIES, -1)).otherwise(F.split(text, _WORDS, -1))
 
 
+def _let(value, use):
+    """What ``use`` makes of a value that is computed once, also inside the functions of arrays, which repeat what they name."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _edit(at, put, way, at2=None, put2=None):
     return F.struct(F.lit(at).cast("int").alias("at") if isinstance(at, int) else at.cast("int").alias("at"), put.alias("put"), (F.lit(-1) if at2 is None else at2).cast("int").alias("at2"), (F.lit("") if put2 is None else put2).alias("put2"), (F.lit(way) if isinstance(way, str) else way).alias("way"))
 
 
 def edited(text, units, gaps, edit):
     """The sentence with one or two units replaced; what a removal leaves of spaces is tidied."""
-    changed = F.transform(units, lambda u, i: F.when(i == edit["at"], edit["put"]).when(i == edit["at2"], edit["put2"]).otherwise(u))
-    whole = F.array_join(F.zip_with(gaps, F.concat(changed, F.array(F.lit(""))), lambda g, u: F.concat(g, u)), "")
+    valid = F.make_valid_utf8(text)  # what units and gaps are made of
+    start = lambda at: F.length(F.array_join(F.slice(gaps, F.lit(1), at + 1), "")) + F.length(F.array_join(F.slice(units, F.lit(1), at), ""))
+    upto = lambda at: F.substring(valid, F.lit(1), start(at))
+    after = lambda at: F.substring(valid, start(at + 1) - F.length(F.get(gaps, at + 1)) + 1, F.length(valid))
+    between = F.substring(after(edit["at"]), F.lit(1), start(edit["at2"]) - start(edit["at"]) - F.length(F.get(units, edit["at"])))
+    rest = F.when(edit["at2"] >= 0, F.concat(between, edit["put2"], after(edit["at2"]))).otherwise(after(edit["at"]))
+    whole = F.concat(upto(edit["at"]), edit["put"], rest)
     gone = (edit["put"] == "") | (edit["at2"] >= 0)
     last = F.concat(F.regexp_extract(text, r"(?s)^(.*?)([.!?]*\s*)$", 1), F.lit(" "), edit["put"], F.regexp_extract(text, r"(?s)^(.*?)([.!?]*\s*)$", 2))
     return F.when(edit["at"] == _AT_END, last).when(gone, F.regexp_replace(collapse(whole), r" +([.,;:!?»])", "$1")).otherwise(whole)
@@ -79,16 +91,19 @@ def number_edits(hits, seed: int, lang, text, n: int):
     def digits(h, d):
         width = F.length(h["unit"])
         drawn = F.translate(_key(seed, lang, F.lit("digits"), text, h["at"].cast("string"), d.cast("string")), "abcdef", "012345")
-        long = F.substring(F.repeat(drawn, F.ceil(width / 32).cast("int")), F.lit(1), width)
-        first = F.when((width > 1) & ~h["unit"].startswith("0"), F.translate(F.substring(long, 1, 1), "0", "8")).otherwise(F.substring(long, 1, 1))
-        return F.concat(first, F.substring(long, F.lit(2), width))
+
+        def number(long):
+            first = F.when((width > 1) & ~h["unit"].startswith("0"), F.translate(F.substring(long, 1, 1), "0", "8")).otherwise(F.substring(long, 1, 1))
+            return F.concat(first, F.substring(long, F.lit(2), width))
+
+        return _let(F.substring(F.repeat(drawn, F.ceil(width / 32).cast("int")), F.lit(1), width), number)
 
     runs = F.transform(F.filter(hits, lambda h: h["way"] == "digits"), lambda h: F.transform(F.array_distinct(F.filter(F.transform(F.sequence(F.lit(0), F.lit(6 * n)), lambda d: digits(h, d)), lambda x: x != h["unit"])), lambda x: _edit(h["at"], x, "number")))
     ordinals = F.transform(F.filter(hits, lambda h: h["way"] == "ordinal"), lambda h: _edit(h["at"], match_case(h["put"], h["unit"]), "number"))
     return F.concat(F.flatten(runs), ordinals)
 
 
-def negation_edits(hits, units, lang):
+def negation_edits(hits, lang):
     """The first of these that a sentence allows: a negation in two parts goes, one of one part goes, one is put in.
 
     It is put after an auxiliary, or before the end of the sentence, where the language has one of these.
@@ -106,24 +121,36 @@ def negation_edits(hits, units, lang):
     return F.when(F.size(pairs) > 0, F.slice(pairs, 1, 1)).when(F.size(particles) > 0, particles).when(F.size(after) > 0, after).otherwise(at_end)
 
 
-def causality_edits(hits, units, lang, seed: int, text):
+def causality_edits(hits, lang, seed: int, text):
     """Antonyms, modals and negation, each in its own drawn order, taken in turn so that no way crowds out the others."""
 
-    def ordered(edits, way: str):
-        keyed = F.array_sort(F.transform(edits, lambda e: F.struct(_key(seed, lang, F.lit("causality"), text, F.lit(way), e["at"].cast("string"), e["put"]).alias("k"), e.alias("e"))))
-        return F.transform(keyed, lambda x, i: F.struct(i.alias("turn"), _key(seed, lang, text, F.lit(way)).alias("k"), x["e"].alias("e")))
+    def ordered(edits, way: str, others):
+        keyed = F.sort_array(F.transform(edits, lambda e: F.struct(_key(seed, lang, F.lit("causality"), text, F.lit(way), e["at"].cast("string"), e["put"]).alias("k"), e.alias("e"))))
+        return F.transform(keyed, lambda x, i: F.struct(i.alias("turn"), F.when(others, _key(seed, lang, text, F.lit(way))).alias("k"), x["e"].alias("e")))
 
     def of(way: str):
         return F.transform(F.filter(hits, lambda h: h["way"] == way), lambda h: _edit(h["at"], match_case(h["put"], h["unit"]), way))
 
-    ways = F.concat(ordered(of("antonym"), "antonym"), ordered(of("modal"), "modal"), ordered(negation_edits(hits, units, lang), "negate"))
-    return F.transform(F.array_sort(ways), lambda x: x["e"])
+    def turns(x):
+        several = (F.size(x["antonym"]) > 0).cast("int") + (F.size(x["modal"]) > 0).cast("int") + (F.size(x["negate"]) > 0).cast("int") > 1  # one way alone needs no turns
+        return F.transform(F.sort_array(F.concat(*[ordered(x[w], w, several) for w in ("antonym", "modal", "negate")])), lambda x: x["e"])
+
+    return _let(F.struct(of("antonym").alias("antonym"), of("modal").alias("modal"), negation_edits(hits, lang).alias("negate")), turns)
+
+
+def _first(items, make, text, n: int):
+    """The first n distinct sentences that differ from the text, made of items in order; none is made after the n-th."""
+
+    def step(out, item):
+        added = _let(make(item), lambda t: F.when(t.isNull() | (t == text) | F.array_contains(out, t), out).otherwise(F.concat(out, F.array(t))))
+        return F.when(F.size(out) >= n, out).otherwise(added)
+
+    return F.aggregate(items, F.array().cast("array<string>"), step)
 
 
 def _made(text, units, gaps, edits, n: int):
     """The first n distinct sentences that differ from the text, of edits in order."""
-    texts = F.transform(F.slice(edits, 1, 3 * n), lambda e: edited(text, units, gaps, e))
-    return F.slice(F.array_distinct(F.filter(texts, lambda t: t != text)), 1, n)
+    return _first(F.slice(edits, 1, 3 * n), lambda e: edited(text, units, gaps, e), text, n)
 
 
 # --- entities --------------------------------------------------------------------------------------------------
@@ -143,8 +170,9 @@ def _core(token):
 
 
 def vocabulary(sentences: DataFrame) -> DataFrame:
-    """(``lang``, ``_t``, ``_m``): the tokens between single spaces and how often each occurs, so that patterns meet each of them once."""
-    return sentences.select("lang", F.explode(F.split("text", " ")).alias("_t")).groupBy("lang", "_t").agg(F.count(F.lit(1)).alias("_m"))
+    """(``lang``, ``_t``, ``_m``, ``_core``): the tokens between single spaces, how often each occurs, and what it is without punctuation at its ends."""
+    tokens = sentences.select("lang", F.explode(F.split("text", " ")).alias("_t")).groupBy("lang", "_t").agg(F.count(F.lit(1)).alias("_m"))
+    return tokens.withColumn("_core", _core(F.col("_t")))
 
 
 def common_words(sentences: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
@@ -154,11 +182,11 @@ def common_words(sentences: DataFrame, tokens: DataFrame | None = None) -> DataF
     its :func:`vocabulary`, where that is known.
     """
     tokens = vocabulary(sentences) if tokens is None else tokens
-    words = tokens.select("lang", _core(F.col("_t")).alias("_w"), "_m").filter(F.col("_w") != "")
+    words = tokens.select("lang", F.col("_core").alias("_w"), "_m").filter(F.col("_w") != "")
     counts = words.groupBy("lang", F.lower("_w").alias("word")).agg(F.sum("_m").alias("_n"), F.max(F.col("_w").rlike(r"^\p{Ll}")).alias("_small"))
-    totals = counts.groupBy("lang").agg(F.sum("_n").alias("_all"))
+    totals = words.groupBy("lang").agg(F.sum("_m").alias("_all"))
     frequent = (F.col("_all") >= FREQUENT_WORDS) & (F.col("_n") * FREQUENT_SHARE >= F.col("_all"))
-    return counts.join(totals, "lang").filter(F.col("_small") | frequent).select("lang", "word")
+    return counts.join(F.broadcast(totals), "lang").filter(F.col("_small") | frequent).select("lang", "word")
 
 
 def entity_spans(sentences: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -169,13 +197,14 @@ def entity_spans(sentences: DataFrame, scratch: Scratch | None = None) -> DataFr
     """
     scratch = Scratch(sentences.sparkSession, "entities") if scratch is None else scratch
     capital = r"^[^\p{L}\p{Nd}]*\p{Lu}"
+    able = ~F.col("_t").between("a", "zzz") & F.col("_t").rlike(capital)  # the pattern is not asked where a small letter comes first
     known = scratch.save(vocabulary(sentences), "vocabulary")
-    names = known.filter(~F.col("lang").isin(*UNSPACED) & F.col("_t").rlike(capital)).select("lang", "_t", _core(F.col("_t")).alias("core"))
+    names = known.filter(~F.col("lang").isin(*UNSPACED) & able).select("lang", "_t", F.col("_core").alias("core"))
     names = names.filter((F.length("core") >= 2) & F.col("core").rlike(capital)).withColumn("word", F.lower("core"))
     names = scratch.save(names.join(common_words(sentences, known), ["lang", "word"], "left_anti").select("lang", "_t", "core"), "names")
     tokens = sentences.filter(~F.col("lang").isin(*UNSPACED)).select("_k1", "_k2", "lang", F.posexplode(F.split("text", " ")).alias("pos", "_t"))
-    named = tokens.filter(F.col("_t").rlike(capital)).join(names, ["lang", "_t"])
-    per = named.groupBy("_k1", "_k2").agg(F.array_sort(F.collect_list(F.struct("pos", "core"))).alias("_all"))
+    named = tokens.filter(able).join(names, ["lang", "_t"])
+    per = named.groupBy("_k1", "_k2").agg(F.sort_array(F.collect_list(F.struct("pos", "core"))).alias("_all"))
     runs = F.transform("_all", lambda x, i: F.struct((x["pos"] - i).alias("run"), x["pos"].alias("pos"), x["core"].alias("core")))
 
     def span(run):
@@ -205,22 +234,24 @@ def entity_variants(sentences: DataFrame, n: int, seed: int) -> DataFrame:
     scratch = Scratch(sentences.sparkSession, "entities")
     spans = scratch.save(sentences.select("_k1", "_k2", "lang", "text").join(entity_spans(sentences, scratch), ["_k1", "_k2"]), "spans")
     bank = scratch.save(entity_bank(spans), "bank")
-    sizes = bank.groupBy("lang", "width").agg(F.count(F.lit(1)).alias("_size"))
-    draws = F.flatten(F.transform("spans", lambda s: F.transform(F.sequence(F.lit(0), F.lit(6 * n)), lambda d: F.struct(_key(seed, F.col("lang"), F.lit("entity"), F.col("text"), s["a"].cast("string"), d.cast("string")).alias("k"), s.alias("s")))))
-    wanted = spans.select("_k1", "_k2", "lang", F.explode(F.slice(F.array_sort(draws), 1, 6 * n)).alias("d")).select("_k1", "_k2", "lang", "d.k", "d.s", (F.col("d.s.b") - F.col("d.s.a")).alias("_own"))
-    wanted = wanted.join(sizes.withColumnRenamed("width", "_own"), ["lang", "_own"])
-    wanted = wanted.withColumn("width", F.when(F.col("_size") > 1, F.col("_own")).otherwise(0)).drop("_size").join(sizes, ["lang", "width"])
-    wanted = wanted.withColumn("place", F.pmod(F.xxhash64("k"), F.col("_size")))
-    found = wanted.join(bank, ["lang", "width", "place"]).filter(F.col("surface") != F.col("s.surface"))
-    listed = found.groupBy("_k1", "_k2").agg(F.array_sort(F.collect_list(F.struct("k", F.col("s.a").alias("a"), F.col("s.b").alias("b"), "surface"))).alias("_all"))
-    tokens = F.split("text", " ")
+    counts = bank.groupBy("lang", "width").agg(F.count(F.lit(1)).alias("_size"))
+    sizes = counts.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("width", "_size"))).alias("_sizes"))
+    draws = F.flatten(F.transform("spans", lambda s: F.transform(F.sequence(F.lit(0), F.lit(6 * n)), lambda d: F.struct(_key(seed, F.col("lang"), F.lit("entity"), F.col("text"), s["a"].cast("string"), d.cast("string")).alias("k"), s["a"].alias("a"), (s["b"] - s["a"]).alias("own")))))
+    wanted = spans.join(F.broadcast(sizes), "lang").select("_k1", "_k2", "lang", "_sizes", F.posexplode(F.slice(F.sort_array(draws), 1, 6 * n)).alias("i", "d"))
+    width = F.when(F.element_at("_sizes", F.col("d.own")) > 1, F.col("d.own")).otherwise(0)
+    wanted = wanted.select("_k1", "_k2", "lang", "i", "d.a", width.alias("width"), F.pmod(F.xxhash64("d.k"), F.element_at("_sizes", width)).alias("place"))
+    listed = wanted.join(bank, ["lang", "width", "place"]).groupBy("_k1", "_k2").agg(F.sort_array(F.collect_list(F.struct("i", "a", "surface"))).alias("_all"))
+    rows = spans.join(listed, ["_k1", "_k2"]).withColumn("_tokens", F.split("text", " "))
+    tokens = F.col("_tokens")
 
     def put(x):
-        first, last = F.get(tokens, x["a"]), F.get(tokens, x["b"] - 1)
-        return F.array_join(F.concat(F.slice(tokens, F.lit(1), x["a"]), F.array(F.concat(_lead(first), x["surface"], _tail(last))), F.slice(tokens, x["b"] + 1, F.size(tokens))), " ")
+        def inside(s):
+            edges = F.concat(_lead(F.get(tokens, s["a"])), x["surface"], _tail(F.get(tokens, s["b"] - 1)))
+            return F.when(x["surface"] != s["surface"], F.array_join(F.concat(F.slice(tokens, F.lit(1), s["a"]), F.array(edges), F.slice(tokens, s["b"] + 1, F.size(tokens))), " "))
+
+        return _let(F.get(F.filter("spans", lambda s: s["a"] == x["a"]), F.lit(0)), inside)
 
-    texts = F.array_distinct(F.filter(F.transform("_all", put), lambda t: t != F.col("text")))
-    return spans.select("_k1", "_k2", "text").join(listed, ["_k1", "_k2"]).select("_k1", "_k2", F.slice(texts, 1, n).alias("entity"))
+    return rows.select("_k1", "_k2", _first(F.col("_all"), put, F.col("text"), n).alias("entity"))
 
 
 # --- all categories --------------------------------------------------------------------------------------------
@@ -232,11 +263,16 @@ def hits_of(whole: DataFrame, tables: DataFrame) -> DataFrame:
     Sentences are split once: a unit meets what the table has for its word and for the opener that it begins with.
     """
     few = tables.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    listed = [r["word"] for r in tables.select("word").distinct().limit(LISTED_WORDS + 1).collect()]
     words = tables.groupBy("lang", "word").agg(F.collect_list(F.struct("way", "put")).alias("_own"))
     openers = tables.filter("way = 'opener'").groupBy("lang", F.col("word").alias("_lead")).agg(F.collect_list("way").alias("_opened"))
     split = whole.select("_k1", "_k2", "lang", F.posexplode(units_of(F.col("text"), F.col("lang"))[0]).alias("at", "unit")).withColumn("word", F.lower("unit"))
+    number = ~F.col("unit").between("A", "zzz") & F.col("unit").rlike(r"^\p{Nd}")  # the pattern is not asked where an ASCII letter comes first
+    marked = F.col("word").contains("'") | F.col("word").contains("’")
+    if len(listed) <= LISTED_WORDS:  # most units go before the joins
+        split = split.filter(F.col("word").isin(listed) | marked | number)
     # an opener that leads a word, as n' in n'est, is met as a word that starts with it
-    lead = F.when(F.col("word").contains("'") | F.col("word").contains("’"), F.regexp_extract("word", r"^(\p{L}+['’])\p{L}", 1)).otherwise("")
+    lead = F.when(marked, F.nullif(F.regexp_extract("word", r"^(\p{L}+['’])\p{L}", 1), F.lit("")))
     met = split.withColumn("_lead", lead).join(F.broadcast(words) if few else words, ["lang", "word"], "left").join(F.broadcast(openers) if few else openers, ["lang", "_lead"], "left")
 
     def made(array, way, put):
@@ -244,9 +280,9 @@ def hits_of(whole: DataFrame, tables: DataFrame) -> DataFrame:
 
     own = made(F.col("_own"), lambda x: x["way"], lambda x: x["put"])
     opened = made(F.col("_opened"), lambda x: x, lambda x: F.substring("unit", F.length("_lead") + 1, F.length("unit")))
-    digits = made(F.when(F.col("unit").rlike(r"^\p{Nd}"), F.array(F.lit("digits"))), lambda x: x, lambda x: F.lit(""))
-    hits = met.filter(F.col("_own").isNotNull() | F.col("_opened").isNotNull() | F.col("unit").rlike(r"^\p{Nd}")).select("_k1", "_k2", F.concat(own, opened, digits).alias("_h"))
-    return hits.groupBy("_k1", "_k2").agg(F.array_sort(F.flatten(F.collect_list("_h"))).alias("_hits"))
+    digits = made(F.when(number, F.array(F.lit("digits"))), lambda x: x, lambda x: F.lit(""))
+    hits = met.filter(F.col("_own").isNotNull() | F.col("_opened").isNotNull() | number).select("_k1", "_k2", F.concat(own, opened, digits).alias("_h"))
+    return hits.groupBy("_k1", "_k2").agg(F.sort_array(F.flatten(F.collect_list("_h"))).alias("_hits"))
 
 
 def distinct_sentences(sentences: DataFrame) -> DataFrame:
@@ -280,10 +316,11 @@ def variant_lists(sentences: DataFrame, n: int, seed: int, tables: DataFrame | N
     listed = hits_of(whole, lexicon(sentences.sparkSession) if tables is None else tables)
     rows = whole.join(listed, ["_k1", "_k2"], "left").join(entity_variants(whole, n, seed), ["_k1", "_k2"], "left")
     units, gaps = units_of(text, lang)
-    rows = rows.withColumns({"_units": units, "_gaps": gaps, "_hits": F.coalesce("_hits", F.array().cast("array<struct<at:int,unit:string,way:string,put:string>>"))})
-    numbers = F.array_sort(F.transform(number_edits(F.col("_hits"), seed, lang, text, n), lambda e: F.struct(_key(seed, lang, F.lit("number"), text, e["at"].cast("string"), e["put"]).alias("k"), e.alias("e"))))
+    met = F.col("_hits").isNotNull()
+    rows = rows.withColumns({"_units": F.when(met, units), "_gaps": F.when(met, gaps), "_hits": F.coalesce("_hits", F.array().cast("array<struct<at:int,unit:string,way:string,put:string>>"))})
+    numbers = F.sort_array(F.transform(number_edits(F.col("_hits"), seed, lang, text, n), lambda e: F.struct(_key(seed, lang, F.lit("number"), text, e["at"].cast("string"), e["put"]).alias("k"), e.alias("e"))))
     numbers = F.transform(numbers, lambda x: x["e"])
-    causes = causality_edits(F.col("_hits"), F.col("_units"), lang, seed, text)
+    causes = causality_edits(F.col("_hits"), lang, seed, text)
     return rows.select(
         "_k1",
         "_k2",
@@ -325,19 +362,26 @@ def distractors(options, size: int):
 
     def column(o, j):
         a, b, c = (named(o, x) for x in CATEGORIES)
-        turns = F.array(F.concat(a, b, c), F.concat(b, c, a), F.concat(c, a, b))
 
-        def step(out, d):
-            order = F.get(turns, F.pmod(d + j, F.lit(3)))
-            fresh = F.filter(order, lambda x: ~F.exists(out, lambda t: t["text"] == x["text"]))
-            return F.concat(out, F.array(F.coalesce(F.get(fresh, 0), F.get(order, 0))))
+        def chosen(turns):
+            def step(out, d):
+                def one(order):
+                    fresh = F.filter(order, lambda x: ~F.exists(out, lambda t: t["text"] == x["text"]))
+                    return F.coalesce(F.get(fresh, 0), F.get(order, 0))
+
+                return F.concat(out, F.array(_let(F.get(turns, F.pmod(d + j, F.lit(3))), one)))
+
+            return F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), F.array().cast("array<struct<category:string,text:string>>"), step)
+
+        turned = _let(F.struct(a.alias("a"), b.alias("b"), c.alias("c")), lambda x: F.array(*[F.concat(*[x[i] for i in t]) for t in ("abc", "bca", "cab")]))
+        return _let(turned, chosen)
 
-        return F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), F.array().cast("array<struct<category:string,text:string>>"), step)
+    def own_starts(whole):
+        return F.filter(whole, lambda x, i: ~F.exists(F.slice(whole, F.lit(1), i), lambda y: F.get(y, 0)["text"] == F.get(x, 0)["text"]))
 
-    columns = F.transform(options, column)
     able = F.forall(options, lambda o: F.size(o["causality"]) + F.size(o["entity"]) + F.size(o["number"]) > 0)
-    whole = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda d: F.transform(columns, lambda x: F.get(x, d)))
-    whole = F.filter(whole, lambda x, i: ~F.exists(F.slice(whole, F.lit(1), i), lambda y: F.get(y, 0)["text"] == F.get(x, 0)["text"]))
+    whole = _let(F.transform(options, column), lambda columns: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda d: F.transform(columns, lambda x: F.get(x, d))))
+    whole = _let(whole, own_starts)
     return F.when(able & (F.size(options) > 0), whole).otherwise(F.array().cast("array<array<struct<category:string,text:string>>>"))
 
 

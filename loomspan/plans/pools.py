@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions.text import joiner, n_tokens
 from loomspan.operators import correlate, mixtures, perturb, prepare, report, scorers, windows
+from loomspan.sources.scratch import Scratch
 
 from .tables import RATED, SENTENCES, r6, rated, read, rounded, sentences
 
@@ -248,7 +249,7 @@ QUERIES["perturbed_windows"] = perturbed_windows
 
 
 def category_shares(spark, sf_dir):
-    w = perturbed_windows(spark, sf_dir)
+    w = Scratch(spark, "shares").save(perturbed_windows(spark, sf_dir).select("categories"), "categories")  # read three times
     shares, coverage = report.category_shares(w, "categories", [1, 2])
     return rounded(shares.select(F.col("category").alias("key"), F.col("share").alias("value")).unionByName(coverage.select(F.concat(F.lit("coverage"), F.col("d").cast("string")).alias("key"), F.col("coverage").alias("value"))), "value")
 

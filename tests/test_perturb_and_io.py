@@ -331,3 +331,21 @@ def test_sentences_are_split_once_for_hits(spark):
     got = {(h["unit"], h["way"], h["put"]) for r in hits.collect() for h in r["_hits"]}
     assert ("12", "digits", "") in got and ("n'est", "opener", "est") in got
     assert {(r["_t"], r["_m"]) for r in perturb.vocabulary(rows).collect()} == {(t, 1) for t in ("Il", "n'est", "pas", "12", "ici", "Rien")}
+
+
+def test_no_edit_is_made_after_the_last_one_wanted(spark):
+    """Sentences are made one by one until there are enough; the text itself, nulls and repeated ones do not count."""
+    make = lambda x: F.when(x == "stop", F.raise_error(F.lit("made too many"))).otherwise(F.nullif(x, F.lit("none")))
+    df = spark.createDataFrame([(["a", "none", "text", "a", "b", "stop"], "text"), (["text", "b", "b"], "text"), ([], "text")], "x array<string>, t string")
+    got = [r["y"] for r in df.select(perturb._first(F.col("x"), make, F.col("t"), 2).alias("y")).collect()]
+    assert got == [["a", "b"], ["b"], []]
+    rows = [(i, "en", "It is here and was there, may it 42 rain.") for i in range(3)]
+    assert all_variants(spark, rows, n=1) == {k: v[:1] for k, v in all_variants(spark, rows, n=1).items()}
+
+
+def test_windows_are_made_once_for_shares_and_coverage(spark, tmp_path):
+    spark.createDataFrame([(1, "en", "s", "He is 40.\nWe are 50."), (2, "en", "s", "No way.\nIt was 7.")], "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    shares = pools.category_shares(spark, str(tmp_path))
+    plan = shares._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan
+    assert {r["key"] for r in shares.collect()} >= {"coverage1", "coverage2"}
