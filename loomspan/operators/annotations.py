@@ -23,10 +23,11 @@ def error_weight(severity: Column, category: Column) -> Column:
     return F.when(s == "major", F.when(c.contains("non-translation"), 25.0).otherwise(5.0)).when(s == "minor", minor).otherwise(0.0)
 
 
-def two_level_rollup(errors: DataFrame, keys: list[str], rater: str, weight: str, score: str = "score") -> DataFrame:
-    """Errors are summed per rater, averaged over raters and negated; raters without weight count as 0."""
-    per_rater = errors.groupBy(*keys, rater).agg(F.sum(weight).alias("_w"))
-    return per_rater.groupBy(*keys).agg((F.lit(0.0) - F.avg("_w")).alias(score))
+def two_level_rollup(errors: DataFrame, keys: list[str], rater: str, weight: str, score: str = "score", first: str | None = None) -> DataFrame:
+    """Errors are summed per rater, averaged over raters and negated; raters without weight count as 0. ``first`` is a column whose smallest value goes along."""
+    least = [F.min(first).alias(first)] if first else []
+    per_rater = errors.groupBy(*keys, rater).agg(F.sum(weight).alias("_w"), *least)
+    return per_rater.groupBy(*keys).agg((F.lit(0.0) - F.avg("_w")).alias(score), *least)
 
 
 def severity_penalty(severity: Column) -> Column:

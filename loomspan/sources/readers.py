@@ -156,12 +156,20 @@ def read_errors(spark: SparkSession, path: str, canary: str = "CANARY") -> DataF
     return rows.filter(~F.col("source").contains(canary)) if canary else rows
 
 
+#: Error rows that a task takes, about: it sorts them, so this bounds its memory whatever the size of the file.
+SEGMENT_ROWS = 500_000
+
+
 def error_segments(errors: DataFrame) -> DataFrame:
-    """system, doc, seg, source, target, score of error rows: the first texts of a segment, penalties summed by rater, averaged and negated."""
+    """system, doc, seg, source, target, score of error rows: the first texts of a segment, penalties summed by rater, averaged and negated.
+
+    Rows are counted and then dealt once by segment, to as many tasks as that takes; no task's share grows with the file.
+    """
     keys = ["system", "doc", "seg"]
-    texts = errors.groupBy(*keys).agg(*[F.min_by(c, "line").alias(c) for c in ("source", "target")])
-    weighed = errors.withColumn("weight", error_weight(F.col("severity"), F.col("category")))
-    return texts.join(two_level_rollup(weighed, keys, "rater", "weight"), keys)
+    weighed = errors.na.drop(subset=keys).select(*keys, "rater", F.struct("line", "source", "target").alias("_first"), error_weight(F.col("severity"), F.col("category")).alias("weight"))
+    dealt = weighed.repartition(1 + errors.count() // SEGMENT_ROWS, *keys)
+    segments = two_level_rollup(dealt, keys, "rater", "weight", first="_first")
+    return segments.select(*keys, "_first.source", "_first.target", "score")
 
 
 DOCUMENT_SCORES = "doc_id string, src_text string, ref_text string, tgt_text map<string,string>, scores map<string,array<struct<score:string>>>"

@@ -169,3 +169,13 @@ def test_error_files_keep_full_rows(spark, tmp_path):
     assert got == {("A", "d", "1"): ("src", "mt", pytest.approx(-2.55)), ("A", "d", "2"): ("", "", -25.0)}
     (tmp_path / "s.tsv").write_text("docSegId\tseg_id\tsource\ttarget\n\t1\ta\tb\n7\t\tc\t\n")
     assert sorted((r["seg"], r["source"], r["target"]) for r in readers.read_errors(spark, str(tmp_path / "s.tsv")).collect()) == [("", "a", "b"), ("7", "c", "")]
+
+
+def test_segments_of_errors_are_dealt_by_their_number(spark, monkeypatch):
+    """A task's share is bounded: twenty times the rows come in as many more tasks, and segments without a key go."""
+    monkeypatch.setattr(readers, "SEGMENT_ROWS", 50)
+    rows = [(i, "a" if i % 2 else None, f"d{i // 10}", "0", f"r{i % 3}", f"s{i}", "", "", "minor") for i in range(1000)]
+    errors = spark.createDataFrame(rows, "line long, system string, doc string, seg string, rater string, source string, target string, category string, severity string")
+    got = readers.error_segments(errors).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r["task"] for r in got}) > 10
+    assert {(r["doc"], r["source"], round(r["score"], 6)) for r in got} == {(f"d{i}", f"s{10 * i + 1}", round(-5 / 3, 6)) for i in range(100)}
