@@ -23,7 +23,7 @@ LEAF, DRAW_BLOCK = 1024, 50
 TAU_ROWS = 200_000
 #: Distinct pairs of values up to which a larger group is counted in cells, and counts of cells that a task holds before it passes them on.
 TAU_CELLS, HELD_COUNTS = 100_000, 120_000_000
-#: Rows that a task multiplies at a time, and groups whose sums it holds before it passes them on.
+#: Rows or groups that a task multiplies at a time, and groups whose sums it holds before it passes them on.
 HELD_ROWS, HELD_GROUPS = 256, 1000
 
 
@@ -97,8 +97,10 @@ def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def numbered(rows: DataFrame, doc: str) -> tuple[DataFrame, int]:
     """Rows with ``_doc``, their document's number from 0 in the order of a hash, and how many documents there are."""
-    keys = rows.select(F.struct(F.col(doc)).alias("_d")).distinct().withColumn("_h", F.xxhash64("_d"))
-    placed = cumulative(keys.groupBy("_h").agg(F.count(F.lit(1)).alias("n")).withColumn("_all", F.lit(0)), ["_all"], "_h").select("_h", "before")
+    scratch = Scratch(rows.sparkSession, "numbers")
+    keys = scratch.save(rows.select(F.struct(F.col(doc)).alias("_d")).distinct().withColumn("_h", F.xxhash64("_d")), "keys")
+    counts = scratch.save(keys.groupBy("_h").agg(F.count(F.lit(1)).alias("n")), "counts")  # read several times
+    placed = cumulative(counts.withColumn("_all", F.lit(0)), ["_all"], "_h").select("_h", "before")
     inside = F.row_number().over(Window.partitionBy("_h").orderBy("_d")) - 1  # 0, but for equal hashes
     placed = keys.withColumn("_in", inside).join(placed, "_h").select("_d", (F.col("before") + F.col("_in")).alias("_doc"))
     return rows.withColumn("_d", F.struct(F.col(doc))).join(placed, "_d").drop("_d"), keys.count()
@@ -113,10 +115,11 @@ def weighted_means(units_: DataFrame, doc: str, group: str, value: str, draws: i
     """Per resample (``b``): mean over groups of the group's mean weighted by draws; groups without weight are left out.
 
     Values are summed by document and group first. Tasks then go through their leaves of documents in order, so each leaf's draws are made
-    once and a task holds one leaf and the sums of about HELD_GROUPS groups, whatever its share of the data.
+    once, and multiplied once for HELD_ROWS groups, and a task holds one leaf and the sums of about HELD_GROUPS groups, whatever its share of the data.
     """
-    rows, n = numbered(units_.filter(F.col(value).isNotNull()).select(doc, group, F.col(value).cast("double").alias("_v")), doc)
-    summed = rows.groupBy("_doc", group).agg(F.sum("_v").alias("_s"), F.count(F.lit(1)).cast("double").alias("_n"))
+    known = units_.filter(F.col(value).isNotNull()).select(doc, group, F.col(value).cast("double").alias("_v"))
+    summed = known.groupBy(doc, group).agg(F.sum("_v").alias("_s"), F.count(F.lit(1)).cast("double").alias("_n"))
+    rows, n = numbered(Scratch(units_.sparkSession, "means").save(summed, "sums"), doc)
     drawn, kind = Resamples(n, draws, seed, LEAF, DRAW_BLOCK), rows.schema[group].dataType
     schema = T.StructType([T.StructField("b", T.LongType()), T.StructField(group, kind), T.StructField("_s", T.DoubleType()), T.StructField("_w", T.DoubleType())])
 
@@ -129,21 +132,22 @@ def weighted_means(units_: DataFrame, doc: str, group: str, value: str, draws: i
                 yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([g] * len(some), labels), pa.array(s[some]), pa.array(w[some])], names=schema.names)
             held.clear()
 
-        now, counts = None, None
+        now, weights = None, None
         for batch in batches:  # in the order of leaves
             index, groups, s, c = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy(), batch.column(3).to_numpy()
             for begin, end in _runs(index // drawn.per_leaf):
                 leaf = int(index[begin]) // drawn.per_leaf
                 if leaf != now:
-                    now, counts = leaf, np.concatenate([drawn.leaf(block, leaf) for block in range(drawn.blocks)])
-                for a in range(begin, end, HELD_ROWS):
-                    b = min(a + HELD_ROWS, end)
-                    names = {g: k for k, g in enumerate(dict.fromkeys(groups[a:b]))}
-                    of = np.fromiter((names[g] for g in groups[a:b]), np.int64, b - a)
-                    at = np.zeros((len(names), 2, counts.shape[1]))
-                    at[of, 0, index[a:b] - leaf * drawn.per_leaf], at[of, 1, index[a:b] - leaf * drawn.per_leaf] = s[a:b], c[a:b]
-                    sums = at @ counts.T.astype(np.float64)
-                    for g, k in names.items():
+                    now, weights = leaf, np.concatenate([drawn.leaf(block, leaf) for block in range(drawn.blocks)]).T.astype(np.float64)
+                names = {g: k for k, g in enumerate(dict.fromkeys(groups[begin:end]))}
+                of, own = np.fromiter((names[g] for g in groups[begin:end]), np.int64, end - begin), index[begin:end] - leaf * drawn.per_leaf
+                for low in range(0, len(names), HELD_ROWS):
+                    some = list(names)[low : low + HELD_ROWS]
+                    mine = np.flatnonzero((of >= low) & (of < low + len(some)))
+                    at = np.zeros((len(some), 2, len(weights)))
+                    at[of[mine] - low, 0, own[mine]], at[of[mine] - low, 1, own[mine]] = s[begin:end][mine], c[begin:end][mine]
+                    sums = (at.reshape(-1, len(weights)) @ weights).reshape(len(some), 2, -1)
+                    for k, g in enumerate(some):
                         x, w = held.get(g) or (0.0, 0.0)
                         held[g] = x + sums[k, 0], w + sums[k, 1]
                     if len(held) > HELD_GROUPS:
@@ -151,8 +155,10 @@ def weighted_means(units_: DataFrame, doc: str, group: str, value: str, draws: i
         if held:
             yield from rows_of(batch.column(1).type)
 
-    parts = max(1, min(-(-n // drawn.per_leaf), 4 * _tasks(rows)))
-    spread = summed.select("_doc", group, "_s", "_n").repartition(parts, F.floor(F.col("_doc") / drawn.per_leaf)).sortWithinPartitions("_doc")
+    leaves = max(1, -(-n // drawn.per_leaf))
+    parts = min(leaves, 4 * _tasks(rows))
+    near = max(1, min(64, leaves // (16 * parts)))  # leaves next to each other have most nodes of the tree in common
+    spread = rows.select("_doc", group, "_s", "_n").repartition(parts, F.floor(F.col("_doc") / (near * drawn.per_leaf))).sortWithinPartitions("_doc")
     cell = spread.mapInArrow(run, schema).groupBy("b", group).agg((F.sum("_s") / F.sum("_w")).alias("m"))
     return cell.groupBy("b").agg(F.avg("m").alias("value"))
 

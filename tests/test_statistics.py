@@ -276,3 +276,24 @@ def test_ranks_and_percentiles_in_slices(spark, monkeypatch):
     found = {r["g"]: r["q"] for r in order.percentiles(df, ["g"], "y", shares).collect()}
     for g in ("big", None, "one", "flat"):
         assert found[g] == pytest.approx(list(np.percentile([y for k, _, y in rows if k == g], [100 * s for s in shares])))
+
+
+def test_means_of_many_groups_read_their_rows_once(spark, tmp_path):
+    """Against plain sums over the same draws, with more groups on a leaf than are multiplied at a time; the given rows are read by one job only."""
+    rng = np.random.default_rng(3)
+    rows = [(int(d), int(g), float(v)) for d, g, v in zip(rng.integers(0, 1500, 4000), rng.integers(0, 600, 4000), rng.normal(size=4000).round(3))]
+    spark.createDataFrame(rows, "doc long, g long, v double").write.parquet(f"{tmp_path}/given")
+    given = spark.read.parquet(f"{tmp_path}/given")
+    means = bootstrap.weighted_means(given, "doc", "g", "v", 60, 5)
+    assert not any("/given/" in f for f in means.inputFiles())
+    got = {r["b"]: r["value"] for r in means.collect()}
+    numbers, n = bootstrap.numbered(given, "doc")
+    table = [(r["_doc"], r["g"], r["v"]) for r in numbers.collect()]
+    drawn = bootstrap.Resamples(n, 60, 5)
+    weights = np.concatenate([drawn.times(b, np.arange(n)) for b in range(drawn.blocks)])
+    for b in range(60):
+        s, w = np.zeros(600), np.zeros(600)
+        for d, g, v in table:
+            s[g] += v * weights[b, d]
+            w[g] += weights[b, d]
+        assert got[b] == pytest.approx((s[w > 0] / w[w > 0]).mean(), abs=1e-9)
