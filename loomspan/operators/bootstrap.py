@@ -21,8 +21,11 @@ from .order import cumulative
 LEAF, DRAW_BLOCK = 1024, 50
 #: Rows of a group whose taus one task computes for all resamples; larger groups are counted for each resample by all tasks.
 TAU_ROWS = 200_000
-#: Distinct pairs of values up to which a larger group is counted in cells, and counts of cells that a task holds before it passes them on.
-TAU_CELLS, HELD_COUNTS = 100_000, 120_000_000
+#: Distinct pairs of values up to which a larger group is counted in cells; weights of documents, or of cells, under a block of resamples, and rows that a task
+#: holds before it passes on its counts.
+TAU_CELLS, HELD_COUNTS, HELD_LINES = 100_000, 60_000_000, 6_000_000
+#: Rows of a cell that are summed in one piece, and pieces that are summed at a time.
+PIECE_ROWS, PIECES = 1024, 8192
 #: Rows or groups that a task multiplies at a time, and groups whose sums it holds before it passes them on.
 HELD_ROWS, HELD_GROUPS = 256, 1000
 
@@ -206,89 +209,129 @@ def tau_delta(rows: DataFrame, group: str, doc: str, gold: str, a: str, b: str,
     return deltas.groupBy("b").agg(F.avg("delta").alias("value"))
 
 
+def _packed(cells: pa.RecordBatch) -> bytes:
+    """As compressed bytes, since Spark's own compression leaves counts as they are."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, cells.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(cells)
+    return sink.getvalue().to_pybytes()
+
+
+class _Cells:
+    """Places of rows ordered by their cells, so that the weights of each cell are summed under many resamples by few passes over all cells."""
+
+    def __init__(self, places: np.ndarray, cells: np.ndarray, n: int):
+        """``places`` of the rows' documents among weights, and which of ``n`` cells the rows are of; each cell has some."""
+        self.places = places[np.argsort(cells, kind="stable")]
+        sizes = np.bincount(cells, minlength=n)
+        pieces = -(-sizes // PIECE_ROWS)
+        self.pieces = np.cumsum(pieces) - pieces  # the first of each cell
+        begin = np.repeat(np.cumsum(sizes) - sizes, pieces) + PIECE_ROWS * (np.arange(pieces.sum()) - np.repeat(self.pieces, pieces))
+        length = np.minimum(begin + PIECE_ROWS, np.repeat(np.cumsum(sizes), pieces)) - begin
+        by = np.argsort(-length, kind="stable")
+        self.begin, self.shorter, self.back = begin[by], -length[by], np.empty_like(by)
+        self.back[by] = np.arange(len(by))
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        """Of the weights (a row per place, a column per resample) by cell."""
+        out = np.zeros((len(self.begin), weights.shape[1]), np.uint16 if int(weights.max(initial=0)) * PIECE_ROWS < 1 << 16 else np.int64)
+        for low in range(0, len(out), PIECES):
+            begin, shorter, part = (x[low : low + PIECES] for x in (self.begin, self.shorter, out))
+            for j in range(-int(shorter[0])):  # the j-th row of all pieces that have one
+                more = int(np.searchsorted(shorter, -j, "left"))
+                part[:more] += weights.take(self.places[begin[:more] + j], axis=0)
+        out = out[self.back]
+        return out if len(out) == len(self.pieces) else np.add.reduceat(out, self.pieces, axis=0, dtype=np.int64)
+
+
 def _counted_deltas(rows: DataFrame, drawn: Resamples) -> DataFrame:
     """``b``, ``delta``: of groups of any size that have few distinct (gold, one) and (gold, two), from counts of these cells under every resample.
 
-    Tasks go through documents in order of leaves and add each row's weights in all resamples to its two cells; what leaves a task is a row for each cell
-    and block of resamples, however many rows it had.
+    Tasks go through documents in order of leaves and hold their rows as numbers of documents and cells, until these or the weights of a block of resamples
+    become too many. Then they sum the weights by cell, one block after the other. What leaves a task is a compressed table for each block, group and side, with
+    a row for each cell, so it does not follow the number of rows until that passes HELD_LINES or that of weights passes HELD_COUNTS.
     """
-    counts = [f"_w{i}" for i in range(drawn.per_block)]
-    fields = [rows.schema["_g"], T.StructField("_side", T.LongType()), T.StructField("_x", T.DoubleType()), T.StructField("_y", T.DoubleType()), T.StructField("_block", T.LongType()), *[T.StructField(c, T.IntegerType()) for c in counts]]
-    schema = T.StructType(fields)
+    schema = T.StructType([rows.schema["_g"], T.StructField("_side", T.LongType()), T.StructField("_block", T.LongType()), T.StructField("_cells", T.BinaryType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = drawn.blocks * drawn.per_block
-        most = max(1, HELD_COUNTS // width)
-        known: dict[tuple, dict[complex, int]] = {}
-        held, used, rows_held = np.zeros((min(most, 1024), width), np.int32), 0, 0
-        now, weights = None, None
-
-        def cells(kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-            for (g, side), at in known.items():
-                values, slots = np.array(list(at), np.complex128), np.fromiter(at.values(), np.int64, len(at))
-                for block in range(drawn.blocks):
-                    part = held[slots, block * drawn.per_block : (block + 1) * drawn.per_block].T.copy()
-                    labels = pa.array([{kind.field(0).name: g}] * len(at), kind)
-                    yield pa.RecordBatch.from_arrays([labels, pa.array(np.full(len(at), side)), pa.array(values.real.copy()), pa.array(values.imag.copy()), pa.array(np.full(len(at), block)), *map(pa.array, part)], names=schema.names)
-
+        known: tuple[dict, dict] = ({}, {})  # by side: the cells of each group, and their numbers
+        used, held, leaves, kind = [0, 0], [], 0, None
+
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            index = np.concatenate([x[0] for x in held])
+            own, at = np.unique(index // drawn.per_leaf, return_inverse=True)
+            places = at * drawn.per_leaf + index % drawn.per_leaf
+            cells = [_Cells(places, np.concatenate([x[1][side] for x in held]), used[side]) for side in (0, 1)]
+            held.clear()
+            values: list = [{g: np.array(list(x), np.complex128) for g, x in known[side].items()} for side in (0, 1)]
+            order = [{g: np.argsort(v, kind="stable") for g, v in values[side].items()} for side in (0, 1)]
+            slots = [{g: np.fromiter(x.values(), np.int64, len(x))[order[side][g]] for g, x in known[side].items()} for side in (0, 1)]
+            for block in range(drawn.blocks):
+                weights = np.zeros((len(own) * drawn.per_leaf, drawn._size(block)), np.uint8)
+                for k, leaf in enumerate(own.tolist()):
+                    made = drawn.leaf(block, leaf)
+                    if made.max(initial=0) > np.iinfo(weights.dtype).max:
+                        weights = weights.astype(np.int64)
+                    weights[k * drawn.per_leaf :][: made.shape[1]] = made.T
+                for side in (0, 1):
+                    sums = cells[side].sums(weights)
+                    for g, of in slots[side].items():
+                        v, part = values[side][g][order[side][g]], sums[of]
+                        part = part.astype(np.min_scalar_type(int(part.max(initial=0)))).T.copy()
+                        table = pa.RecordBatch.from_arrays([pa.array(v.real.copy()), pa.array(v.imag.copy()), *map(pa.array, part)], names=["x", "y", *map(str, range(len(part)))])
+                        yield pa.RecordBatch.from_arrays([pa.array([{kind.field(0).name: g}], kind), pa.array([side], pa.int64()), pa.array([block], pa.int64()), pa.array([_packed(table)], pa.binary())], names=schema.names)
+            for side in (0, 1):
+                known[side].clear()
+                used[side] = 0
+
+        last = None
         for batch in batches:  # in the order of leaves
             kind, index = batch.column("_g").type, batch.column("_doc").to_numpy()
-            if used and (used + 2 * len(index) > most or rows_held > 1 << 26):
-                yield from cells(kind)
-                known.clear()
-                held[:used] = 0
-                used = rows_held = 0
-            rows_held += len(index)
             labels = batch.column("_g").field(0).dictionary_encode("encode")
-            codes, slots = labels.indices.to_numpy(), np.zeros((2, len(index)), np.int64)
+            codes, numbers = labels.indices.to_numpy(), np.zeros((2, len(index)), np.int32)
             for code, g in enumerate(labels.dictionary.to_pylist()):
                 mine = np.flatnonzero(codes == code)
                 for side, column in enumerate(("_one", "_two")):
                     pair = np.stack([batch.column("_gold").to_numpy()[mine], batch.column(column).to_numpy()[mine]], axis=1).view(np.complex128)[:, 0]
-                    values, inverse = np.unique(pair, return_inverse=True)
-                    at, own = known.setdefault((g, side), {}), []
-                    for v in values.tolist():
+                    distinct, inverse = np.unique(pair, return_inverse=True)
+                    at, own = known[side].setdefault(g, {}), []
+                    for v in distinct.tolist():
                         if v not in at:
-                            at[v], used = used, used + 1
+                            at[v], used[side] = used[side], used[side] + 1
                         own.append(at[v])
-                    slots[side, mine] = np.array(own, np.int64)[inverse]
-            if used > len(held):
-                held = np.concatenate([held, np.zeros((max(used - len(held), min(len(held), most)), width), np.int32)])
-            for begin, end in _runs(index // drawn.per_leaf):
-                leaf = int(index[begin]) // drawn.per_leaf
-                if leaf != now:
-                    made = np.concatenate([drawn.leaf(block, leaf) for block in range(drawn.blocks)])
-                    weights = np.zeros((made.shape[1], width), np.int32)
-                    weights[:, : len(made)] = made.T
-                    now = leaf
-                for a in range(begin, end, HELD_ROWS):
-                    b = min(a + HELD_ROWS, end)
-                    for own in slots[:, a:b]:
-                        order = np.argsort(own, kind="stable")
-                        own = own[order]
-                        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                        held[own[first]] += np.add.reduceat(weights[index[a:b][order] - leaf * drawn.per_leaf], first, axis=0)
-        if used:
-            yield from cells(kind)
+                    numbers[side, mine] = np.array(own, np.int32)[inverse]
+            held.append((index.copy(), numbers))
+            touched = np.unique(index // drawn.per_leaf)
+            leaves += len(touched) - int(len(touched) and touched[0] == last)
+            last = touched[-1] if len(touched) else last
+            if max(leaves * drawn.per_leaf, *used) * drawn.per_block > HELD_COUNTS or sum(len(x[0]) for x in held) > HELD_LINES:
+                yield from passed_on()
+                leaves, last = 0, None
+        if held:
+            yield from passed_on()
 
     def taus(key: tuple, table: pa.Table) -> pa.Table:
-        block, sides = key[1].as_py(), table.column("_side").to_numpy()
-        halves = []
+        block, sides, found = key[1].as_py(), table.column("_side").to_numpy(), []
+        size = drawn._size(block)
         for side in (0, 1):
-            part = table.filter(pa.array(sides == side))
-            x, y = part.column("_x").to_numpy(), part.column("_y").to_numpy()
-            halves.append((weighted_tau_b(x, y), [part.column(c).to_numpy() for c in counts]))
-        size, first, out = drawn._size(block), drawn.per_block * block, []
-        (tau_one, w_one), (tau_two, w_two) = halves
-        for i in range(size):
-            one, two = tau_one(w_one[i]), tau_two(w_two[i])
-            out.append(one - two if int(w_one[i].sum()) > 2 and one is not None and two is not None else None)
+            parts = [pa.ipc.open_stream(x.as_buffer()).read_all() for x in table.column("_cells").filter(pa.array(sides == side))]
+            pairs = np.concatenate([np.stack([p.column("x").to_numpy(), p.column("y").to_numpy()], axis=1).view(np.complex128)[:, 0] for p in parts])
+            values, inverse = np.unique(pairs, return_inverse=True)
+            w, begin = np.zeros((size, len(values)), np.int64), 0
+            for p in parts:  # a cell is in a part once
+                at = inverse[begin : begin + len(p)]
+                begin += len(p)
+                for i in range(size):
+                    w[i, at] += p.column(str(i)).to_numpy()
+            tau = weighted_tau_b(values.real.copy(), values.imag.copy())
+            found.append([tau(x) if int(x.sum()) > 2 else None for x in w])
+        out = [one - two if one is not None and two is not None else None for one, two in zip(*found, strict=True)]
+        first = drawn.per_block * block
         return pa.table({"b": pa.array(range(first, first + size), pa.int64()), "delta": pa.array(out, pa.float64())})
 
     parts = max(1, min(-(-drawn.n // drawn.per_leaf), _tasks(rows)))
     spread = rows.select("_g", "_doc", "_gold", "_one", "_two").repartition(parts, F.floor(F.col("_doc") / drawn.per_leaf)).sortWithinPartitions("_doc")
-    cells_ = spread.mapInArrow(count, schema).groupBy("_g", "_side", "_x", "_y", "_block").agg(*[F.sum(c).alias(c) for c in counts])
-    return cells_.groupBy("_g", "_block").applyInArrow(taus, "b bigint, delta double")
+    return spread.mapInArrow(count, schema).groupBy("_g", "_block").applyInArrow(taus, "b bigint, delta double")
 
 
 def _large_deltas(rows: DataFrame, drawn: Resamples) -> DataFrame:

@@ -211,6 +211,39 @@ def test_large_groups_of_few_values_are_counted_in_cells(spark, monkeypatch, hel
     assert len(got) == 4
 
 
+def test_counts_of_cells_leave_a_task_once(spark, monkeypatch):
+    """What leaves a task follows its cells and not its batches of rows, and the numbers are those of whole groups."""
+    rng = np.random.default_rng(6)
+    values = [(int(d), float(x), float(y), float(z)) for d, x, y, z in zip(rng.integers(0, 300, 4000), *rng.integers(0, 20, (3, 4000)), strict=True)]
+    rows = spark.createDataFrame([(g, *v) for v in values for g in "gh"], "g string, d long, gold double, a double, b double")
+    want = {r["b"]: r["value"] for r in bootstrap.tau_delta(rows, "g", "d", "gold", "a", "b", 70, 3).collect()}
+    plain, made = type(rows).mapInArrow, []
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, *a, **b: made.append(plain(self, *a, **b)) or made[-1])
+    for name, value in (("TAU_ROWS", 50), ("HELD_COUNTS", 60_000), ("_large_deltas", None)):
+        monkeypatch.setattr(bootstrap, name, value)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
+    try:
+        got = {r["b"]: r["value"] for r in bootstrap.tau_delta(rows, "g", "d", "gold", "a", "b", 70, 3).collect()}
+        assert len(made) == 1 and made[0].count() == 2 * 2 * 2  # groups, sides and blocks of resamples
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got.keys() == want.keys() and all(got[b] == pytest.approx(want[b], abs=1e-12) for b in want)
+
+
+@pytest.mark.parametrize(("piece", "pieces", "most"), [(1024, 8192, 4), (3, 5, 4), (1024, 8192, 300)])
+def test_sums_by_cell_against_plain_sums(monkeypatch, piece, pieces, most):
+    """One cell with most rows, cells in pieces, weights too large for small numbers."""
+    for name, value in (("PIECE_ROWS", piece), ("PIECES", pieces)):
+        monkeypatch.setattr(bootstrap, name, value)
+    rng = np.random.default_rng(2)
+    cells = np.concatenate([np.arange(40), rng.integers(0, 40, 200), np.full(3000, 7)])
+    places, weights = rng.integers(0, 90, len(cells)), rng.integers(0, most, (90, 11)).astype(np.uint16)
+    want = np.zeros((40, 11), np.int64)
+    np.add.at(want, cells, weights[places].astype(np.int64))
+    assert (bootstrap._Cells(places, cells, 40).sums(weights) == want).all()
+
+
 def test_kendall_in_slices(spark):
     """Groups cut into slices of ten cells, and their grids again, against the plain form: ties, heavy values, constants, weights."""
     rng = np.random.default_rng(8)
