@@ -7,6 +7,7 @@ pool_idx among ties, so a gold block wins a tie against its own negatives.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomspan.functions.numeric import dot, unit
+from loomspan.sources.scratch import Scratch
 
 
 #: Candidates of one slice and queries of one block: what a task holds, and queries whose similarities to a slice it holds at a time.
@@ -24,6 +26,10 @@ SLICE_CANDIDATES, BLOCK_QUERIES, TILE_QUERIES = 2_000, 4_000, 256
 LEAST_CELLS = 16
 #: Similarities nearer to the best than this are taken again, number by number, before ties are decided.
 NEAR = 1e-9
+#: Of the search for a better candidate: blocks of a slice, queries of a part, queries and representatives whose similarities a task holds at a time.
+SEARCH_BLOCKS, SEARCH_QUERIES, SEARCH_TILE = 100_000, 300_000, (256, 4096)
+#: How far from its gold a negative may be that the gold stands for, and how much similarities of vectors rounded to half precision may be wrong.
+STANDS_FOR, ROUGH = 0.35, 1.2e-3
 
 
 def own_similarities(queries: DataFrame, candidates: DataFrame, group: list[str]) -> DataFrame:
@@ -140,6 +146,160 @@ def pool_errors(bests: DataFrame, group: list[str]) -> DataFrame:
     return out
 
 
+def _exact_units(v: np.ndarray) -> np.ndarray:
+    """Row by row as :func:`unit` makes them."""
+    norms = np.zeros(len(v))
+    for j in range(v.shape[1]):
+        norms += v[:, j] * v[:, j]
+    return v / np.maximum(np.sqrt(norms), 1e-12)[:, None]
+
+
+def _rough(v: np.ndarray) -> list[bytes]:
+    return [x.tobytes() for x in v.astype(np.float16)]
+
+
+def _unrough(column: pa.ChunkedArray, dims: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(-1, dims).astype(np.float32)
+
+
+class _Slice:
+    """Candidates of some blocks, ready to be searched: golds, negatives that these stand for, and other negatives, which stand for themselves."""
+
+    def __init__(self, blocks: np.ndarray, idx: np.ndarray, vectors: np.ndarray, of: np.ndarray, dims: int):
+        """``blocks`` of the golds; of all candidates ``idx``, ``vectors`` and the place of their block ``of``; a block's gold is the first of its candidates."""
+        gold = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        true = np.zeros(len(of), bool)
+        true[gold] = True
+        apart = np.sqrt(((vectors - vectors[gold][of]) ** 2).sum(axis=1))
+        near = np.flatnonzero(~true & (apart <= STANDS_FOR))
+        far = np.flatnonzero(~true & (apart > STANDS_FOR))
+        reach = np.zeros(len(gold), np.float32)
+        np.maximum.at(reach, of[near], apart[near].astype(np.float32))
+        self.idx, self.vectors, self.block = idx, vectors, blocks[of]
+        self.reps, self.golds = np.concatenate([gold, far]), len(gold)
+        self.reach = np.concatenate([reach, np.zeros(len(far), np.float32)])
+        self.near, self.first = near, np.searchsorted(of[near], np.arange(len(gold) + 1))
+
+    def hits(self, q: np.ndarray, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(queries, candidates) of at least a query's similarity; what is less by more than rounding is left out."""
+        left = np.concatenate([q, np.ones((len(q), 1), np.float32), -least[:, None].astype(np.float32)], axis=1)
+        for low in range(0, len(self.reps), SEARCH_TILE[1]):
+            reps = self.reps[low : low + SEARCH_TILE[1]]
+            right = np.concatenate([self.vectors[reps], self.reach[low : low + len(reps), None], np.ones((len(reps), 1), np.float32)], axis=1)
+            x, r = np.divmod(np.flatnonzero((left @ right.T).ravel() >= -2 * ROUGH), len(reps))
+            r += low
+            stands = r < self.golds
+            n = np.where(stands, self.first[np.minimum(r, self.golds - 1) + 1] - self.first[np.minimum(r, self.golds - 1)], 0)
+            more = np.repeat(self.first[np.minimum(r, self.golds - 1)] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            yield np.concatenate([x, np.repeat(x, n)]), np.concatenate([self.reps[r], self.near[more]])
+
+
+def searched_errors(blocks: DataFrame, group: list[str], vectors: Callable, dims: int) -> DataFrame:
+    """The errors of :func:`pool_errors`, of queries whose own block is among the candidates, without the best candidates themselves.
+
+    ``blocks``: group columns, ``block_id``, and what ``vectors`` needs; a saved table, for it is read three times. ``vectors`` takes batches of blocks and gives for each
+    the vectors of its queries and of its candidates (gold first, block by block), their pool_idx and their block's place. The query of a block errs in a pool if some candidate there
+    is nearer than its gold, or as near with a lower pool_idx. Own candidates are compared where vectors are made. The others are searched in cells, of a slice of
+    blocks and a part of queries each: a gold stands for its negatives up to their distance from it, so most are never compared. Vectors go there in half
+    precision, and pairs that this leaves open, of queries with no certain error, are compared again in doubles. The work is still that of all queries by all golds.
+    """
+    spark, scratch = blocks.sparkSession, Scratch(blocks.sparkSession, "search")
+    key = F.struct(*group) if group else F.lit(0)
+    sizes = blocks.groupBy(key.alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select("_g", F.ceil(F.col("_n") / SEARCH_BLOCKS).cast("int").alias("_slices"), F.ceil(F.col("_n") / SEARCH_QUERIES).cast("int").alias("_parts"))
+    fields = [*[blocks.schema[g] for g in group], blocks.schema["block_id"]]
+    made = T.StructType([*fields, T.StructField("_gold", T.DoubleType()), T.StructField("_own", T.IntegerType()), T.StructField("_query", T.BinaryType()), T.StructField("_idx", T.BinaryType()), T.StructField("_vectors", T.BinaryType())])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for q, c, idx, of, batch in vectors(batches):
+            q, c = _exact_units(q), _exact_units(c)
+            first = np.searchsorted(of, np.arange(len(q)))
+            sims = _exact_dots(q[of], c)
+            gold = sims[first]
+            negative = np.arange(len(of)) != first[of]
+            lost = negative & ((sims > gold[of]) | ((sims == gold[of]) & (idx < idx[first][of])))
+            own = np.zeros(len(q), np.int32)  # 0 no negatives, 1 none is nearer, 2 one is
+            np.maximum.at(own, of[negative], 1 + lost[negative])
+            ends = [*first.tolist(), len(of)]
+            rough = c.astype(np.float16)
+            lists = [[x[a:b].tobytes() for a, b in zip(ends, ends[1:])] for x in (idx.astype(np.int64), rough)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in fields], pa.array(gold), pa.array(own), pa.array(_rough(q), pa.binary()), *[pa.array(x, pa.binary()) for x in lists]], names=made.names)
+
+    placed = blocks.mapInArrow(make, made).withColumn("_g", key).join(F.broadcast(sizes), "_g")
+    hashed = F.xxhash64("block_id")
+    slice_, part = F.pmod(hashed, F.col("_slices")).cast("int"), F.pmod(F.shiftright(hashed, 20), F.col("_parts")).cast("int")
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    as_query = F.transform(each("_slices"), lambda s: F.struct(F.lit(True).alias("q"), s.alias("s"), part.alias("p")))
+    as_candidate = F.transform(each("_parts"), lambda p: F.struct(F.lit(False).alias("q"), slice_.alias("s"), p.alias("p")))
+    dealt = placed.withColumn("_c", F.explode(F.concat(as_query, as_candidate))).select(
+        *group, "block_id", "_gold", "_own", F.col("_c.q").alias("_is_query"), F.col("_c.s").alias("_s"), F.col("_c.p").alias("_p"), F.when(F.col("_c.q"), F.col("_query")).alias("_query"),
+        F.when(~F.col("_c.q"), F.col("_idx")).alias("_idx"), F.when(~F.col("_c.q"), F.col("_vectors")).alias("_vectors"))
+    found = T.StructType([*fields, T.StructField("_own", T.IntegerType()), T.StructField("_true", T.BooleanType()), T.StructField("_negative", T.BooleanType()), T.StructField("_with", fields[-1].dataType), T.StructField("_at", T.LongType())])
+
+    def cell(table: pa.Table) -> pa.Table:
+        queries, c = table.filter(table.column("_is_query")), table.filter(pa.compute.invert(table.column("_is_query")))
+        out = [queries.select([*group, "block_id", "_own"]).append_column("_true", pa.array(np.zeros(len(queries), bool))).append_column("_negative", pa.array(np.zeros(len(queries), bool)))]
+        if len(queries) and len(c):
+            idx = [np.frombuffer(x, np.int64) for x in c.column("_idx").to_pylist()]
+            q, ids_q, ids_c = _unrough(queries.column("_query"), dims), *_codes(queries.column("block_id"), c.column("block_id"))
+            slice_ = _Slice(ids_c, np.concatenate(idx), _unrough(c.column("_vectors"), dims), np.repeat(np.arange(len(c)), [len(x) for x in idx]), dims)
+            is_gold = np.zeros(len(slice_.idx), bool)
+            is_gold[slice_.reps[: slice_.golds]] = True
+            name_of = dict(zip(ids_c.tolist(), c.column("block_id").to_pylist()))
+            gold, own = queries.column("_gold").to_numpy(), queries.column("_own").to_numpy()
+            lost, unsure = np.zeros((2, len(q)), bool), []
+            lost[1] = own == 2  # which says enough about negatives
+            for a in range(0, len(q), SEARCH_TILE[0]):
+                tile = slice(a, a + SEARCH_TILE[0])
+                for x, y in slice_.hits(q[tile], gold[tile]):
+                    x = x + a
+                    keep = (slice_.block[y] != ids_q[x]) & ~lost[1 - is_gold[y], x]
+                    x, y = x[keep], y[keep]
+                    above = (q[x] * slice_.vectors[y]).sum(axis=1, dtype=np.float64) - gold[x]
+                    sure = above > ROUGH
+                    lost[1 - is_gold[y[sure]], x[sure]] = True
+                    open_ = np.flatnonzero(~sure & (above >= -ROUGH))
+                    unsure.append(np.stack([x[open_], y[open_]]))
+            x, y = np.concatenate(unsure, axis=1)
+            keep = ~lost[1 - is_gold[y], x]
+            x, y = x[keep], y[keep]
+            out[0] = out[0].drop_columns(["_true", "_negative"]).append_column("_true", pa.array(lost[0])).append_column("_negative", pa.array(lost[1]))
+            pairs = queries.select([*group, "block_id", "_own"]).take(pa.array(x)).append_column("_true", pa.array(is_gold[y])).append_column("_negative", pa.array(~is_gold[y]))
+            out.append(pairs.append_column("_with", pa.array([name_of[b] for b in slice_.block[y].tolist()], table.schema.field("block_id").type)).append_column("_at", pa.array(slice_.idx[y])))
+        out[0] = out[0].append_column("_with", pa.nulls(len(queries), table.schema.field("block_id").type)).append_column("_at", pa.nulls(len(queries), pa.int64()))
+        return pa.concat_tables(out).cast(pa.schema([table.schema.field(f.name) if f.name in table.schema.names else pa.field(f.name, {"_true": pa.bool_(), "_negative": pa.bool_(), "_with": table.schema.field("block_id").type, "_at": pa.int64()}[f.name]) for f in found]))
+
+    searched = scratch.save(dealt.groupBy(*group, "_s", "_p").applyInArrow(cell, found), "searched")
+    names = [f.name for f in fields]
+    sure = searched.filter("_at IS NULL").groupBy(*names).agg(F.max("_own").alias("_own"), F.max("_true").alias("_true"), F.max("_negative").alias("_negative"))
+    id_of = lambda c: F.struct(*group, c.alias("block_id"))
+    known = sure.select(id_of(F.col("block_id")).alias("_me"), F.col("_true").alias("_t"), F.col("_negative").alias("_m"))
+    unsure = searched.filter("_at IS NOT NULL").withColumn("_me", id_of(F.col("block_id"))).join(known, "_me").filter(~F.when(F.col("_true"), F.col("_t")).otherwise(F.col("_m")))
+    unsure = scratch.save(unsure.select("_me", id_of(F.col("_with")).alias("_other"), "_true", "_at"), "unsure")
+    wanted = unsure.select(F.col("_me").alias("_k")).unionByName(unsure.select(F.col("_other").alias("_k"))).distinct()
+    again = scratch.save(blocks.withColumn("_k", id_of(F.col("block_id"))).join(wanted, "_k", "left_semi").drop("_k"), "again")
+    exact = T.StructType([*fields, T.StructField("_at", T.LongType()), T.StructField("_v", T.ArrayType(T.DoubleType())), T.StructField("_q", T.ArrayType(T.DoubleType())), T.StructField("_gold", T.DoubleType()), T.StructField("_first", T.LongType())])
+
+    def remake(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = lambda v: pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, dims), pa.int32()), pa.array(v.ravel()))
+        for q, c, idx, of, batch in vectors(batches):
+            q, c, first = _exact_units(q), _exact_units(c), np.searchsorted(of, np.arange(len(q)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name).take(pa.array(of)) for f in fields], pa.array(idx), rows(c), rows(q[of]), pa.array(_exact_dots(q, c[first])[of]), pa.array(idx[first][of])], names=exact.names)
+
+    vectors_ = again.mapInArrow(remake, exact).withColumn("_k", id_of(F.col("block_id")))
+    mine = vectors_.filter(F.col("_at") == F.col("_first")).select(F.col("_k").alias("_me"), "_q", "_gold", "_first")
+    theirs = vectors_.select(F.col("_k").alias("_other"), "_at", "_v")
+    sim = dot(F.col("_q"), F.col("_v"))
+    lost = unsure.join(theirs, ["_other", "_at"]).join(mine, "_me").filter((sim > F.col("_gold")) | ((sim == F.col("_gold")) & (F.col("_at") < F.col("_first"))))
+    lost = lost.groupBy("_me").agg(F.max("_true").alias("_t"), F.max(~F.col("_true")).alias("_m"))
+    each_query = scratch.save(sure.withColumn("_me", id_of(F.col("block_id"))).join(lost, "_me", "left").select(*group, "_own", (F.col("_true") | F.coalesce("_t", F.lit(False))).alias("_true"), (F.col("_negative") | F.coalesce("_m", F.lit(False))).alias("_negative")), "queries")
+    out = None
+    for name, rows, wrong in (("true_only", each_query, F.col("_true")), ("full", each_query, F.col("_true") | F.col("_negative")), ("hard", each_query, F.col("_negative")), ("own", each_query.filter("_own > 0"), F.col("_own") == 2)):
+        pool = rows.groupBy(*group).agg(F.avg(wrong.cast("double")).alias("error"), F.count(F.lit(1)).alias("n_blocks")).withColumn("pool", F.lit(name))
+        out = pool if out is None else out.unionByName(pool)
+    return out
+
+
 def error_typology(bests: DataFrame, group: list[str]) -> DataFrame:
     """On the full pool: correct, misaligned (another block or its negative), or lost to an own negative's category."""
     won = _winner(bests, group, F.lit(True))

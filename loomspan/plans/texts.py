@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from loomspan.functions.tokens import subword_counter
@@ -46,10 +47,24 @@ def text_pools(spark, sf_dir):
 
 def retrieval_texts(spark, sf_dir):
     """Errors of the four pools by language and source, from texts: an embedder fitted on all lines makes the vectors."""
-    scratch, embedder = Scratch(spark, "vectors"), embed.fit(sentences(spark, sf_dir), "text")
-    queries, candidates = (scratch.save(embedder.embed(t, "text").drop("text"), "vectors") for t in text_pools(spark, sf_dir))
-    bests = retrieval.class_bests(queries, candidates, ["lang", "source"])
-    return rounded(retrieval.pool_errors(bests, ["lang", "source"]), "error")
+    scratch, embedder = Scratch(spark, "texts"), embed.fit(sentences(spark, sf_dir), "text")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("in_block", "text"))), lambda x: x["text"])
+    blocks = candidate_pool(spark, sf_dir).groupBy("doc_id", "first_row").agg(texts.alias("texts")).join(read(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id")
+    blocks = scratch.save(blocks.select("lang", "source", (F.col("doc_id") * 100_000 + F.col("first_row")).alias("block_id"), "texts"), "blocks")
+
+    def vectors(batches):
+        words = embed.Words(embedder.grams, embedder.buckets)
+        for whole in batches:
+            for low in range(0, len(whole), 1000):
+                batch = whole.slice(low, 1000)
+                each, ids = batch.column("texts").to_pylist(), batch.column("block_id").to_numpy()
+                n = np.array([len(x) for x in each], np.int64)
+                of = np.repeat(np.arange(len(each)), n)
+                idx = ids[of] * 1000 + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                made = embedder.vectors([*[" ".join(w for i, w in enumerate(x[0].split(" ")) if i % 3 != 2) for x in each], *[t for x in each for t in x]], words)
+                yield made[: len(each)], made[len(each) :], idx, of, batch
+
+    return rounded(retrieval.searched_errors(blocks, ["lang", "source"], vectors, embedder.dims), "error")
 
 
 QUERIES["retrieval_texts"] = retrieval_texts

@@ -159,6 +159,61 @@ def test_retrieval_from_texts_against_loops(spark):
     assert len(wrong) > 2
 
 
+def test_search_for_a_better_candidate_against_all_bests(spark, monkeypatch):
+    """The errors of :func:`pool_errors` from all pairs: ties of equal vectors and of nearly equal ones, blocks without negatives, null groups, many cells."""
+    monkeypatch.setattr(retrieval, "SEARCH_BLOCKS", 9)
+    monkeypatch.setattr(retrieval, "SEARCH_QUERIES", 14)
+    rng = np.random.default_rng(5)
+    few = rng.normal(size=(12, 8))
+    rows = []
+    for b in range(90):
+        gold = few[rng.integers(0, 12)] * (1 if b % 3 else 3) + (rng.normal(size=8) * 10.0 ** -int(rng.integers(1, 18)) if b % 2 else 0)
+        some = [gold + rng.normal(size=8) * rng.choice([0, 1e-15, 0.01, 0.1, 1.0]) for _ in range(int(rng.integers(0, 4)))]
+        rows.append((("x", "y", None)[b % 7 % 3], 1000 - b, (gold + rng.normal(size=8) * rng.choice([1e-4, 0.1, 0.5])).tolist(), [v.tolist() for v in (gold, *some)]))
+    blocks = spark.createDataFrame(rows, "lang string, block_id long, q array<double>, c array<array<double>>").repartition(5)
+
+    def vectors(batches):
+        for batch in batches:
+            each, ids = batch.column("c").to_pylist(), batch.column("block_id").to_numpy()
+            idx = [10 * i + k for i, x in zip(ids.tolist(), each, strict=True) for k in range(len(x))]
+            yield np.array(batch.column("q").to_pylist()), np.array([v for x in each for v in x]), np.array(idx), np.repeat(np.arange(len(each)), [len(x) for x in each]), batch
+
+    got = {(r["lang"], r["pool"]): (r["error"], r["n_blocks"]) for r in retrieval.searched_errors(blocks, ["lang"], vectors, 8).collect()}
+    c = spark.createDataFrame([(g, b, 10 * b + k, "perturbed" if k else "true", "number" if k else None, v) for g, b, _, x in rows for k, v in enumerate(x)], "lang string, block_id long, pool_idx long, kind string, category string, vector array<double>")
+    bests = retrieval.class_bests(blocks.select("lang", "block_id", F.col("q").alias("vector")), c, ["lang"])
+    want = {(r["lang"], r["pool"]): (r["error"], r["n_blocks"]) for r in retrieval.pool_errors(bests.na.fill("null", ["lang"]), ["lang"]).collect()}
+    assert {(g or "null", p): v for (g, p), v in got.items()} == want and len(want) == 12
+    assert len({e for e, _ in want.values()}) > 4
+
+
+def test_golds_stand_for_their_negatives(monkeypatch):
+    """Every candidate at least as near as a query asks is found, though few are compared."""
+    monkeypatch.setattr(retrieval, "SEARCH_TILE", (16, 7))
+    rng = np.random.default_rng(1)
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    golds, n = unit(rng.normal(size=(40, 8))), rng.integers(0, 5, 40)
+    of = np.repeat(np.arange(40), n + 1)
+    first = np.concatenate([[True], of[1:] != of[:-1]])
+    c = unit(np.where(first[:, None], golds[of], golds[of] + rng.normal(size=(len(of), 8)) * rng.choice([0.02, 0.08, 0.5], len(of))[:, None])).astype(np.float32)
+    q, least = unit(rng.normal(size=(20, 8))).astype(np.float32), rng.uniform(0.3, 0.9, 20)
+    parts = retrieval._Slice(np.arange(40), np.arange(len(of)), c, of, 8)
+    found = {(int(a), int(b)) for x, y in parts.hits(q, least) for a, b in zip(x, y, strict=True)}
+    assert found >= {(int(a), int(b)) for a, b in zip(*np.nonzero(q @ c.T >= least[:, None]), strict=True)} and len(parts.reps) < len(of)
+
+
+def test_retrieval_from_texts_makes_its_texts_once(spark, monkeypatch):
+    """The same errors as from the bests of all pairs, which are not listed."""
+    sf = "/root/testdata/sf0.001"
+    e = embed.fit(plans.sentences(spark, sf), "text")
+    bests = retrieval.class_bests(*(e.embed(t, "text") for t in plans.text_pools(spark, sf)), ["lang", "source"])
+    want = {(r["lang"], r["source"], r["pool"]): (pytest.approx(r["error"], abs=1e-6), r["n_blocks"]) for r in retrieval.pool_errors(bests, ["lang", "source"]).collect()}
+    made = []
+    monkeypatch.setattr(plans, "candidate_pool", lambda *a, f=plans.candidate_pool: made.append(1) or f(*a))
+    monkeypatch.setattr(retrieval, "class_bests", None)
+    got = {(r["lang"], r["source"], r["pool"]): (r["error"], r["n_blocks"]) for r in plans.retrieval_texts(spark, sf).collect()}
+    assert got == want and len(made) == 1
+
+
 def test_error_files_keep_full_rows(spark, tmp_path):
     """Empty fields stay, short lines and canaries go; the first texts of a segment are those of its first line."""
     lines = ["system\t doc\tseg_id\trater\tsource\ttarget\tcategory\tseverity", "A\td\t1\tr1\tsrc\tmt\tFluency/Punctuation\tMinor", 'A\td\t1\tr1\tlater\t"later\tAccuracy\tmajor', "A\td\t1\tr2\tsrc\tmt\t\t", "A\td\t2\tr1\t\t\tNon-translation!\tMajor", "B\td\t1\tr1\tCANARY x\ty\tAccuracy\tmajor", "B\td\t1\tr1\tshort", ""]
