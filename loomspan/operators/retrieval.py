@@ -12,6 +12,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -237,7 +238,7 @@ def searched_errors(blocks: DataFrame, group: list[str], vectors: Callable, dims
     found = T.StructType([*fields, T.StructField("_own", T.IntegerType()), T.StructField("_true", T.BooleanType()), T.StructField("_negative", T.BooleanType()), T.StructField("_with", fields[-1].dataType), T.StructField("_at", T.LongType())])
 
     def cell(table: pa.Table) -> pa.Table:
-        queries, c = table.filter(table.column("_is_query")), table.filter(pa.compute.invert(table.column("_is_query")))
+        queries, c = table.filter(table.column("_is_query")), table.filter(pc.invert(table.column("_is_query")))
         out = [queries.select([*group, "block_id", "_own"]).append_column("_true", pa.array(np.zeros(len(queries), bool))).append_column("_negative", pa.array(np.zeros(len(queries), bool)))]
         if len(queries) and len(c):
             idx = [np.frombuffer(x, np.int64) for x in c.column("_idx").to_pylist()]
